@@ -51,7 +51,7 @@ def series_entropy(codes: DataFrame, bins: int = BINS) -> DataFrame:
 
 
 def lagged_counts(codes: DataFrame, tau_max: int, bins: int = BINS, size: int = 16 * BLOCK) -> DataFrame:
-    """Joint code counts of (series, series shifted by lag): (signal_id, lag, x, y, c).
+    """Joint code counts of (series, series shifted by lag), lag 0 included: (signal_id, lag, x, y, c).
 
     Each block counts its own pairs with ``tau_max`` samples of halo; only the small tables of
     counts are shuffled.
@@ -62,7 +62,7 @@ def lagged_counts(codes: DataFrame, tau_max: int, bins: int = BINS, size: int =
         code = np.asarray(row.y, dtype=np.int64)
         own = min(size, row.n - row.b * size)
         lags, xs, ys, counts = [], [], [], []
-        for lag in range(1, tau_max + 1):
+        for lag in range(0, tau_max + 1):
             later = code[lag : lag + own]
             if not len(later):
                 break
@@ -92,9 +92,11 @@ def lagged_counts(codes: DataFrame, tau_max: int, bins: int = BINS, size: int =
 
 
 def mutual_information(signal: DataFrame, tau_max: int = 100, bins: int = BINS) -> DataFrame:
-    """MI(lag) = H(X) + H(Y) - H(X,Y) in nats, H(X) from the full series: (signal_id, lag, value)."""
-    codes = bin_codes(signal, bins)
-    joint = lagged_counts(codes, tau_max, bins)
+    """MI(lag) = H(X) + H(Y) - H(X,Y) in nats: (signal_id, lag, value).
+
+    H(X) is that of the full series: the joint entropy at lag 0.
+    """
+    joint = lagged_counts(bin_codes(signal, bins), tau_max, bins)
     w = Window.partitionBy("signal_id", "lag")
 
     def merged(col):
@@ -105,21 +107,30 @@ def mutual_information(signal: DataFrame, tau_max: int = 100, bins: int = BINS)
     cells = joint.select(
         "signal_id", "lag", merged("x").alias("x"), merged("y").alias("y"), "c"
     )
-    both = cells.groupBy("signal_id", "lag", "x", "y").agg(F.sum("c").alias("c"))
-    total = both.withColumn("t", F.sum("c").over(w)).withColumn(
-        "cy", F.sum("c").over(Window.partitionBy("signal_id", "lag", "y"))
-    )
-    first_y = F.row_number().over(Window.partitionBy("signal_id", "lag", "y").orderBy("x")) == 1
+    both = cells.groupBy("signal_id", "lag", "y", "x").agg(F.sum("c").alias("c"))
+    # sum -(c/t) log(c/t) = log t - (1/t) sum c log c, for the cells and for the y marginal alike
+    c = F.col("c").cast("double")
     curves = (
-        total.withColumn("hy", F.when(first_y, entropy_term(F.col("cy") / F.col("t"), "e")))
+        both.groupBy("signal_id", "lag", "y")
+        .agg(F.sum(c).alias("cy"), F.sum(c * F.log(c)).alias("s_xy"))
         .groupBy("signal_id", "lag")
         .agg(
-            F.sum("hy").alias("hy"),
-            F.sum(entropy_term(F.col("c") / F.col("t"), "e")).alias("hxy"),
+            F.sum("cy").alias("t"),
+            F.sum("s_xy").alias("s_xy"),
+            F.sum(F.col("cy") * F.log("cy")).alias("s_y"),
+        )
+        .select(
+            "signal_id",
+            "lag",
+            (F.log("t") - F.col("s_y") / F.col("t")).alias("hy"),
+            (F.log("t") - F.col("s_xy") / F.col("t")).alias("hxy"),
         )
     )
-    return curves.join(series_entropy(codes, bins), "signal_id").select(
-        "signal_id", "lag", (F.col("h") + F.col("hy") - F.col("hxy")).alias("value")
+    whole = F.max(F.when(F.col("lag") == 0, F.col("hxy"))).over(Window.partitionBy("signal_id"))
+    return (
+        curves.withColumn("h", whole)
+        .filter("lag > 0")
+        .select("signal_id", "lag", (F.col("h") + F.col("hy") - F.col("hxy")).alias("value"))
     )
 
 

@@ -209,8 +209,11 @@ def lbp_features(tiles: DataFrame, radius: int = 1, points: int = 4) -> DataFram
 STAT_PERCENTILES = (10, 25, 50, 75, 90)
 
 
-def count_moments(counts: DataFrame, value: str = "v") -> DataFrame:
-    """Moments, range and percentiles from value counts (few distinct values per image)."""
+def count_moments(counts: DataFrame, value: str = "v", extra: list | tuple = ()) -> DataFrame:
+    """Moments, range and percentiles from value counts (few distinct values per image).
+
+    ``extra`` aggregates over the same rows ride along.
+    """
     whole = Window.partitionBy("image_id")
     running = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     v, c = F.col(value).cast("double"), F.col("c").cast("double")
@@ -234,15 +237,18 @@ def count_moments(counts: DataFrame, value: str = "v") -> DataFrame:
         F.min(v).alias("min"),
         F.max(v).alias("max"),
         *picks,
+        *extra,
     )
     for p in STAT_PERCENTILES:
         h = (F.col("n") - 1) * F.lit(p / 100.0)
         sums = sums.withColumn(
             f"p{p}", lerp(F.col(f"_p{p}_lo"), F.col(f"_p{p}_hi"), h - F.floor(h))
         )
+    extra_names = [c for c in sums.columns if c == "_d" or c.startswith("centroid")]
     return sums.select(
         "image_id",
         "n",
+        *extra_names,
         "mean",
         F.sqrt("m2").alias("std"),
         F.col("m2").alias("var"),
@@ -307,24 +313,44 @@ def intensity_centroid(counts: DataFrame) -> DataFrame:
 
 
 def stat_features(tiles: DataFrame, bins: int = 64) -> DataFrame:
-    """The 86 stat_* columns. One shuffle of gray counts feeds all of them."""
-    counts = gray_counts(tiles)
-    hist = gray_histogram(counts, bins)
-    wide = hist.groupBy("image_id").agg(
-        *[
-            F.sum(F.when(F.col("bin") == k, F.col("density")).otherwise(0.0)).alias(f"hist_bin_{k}")
-            for k in range(bins)
-        ]
-    )
-    parts = (
-        count_moments(counts)
-        .join(wide, "image_id")
-        .join(histogram_summary(hist, bins), "image_id")
-        .join(intensity_centroid(counts), "image_id")
+    """The 86 stat_* columns from one shuffle of gray counts and one pass over them."""
+    c, v = F.col("c").cast("double"), F.col("v").cast("double")
+    total = F.sum(v * c)
+    slot = F.least(F.floor(F.col("v") * bins / 255), F.lit(bins - 1))
+    density = F.lit(bins / 255.0) / (F.first("h") * F.first("w"))
+    extra = [
+        F.array(
+            *[F.sum(F.when(slot == k, c).otherwise(0.0)) * density for k in range(bins)]
+        ).alias("_d"),
+        F.when(total == 0, F.lit(0.5)).otherwise(F.sum(v * F.col("cs")) / total / F.first("w")).alias("centroid_x"),
+        F.when(total == 0, F.lit(0.5)).otherwise(F.sum(v * F.col("rs")) / total / F.first("h")).alias("centroid_y"),
+    ]
+    zero = F.lit(0.0)
+    d = F.col("_d")
+    mean = F.aggregate(d, zero, lambda acc, x: acc + x) / bins
+    out = (
+        count_moments(gray_counts(tiles), extra=extra)
+        .withColumn("hist_mean", mean)
+        .withColumn("hist_max", F.array_max(d))
+        .withColumn(
+            "hist_std",
+            F.sqrt(
+                F.aggregate(d, zero, lambda acc, x: acc + (x - F.col("hist_mean")) ** 2) / bins
+            ),
+        )
+        .withColumn(
+            "hist_effective_bins", F.size(F.filter(d, lambda x: x > F.col("hist_max") * 0.01))
+        )
+        .withColumn("entropy", F.aggregate(d, zero, lambda acc, x: acc + entropy_term(x)))
+        .withColumn("entropy_norm", F.col("entropy") / F.lit(math.log2(bins)))
     )
     names = ["mean", "std", "skewness", "kurtosis"]
     names += [f"p{p}" for p in STAT_PERCENTILES] + ["range", "min", "max", "cv", "iqr"]
-    names += [f"hist_bin_{k}" for k in range(bins)]
-    names += ["hist_mean", "hist_std", "hist_max", "hist_effective_bins"]
-    names += ["entropy", "entropy_norm", "centroid_x", "centroid_y"]
-    return parts.select("image_id", *[F.col(n).cast("double").alias(f"stat_{n}") for n in names])
+    tail = ["hist_mean", "hist_std", "hist_max", "hist_effective_bins"]
+    tail += ["entropy", "entropy_norm", "centroid_x", "centroid_y"]
+    return out.select(
+        "image_id",
+        *[F.col(n).cast("double").alias(f"stat_{n}") for n in names],
+        *[d[k].alias(f"stat_hist_bin_{k}") for k in range(bins)],
+        *[F.col(n).cast("double").alias(f"stat_{n}") for n in tail],
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,15 +31,22 @@ def build_session(app: str = "recurra", cores: int | None = None, **conf) -> Spa
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names.
+def work_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names; a private one only where it names none (tests)."""
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_KEY, None) or context.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="recurra-work-")
+        context.setCheckpointDir(folder)
+    return folder
+
 
-    A private folder is used only where the session names none (tests).
+def stage(df: DataFrame) -> DataFrame:
+    """Write an intermediate result that several branches read, and read it back.
+
+    A written table survives lost executors, keeps column pruning and is computed once.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get(CHECKPOINT_KEY, None) or tempfile.mkdtemp(prefix="recurra-ckpt-")
-        )
-    return df.checkpoint(eager=True)
+    path = f"{work_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
