@@ -89,6 +89,10 @@ def runs_of(df: DataFrame, keys: list[str], pos: str, chunk: int = 65536) -> Dat
     return merge_runs(pieces, keys, chunk)
 
 
+def _names(group: str | list[str]) -> list[str]:
+    return [group] if isinstance(group, str) else list(group)
+
+
 def exact_quantiles(df: DataFrame, group: str, value: str, probs: dict[str, float]) -> DataFrame:
     """Exact linear-interpolation quantiles per group in bounded memory.
 
@@ -127,9 +131,9 @@ def _ranks(probs: dict[str, float]) -> dict[str, tuple[Column, Column, Column]]:
     return out
 
 
-def wanted_bins(counts: DataFrame, group: str, probs: dict[str, float]) -> DataFrame:
+def wanted_bins(counts: DataFrame, group: str | list[str], probs: dict[str, float]) -> DataFrame:
     """Bins that hold a wanted rank: (group, _bin, _before, n) from (group, _bin, _c, n)."""
-    w = Window.partitionBy(group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*_names(group)).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     cum = counts.withColumn("_cum", F.sum("_c").over(w)).withColumn(
         "_before", F.col("_cum") - F.col("_c")
     )
@@ -137,20 +141,20 @@ def wanted_bins(counts: DataFrame, group: str, probs: dict[str, float]) -> DataF
     for low, high, _ in _ranks(probs).values():
         for rank in (low, high):
             hit = hit | ((F.col("_before") <= rank) & (F.col("_cum") > rank))
-    return cum.filter(hit).select(group, "_bin", "_before", "n")
+    return cum.filter(hit).select(*_names(group), "_bin", "_before", "n")
 
 
-def quantiles_inside(inside: DataFrame, group: str, probs: dict[str, float]) -> DataFrame:
+def quantiles_inside(inside: DataFrame, group: str | list[str], probs: dict[str, float]) -> DataFrame:
     """Finish from distinct values of the wanted bins: (group, _bin, _v, _c, _before, n)."""
-    w = Window.partitionBy(group, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*_names(group), "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     cum = inside.withColumn("_cum", F.col("_before") + F.sum("_c").over(w))
     picks = []
     for name, (low, high, _) in _ranks(probs).items():
         for tag, rank in (("lo", low), ("hi", high)):
             picks.append(F.min(F.when(F.col("_cum") > rank, F.col("_v"))).alias(f"_{name}_{tag}"))
-    out = cum.groupBy(group).agg(F.first("n").alias("n"), *picks)
+    out = cum.groupBy(*_names(group)).agg(F.first("n").alias("n"), *picks)
     cols = [
         lerp(F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), weight).alias(name)
         for name, (_, _, weight) in _ranks(probs).items()
     ]
-    return out.select(group, "n", *cols)
+    return out.select(*_names(group), "n", *cols)

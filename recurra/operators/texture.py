@@ -244,7 +244,7 @@ def count_moments(counts: DataFrame, value: str = "v", extra: list | tuple = ())
         sums = sums.withColumn(
             f"p{p}", lerp(F.col(f"_p{p}_lo"), F.col(f"_p{p}_hi"), h - F.floor(h))
         )
-    extra_names = [c for c in sums.columns if c == "_d" or c.startswith("centroid")]
+    extra_names = [c for c in sums.columns if c == "_k" or c.startswith("centroid")]
     return sums.select(
         "image_id",
         "n",
@@ -264,7 +264,7 @@ def count_moments(counts: DataFrame, value: str = "v", extra: list | tuple = ())
 
 
 def gray_histogram(counts: DataFrame, bins: int = 64) -> DataFrame:
-    """Density histogram over [0, 255], zero bins included: (image_id, bin, density)."""
+    """Density histogram over [0, 255], zero bins included: (image_id, bin, c, density)."""
     width = 255.0 / bins
     filled = counts.groupBy(
         "image_id", F.least(F.floor(F.col("v") * bins / 255), F.lit(bins - 1)).alias("bin")
@@ -277,13 +277,14 @@ def gray_histogram(counts: DataFrame, bins: int = 64) -> DataFrame:
     ).select(
         "image_id",
         F.col("bin").cast("int").alias("bin"),
+        F.coalesce(F.col("m")[F.col("bin")], F.lit(0)).alias("c"),
         (F.coalesce(F.col("m")[F.col("bin")], F.lit(0)) / (F.col("n") * F.lit(width))).alias("density"),
     )
 
 
 def histogram_summary(hist: DataFrame, bins: int = 64) -> DataFrame:
     """Mean, deviation, maximum, effective bins (over 1 % of the maximum) and entropies."""
-    top = F.max("density").over(Window.partitionBy("image_id"))
+    top = F.max("c").over(Window.partitionBy("image_id"))
     d = F.col("density")
     return (
         hist.withColumn("_top", top)
@@ -292,7 +293,7 @@ def histogram_summary(hist: DataFrame, bins: int = 64) -> DataFrame:
             F.avg(d).alias("hist_mean"),
             F.stddev_pop(d).alias("hist_std"),
             F.max(d).alias("hist_max"),
-            F.sum((d > F.col("_top") * 0.01).cast("long")).alias("hist_effective_bins"),
+            F.sum((F.col("c") * 100 > F.col("_top")).cast("long")).alias("hist_effective_bins"),
             F.sum(entropy_term(d)).alias("entropy"),
         )
         .withColumn("entropy_norm", F.col("entropy") / F.lit(math.log2(bins)))
@@ -314,43 +315,37 @@ def intensity_centroid(counts: DataFrame) -> DataFrame:
 
 def stat_features(tiles: DataFrame, bins: int = 64) -> DataFrame:
     """The 86 stat_* columns from one shuffle of gray counts and one pass over them."""
-    c, v = F.col("c").cast("double"), F.col("v").cast("double")
-    total = F.sum(v * c)
-    slot = F.least(F.floor(F.col("v") * bins / 255), F.lit(bins - 1))
-    density = F.lit(bins / 255.0) / (F.first("h") * F.first("w"))
+    slot = f"least(v * {bins} div 255, {bins - 1})"
+    sums = ", ".join(f"sum(if({slot} = {k}, c, 0L))" for k in range(bins))
+    centroid = "if(sum(v * c) = 0, 0.5D, sum(v * {0}) / sum(v * c) / first({1})) AS centroid_{2}"
     extra = [
-        F.array(
-            *[F.sum(F.when(slot == k, c).otherwise(0.0)) * density for k in range(bins)]
-        ).alias("_d"),
-        F.when(total == 0, F.lit(0.5)).otherwise(F.sum(v * F.col("cs")) / total / F.first("w")).alias("centroid_x"),
-        F.when(total == 0, F.lit(0.5)).otherwise(F.sum(v * F.col("rs")) / total / F.first("h")).alias("centroid_y"),
+        F.expr(f"array({sums}) AS _k"),
+        F.expr(centroid.format("cs", "w", "x")),
+        F.expr(centroid.format("rs", "h", "y")),
     ]
-    zero = F.lit(0.0)
-    d = F.col("_d")
-    mean = F.aggregate(d, zero, lambda acc, x: acc + x) / bins
-    out = (
+    names = ["mean", "std", "skewness", "kurtosis"]
+    names += [f"p{p}" for p in STAT_PERCENTILES] + ["range", "min", "max", "cv", "iqr"]
+    return (
         count_moments(gray_counts(tiles), extra=extra)
-        .withColumn("hist_mean", mean)
-        .withColumn("hist_max", F.array_max(d))
-        .withColumn(
-            "hist_std",
-            F.sqrt(
-                F.aggregate(d, zero, lambda acc, x: acc + (x - F.col("hist_mean")) ** 2) / bins
-            ),
+        .selectExpr("*", f"transform(_k, x -> x * {bins / 255.0!r}D / n) AS _d")
+        .selectExpr(
+            "*",
+            f"aggregate(_d, 0D, (a, x) -> a + x) / {bins} AS hist_mean",
+            "array_max(_d) AS hist_max",
+            "size(filter(_k, x -> x * 100 > array_max(_k))) AS hist_effective_bins",
+            "aggregate(_d, 0D, (a, x) -> a + if(x > 0, -x * log2(x), 0D)) AS entropy",
         )
-        .withColumn(
-            "hist_effective_bins", F.size(F.filter(d, lambda x: x > F.col("hist_max") * 0.01))
+        .selectExpr(
+            "image_id",
+            *[f"CAST({n} AS DOUBLE) AS stat_{n}" for n in names],
+            *[f"_d[{k}] AS stat_hist_bin_{k}" for k in range(bins)],
+            "hist_mean AS stat_hist_mean",
+            f"sqrt(aggregate(_d, 0D, (a, x) -> a + (x - hist_mean) * (x - hist_mean)) / {bins}) AS stat_hist_std",
+            "hist_max AS stat_hist_max",
+            "CAST(hist_effective_bins AS DOUBLE) AS stat_hist_effective_bins",
+            "entropy AS stat_entropy",
+            f"entropy / {math.log2(bins)!r}D AS stat_entropy_norm",
+            "centroid_x AS stat_centroid_x",
+            "centroid_y AS stat_centroid_y",
         )
-        .withColumn("entropy", F.aggregate(d, zero, lambda acc, x: acc + entropy_term(x)))
-        .withColumn("entropy_norm", F.col("entropy") / F.lit(math.log2(bins)))
-    )
-    names = ["mean", "std", "skewness", "kurtosis"]
-    names += [f"p{p}" for p in STAT_PERCENTILES] + ["range", "min", "max", "cv", "iqr"]
-    tail = ["hist_mean", "hist_std", "hist_max", "hist_effective_bins"]
-    tail += ["entropy", "entropy_norm", "centroid_x", "centroid_y"]
-    return out.select(
-        "image_id",
-        *[F.col(n).cast("double").alias(f"stat_{n}") for n in names],
-        *[d[k].alias(f"stat_hist_bin_{k}") for k in range(bins)],
-        *[F.col(n).cast("double").alias(f"stat_{n}") for n in tail],
     )

@@ -212,17 +212,17 @@ PCT = """pct AS (
     )
 )
 HIST = """hist AS (
-  SELECT image_id, bin, coalesce(c, 0) / (n * (255.0 / 64)) AS density
+  SELECT image_id, bin, coalesce(c, 0) AS c, coalesce(c, 0) / (n * (255.0 / 64)) AS density
   FROM (SELECT image_id, CAST(count(*) AS DOUBLE) AS n FROM img GROUP BY 1)
   JOIN (SELECT CAST(unnest(range(64)) AS INTEGER) AS bin) g ON true
   LEFT JOIN (SELECT image_id, CAST(least(v * 64 // 255, 63) AS INTEGER) AS bin, count(*) AS c FROM img GROUP BY ALL) h
   USING (image_id, bin))"""
 HSUM = """hsum AS (
   SELECT image_id, avg(density) AS stat_hist_mean, stddev_pop(density) AS stat_hist_std, max(density) AS stat_hist_max,
-         count(*) FILTER (density > top * 0.01) AS stat_hist_effective_bins,
+         count(*) FILTER (c * 100 > top) AS stat_hist_effective_bins,
          sum(CASE WHEN density > 0 THEN -density * log2(density) ELSE 0 END) AS stat_entropy,
          sum(CASE WHEN density > 0 THEN -density * log2(density) ELSE 0 END) / 6 AS stat_entropy_norm
-  FROM (SELECT *, max(density) OVER (PARTITION BY image_id) AS top FROM hist) GROUP BY 1)"""
+  FROM (SELECT *, max(c) OVER (PARTITION BY image_id) AS top FROM hist) GROUP BY 1)"""
 CENT = """cent AS (
   SELECT image_id, CASE WHEN sum(v) = 0 THEN 0.5 ELSE sum(v * c) / CAST(sum(v) AS DOUBLE) / any_value(side) END AS stat_centroid_x,
          CASE WHEN sum(v) = 0 THEN 0.5 ELSE sum(v * r) / CAST(sum(v) AS DOUBLE) / any_value(side) END AS stat_centroid_y
@@ -294,6 +294,7 @@ def stat_centroid(spark, folder):
 SELECT image_id, {rounded(*STAT_COLUMNS)}
 FROM stat JOIN hwide USING (image_id) JOIN hsum USING (image_id) JOIN cent USING (image_id)"""))
 def stat_features(spark, folder):
-    return report(texture.stat_features(images(spark, folder)), ["image_id"], STAT_COLUMNS)
+    found = texture.stat_features(images(spark, folder))
+    return found.selectExpr("image_id", *[f"round({c}, 6) + 0D AS {c}" for c in STAT_COLUMNS])
 
 
