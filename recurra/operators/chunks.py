@@ -44,6 +44,41 @@ def ordered_index(df: DataFrame, key: str, order_by: list[str], chunk: Column) -
     )
 
 
+def running_totals(
+    df: DataFrame, key: list[str], order_by: list, sums: dict[str, Column], chunk: Column
+) -> DataFrame:
+    """Inclusive running sums in the key's order, added chunk by chunk.
+
+    ``chunk`` must be non-decreasing in the order; chunk totals give the offsets.
+    """
+    base = df.withColumn("_chunk", chunk)
+    for name, value in sums.items():
+        base = base.withColumn(f"_v_{name}", value)
+    before = (
+        Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    totals = base.groupBy(*key, "_chunk").agg(
+        *[F.sum(f"_v_{name}").alias(f"_t_{name}") for name in sums]
+    )
+    offsets = totals.select(
+        *key,
+        "_chunk",
+        *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_o_{name}") for name in sums],
+    )
+    inside = (
+        Window.partitionBy(*key, "_chunk")
+        .orderBy(*order_by)
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    out = base
+    for name in sums:
+        out = out.withColumn(f"_r_{name}", F.sum(f"_v_{name}").over(inside))
+    out = out.join(offsets, [*key, "_chunk"])
+    for name in sums:
+        out = out.withColumn(name, F.col(f"_r_{name}") + F.col(f"_o_{name}"))
+    return out.drop("_chunk", *[f"_{t}_{name}" for name in sums for t in "vro"])
+
+
 def chunk_with_halo(df: DataFrame, pos: str, size: int, before: int = 0, after: int = 0) -> DataFrame:
     """Assign rows to chunks of ``size`` positions, copying the rows a neighbour needs.
 

@@ -66,13 +66,13 @@ def _wave_tiles(spark, folder, name, levels, **options):
     return stage(images(spark, folder, halo=wavelet.halo_for(name, levels), **options))
 
 
-BAND_ITEMS = "round(energy, 2) AS energy, " + rounded("mean", "std", "peak")
+BAND_ITEMS = "round(energy, 2) AS energy, " + ", ".join(f"round({c}, 8) + 0.0 AS {c}" for c in ("mean", "std", "peak"))
 
 
 def _band_report(stats):
     return stats.select(
         "image_id", "band", "n", F.round("energy", 2).alias("energy"),
-        *[r6(c).alias(c) for c in ("mean", "std", "peak")],
+        *[r6(c, 8).alias(c) for c in ("mean", "std", "peak")],
     )
 
 
@@ -83,11 +83,15 @@ def dwt_subbands(spark, folder):
     return _band_report(wavelet.subband_stats(tiles, "db4", 3))
 
 
-@query("dwt_haar", with_ctes(*IMAGE, _dwt("haar", 1), BAND, tail=f"""
-SELECT image_id, band, n, {BAND_ITEMS} FROM band"""))
+@query("dwt_haar", with_ctes(*IMAGE, _dwt("haar", 1), BAND, tail="""
+SELECT image_id, band, n, round(energy, 2) AS energy, round(mean * n, 3) + 0.0 AS total, round(std, 6) AS std, round(peak, 6) AS peak FROM band"""))
 def dwt_haar(spark, folder):
     tiles = images(spark, folder, halo=wavelet.halo_for("haar", 1), size=24)
-    return _band_report(wavelet.subband_stats(tiles, "haar", 1))
+    found = wavelet.subband_stats(tiles, "haar", 1).withColumn("total", F.col("mean") * F.col("n"))
+    return found.select(
+        "image_id", "band", "n", F.round("energy", 2).alias("energy"), r6("total", 3).alias("total"),
+        r6("std").alias("std"), r6("peak").alias("peak"),
+    )
 
 
 @query("dwt_small_tiles", with_ctes(*IMAGE, _dwt("db4", 3), BAND, tail=f"""
@@ -243,12 +247,11 @@ dirn AS (
   FROM (SELECT image_id, weight / sum(weight) OVER (PARTITION BY image_id) AS p FROM dirh) GROUP BY 1)"""
 LINE = """off AS (SELECT d, o.dir, d * dy AS dr, d * dx AS dc FROM (SELECT unnest(range(1, 6)) AS d) q
   JOIN (SELECT * FROM (VALUES (0, 0, 1), (1, 1, 1), (2, 1, 0), (3, 1, -1)) t(dir, dy, dx)) o ON true),
+moved AS MATERIALIZED (SELECT image_id, dir, d, r + dr AS r, c + dc AS c, v AS w FROM img JOIN off ON true),
 lin AS (
   SELECT image_id, max(m) - min(m) AS linelikeness FROM (
     SELECT image_id, dir, avg(cr) AS m FROM (
-      SELECT a.image_id, dir, d, corr(a.v, b.v) AS cr
-      FROM img a JOIN off ON true JOIN img b ON b.image_id = a.image_id AND b.r = a.r + dr AND b.c = a.c + dc
-      GROUP BY ALL) GROUP BY ALL) GROUP BY 1)"""
+      SELECT image_id, dir, d, corr(w, v) AS cr FROM moved JOIN img USING (image_id, r, c) GROUP BY ALL) GROUP BY ALL) GROUP BY 1)"""
 
 
 def _coarse_sql() -> str:

@@ -96,10 +96,8 @@ def rqa_fixed_threshold(spark, folder):
 
 
 GLCM = """step AS (SELECT * FROM (VALUES (0, 0, 1), (45, 1, 1), (90, 1, 0), (135, 1, -1)) t(angle, dr, dc)),
-dir AS (
-  SELECT p.image_id, angle, p.{v} AS a, q.{v} AS b, count(*) AS c
-  FROM {img} p JOIN step ON true JOIN {img} q ON q.image_id = p.image_id AND q.r = p.r + dr AND q.c = p.c + dc
-  GROUP BY ALL)"""
+moved AS MATERIALIZED (SELECT image_id, angle, r + dr AS r, c + dc AS c, {v} AS a FROM {img} JOIN step ON true),
+dir AS (SELECT image_id, angle, a, {v} AS b, count(*) AS c FROM moved JOIN {img} USING (image_id, r, c) GROUP BY image_id, angle, a, {v})"""
 PROPS = """sym AS (
   SELECT image_id, angle, a, b, CAST(sum(c) AS DOUBLE) AS c FROM (
     SELECT image_id, angle, a, b, c FROM dir UNION ALL SELECT image_id, angle, b, a, c FROM dir) GROUP BY ALL),
