@@ -423,13 +423,20 @@ def silhouette(vectors: DataFrame, size: int = ROWS) -> DataFrame:
     return score.withColumn("silhouette_interpretation", silhouette_label(F.col("silhouette_score")))
 
 
+# Silhouette bands (strictly above) and their wording.
+SILHOUETTE_BANDS = (
+    (0.7, "Excelente separabilidad"),
+    (0.5, "Buena separabilidad"),
+    (0.3, "Separabilidad aceptable"),
+)
+SILHOUETTE_POOR = "Separabilidad pobre"
+
+
 def silhouette_label(score):
-    return (
-        F.when(score >= 0.7, "excellent")
-        .when(score >= 0.5, "good")
-        .when(score >= 0.3, "moderate")
-        .otherwise("weak")
-    )
+    out = F.lit(SILHOUETTE_POOR)
+    for floor, text in reversed(SILHOUETTE_BANDS):
+        out = F.when(score > floor, text).otherwise(out)
+    return out
 
 
 def fisher_ratio(vectors: DataFrame) -> DataFrame:
@@ -488,18 +495,32 @@ def family(name):
     return F.split(name, "_")[0]
 
 
+# Wording of the bands in a feature's justification.
+WORDING = {
+    "p < 0.001": "altamente significativa (p<0.001)",
+    "p < 0.01": "muy significativa (p<0.01)",
+    "otherwise": "significativa (p=%.3f)",
+    "effect": "efecto %s (|d|=%.2f)",
+    "F > 10": "alto poder discriminativo",
+    "F > 5": "buen poder discriminativo",
+    "lower": "poder discriminativo moderado",
+}
+
+
 def justification(p_value, d, f_score):
     """Short sentence for a selected feature, from bands of its statistics."""
     significance = (
-        F.when(p_value < 0.001, "highly significant (p < 0.001)")
-        .when(p_value < 0.01, "very significant (p < 0.01)")
-        .otherwise("significant (p < 0.05)")
+        F.when(p_value < 0.001, WORDING["p < 0.001"])
+        .when(p_value < 0.01, WORDING["p < 0.01"])
+        .otherwise(F.format_string(WORDING["otherwise"], p_value))
     )
-    effect = F.concat(effect_label(d), F.lit(" effect (d = "), F.format_number(d, 3), F.lit(")"))
+    effect = F.format_string(WORDING["effect"], effect_label(d), F.abs(d))
     strength = (
-        F.when(f_score > 10, "strong discrimination").when(f_score > 5, "good discrimination").otherwise("fair discrimination")
+        F.when(f_score > 10, WORDING["F > 10"])
+        .when(f_score > 5, WORDING["F > 5"])
+        .otherwise(F.lit(WORDING["lower"]))
     )
-    return F.concat_ws("; ", significance, effect, strength)
+    return F.concat_ws(", ", significance, effect, strength)
 
 
 def dataset_summary(long: DataFrame) -> DataFrame:
