@@ -117,7 +117,8 @@ def knn_information(long: DataFrame, k: int = 3) -> DataFrame:
 
     Distinct values carry counts, so ties collapse before anything is ordered. The radius of a
     value is the distance to its k-th neighbour in the same class; the points of all classes
-    closer than that are counted with running totals over value chunks. No random jitter is added.
+    closer than that are counted with running totals over value chunks. Points at the radius (to a
+    relative 1e-9, so rounding cannot decide) are outside. No random jitter is added.
     """
     counts = long.groupBy("feature", "label", "value").agg(F.count(F.lit(1)).alias("c"))
     classes = counts.groupBy("feature", "label").agg(F.sum("c").alias("nc")).filter("nc > 1")
@@ -136,7 +137,7 @@ def knn_information(long: DataFrame, k: int = 3) -> DataFrame:
     radius = F.expr(
         "aggregate(array_sort(filter(around, s -> s.d IS NOT NULL)), "
         "named_struct('left', reach, 'r', 0D), "
-        "(a, s) -> if(a.left <= 0, a, named_struct('left', a.left - s.m, 'r', s.d)), a -> a.r)"
+        "(a, s) -> if(a.left <= 0, a, named_struct('left', a.left - s.m, 'r', s.d)), a -> a.r * (1 - 1e-9D))"
     )
     measured = (
         near.withColumn("around", around)

@@ -329,3 +329,39 @@ def phase_space(spark, folder):
     )
 
 
+
+
+# --- long series: one per event type ------------------------------------------------------------
+
+LONG = SIG.replace("user_id", "event_type")
+
+
+def long_signals(spark, folder):
+    from ..sources.tables import signal_from_events, table
+
+    return signal_from_events(table(spark, folder, "events"), key="event_type")
+
+
+@query("long_parameters", with_ctes(LONG, CODES, LAGS, HX, MI, LOCAL_MIN, ACF, CROSS, CHOICE,
+                                    tail="SELECT signal_id, tau_mi, tau_acf, tau FROM choice"))
+def long_parameters(spark, folder):
+    """Series of thousands of samples: several blocks each."""
+    sig = long_signals(spark, folder)
+    return params.choose_delay(
+        params.mutual_information(sig, TAU_MAX), params.autocorrelation(sig, TAU_MAX)
+    )
+
+
+@query("long_false_neighbors", with_ctes(LONG, FNN, tail=f"SELECT signal_id, lag, {rounded('value')} FROM fnn"))
+def long_false_neighbors(spark, folder):
+    return report(
+        params.false_neighbors(long_signals(spark, folder), DIM_MAX, TAU), ["signal_id", "lag"], ["value"]
+    )
+
+
+@query("long_gray_counts", with_ctes(LONG, PTS, CELL, """top AS (SELECT image_id, max(d) AS mx FROM cell GROUP BY 1),
+cnt AS (SELECT image_id, CAST(trunc(d / mx * 255) AS INTEGER) AS v, count(*) AS c FROM cell JOIN top USING (image_id) GROUP BY ALL)""",
+                                     tail="SELECT image_id, v, c FROM cnt"))
+def long_gray_counts(spark, folder):
+    tiles = recurrence.recurrence_tiles(long_signals(spark, folder), M, TAU)
+    return recurrence.gray_counts(tiles).select("image_id", "v", "c")
