@@ -137,11 +137,23 @@ def delay_vectors(y: np.ndarray, m: int, tau: int, backwards: bool = False) -> n
     return np.stack(coords[::-1] if backwards else coords)
 
 
+STRIP = 128
+
+
 def pair_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Euclidean distances between two sets of points given as (m, points)."""
+    """Euclidean distances between two sets of points given as (m, points).
+
+    Coordinate differences are squared and summed directly, strip by strip so that the working set
+    stays in the processor's cache.
+    """
     total = np.zeros((p.shape[1], q.shape[1]))
-    for a, b in zip(p, q):
-        step = a[:, None] - b[None, :]
-        step *= step
-        total += step
-    return np.sqrt(total, out=total)
+    step = np.empty((STRIP, q.shape[1]))
+    for top in range(0, p.shape[1], STRIP):
+        part = total[top : top + STRIP]
+        work = step[: len(part)]
+        for a, b in zip(p, q):
+            np.subtract(a[top : top + STRIP, None], b, out=work)
+            np.multiply(work, work, out=work)
+            part += work
+        np.sqrt(part, out=part)
+    return total

@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import entropy_term
-from .blocks import BLOCK, block_pairs, map_rows, signal_blocks
+from .blocks import BLOCK, STRIP, block_pairs, map_rows, signal_blocks
 from .chunks import chunk_with_halo
 
 BINS = 10
+NEIGHBOR_BLOCK = 2 * BLOCK
 
 
 def min_length(signal: DataFrame, tau_max: int = 100, dim_max: int = 10) -> DataFrame:
@@ -219,16 +220,29 @@ def takens(signal: DataFrame, m: int, tau: int, size: int = BLOCK) -> DataFrame:
     )
 
 
+def _row_minimum(square: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lowest index of the smallest root per row, without taking all roots.
+
+    Squares a rounding step apart can share a root, so rows with such a rival are looked at again.
+    """
+    best = square.argmin(axis=1)
+    low = square[np.arange(len(best)), best]
+    first = (square <= (low * (1 + 1e-15))[:, None]).argmax(axis=1)
+    for k in np.flatnonzero(first != best):
+        best[k] = np.flatnonzero(np.sqrt(square[k]) == np.sqrt(low[k]))[0]
+    return best, np.sqrt(low)
+
+
 def nearest_neighbors(
-    signal: DataFrame, dim_max: int, tau: int, size: int = BLOCK, delays: DataFrame | None = None
+    signal: DataFrame, dim_max: int, tau: int, size: int = NEIGHBOR_BLOCK, delays: DataFrame | None = None
 ) -> DataFrame:
     """Nearest other point of every delay vector for d = 1..dim_max, lowest index on ties.
 
     ``tau`` is the delay of every signal, or with ``delays`` (signal_id, tau) the largest of them.
 
     (signal_id, d, i, dist, j, step): ``step`` is the difference of the coordinate that dimension
-    d+1 adds (NULL where either point has none). Tiles keep a best candidate per row and column;
-    the shuffle carries candidates, never pairs.
+    d+1 adds (NULL where either point has none). Tiles keep a best candidate per row; the shuffle
+    carries candidates, never pairs.
     """
     reach = dim_max * tau
     blocks = signal_blocks(signal, size, after=reach)
@@ -236,48 +250,51 @@ def nearest_neighbors(
         blocks = blocks.withColumn("tau", F.lit(tau))
     else:
         blocks = blocks.join(delays.select("signal_id", "tau"), "signal_id")
-    pairs = block_pairs(blocks, blocks, size, 0, upper=True, carry=["tau"])
-
-    def candidates(dist, d, lo, other_lo, own_next, other_next):
-        best = np.argmin(dist, axis=1)
-        at = np.arange(len(best))
-        value = dist[at, best]
-        step = np.full(len(best), np.nan)
-        usable = (at < len(own_next)) & (best < len(other_next))
-        step[usable] = own_next[at[usable]] - other_next[best[usable]]
-        keep = np.isfinite(value)
-        return {
-            "d": np.full(keep.sum(), d),
-            "i": (lo + at)[keep],
-            "dist": value[keep],
-            "j": (other_lo + best)[keep],
-            "step": step[keep],
-        }
+    # The whole grid: minima along rows only are far cheaper than along both sides of half of it.
+    pairs = block_pairs(blocks, blocks, size, 0, upper=False, carry=["tau"])
 
     def kernel(row):
         a, b, tau = np.asarray(row.r_y), np.asarray(row.c_y), row.tau
         lo_a, lo_b = row.br * size, row.bc * size
-        total = np.zeros((min(size, len(a)), min(size, len(b))))
         found = []
-        for d in range(1, dim_max + 1):
-            points = row.n - (d - 1) * tau
-            na, nb = min(size, points - lo_a), min(size, points - lo_b)
-            if na <= 0 or nb <= 0:
-                break
-            shift = (d - 1) * tau
-            step = a[shift : shift + na][:, None] - b[shift : shift + nb][None, :]
-            total = total[:na, :nb] + step * step
-            dist = np.sqrt(total)
-            if row.br == row.bc:
-                np.fill_diagonal(dist, np.inf)
-            next_a = a[d * tau : d * tau + max(0, min(size, points - tau - lo_a))]
-            next_b = b[d * tau : d * tau + max(0, min(size, points - tau - lo_b))]
-            found.append(candidates(dist, d, lo_a, lo_b, next_a, next_b))
-            if row.br != row.bc:
-                found.append(candidates(dist.T, d, lo_b, lo_a, next_b, next_a))
+        for top in range(0, min(size, row.n - lo_a), STRIP):
+            square = np.zeros((STRIP, min(size, len(b))))
+            work = np.empty_like(square)
+            for d in range(1, dim_max + 1):
+                points = row.n - (d - 1) * tau
+                na, nb = min(STRIP, size - top, points - lo_a - top), min(size, points - lo_b)
+                if na <= 0 or nb <= 0:
+                    break
+                shift = (d - 1) * tau
+                square, work = square[:na, :nb], work[:na, :nb]
+                start = top + shift
+                np.subtract(a[start : start + na, None], b[shift : shift + nb], out=work)
+                np.multiply(work, work, out=work)
+                square += work
+                if row.br == row.bc:
+                    own = np.arange(na)
+                    keep = own[top + own < nb]
+                    square[keep, top + keep] = np.inf
+                best, dist = _row_minimum(square)
+                far = best < min(size, points - tau - lo_b)
+                near = top + np.arange(na) < min(size, points - tau - lo_a)
+                step = np.full(na, np.nan)
+                both = np.flatnonzero(far & near)
+                step[both] = a[top + both + d * tau] - b[best[both] + d * tau]
+                ok = np.isfinite(dist)
+                found.append(
+                    (
+                        np.full(ok.sum(), d),
+                        (lo_a + top + np.arange(na))[ok],
+                        dist[ok],
+                        (lo_b + best)[ok],
+                        step[ok],
+                    )
+                )
         if not found:
             return None
-        return {name: np.concatenate([f[name] for f in found]) for name in found[0]}
+        names = ("d", "i", "dist", "j", "step")
+        return {name: np.concatenate(part) for name, part in zip(names, zip(*found))}
 
     best = F.min(F.struct("dist", "j", "step"))
     return (
@@ -294,7 +311,7 @@ def false_neighbors(
     tau: int = 1,
     r_tol: float = 15.0,
     a_tol: float = 2.0,
-    size: int = BLOCK,
+    size: int = NEIGHBOR_BLOCK,
     delays: DataFrame | None = None,
 ) -> DataFrame:
     """FNN percentage per dimension: (signal_id, lag = d, value). 100 where nothing can be checked."""

@@ -147,11 +147,13 @@ def recurrence_tiles(
     def kernel(row):
         dist = _tile_distance(row, m, tau, flip)
         if binary:
-            px = np.where(dist <= row.level, 0, 255)
+            px = np.where(dist <= row.level, np.uint8(0), np.uint8(255))
         elif row.level > 0:
-            px = np.trunc(dist / row.level * 255)
+            dist /= row.level
+            dist *= 255
+            px = dist.astype(np.uint8)  # truncates
         else:
-            px = np.zeros_like(dist)
+            px = np.zeros(dist.shape, dtype=np.uint8)
         side = row.n - lost
         r0, c0 = row.br * size, row.bc * size
         return {
@@ -165,7 +167,7 @@ def recurrence_tiles(
             "left": [c0 - row.c_start],
             "ph": [px.shape[0]],
             "pw": [px.shape[1]],
-            "px": [px.astype(np.uint8).tobytes()],
+            "px": [px.tobytes()],
         }
 
     pairs = _pairs(signal, m, tau, size, False, halo, flip, level, ["level"])
@@ -258,27 +260,27 @@ def image_rows(tiles: DataFrame) -> DataFrame:
 
 
 def gray_counts(tiles: DataFrame) -> DataFrame:
-    """256-bin counts with the position sums of each gray level: (image_id, h, w, v, c, rs, cs).
+    """256-bin counts and intensity moments: (image_id, h, w, v, c, rs, cs).
 
-    ``rs`` and ``cs`` are the sums of row and column indices over the pixels of that level, so
-    every first-order feature, the centroids included, follows from at most 256 rows per image.
+    ``rs`` and ``cs`` add up, over an image's rows of this table, to the sums of row * pixel and
+    column * pixel; so every first-order feature, the centroids included, follows from at most 256
+    rows per image.
     """
 
     def kernel(row):
         px = core(row)
         counts = np.bincount(px.ravel(), minlength=256)
-        r = np.repeat(np.arange(row.r0, row.r0 + row.nr), row.nc)
-        c = np.tile(np.arange(row.c0, row.c0 + row.nc), row.nr)
-        rows = np.bincount(px.ravel(), weights=r, minlength=256).astype(np.int64)
-        cols = np.bincount(px.ravel(), weights=c, minlength=256).astype(np.int64)
         used = np.flatnonzero(counts)
+        moments = np.zeros((2, len(used)), dtype=np.int64)
+        moments[0, 0] = px.sum(axis=1, dtype=np.int64) @ np.arange(row.r0, row.r0 + row.nr)
+        moments[1, 0] = px.sum(axis=0, dtype=np.int64) @ np.arange(row.c0, row.c0 + row.nc)
         return {
             "h": np.full(len(used), row.h),
             "w": np.full(len(used), row.w),
             "v": used,
             "c": counts[used],
-            "rs": rows[used],
-            "cs": cols[used],
+            "rs": moments[0],
+            "cs": moments[1],
         }
 
     return (

@@ -305,10 +305,10 @@ def intensity_centroid(counts: DataFrame) -> DataFrame:
     total = F.sum(F.col("v") * F.col("c"))
     return counts.groupBy("image_id").agg(
         F.when(total == 0, F.lit(0.5))
-        .otherwise(F.sum(F.col("v") * F.col("cs")) / total / F.first("w"))
+        .otherwise(F.sum("cs") / total / F.first("w"))
         .alias("centroid_x"),
         F.when(total == 0, F.lit(0.5))
-        .otherwise(F.sum(F.col("v") * F.col("rs")) / total / F.first("h"))
+        .otherwise(F.sum("rs") / total / F.first("h"))
         .alias("centroid_y"),
     )
 
@@ -317,7 +317,7 @@ def stat_features(tiles: DataFrame, bins: int = 64) -> DataFrame:
     """The 86 stat_* columns from one shuffle of gray counts and one pass over them."""
     slot = f"least(v * {bins} div 255, {bins - 1})"
     sums = ", ".join(f"sum(if({slot} = {k}, c, 0L))" for k in range(bins))
-    centroid = "if(sum(v * c) = 0, 0.5D, sum(v * {0}) / sum(v * c) / first({1})) AS centroid_{2}"
+    centroid = "if(sum(v * c) = 0, 0.5D, sum({0}) / sum(v * c) / first({1})) AS centroid_{2}"
     extra = [
         F.expr(f"array({sums}) AS _k"),
         F.expr(centroid.format("cs", "w", "x")),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import r6
 from ..operators import recurrence
+from ..session import stage
 from ..sources.tables import signal_from_events, table, vector_features
 
 # Settings of the registered queries: the table's series are short (45 to 99 samples).
@@ -13,8 +14,9 @@ M, TAU = 3, 2
 TAU_MAX, DIM_MAX = 20, 5
 
 
-def signals(spark, folder):
-    return signal_from_events(table(spark, folder, "events"))
+def signals(spark, folder, key="user_id"):
+    """The ordered series, written once: most queries read it along several branches."""
+    return stage(signal_from_events(table(spark, folder, "events"), key=key))
 
 
 def images(spark, folder, halo=0, **options):

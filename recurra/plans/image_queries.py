@@ -252,9 +252,9 @@ def _strip(columns):
 
 
 @query("gray_counts", with_ctes(*IMAGE, tail="""
-SELECT image_id, v, count(*) AS c, CAST(sum(r) AS BIGINT) AS rs, CAST(sum(c) AS BIGINT) AS cs FROM img GROUP BY image_id, v"""))
+SELECT image_id, v, count(*) AS c FROM img GROUP BY image_id, v"""))
 def gray_counts(spark, folder):
-    return _counts(spark, folder).select("image_id", "v", "c", "rs", "cs")
+    return _counts(spark, folder).select("image_id", "v", "c")
 
 
 @query("stat_moments", with_ctes(*IMAGE, MOMENTS, PCT, STAT, tail=f"""

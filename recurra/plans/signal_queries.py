@@ -337,9 +337,7 @@ LONG = SIG.replace("user_id", "event_type")
 
 
 def long_signals(spark, folder):
-    from ..sources.tables import signal_from_events, table
-
-    return signal_from_events(table(spark, folder, "events"), key="event_type")
+    return signals(spark, folder, key="event_type")
 
 
 @query("long_parameters", with_ctes(LONG, CODES, LAGS, HX, MI, LOCAL_MIN, ACF, CROSS, CHOICE,
