@@ -79,6 +79,24 @@ def running_totals(
     return out.drop("_chunk", *[f"_{t}_{name}" for name in sums for t in "vro"])
 
 
+def next_value(df: DataFrame, keys: list[str], pos: str, name: str, chunk: int = 65536) -> DataFrame:
+    """Add ``name``: the next larger ``pos`` of the same keys, NULL at the end.
+
+    Positions are ordered inside chunks; each chunk's last row takes the first position of the next
+    chunk that has any.
+    """
+    base = df.withColumn("_c", F.floor(F.col(pos) / chunk))
+    firsts = base.groupBy(*keys, "_c").agg(F.min(pos).alias("_first"))
+    after = F.lead("_first").over(Window.partitionBy(*keys).orderBy("_c"))
+    inside = F.lead(pos).over(Window.partitionBy(*keys, "_c").orderBy(pos))
+    return (
+        base.withColumn("_in", inside)
+        .join(firsts.withColumn("_after", after).drop("_first"), [*keys, "_c"])
+        .withColumn(name, F.coalesce("_in", "_after"))
+        .drop("_c", "_in", "_after")
+    )
+
+
 def chunk_with_halo(df: DataFrame, pos: str, size: int, before: int = 0, after: int = 0) -> DataFrame:
     """Assign rows to chunks of ``size`` positions, copying the rows a neighbour needs.
 

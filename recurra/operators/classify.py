@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import ordered_index
-from .grid import ROWS, block_grid, row_blocks
+from .grid import ROWS, block_grid
 
 HASH_CHUNKS = 4096
 
@@ -174,7 +174,7 @@ def knn_neighbors(train: DataFrame, test: DataFrame, k: int = 5, size: int = ROW
                     }
                 )
 
-    found = block_grid(row_blocks(test, "row_id", size), row_blocks(train, "row_id", size)).mapInPandas(run, out)
+    found = block_grid(test, train, size=size).mapInPandas(run, out)
     order = Window.partitionBy("row_id").orderBy("d", "n_id")
     return found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
 

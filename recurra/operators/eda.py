@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import half_open_bin
-from .chunks import exact_quantiles
+from .chunks import exact_quantiles, next_value
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -91,14 +91,13 @@ def silence_intervals(active: DataFrame, lengths: DataFrame, rate: float = 25000
     """Complement of the active intervals in [0, n): (signal_id, s, e, start_s, end_s).
 
     ``active`` is (signal_id, s, e), ``lengths`` is (signal_id, n). Every interval yields the gap
-    after it; a sentinel at 0 yields the leading one. The next start is found per signal.
+    after it; a sentinel at 0 yields the leading one.
     """
     edges = active.select("signal_id", "s", "e").unionByName(
         lengths.select("signal_id", F.lit(-1).cast("long").alias("s"), F.lit(0).cast("long").alias("e"))
     )
-    after = F.lead("s").over(Window.partitionBy("signal_id").orderBy("s"))
     return (
-        edges.withColumn("_next", after)
+        next_value(edges, ["signal_id"], "s", "_next")
         .join(lengths.select("signal_id", "n"), "signal_id")
         .select("signal_id", F.col("e").alias("s"), F.coalesce("_next", "n").alias("e"))
         .filter("e > s")

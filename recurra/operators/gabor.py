@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import safe_div
+from ..session import stage
 from .blocks import map_rows
 from .chunks import QUANTILE_BINS, quantiles_inside, wanted_bins
 from .recurrence import pixels
@@ -124,9 +125,12 @@ def magnitude_quartiles(
     """Exact quartiles of the magnitudes per filter, by histogram and refinement of two bins each."""
     bank = _bank(frequencies, orientations)
     keys = ["image_id", "filter"]
-    spans = stats.groupBy("image_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("filter", F.array("mag_min", "mag_max")))).alias("spans"),
-        F.first("n").alias("pixels"),
+    spans = stage(
+        stats.groupBy("image_id").agg(
+            F.map_from_entries(
+                F.collect_list(F.struct("filter", F.array("mag_min", "mag_max")))
+            ).alias("spans")
+        )
     )
 
     def bins_of(mag, low, high):
@@ -152,11 +156,12 @@ def magnitude_quartiles(
         .agg(F.sum("_c").alias("_c"))
         .join(stats.select(*keys, "n"), keys)
     )
-    wanted = wanted_bins(counts, keys, QUARTILES)
-    lists = (
+    wanted = stage(wanted_bins(counts, keys, QUARTILES))
+    lists = stage(
         wanted.groupBy(*keys).agg(F.collect_list("_bin").alias("bins"))
         .groupBy("image_id")
         .agg(F.map_from_entries(F.collect_list(F.struct("filter", "bins"))).alias("bins"))
+        .join(spans, "image_id")
     )
 
     def members(row):
@@ -174,7 +179,7 @@ def magnitude_quartiles(
 
     inside = (
         map_rows(
-            tiles.join(spans.join(lists, "image_id"), "image_id"),
+            tiles.join(lists, "image_id"),
             "image_id",
             "filter string, _bin long, _v double, _c long",
             members,
@@ -202,7 +207,7 @@ def gabor_features(
     phase: bool = False,
 ) -> DataFrame:
     """The gabor_* columns: 15 per filter (18 with phase)."""
-    stats = response_stats(tiles, frequencies, orientations, sigma)
+    stats = stage(response_stats(tiles, frequencies, orientations, sigma))
     quartiles = magnitude_quartiles(tiles, stats, frequencies, orientations, sigma).select(
         "image_id", "filter", *[F.col(q).alias(f"mag_{q}") for q in QUARTILES]
     )

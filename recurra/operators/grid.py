@@ -14,10 +14,14 @@ from .blocks import spread
 ROWS = 512
 
 
+def block_count(df: DataFrame, size: int):
+    """Number of blocks for a table, as a scalar subquery over its row count."""
+    return df.agg(F.greatest(F.ceil(F.count(F.lit(1)) / size), F.lit(1)).cast("long")).scalar()
+
+
 def row_blocks(df: DataFrame, key: str, size: int = ROWS) -> DataFrame:
     """(b, blocks, ids, labels, x): blocks of rows from (key, label, x array)."""
-    total = df.agg(F.greatest(F.ceil(F.count(F.lit(1)) / size), F.lit(1))).scalar()
-    rows = df.select(F.col(key).alias("id"), "label", "x").withColumn("blocks", total.cast("long"))
+    rows = df.select(F.col(key).alias("id"), "label", "x").withColumn("blocks", block_count(df, size))
     placed = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")))
     return (
         spread(placed, "b")
@@ -30,22 +34,25 @@ def row_blocks(df: DataFrame, key: str, size: int = ROWS) -> DataFrame:
     )
 
 
-def block_grid(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
-    """One row per tile (br, bc, l_*, r_*). Without ``right`` only tiles br <= bc of left x left."""
-    upper = right is None
+def block_grid(left: DataFrame, right: DataFrame | None = None, key: str = "row_id", size: int = ROWS) -> DataFrame:
+    """One row per tile (br, bc, l_*, r_*) of two tables, or of one table's tiles br <= bc.
+
+    Each side's blocks are copied along the other side's and meet in an equi-join on the tile.
+    """
     zero = F.lit(0).cast("long")
-    # each side is copied along the other side's blocks
-    over_right = F.col("blocks") - 1 if upper else right.agg(F.first("blocks")).scalar() - 1
-    over_left = F.col("b") if upper else left.agg(F.first("blocks")).scalar() - 1
-    right = left if upper else right
-    rows = left.select(
-        F.col("b").alias("br"),
-        F.explode(F.sequence(F.col("b") if upper else zero, over_right)).alias("bc"),
-        *[F.col(c).alias(f"l_{c}") for c in ("ids", "labels", "x")],
+    names = ("ids", "labels", "x")
+    if right is None:
+        rows = cols = row_blocks(left, key, size)
+        along_row = F.sequence(F.col("b"), F.col("blocks") - 1)
+        along_col = F.sequence(zero, F.col("b"))
+    else:
+        rows = row_blocks(left, key, size).withColumn("others", block_count(right, size))
+        cols = row_blocks(right, key, size).withColumn("others", block_count(left, size))
+        along_row = along_col = F.sequence(zero, F.col("others") - 1)
+    rows = rows.select(
+        F.col("b").alias("br"), F.explode(along_row).alias("bc"), *[F.col(c).alias(f"l_{c}") for c in names]
     )
-    cols = right.select(
-        F.explode(F.sequence(zero, over_left)).alias("br"),
-        F.col("b").alias("bc"),
-        *[F.col(c).alias(f"r_{c}") for c in ("ids", "labels", "x")],
+    cols = cols.select(
+        F.explode(along_col).alias("br"), F.col("b").alias("bc"), *[F.col(c).alias(f"r_{c}") for c in names]
     )
     return spread(rows, "br", "bc").join(spread(cols, "br", "bc"), ["br", "bc"])

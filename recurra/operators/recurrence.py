@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .blocks import BLOCK, block_pairs, delay_vectors, map_rows, pair_distance, signal_blocks
 from .chunks import quantiles_inside, wanted_bins
 
@@ -64,10 +65,10 @@ def epsilon_percentile(
     """Exact percentile of the pair distances: (signal_id, n, eps), n the number of pairs.
 
     One pass builds a histogram per signal; a second one returns only the distances that fall in
-    the bins holding the two neighbouring ranks.
+    the bins holding the two neighbouring ranks. The small tables between passes are staged.
     """
     probs = {"eps": percent / 100.0}
-    top = distance_summary(signal, m, tau, size).select("signal_id", "d_max", "pairs")
+    top = stage(distance_summary(signal, m, tau, size).select("signal_id", "d_max", "pairs"))
 
     def bins_of(d, d_max):
         if d_max <= 0:
@@ -90,7 +91,7 @@ def epsilon_percentile(
         .groupBy("signal_id", "_bin")
         .agg(F.sum("_c").alias("_c"), F.first("n").alias("n"))
     )
-    wanted = wanted_bins(counts, "signal_id", probs)
+    wanted = stage(wanted_bins(counts, "signal_id", probs))
     lists = wanted.groupBy("signal_id").agg(
         F.array_sort(F.collect_list("_bin")).alias("bins")
     ).join(top, "signal_id")
@@ -130,7 +131,9 @@ def recurrence_tiles(
     """The recurrence image of every signal, cut into tiles (image_id = signal_id).
 
     Grayscale: trunc(255 * d / max d). Binary: 0 where recurrent, 255 elsewhere, with a fixed
-    epsilon or a percentile of the distances. ``flip`` stores the image bottom row first.
+    epsilon or a percentile of the distances. ``flip`` stores the image bottom row first. The
+    scale of each image takes a pass of its own, whose small result is staged: from the written
+    table's size Spark knows whether it can be broadcast.
     """
     if binary and epsilon is None:
         level = epsilon_percentile(signal, m, tau, percent, size).select(
@@ -142,6 +145,7 @@ def recurrence_tiles(
         level = distance_summary(signal, m, tau, size).select(
             "signal_id", F.col("d_max").alias("level")
         )
+    level = stage(level)
     lost = (m - 1) * tau
 
     def kernel(row):

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import entropy_term, safe_div
+from ..session import stage
 from .blocks import map_rows, spread
 from .recurrence import core
 
@@ -186,7 +187,7 @@ def rqa_features(
     from .recurrence import gray_counts
 
     if epsilon is None:
-        level = gray_threshold(gray_counts(tiles), percent)
+        level = stage(gray_threshold(gray_counts(tiles), percent))
     else:
         level = tiles.select("image_id").distinct().withColumn("level", F.lit(epsilon * 255.0))
     measures = rqa_measures(recurrence_runs(tiles, level, symmetric), l_min)

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions import digamma, f_survival, safe_div
 from .blocks import map_rows
 from .chunks import chunk_with_halo, ordered_index, running_totals
-from .grid import ROWS, block_grid, row_blocks
+from .grid import ROWS, block_grid
 
 VALUE_CHUNKS = 4096
 
@@ -301,7 +301,7 @@ def _sign_products(vectors: DataFrame, size: int = 128) -> DataFrame:
         a, b = np.indices(total.shape)
         return {"a": a.ravel(), "b": b.ravel(), "s": total.ravel()}
 
-    tiles = block_grid(row_blocks(vectors, "row_id", size))
+    tiles = block_grid(vectors, size=size)
     return map_rows(tiles, "br", "a int, b int, s double", kernel)
 
 
@@ -403,7 +403,7 @@ def silhouette_rows(vectors: DataFrame, size: int = ROWS) -> DataFrame:
                     yield from side(row.r_ids, row.r_labels, row.l_labels, dist.T)
 
     sums = (
-        block_grid(row_blocks(vectors, "row_id", size))
+        block_grid(vectors, size=size)
         .mapInPandas(run, out)
         .groupBy("row_id", "label", "other")
         .agg(F.sum("total").alias("total"), F.sum("c").alias("c"))

@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .blocks import map_rows
 from .recurrence import gray_counts, pixels
 from .texture import count_moments
@@ -196,7 +197,7 @@ def contrast(counts: DataFrame) -> DataFrame:
 
 def measures(tiles: DataFrame, k_max: int = K_MAX) -> DataFrame:
     """The five measures of every image from tiles with ``HALO`` pixels of halo."""
-    sums = tile_sums(tiles, k_max)
+    sums = stage(tile_sums(tiles, k_max))
     peaks = sums.filter("what = 'grad'").select("image_id", "top")
     area = tiles.groupBy("image_id").agg((F.first("h") * F.first("w")).alias("area"))
     coarse = (

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import entropy_term, safe_div
+from ..session import stage
 from .blocks import map_rows
 from .recurrence import pixels
 
@@ -155,8 +156,10 @@ def subband_entropy(
     tiles: DataFrame, stats: DataFrame, wavelet: str = "db4", levels: int = 3, bins: int = ENTROPY_BINS
 ) -> DataFrame:
     """Density-histogram entropy per subband over its own range: (image_id, band, entropy)."""
-    ranges = stats.groupBy("image_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("band", F.array("lo", "hi")))).alias("ranges")
+    ranges = stage(
+        stats.groupBy("image_id").agg(
+            F.map_from_entries(F.collect_list(F.struct("band", F.array("lo", "hi")))).alias("ranges")
+        )
     )
 
     def kernel(row):
@@ -209,7 +212,7 @@ def energy_ratios(stats: DataFrame) -> DataFrame:
 
 def wavelet_features(tiles: DataFrame, wavelet: str = "db4", levels: int = 3) -> DataFrame:
     """The wavelet_* columns (65 for three levels)."""
-    stats = subband_stats(tiles, wavelet, levels)
+    stats = stage(subband_stats(tiles, wavelet, levels))
     table = stats.join(subband_entropy(tiles, stats, wavelet, levels), ["image_id", "band"])
     source = {"energy": "energy", "entropy": "entropy", "mean": "mean", "std": "std", "max": "peak", "n_coeffs": "n"}
     wide = table.groupBy("image_id").agg(

@@ -105,7 +105,7 @@ def dwt_small_tiles(spark, folder):
 @query("dwt_entropy", with_ctes(*IMAGE, _dwt("db4", 3), BAND, tail=f"SELECT image_id, band, {rounded('entropy')} FROM ent"))
 def dwt_entropy(spark, folder):
     tiles = _wave_tiles(spark, folder, "db4", 3)
-    found = wavelet.subband_entropy(tiles, wavelet.subband_stats(tiles, "db4", 3), "db4", 3)
+    found = wavelet.subband_entropy(tiles, stage(wavelet.subband_stats(tiles, "db4", 3)), "db4", 3)
     return report(found, ["image_id", "band"], ["entropy"])
 
 
@@ -201,7 +201,7 @@ def gabor_responses(spark, folder):
 SELECT image_id, filter, {rounded("mag_q25", "mag_median", "mag_q75")} FROM gab"""))
 def gabor_quartiles(spark, folder):
     tiles = stage(images(spark, folder, halo=gabor.halo_for()))
-    found = gabor.magnitude_quartiles(tiles, gabor.response_stats(tiles))
+    found = gabor.magnitude_quartiles(tiles, stage(gabor.response_stats(tiles)))
     return found.select("image_id", "filter", *[r6(k).alias(f"mag_{k}") for k in gabor.QUARTILES])
 
 
@@ -315,7 +315,7 @@ def tamura_contrast(spark, folder):
 @query("tamura_directionality", with_ctes(*IMAGE, GRAD, tail=f"SELECT image_id, {rounded('directionality')} FROM dirn"))
 def tamura_directionality(spark, folder):
     tiles = stage(images(spark, folder, halo=1))
-    peaks = tamura.tile_sums(tiles, 1).filter("what = 'grad'").select("image_id", "top")
+    peaks = stage(tamura.tile_sums(tiles, 1).filter("what = 'grad'").select("image_id", "top"))
     found = tamura.directionality(tamura.direction_histogram(tiles, peaks))
     return report(found, ["image_id"], ["directionality"])
 

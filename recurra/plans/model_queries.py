@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import r6
@@ -306,26 +307,22 @@ def class_weights(spark, folder):
     return report(classify.class_weights(rows), ["label", "c"], ["weight"])
 
 
-@query("feature_subsets", with_ctes(
-    "names AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS rank, o_orderpriority AS p FROM orders)",
-    "f AS (SELECT rank, CASE WHEN rank % 3 = 0 THEN 'glcm' WHEN rank % 3 = 1 THEN 'lbp' ELSE 'stat' END || '_' || p || '_' || rank AS feature FROM names)",
-    "t AS (SELECT rank, feature, unnest(['top_5', 'top_10', 'all_selected', split_part(feature, '_', 1) || '_only']) AS subset FROM f)",
+@query("feature_subsets", with_ctes(FEATURES, STATS, ANOVA, """
+named AS (SELECT rank, CASE WHEN feature % 3 = 0 THEN 'glcm_' WHEN feature % 3 = 1 THEN 'lbp_' ELSE 'stat_' END || feature AS feature
+  FROM (SELECT feature, row_number() OVER (ORDER BY f_score DESC, feature) AS rank FROM anova)),
+t AS (SELECT rank, feature, unnest(['top_5', 'top_10', 'all_selected', split_part(feature, '_', 1) || '_only']) AS subset FROM named)""",
     tail="""
-SELECT subset, count(*) AS n, min(feature) AS first_name FROM t
+SELECT subset, count(*) AS n, string_agg(feature, ',' ORDER BY rank) AS names FROM t
 WHERE (subset <> 'top_5' OR rank <= 5) AND (subset <> 'top_10' OR rank <= 10) GROUP BY 1"""))
 def feature_subsets(spark, folder):
-    """Order numbers stand in for feature ranks."""
-    orders = spark.read.parquet(f"{folder}/orders.parquet")
-    from ..operators.chunks import ordered_index
-
-    keyed = orders.select(F.lit(0).alias("one"), "o_orderkey", "o_orderpriority")
-    ranked = ordered_index(keyed, "one", ["o_orderkey"], F.floor(F.col("o_orderkey") / 1000))
-    rank = F.col("i") + 1
-    name = F.concat_ws(
-        "_", F.when(rank % 3 == 0, "glcm").when(rank % 3 == 1, "lbp").otherwise("stat"), "o_orderpriority", rank
-    )
-    found = classify.subsets(ranked.select(rank.alias("rank"), name.alias("feature")))
-    return found.select("subset", "n", F.array_min("features").alias("first_name"))
+    """Vector components under family names, ranked by F."""
+    k = F.col("feature")
+    prefix = F.when(k % 3 == 0, "glcm_").when(k % 3 == 1, "lbp_").otherwise("stat_")
+    scores = selection.anova(_stats(spark, folder))
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("f_score"), "feature")
+    ranked = scores.select(F.row_number().over(order).alias("rank"), F.concat(prefix, k).alias("feature"))
+    found = classify.subsets(ranked)
+    return found.select("subset", "n", F.concat_ws(",", "features").alias("names"))
 
 
 @query("knn_classifier", with_ctes(ORDER, SPLIT, VOTES, tail=f"SELECT row_id, label, prediction, {rounded('score')} FROM knn"))
