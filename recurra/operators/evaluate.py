@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import safe_div
+from ..session import stage
 from .chunks import running_totals
 
 SCORE_CHUNKS = 4096
@@ -50,7 +51,7 @@ def weighted_scores(table: DataFrame) -> DataFrame:
 def _by_score(predictions: DataFrame, positive) -> DataFrame:
     """Distinct scores in descending order with running positives and negatives."""
     hit = F.col("label") == positive
-    counts = (
+    counts = stage(
         predictions.filter(F.col("score").isNotNull())
         .groupBy("score")
         .agg(F.sum(hit.cast("long")).alias("pos"), F.sum((~hit).cast("long")).alias("neg"))
@@ -69,7 +70,7 @@ def _by_score(predictions: DataFrame, positive) -> DataFrame:
 
 def roc_points(predictions: DataFrame, positive) -> DataFrame:
     """(score, tpr, fpr) at every distinct threshold, highest first."""
-    swept = _by_score(predictions, positive)
+    swept = stage(_by_score(predictions, positive))
     pos, neg = swept.agg(F.sum("pos")).scalar(), swept.agg(F.sum("neg")).scalar()
     return swept.select("score", (F.col("tp") / pos).alias("tpr"), (F.col("fp") / neg).alias("fpr"))
 

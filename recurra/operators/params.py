@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import entropy_term
+from ..session import stage
 from .blocks import BLOCK, STRIP, block_pairs, map_rows, signal_blocks
 from .chunks import chunk_with_halo
 
@@ -391,7 +392,7 @@ def stratified_sample(df: DataFrame, label: str, key: str, sizes: dict, seed: in
 def parameter_records(signal: DataFrame, tau_max: int = 100, dim_max: int = 10) -> DataFrame:
     """(signal_id, tau_mi, tau_acf, dim_fnn), each signal searched at its own delay."""
     kept = min_length(signal, tau_max, dim_max)
-    delays = choose_delay(mutual_information(kept, tau_max), autocorrelation(kept, tau_max))
+    delays = stage(choose_delay(mutual_information(kept, tau_max), autocorrelation(kept, tau_max)))
     fnn = false_neighbors(kept, dim_max, tau_max, delays=delays)
     dims = choose_dimension(fnn, dim_max=dim_max)
     return delays.join(dims, "signal_id", "left").select(

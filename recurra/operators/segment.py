@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stage
 from .chunks import runs_of
 
 FRAME, HOP, TOP_DB = 2048, 512, 30.0
@@ -163,9 +164,13 @@ def preprocess(
     frame: int = FRAME,
     hop: int = HOP,
 ) -> DataFrame:
-    """Activity detection to normalised segment of exactly ``target`` samples."""
-    longest = longest_interval(active_intervals(signal, top_db, frame, hop))
-    return peak_normalize(cut_segment(signal, choose_window(signal, longest, target, edge)))
+    """Activity detection to normalised segment of exactly ``target`` samples.
+
+    The interval, the bounds (one row per signal each) and the cut are staged on the way.
+    """
+    longest = stage(longest_interval(active_intervals(signal, top_db, frame, hop)))
+    window = stage(choose_window(signal, longest, target, edge))
+    return peak_normalize(stage(cut_segment(signal, window)))
 
 
 def resample(arrays: DataFrame, target_rate: int = 25000, zero_crossings: int = 32) -> DataFrame:

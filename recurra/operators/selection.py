@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import digamma, f_survival, safe_div
+from ..session import stage
 from .blocks import map_rows
 from .chunks import chunk_with_halo, ordered_index, running_totals
 from .grid import ROWS, block_grid
@@ -122,7 +123,7 @@ def knn_information(long: DataFrame, k: int = 3) -> DataFrame:
     """
     counts = long.groupBy("feature", "label", "value").agg(F.count(F.lit(1)).alias("c"))
     classes = counts.groupBy("feature", "label").agg(F.sum("c").alias("nc")).filter("nc > 1")
-    points = counts.join(classes, ["feature", "label"]).join(_spans(long), "feature")
+    points = stage(counts.join(classes, ["feature", "label"]).join(_spans(counts), "feature"))
     keyed = points.withColumn("g", F.struct("feature", "label"))
     ranked = ordered_index(keyed, "g", ["value"], _value_chunk(F.col("value"))).drop("n")
     near = chunk_with_halo(ranked, "i", VALUE_CHUNKS, k, k)
@@ -146,6 +147,7 @@ def knn_information(long: DataFrame, k: int = 3) -> DataFrame:
         .withColumn("r", radius)
         .select("feature", "label", "value", "c", "nc", "reach", "r", "lo", "hi")
     )
+    measured = stage(measured)
     # Queries: points strictly below value + r, minus points at or below value - r (r = 0: equal values).
     marks = F.array(
         F.struct((F.col("value") + F.col("r")).alias("at"), F.when(F.col("r") > 0, 0).otherwise(2).alias("turn"), F.lit(1).alias("sign")),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 
 from ..operators import params, recurrence
+from ..session import stage
 from .common import CELL, DIM_MAX, IMAGE, M, PTS, SIG, TAU, TAU_MAX, images, report, signals
 from .registry import query, rounded, with_ctes
 
@@ -203,8 +204,10 @@ RECORDS = (SIG, CODES, LAGS, HX, MI, LOCAL_MIN, ACF, CROSS, CHOICE, FNN, DIMS, "
 def _records(spark, folder):
     delays = params.choose_delay(_mi(spark, folder), _acf(spark, folder))
     dims = params.choose_dimension(_fnn(spark, folder), dim_max=DIM_MAX)
-    return delays.join(dims, "signal_id").select(
-        "signal_id", "tau_mi", "tau_acf", F.col("dim").alias("dim_fnn")
+    return stage(
+        delays.join(dims, "signal_id").select(
+            "signal_id", "tau_mi", "tau_acf", F.col("dim").alias("dim_fnn")
+        )
     )
 
 
