@@ -116,9 +116,16 @@ GLCM_COLUMNS = [f"glcm_{p}" for p in texture.GLCM_PROPS]
 FULL = GLCM.format(v="v", img="img")
 
 
-@query("glcm_counts", with_ctes(*IMAGE, FULL, tail="SELECT image_id, angle, a, b, c FROM dir"))
+@query("glcm_counts", with_ctes(*IMAGE, FULL, tail="""
+SELECT image_id, angle, a, CAST(sum(c) AS BIGINT) AS c, CAST(sum(c * b) AS BIGINT) AS cb, CAST(sum(c * b * b) AS BIGINT) AS cbb FROM dir GROUP BY ALL"""))
 def glcm_counts(spark, folder):
-    return texture.glcm_counts(images(spark, folder, halo=1)).select("image_id", "angle", "a", "b", "c")
+    """Counts of every gray level pair, shown as three moments per first level."""
+    counts = texture.glcm_counts(images(spark, folder, halo=1))
+    return counts.groupBy("image_id", "angle", "a").agg(
+        F.sum("c").alias("c"),
+        F.sum(F.col("c") * F.col("b")).alias("cb"),
+        F.sum(F.col("c") * F.col("b") * F.col("b")).alias("cbb"),
+    )
 
 
 @query("glcm_angle_props", with_ctes(*IMAGE, FULL, PROPS, tail=f"""
