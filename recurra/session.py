@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -32,10 +33,12 @@ def build_session(app: str = "recurra", cores: int | None = None, **conf) -> Spa
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a private one only where it names none (tests)."""
+    """The shared folder the cluster names; a private one only on a local master that names none (tests)."""
     context = spark.sparkContext
     folder = spark.conf.get(CHECKPOINT_KEY, None) or context.getCheckpointDir()
     if folder is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="recurra-work-")
         context.setCheckpointDir(folder)
     return folder
