@@ -57,7 +57,9 @@ NOT_SPACE = byte_classes(bytes(b for b in range(256) if b != 32 and not 9 <= b <
 ALPHANUMERIC = byte_classes(bytes(b for b in range(256) if b >= 128 or chr(b).isalnum()))
 
 
-def _piece_hashes(data: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _piece_hashes(
+    data: np.ndarray, member: np.ndarray, prefixes: tuple[int, ...] = ()
+) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     values, powers, inverses = tables()
     inside = member[data]
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
@@ -70,7 +72,11 @@ def _piece_hashes(data: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(values[data] * powers[: len(data)], out=sums[1:])
     raw = (sums[ends] - sums[starts]) * inverses[starts]
-    return mix(raw + (ends - starts).astype(np.uint64)), starts
+    heads = []
+    for size in prefixes:
+        longer = starts[ends - starts > size]
+        heads.append(mix((sums[longer + size] - sums[longer]) * inverses[longer] + np.uint64(size << 32)))
+    return mix(raw + (ends - starts).astype(np.uint64)), starts, heads
 
 
 def _long_word(data: np.ndarray) -> np.ndarray:
@@ -82,6 +88,18 @@ def _long_word(data: np.ndarray) -> np.ndarray:
     return state
 
 
+def prefix_hashes(data: np.ndarray, member: np.ndarray, sizes: tuple[int, ...]) -> np.ndarray:
+    """Hashes of the first bytes, as many as each size says, of the words that are longer. Order is lost."""
+    out, at = [np.zeros(0, dtype=np.uint64)], 0
+    while at < len(data):
+        end = min(len(data), at + PIECE)
+        gaps = np.flatnonzero(~member[data[at:end]]) if end < len(data) else ()
+        end = at + int(gaps[-1]) + 1 if len(gaps) else end
+        out += _piece_hashes(data[at:end], member, sizes)[2]
+        at = end
+    return np.concatenate(out)
+
+
 def word_hashes(data: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and byte starts of the words (runs of member bytes) of UTF-8 bytes, with A-Z read as a-z."""
     hashes, starts, at, n = [], [], 0, len(data)
@@ -101,7 +119,7 @@ def word_hashes(data: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.nd
                 starts.append(np.array([at]))
                 at = end
                 continue
-        found, where = _piece_hashes(data[at:end], member)
+        found, where, _ = _piece_hashes(data[at:end], member)
         hashes.append(found)
         starts.append(where + at)
         at = end

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, neardup, packing
+from . import chat, decontam, neardup, packing, quality, toxicity
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -97,3 +97,17 @@ def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op5_quality_classifier")
+def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score_documents(
+        table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "labels", "doc_id", "quality")
+    )
+
+
+@query("op8_toxicity")
+def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_documents(
+        table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "labels", "doc_id", "toxic")
+    )

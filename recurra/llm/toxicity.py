@@ -2,7 +2,8 @@
 
 score = bias + sum of term weights + sum over pairs of terms of the inner product of their vectors. The pair part
 catches what is harmless word by word, such as an insult next to a named group. Terms are the distinct words of a
-text, hashed; terms that too few training texts hold carry no weight.
+text and the beginnings of its longer words, as 64-bit hashes. Terms whose share differs clearly between toxic and
+other training texts take part; the rest would only add noise.
 
 * Null, empty and blank texts score by the bias alone. Repeated rows score alike; an empty table gives no rows.
 * Very long texts are hashed in pieces and scored on all their distinct terms.
@@ -11,94 +12,126 @@ text, hashed; terms that too few training texts hold carry no weight.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import learning
-from .kernels import ALPHANUMERIC, words_by_text
+from .kernels import ALPHANUMERIC, prefix_hashes, words_by_text
 
-BITS = 20
-FACTORS = 6
+COUNT_BITS, LOOK_BITS = 24, 20
+FACTORS = 4
 SAMPLE = 24_000  # most labelled rows that a model is fitted on
-LEAST_TEXTS = 4
+PREFIXES = (4, 5, 6, 7)
+LEAST_TEXTS, LEAST_Z = 4, 4.5
 THRESHOLD = 0.3
 
 
-def terms(texts: list[str | None]):
-    """Sorted distinct buckets of the words of each text."""
-    for words in words_by_text(texts, ALPHANUMERIC):
-        yield np.unique(words >> np.uint64(64 - BITS)).astype(np.int64)
-
-
-def train(texts: list[str], labels: np.ndarray, epochs: int = 14, rate: float = 0.15) -> bytes:
-    """Slot of each bucket, then weights and vectors of the slots, as 32-bit floats; slot 0 is no term."""
+def terms(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """Hashes of the words and word beginnings of each text, repeats included."""
+    for text, words in zip(texts, words_by_text(texts, ALPHANUMERIC)):
+        data = np.frombuffer((text or "").encode("utf-8", "replace"), dtype=np.uint8)
+        yield np.concatenate([words, prefix_hashes(data, ALPHANUMERIC, PREFIXES)])
+
+
+def _differs(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
+    """Whether the shares of toxic and other texts with a term differ clearly (two-proportion z)."""
+    seen = toxic + other
+    share = seen / (n_toxic + n_other)
+    spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_toxic + 1 / n_other))
+    return (seen >= LEAST_TEXTS) & (np.abs(toxic / n_toxic - other / n_other) > LEAST_Z * spread)
+
+
+def select(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sorted hashes of the terms that take part, and each text's places among them.
+
+    Counted by bucket first, so memory is bounded by the buckets; then exactly for the buckets that differ.
+    """
+    n_toxic, n_other = int(labels.sum()), int(len(labels) - labels.sum())
+    counts = np.zeros((2, 1 << COUNT_BITS), dtype=np.int32)
+    shift = np.uint64(64 - COUNT_BITS)
+    for label, found in zip(labels, terms(texts)):
+        counts[int(label), np.unique(found >> shift)] += 1
+    open_buckets = _differs(counts[1], counts[0], n_toxic, n_other)
+    rows = []
+    for found in terms(texts):
+        rows.append(np.unique(found[open_buckets[found >> shift]]))
+    every = np.concatenate(rows)
+    known, place = np.unique(every, return_inverse=True)
+    of = np.repeat(labels, [len(row) for row in rows])
+    toxic = np.bincount(place, weights=of, minlength=len(known))
+    known = known[_differs(toxic, np.bincount(place, minlength=len(known)) - toxic, n_toxic, n_other)]
+    return known, [np.flatnonzero(np.isin(known, row, assume_unique=True)) for row in rows]
+
+
+def train(texts: list[str], labels: np.ndarray, epochs: int = 12, rate: float = 0.15) -> bytes:
+    """Number of terms, bias, their hashes, weights and vectors."""
     share = float(labels.mean()) if len(labels) else 0.5
-    share = min(max(share, 1e-6), 1 - 1e-6)
-    bias = np.log(share / (1 - share))
-    rows = list(terms(texts))
-    seen = np.bincount(np.concatenate(rows), minlength=1 << BITS) if rows else np.zeros(1 << BITS, dtype=np.int64)
-    known = np.flatnonzero(seen >= LEAST_TEXTS)
-    slots = np.zeros(1 << BITS, dtype=np.int32)
-    slots[known] = np.arange(1, len(known) + 1)
+    bias = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
+    if 0 < share < 1 and len(labels):
+        known, rows = select(texts, labels)
+    else:
+        known, rows = np.zeros(0, dtype=np.uint64), []
     rng = np.random.default_rng(11)
-    weights = np.zeros(len(known) + 1)
-    vectors = rng.normal(0, 0.01, (len(known) + 1, FACTORS))
-    vectors[0] = 0
-    weight_squares, vector_squares = np.full(len(known) + 1, 1e-2), np.full_like(vectors, 1e-2)
-    rows = [np.setdiff1d(slots[row], [0]) for row in rows]
-    for _ in range(epochs if labels.min(initial=1) != labels.max(initial=0) else 0):
+    weights, vectors = np.zeros(len(known)), rng.normal(0, 0.01, (len(known), FACTORS))
+    weight_squares, vector_squares = np.full(len(known), 1e-2), np.full_like(vectors, 1e-2)
+    for _ in range(epochs):
         for k in rng.permutation(len(rows)):
             ids = rows[k]
-            if not len(ids):
-                continue
             v = vectors[ids]
             total = v.sum(axis=0)
-            scale = 1 / len(ids)
+            scale = 1 / max(1, len(ids))
             raw = bias + weights[ids].sum() + 0.5 * scale * ((total * total).sum() - (v * v).sum())
             error = 1 / (1 + np.exp(-np.clip(raw, -35, 35))) - labels[k]
-            change = error + 1e-5 * np.sign(weights[ids])
-            weight_squares[ids] += change * change
-            weights[ids] -= rate * change / np.sqrt(weight_squares[ids])
-            turn = error * scale * (total - v) + 1e-5 * v
-            vector_squares[ids] += turn * turn
-            vectors[ids] -= 0.3 * rate * turn / np.sqrt(vector_squares[ids])
-            bias -= 0.01 * error
+            bias -= 0.02 * error
+            if len(ids):
+                change = error + 1e-4 * weights[ids]
+                weight_squares[ids] += change * change
+                weights[ids] -= rate * change / np.sqrt(weight_squares[ids])
+                turn = error * scale * (total - v) + 1e-4 * v
+                vector_squares[ids] += turn * turn
+                vectors[ids] -= 0.3 * rate * turn / np.sqrt(vector_squares[ids])
         rate *= 0.85
-    body = np.concatenate([weights[:, None], vectors], axis=1).astype(np.float32)
-    return slots.tobytes() + np.float32(bias).tobytes() + body.tobytes()
-
-
-def load(model: bytes) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
-    slots = np.frombuffer(model, dtype=np.int32, count=1 << BITS)
-    rest = np.frombuffer(model, dtype=np.float32, offset=slots.nbytes)
-    body = rest[1:].reshape(-1, FACTORS + 1)
-    return slots, float(rest[0]), body[:, 0].astype(np.float64), body[:, 1:].astype(np.float64)
-
-
-def scores(texts: list[str | None], model: tuple) -> np.ndarray:
-    """Probability of toxicity for each text."""
-    slots, bias, weights, vectors = model
-    out = np.full(len(texts), bias)
-    for k, found in enumerate(terms(texts)):
-        ids = slots[found]
-        ids = np.unique(ids[ids > 0])
-        if len(ids):
-            v = vectors[ids]
-            total = v.sum(axis=0)
-            out[k] += weights[ids].sum() + 0.5 / len(ids) * ((total * total).sum() - (v * v).sum())
-    return learning.sigmoid(out)
+    head = np.array([len(known), bias])
+    return head.tobytes() + known.tobytes() + weights.tobytes() + vectors.tobytes()
+
+
+class Model:
+    """A trained machine: a table of hash beginnings lets most terms through in one look-up."""
+
+    def __init__(self, model: bytes):
+        size, self.bias = np.frombuffer(model, count=2)
+        n = int(size)
+        self.known = np.frombuffer(model, dtype=np.uint64, count=n, offset=16)
+        self.weights = np.frombuffer(model, count=n, offset=16 + 8 * n)
+        self.vectors = np.frombuffer(model, count=n * FACTORS, offset=16 + 16 * n).reshape(n, FACTORS)
+        self.maybe = np.zeros(1 << LOOK_BITS, dtype=bool)
+        self.maybe[self.known >> np.uint64(64 - LOOK_BITS)] = True
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """Probability of toxicity for each text."""
+        out = np.full(len(texts), self.bias)
+        for k, found in enumerate(terms(texts)):
+            found = np.unique(found[self.maybe[found >> np.uint64(64 - LOOK_BITS)]])
+            ids = np.flatnonzero(np.isin(self.known, found, assume_unique=True)) if len(found) else found
+            if len(ids):
+                v = self.vectors[ids]
+                total = v.sum(axis=0)
+                out[k] += self.weights[ids].sum() + 0.5 / len(ids) * ((total * total).sum() - (v * v).sum())
+        return learning.sigmoid(out)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs(doc_id, text)."""
     sample = learning.labelled_sample(docs, labels, "toxic", bound)
     model = docs.sparkSession.sparkContext.broadcast(learning.fit(sample, train))  # bounded by sample and buckets
-    loaded: list[tuple] = []
+    loaded: list[Model] = []
 
     def score(texts: list[str | None]) -> np.ndarray:
         if not loaded:
-            loaded.append(load(model.value))
-        return scores(texts, loaded[0])
+            loaded.append(Model(model.value))
+        return loaded[0].scores(texts)
 
     return learning.scored(docs, score).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
