@@ -103,7 +103,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = 10, gram: int =
     if found is None:
         return docs.limit(0).select("key", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("item_ids"))
     runs = stage(found.groupBy("key").agg(F.collect_set(F.struct("length", "start", "stop")).alias("runs")))
-    spans = docs.join(runs, "key").withColumn("words", word_array(F.col("text")))
+    # Keys alone first: as long as the list is small, Spark sends it to the texts, not the texts through a shuffle.
+    named = docs.join(stage(runs.select("key")), "key", "left_semi")
+    spans = named.join(runs, "key").withColumn("words", word_array(F.col("text")))
     starts = F.flatten(F.transform("runs", lambda r: F.transform(
         F.sequence(r["start"], r["stop"] - 1), lambda s: F.struct(s.alias("start"), r["length"].alias("length"))
     )))
