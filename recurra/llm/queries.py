@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, neardup, packing, quality, secrets, toxicity
+from ..session import stage, work_folder
+from . import ann, chat, decontam, licenses, neardup, packing, quality, secrets, token_counts, toxicity
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -139,3 +142,61 @@ def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_nearest_neighbours")
 def nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return ann.neighbours(table(spark, folder, "embeddings", "vec_id", "embedding"))
+
+
+@query("op1_token_counts")
+def token_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals after four batches: all documents arrive, copies of a text but the first go, every remaining document is
+    counted anew with an end token, and the second batch is sent again, which must change nothing."""
+    counts = stage(token_counts.token_counts(table(spark, folder, "documents", "doc_id", "text", "source", "lang")))
+    rollup = token_counts.TokenRollup(spark, f"{work_folder(spark).rstrip('/')}/token-rollup-{uuid.uuid4().hex}")
+    rollup.commit("load", counts.withColumn("change", F.lit("insert")))
+    firsts = counts.groupBy("text_key", "tokenizer").agg(F.min("doc_id").alias("first"))
+    marked = counts.join(firsts, ["text_key", "tokenizer"])
+    copies = marked.filter("doc_id > first").withColumn("change", F.lit("delete"))
+    rollup.commit("copies", copies)
+    rest = marked.filter("doc_id = first").withColumn("change", F.lit("revise"))
+    rollup.commit("end token", rest.withColumn("n_tokens", F.col("n_tokens") + 1))
+    rollup.commit("copies", copies)
+    return rollup.totals()
+
+
+TEMPLATE_VALUES = ",\n".join("('%s', '%s')" % (name, text.replace("'", "''")) for name, text in licenses.TEMPLATES)
+
+LICENSE_SQL = rf"""
+WITH t AS (
+  SELECT row_number() OVER () AS tid, name,
+         regexp_extract_all(replace(translate(txt, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    'licence', 'license'), '[a-z0-9]+') AS w
+  FROM (VALUES {TEMPLATE_VALUES}) v(name, txt)),
+tb AS (SELECT DISTINCT tid, name, w[i] || ' ' || w[i + 1] AS g FROM (SELECT tid, name, w, unnest(range(1, len(w))) AS i FROM t)),
+ts AS (SELECT tid, count(*) AS n FROM tb GROUP BY tid),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+seg AS (
+  SELECT r, doc_id, 'line' AS unit, i - 1 AS place, l[i] AS s
+  FROM (SELECT r, doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT r, doc_id, string_split(text, chr(10)) AS l FROM d))
+  UNION ALL
+  SELECT r, doc_id, 'block', i - 1, l[i]
+  FROM (SELECT r, doc_id, l, unnest(range(1, len(l) + 1)) AS i
+        FROM (SELECT r, doc_id, string_split(text, chr(10) || chr(10)) AS l FROM d))
+  WHERE contains(l[i], chr(10))),
+sw AS (
+  SELECT r, doc_id, unit, place,
+         regexp_extract_all(replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    'licence', 'license'), '[a-z0-9]+') AS w FROM seg),
+sb AS (
+  SELECT DISTINCT r, doc_id, unit, place, w[i] || ' ' || w[i + 1] AS g
+  FROM (SELECT r, doc_id, unit, place, w, unnest(range(1, len(w))) AS i FROM sw WHERE len(w) > 1)),
+ss AS (SELECT r, unit, place, count(*) AS n FROM sb GROUP BY ALL),
+hit AS (SELECT r, doc_id, unit, place, tid, name, count(*) AS c FROM sb JOIN tb USING (g) GROUP BY ALL),
+sc AS (
+  SELECT hit.*, round(2.0 * c / (ss.n + ts.n), 6) AS dice
+  FROM hit JOIN ss USING (r, unit, place) JOIN ts USING (tid))
+SELECT doc_id, unit, place, name AS license, dice
+FROM (SELECT *, row_number() OVER (PARTITION BY r, unit, place ORDER BY dice DESC, name) AS k FROM sc WHERE dice >= 0.7)
+WHERE k = 1"""
+
+
+@query("op3_license_scan", LICENSE_SQL)
+def license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents", "doc_id", "text"))
