@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stage
 from .chunks import ordered_index
 from .grid import ROWS, block_grid
 
@@ -206,11 +207,15 @@ MODELS = (
 )
 
 
-def estimator(name: str, features: int, seed: int = 42, trees: int = 500, rounds: int = 300):
-    """The configured estimator; columns ``features``, ``y`` and ``weight``."""
+def estimator(name: str, features: int, rows: int, seed: int = 42, trees: int = 500, rounds: int = 300):
+    """The configured estimator; columns ``features``, ``y`` and ``weight``.
+
+    A penalty of strength C on summed losses is one of 1 / (C * rows) on averaged ones: C is 1 for the logistic
+    regression and 10 for the machine.
+    """
     common = {"featuresCol": "features", "labelCol": "y"}
     if name == "logistic_regression":
-        return LogisticRegression(**common, weightCol="weight", maxIter=1000, regParam=0.003)
+        return LogisticRegression(**common, weightCol="weight", maxIter=1000, regParam=1 / rows)
     if name == "naive_bayes":
         return NaiveBayes(**common, modelType="gaussian")
     if name == "decision_tree":
@@ -218,13 +223,13 @@ def estimator(name: str, features: int, seed: int = 42, trees: int = 500, rounds
             **common, weightCol="weight", maxDepth=10, minInstancesPerNode=5, seed=seed
         )
     if name == "svm":
-        return LinearSVC(**common, weightCol="weight", maxIter=100, regParam=0.001)
+        return LinearSVC(**common, weightCol="weight", maxIter=1000, regParam=1 / (10 * rows))
     if name == "random_forest":
         return RandomForestClassifier(
             **common, weightCol="weight", numTrees=trees, maxDepth=10, minInstancesPerNode=2, seed=seed
         )
     if name == "mlp":
-        return MultilayerPerceptronClassifier(**common, layers=[features, 100, 50, 2], maxIter=200, seed=seed)
+        return MultilayerPerceptronClassifier(**common, layers=[features, 100, 50, 2], maxIter=800, seed=seed)
     if name == "xgboost":
         return GBTClassifier(
             **common, maxIter=rounds, maxDepth=6, stepSize=0.1, subsamplingRate=0.8,
@@ -233,10 +238,15 @@ def estimator(name: str, features: int, seed: int = 42, trees: int = 500, rounds
     raise ValueError(f"unknown model {name}; one of {', '.join(MODELS)}")
 
 
-def rbf_map(vectors: DataFrame, features: int, components: int = 256, gamma: float | None = None, seed: int = 42) -> DataFrame:
+def scaled_gamma(vectors: DataFrame, features: int) -> float:
+    """1 / (features * variance of all components), the usual scale of an RBF kernel."""
+    spread = vectors.select(F.explode("x").alias("v")).agg(F.var_pop("v")).first()[0]
+    return 1.0 / (features * spread) if spread else 1.0 / features
+
+
+def rbf_map(vectors: DataFrame, features: int, gamma: float, components: int = 256, seed: int = 42) -> DataFrame:
     """Random Fourier features of the RBF kernel, so that a linear machine approximates it."""
     rng = np.random.default_rng(seed)
-    gamma = gamma if gamma is not None else 1.0 / features
     weights = rng.normal(scale=math.sqrt(2 * gamma), size=(features, components))
     shift = rng.uniform(0, 2 * math.pi, size=components)
 
@@ -259,23 +269,95 @@ def prepare(vectors: DataFrame, positive, weights: DataFrame | None = None) -> D
     )
 
 
+def standardized(vectors: DataFrame) -> DataFrame:
+    """Vectors (row_id, label, x) with every component at mean 0 and population deviation 1; constant ones become 0.
+
+    The means and deviations, two numbers per component, are literals of the plan.
+    """
+    parts = vectors.select(F.posexplode("x").alias("k", "v"))
+    scale = parts.groupBy("k").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("deviation")).orderBy("k").collect()
+    if not scale:
+        return vectors
+    known = F.array(*[F.struct(F.lit(r.mean).alias("mean"), F.lit(r.deviation).alias("deviation")) for r in scale])
+    shifted = F.zip_with(
+        "x", known, lambda v, s: F.when(s["deviation"] > 0, (v - s["mean"]) / s["deviation"]).otherwise(F.lit(0.0))
+    )
+    return vectors.withColumn("x", shifted)
+
+
+def classify(df: DataFrame, subsets: dict[str, list[str]], models=MODELS, positive=None, folds: int = 0, seed: int = 42, options: dict | None = None) -> list[dict]:
+    """Compare models on feature subsets of a wide table (row_id, label, features): one record per subset and model.
+
+    All rows are standardised, then split by class, fitted and scored: accuracy, precision, recall, F1, ROC-AUC, both
+    times and, with folds, the mean and deviation of the cross-validated F1. ``best_results`` picks from the records.
+    """
+    from .evaluate import confusion, roc_auc, weighted_scores
+
+    kinds = sorted(row.label for row in df.select("label").distinct().collect())
+    if len(kinds) != 2:
+        raise ValueError(f"two classes are compared, not {len(kinds)}")
+    labels = tuple(kinds) if positive in (None, kinds[1]) else tuple(reversed(kinds))
+    records = []
+    for subset, features in subsets.items():
+        require_columns(df, features)
+        x = F.array(*[F.col(f"`{f}`").cast("double") for f in features])
+        vectors = stage(standardized(df.select("row_id", "label", x.alias("x"))))
+        rows = stage(stratified_split(vectors, seed=seed))
+        train, test = rows.filter("NOT is_test").drop("is_test"), rows.filter("is_test").drop("is_test")
+        for name in models:
+            own = (options or {}).get(name, {})
+            if name == "naive_bayes":
+                started = time.perf_counter()
+                long = [part.select("row_id", "label", F.posexplode("x").alias("feature", "value")) for part in (train, test)]
+                found = stage(gaussian_nb(*long))
+                times = {"train_time": 0.0, "predict_time": time.perf_counter() - started}
+            else:
+                found, times = fit_predict(name, train, test, labels, len(features), **own)
+            scores = weighted_scores(confusion(found)).first().asDict()
+            record = {"subset": subset, "model_name": name, "n_train": train.count(), "n_test": test.count(), **scores, **times}
+            record["roc_auc"] = roc_auc(found, labels[1]).first()["roc_auc"]
+            if folds:
+                record["cv_f1_mean"], record["cv_f1_std"] = cross_validate(name, vectors, labels, len(features), folds, **own)
+            records.append(record)
+    return records
+
+
+def best_results(records: list[dict], metric: str = "f1_score") -> tuple[dict[str, dict], dict | None]:
+    """The best record of every subset and the best of all; ties go to the model that sorts first."""
+    ranked = sorted(records, key=lambda r: (-r[metric], r["subset"], r["model_name"]))
+    best: dict[str, dict] = {}
+    for record in ranked:
+        best.setdefault(record["subset"], record)
+    return best, (ranked[0] if ranked else None)
+
+
+def width_of(vectors: DataFrame) -> int:
+    """Number of components; vectors of different lengths are an error."""
+    row = vectors.agg(F.min(F.size("x")).alias("least"), F.max(F.size("x")).alias("most")).first()
+    if row.least != row.most:
+        raise ValueError(f"vectors have {row.least} to {row.most} components")
+    return row.most
+
+
 def fit_predict(
-    name: str, train: DataFrame, test: DataFrame, labels: tuple, width: int, **options
+    name: str, train: DataFrame, test: DataFrame, labels: tuple, width: int | None = None, **options
 ) -> tuple[DataFrame, dict]:
     """Predictions (row_id, label, prediction, score) of one model and its wall-clock times.
 
-    ``train`` and ``test`` are vectors; ``labels`` is (negative, positive).
+    ``train`` and ``test`` are vectors; ``labels`` is (negative, positive). Scoring is timed as the action that it is.
     """
     negative, positive = labels
+    width = width if width is not None else width_of(train)
     started = time.perf_counter()
     if name == "knn":
         found = knn_vote(knn_neighbors(train, test))
         fitted = time.perf_counter()
     else:
         if name == "svm":
-            train, test = rbf_map(train, width), rbf_map(test, width)
+            gamma = scaled_gamma(train, width)
+            train, test = rbf_map(train, width, gamma), rbf_map(test, width, gamma)
         ready = prepare(train, positive, class_weights(train)).persist()
-        model = estimator(name, width, **options).fit(ready)
+        model = estimator(name, width, ready.count(), **options).fit(ready)
         ready.unpersist()
         fitted = time.perf_counter()
         scored = model.transform(prepare(test, positive))
@@ -286,11 +368,12 @@ def fit_predict(
             F.when(F.col("prediction") == 1, F.lit(positive)).otherwise(F.lit(negative)).alias("prediction"),
             vector_to_array(raw)[1].alias("score"),
         )
-    return found, {"train_time": fitted - started}
+    found = stage(found)
+    return found, {"train_time": fitted - started, "predict_time": time.perf_counter() - fitted}
 
 
 def cross_validate(
-    name: str, vectors: DataFrame, labels: tuple, width: int, folds: int = 10, **options
+    name: str, vectors: DataFrame, labels: tuple, width: int | None = None, folds: int = 10, **options
 ) -> tuple[float, float]:
     """Mean and population deviation of the weighted F1 over stratified folds."""
     from .evaluate import confusion, weighted_scores

@@ -188,66 +188,74 @@ def core(row) -> np.ndarray:
     return pixels(row)[row.top : row.top + row.nr, row.left : row.left + row.nc]
 
 
-def with_halo(tiles: DataFrame, halo: int) -> DataFrame:
-    """Give tiles a halo by sending border strips to the (up to eight) neighbours.
+def assemble_tiles(parts: DataFrame) -> DataFrame:
+    """Tiles from rectangles of pixels.
 
-    Expects tiles without halo on a regular grid; only the strips and the cores are shuffled.
+    parts: image_id, h, w, the tile's core (r0, c0, nr, nc), its halo, and a rectangle (sr, sc, sh, sw, px) of the
+    image, one row each. Rectangles may overlap but together must cover every tile, else the kernel raises.
     """
 
-    def strips(row):
-        img = core(row)
-        out = {"r0": [], "c0": [], "sr": [], "sc": [], "sh": [], "sw": [], "px": []}
-        size_r, size_c = row.step_r, row.step_c
-        for dr in (-1, 0, 1):
-            for dc in (-1, 0, 1):
-                to_r, to_c = row.r0 + dr * size_r, row.c0 + dc * size_c
-                if not (0 <= to_r < row.h and 0 <= to_c < row.w):
-                    continue
-                a, b = (0, row.nr) if dr == 0 else ((0, halo) if dr < 0 else (max(0, row.nr - halo), row.nr))
-                c, d = (0, row.nc) if dc == 0 else ((0, halo) if dc < 0 else (max(0, row.nc - halo), row.nc))
-                part = np.ascontiguousarray(img[a:b, c:d])
-                out["r0"].append(to_r)
-                out["c0"].append(to_c)
-                out["sr"].append(row.r0 + a)
-                out["sc"].append(row.c0 + c)
-                out["sh"].append(part.shape[0])
-                out["sw"].append(part.shape[1])
-                out["px"].append(part.tobytes())
-        size = len(out["r0"])
-        for name in ("h", "w", "step_r", "step_c"):
-            out[name] = [getattr(row, name)] * size
-        return out
-
     def assemble(row):
-        nr, nc = min(row.step_r, row.h - row.r0), min(row.step_c, row.w - row.c0)
-        top, left = min(halo, row.r0), min(halo, row.c0)
-        ph = top + nr + min(halo, row.h - row.r0 - nr)
-        pw = left + nc + min(halo, row.w - row.c0 - nc)
-        px = np.zeros((ph, pw), dtype=np.uint8)
+        top, left = min(row.halo, row.r0), min(row.halo, row.c0)
+        ph = top + row.nr + min(row.halo, row.h - row.r0 - row.nr)
+        pw = left + row.nc + min(row.halo, row.w - row.c0 - row.nc)
+        px, known = np.zeros((ph, pw), dtype=np.uint8), np.zeros((ph, pw), dtype=bool)
         for s in row.parts:
             part = np.frombuffer(s["px"], dtype=np.uint8).reshape(s["sh"], s["sw"])
             y, x = s["sr"] - (row.r0 - top), s["sc"] - (row.c0 - left)
-            part = part[: ph - y, : pw - x]
+            part = part[max(0, -y) : ph - y, max(0, -x) : pw - x]
+            y, x = max(0, y), max(0, x)
             px[y : y + part.shape[0], x : x + part.shape[1]] = part
+            known[y : y + part.shape[0], x : x + part.shape[1]] = True
+        if not known.all():
+            raise ValueError(f"{(~known).sum()} pixels of the tile at ({row.r0}, {row.c0}) are missing")
         return {
-            "h": [row.h], "w": [row.w], "r0": [row.r0], "c0": [row.c0], "nr": [nr], "nc": [nc],
+            "h": [row.h], "w": [row.w], "r0": [row.r0], "c0": [row.c0], "nr": [row.nr], "nc": [row.nc],
             "top": [top], "left": [left], "ph": [ph], "pw": [pw], "px": [px.tobytes()],
         }
 
-    grid = tiles.groupBy("image_id").agg(F.max("nr").alias("step_r"), F.max("nc").alias("step_c"))
-    sent = map_rows(
-        tiles.join(grid, "image_id"),
-        "image_id",
-        "h long, w long, step_r int, step_c int, r0 long, c0 long, "
-        "sr long, sc long, sh int, sw int, px binary",
-        strips,
-    )
-    gathered = sent.groupBy("image_id", "h", "w", "step_r", "step_c", "r0", "c0").agg(
+    gathered = parts.groupBy("image_id", "h", "w", "r0", "c0", "nr", "nc", "halo").agg(
         F.collect_list(F.struct("sr", "sc", "sh", "sw", "px")).alias("parts")
     )
     return map_rows(gathered, "image_id", TILE_SCHEMA, assemble)
 
 
+PARTS = "h long, w long, r0 long, c0 long, nr int, nc int, halo int, sr long, sc long, sh int, sw int, px binary"
+
+
+def rectangle(img: np.ndarray, r0: int, c0: int, low: tuple, high: tuple) -> dict | None:
+    """The part of a tile's core at (r0, c0) between two corners of the image."""
+    a, b = max(r0, low[0]), min(r0 + img.shape[0], high[0])
+    c, d = max(c0, low[1]), min(c0 + img.shape[1], high[1])
+    if a >= b or c >= d:
+        return None
+    px = np.ascontiguousarray(img[a - r0 : b - r0, c - c0 : d - c0])
+    return {"sr": a, "sc": c, "sh": b - a, "sw": d - c, "px": px.tobytes()}
+
+
+def with_halo(tiles: DataFrame, halo: int) -> DataFrame:
+    """Give tiles a halo by sending strips to every tile that the halo reaches, however many steps away.
+
+    Expects tiles on a regular grid; only the strips and the cores are shuffled.
+    """
+
+    def strips(row):
+        img, out = core(row), []
+        far_r, far_c = -(-halo // row.step_r), -(-halo // row.step_c)
+        for to_r in range(row.r0 - far_r * row.step_r, row.r0 + far_r * row.step_r + 1, row.step_r):
+            for to_c in range(row.c0 - far_c * row.step_c, row.c0 + far_c * row.step_c + 1, row.step_c):
+                if not (0 <= to_r < row.h and 0 <= to_c < row.w):
+                    continue
+                nr, nc = min(row.step_r, row.h - to_r), min(row.step_c, row.w - to_c)
+                part = rectangle(img, row.r0, row.c0, (to_r - halo, to_c - halo), (to_r + nr + halo, to_c + nc + halo))
+                if part:
+                    out.append({"h": row.h, "w": row.w, "r0": to_r, "c0": to_c, "nr": nr, "nc": nc, "halo": halo, **part})
+        return {name: [part[name] for part in out] for name in out[0]}
+
+    grid = tiles.groupBy("image_id").agg(F.max("nr").alias("step_r"), F.max("nc").alias("step_c"))
+    return assemble_tiles(map_rows(tiles.join(grid, "image_id"), "image_id", PARTS, strips))
+
+
 def image_rows(tiles: DataFrame) -> DataFrame:
     """Per image row: pixel sum and column-weighted pixel sum (image_id, r, s, ws)."""
 

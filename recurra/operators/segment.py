@@ -5,14 +5,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import stage
+from .blocks import map_rows, signal_blocks
 from .chunks import runs_of
 
+RESAMPLE_BLOCK = 4096
 FRAME, HOP, TOP_DB = 2048, 512, 30.0
 TARGET, EDGE = 25000, 2500
 POWER_FLOOR = 1e-10
@@ -173,39 +173,50 @@ def preprocess(
     return peak_normalize(stage(cut_segment(signal, window)))
 
 
-def resample(arrays: DataFrame, target_rate: int = 25000, zero_crossings: int = 32) -> DataFrame:
-    """Windowed-sinc resampling of (signal_id, sr, y array); rows at the target rate pass through.
+def resample(
+    signal: DataFrame, target_rate: int = 25000, zero_crossings: int = 32, size: int = RESAMPLE_BLOCK
+) -> DataFrame:
+    """Windowed-sinc resampling of (signal_id, i, n, y, sr) to (signal_id, i, n, y) at the target rate.
 
-    One row is one audio file. The filter is a Hann-windowed sinc, so results agree with other
-    band-limited resamplers only approximately.
+    Works on blocks with as much halo as the filter reaches, output positions counted from the start of the series,
+    so no block shows in the result. Signals at the target rate pass through. The filter is a Hann-windowed sinc, so
+    results agree with other band-limited resamplers only approximately.
     """
-    schema = T.StructType([arrays.schema["signal_id"]])
-    schema = schema.add("sr", T.IntegerType()).add("y", T.ArrayType(T.DoubleType()))
-
-    def convert(y, rate):
-        ratio = target_rate / rate
-        cutoff = min(1.0, ratio)
-        reach = math.ceil(zero_crossings / cutoff)
-        at = np.arange(math.ceil(len(y) * ratio)) / ratio
-        base = np.floor(at).astype(np.int64)
-        out = np.zeros(len(at))
+    found = signal.filter(F.col("sr") == target_rate).select("signal_id", "i", "n", "y")
+    rates = [row.sr for row in signal.select("sr").distinct().collect() if row.sr != target_rate]  # a handful
+    for rate in sorted(rates):
+        found = found.unionByName(_resample_from(signal.filter(F.col("sr") == rate), rate, target_rate, zero_crossings, size))
+    return found
+
+
+def _resample_from(signal: DataFrame, rate: int, target_rate: int, zero_crossings: int, size: int) -> DataFrame:
+    cutoff = min(1.0, target_rate / rate)
+    reach = math.ceil(zero_crossings / cutoff)
+
+    def kernel(row):
+        y, low, high = np.asarray(row.y, dtype=float), row.b * size, min((row.b + 1) * size, row.n)
+        out = np.arange(-(-low * target_rate // rate), -(-high * target_rate // rate))
+        base = out * rate // target_rate
+        at = out * rate / target_rate
+        total = np.zeros(len(out))
         for k in range(-reach + 1, reach + 1):
             index = base + k
             gap = at - index
             weight = cutoff * np.sinc(cutoff * gap) * (0.5 + 0.5 * np.cos(np.pi * gap / reach))
-            inside = (index >= 0) & (index < len(y))
-            out += np.where(inside, y[np.clip(index, 0, len(y) - 1)] * weight, 0.0)
-        return out
-
-    def run(batches):
-        for pdf in batches:
-            ys = [
-                np.asarray(y, dtype=float) if sr == target_rate else convert(np.asarray(y, dtype=float), sr)
-                for y, sr in zip(pdf["y"], pdf["sr"])
-            ]
-            yield pd.DataFrame({"signal_id": pdf["signal_id"], "sr": target_rate, "y": ys})
-
-    return arrays.select("signal_id", "sr", "y").mapInPandas(run, schema)
+            inside = (index >= 0) & (index < row.n)
+            total += np.where(inside, y[np.clip(index - row.start, 0, len(y) - 1)] * weight, 0.0)
+        return {"i": out, "n": np.full(len(out), -(-row.n * target_rate // rate)), "y": total}
+
+    blocks = signal_blocks(signal, size, reach - 1, reach)
+    return map_rows(blocks, "signal_id", "i long, n long, y double", kernel)
+
+
+def resample_arrays(arrays: DataFrame, target_rate: int = 25000, zero_crossings: int = 32) -> DataFrame:
+    """Resample files given as rows (signal_id, sr, y array), as audio decoding returns them."""
+    long = arrays.select(
+        "signal_id", F.size("y").cast("long").alias("n"), F.col("sr").alias("sr"), F.posexplode("y").alias("i", "y")
+    )
+    return resample(long.withColumn("i", F.col("i").cast("long")), target_rate, zero_crossings)
 
 
 def outcome_counts(status: DataFrame, column: str = "status") -> DataFrame:

@@ -66,6 +66,15 @@ def significant(scores: DataFrame, alpha: float = 0.05) -> DataFrame:
     return scores.filter(F.col("p_value") < alpha)
 
 
+def rejected(scores: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Features that are not significant, the nearest to it first; constant ones, without p-value, last.
+
+    One row per feature, so a single ordering is bounded by the number of columns.
+    """
+    place = F.row_number().over(Window.orderBy(F.col("p_value").asc_nulls_last(), "feature"))
+    return scores.filter(F.col("p_value").isNull() | F.isnan("p_value") | (F.col("p_value") >= alpha)).withColumn("place", place)
+
+
 def effect_label(d):
     size = F.abs(d)
     return (

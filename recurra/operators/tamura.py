@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .blocks import map_rows
-from .recurrence import gray_counts, pixels
+from .blocks import BLOCK, map_rows
+from .recurrence import PARTS, assemble_tiles, core, gray_counts, pixels, rectangle, with_halo
 from .texture import count_moments
 
 K_MAX = 6
@@ -221,57 +221,68 @@ def measures(tiles: DataFrame, k_max: int = K_MAX) -> DataFrame:
     )
 
 
+LARGE = 100_000_000  # pixels above which an image is measured in regions
+REGION, OVERLAP, SMALLEST = 8192, 512, 64
+
+
 def regions(
     tiles: DataFrame,
-    size: int = 8192,
-    overlap: int = 512,
-    smallest: int = 64,
-    threshold: int = 100_000_000,
+    size: int = REGION,
+    overlap: int = OVERLAP,
+    smallest: int = SMALLEST,
+    threshold: int = LARGE,
+    tile: int = BLOCK,
 ) -> DataFrame:
     """Cut images above ``threshold`` pixels into overlapping regions, each an image of its own.
 
-    Tiles come without halo on a grid that divides both ``size`` and ``size - overlap``; a tile in
-    an overlap is copied to each region. ``image_id`` becomes (image, row, column of the region).
+    Tiles may have any size and grid: they are cut at the borders of the regions and put together again as tiles
+    of side ``tile``, counted from the region's corner. ``image_id`` becomes (image, row, column of the region).
     """
     step = size - overlap
-    large = F.col("h") * F.col("w") > threshold
-
-    def count(extent):
-        return F.when(large & (F.col(extent) > size), F.ceil((F.col(extent) - size) / step) + 1).otherwise(1)
-
-    def covering(origin, extent):
-        last = F.least(F.floor(F.col(origin) / step), count(extent) - 1)
-        first = F.greatest(F.ceil((F.col(origin) - size + 1) / step), F.lit(0))
-        return F.explode(F.sequence(F.least(first, last), last))
-
-    def length(region, extent):
-        return F.when(
-            large, F.least(F.lit(size), F.col(extent) - F.col(region) * step)
-        ).otherwise(F.col(extent))
-
-    return (
-        tiles.withColumn("_y", covering("r0", "h"))
-        .withColumn("_x", covering("c0", "w"))
-        .withColumn("_h", length("_y", "h").cast("long"))
-        .withColumn("_w", length("_x", "w").cast("long"))
-        .filter(~large | ((F.col("_h") >= smallest) & (F.col("_w") >= smallest)))
-        .select(
-            F.struct(
-                F.col("image_id").alias("image"), F.col("_y").alias("y"), F.col("_x").alias("x")
-            ).alias("image_id"),
-            F.col("_h").alias("h"),
-            F.col("_w").alias("w"),
-            (F.col("r0") - F.col("_y") * step).alias("r0"),
-            (F.col("c0") - F.col("_x") * step).alias("c0"),
-            "nr", "nc", "top", "left", "ph", "pw", "px",
-        )
-    )
 
-
-def tamura_features(tiles: DataFrame, k_max: int = K_MAX) -> DataFrame:
-    """tamura_*_mean and _std columns of whole images (one region each)."""
-    found = measures(tiles, k_max)
-    return found.select(
+    def spans(extent, large):
+        """(start, length) of the regions along one side."""
+        count = -(-(extent - size) // step) + 1 if large and extent > size else 1
+        return [(k * step, min(size, extent - k * step) if large else extent) for k in range(count)]
+
+    def cut(row):
+        img, out = core(row), []
+        large = row.h * row.w > threshold
+        for y, (top, height) in enumerate(spans(row.h, large)):
+            for x, (left, width) in enumerate(spans(row.w, large)):
+                if top >= row.r0 + row.nr or left >= row.c0 + row.nc or top + height <= row.r0 or left + width <= row.c0:
+                    continue
+                if large and min(height, width) < smallest:
+                    continue
+                for r in range(max(0, row.r0 - top) // tile * tile, height, tile):
+                    if top + r >= row.r0 + row.nr:
+                        break
+                    for c in range(max(0, row.c0 - left) // tile * tile, width, tile):
+                        if left + c >= row.c0 + row.nc:
+                            break
+                        nr, nc = min(tile, height - r), min(tile, width - c)
+                        part = rectangle(img, row.r0 - top, row.c0 - left, (r, c), (r + nr, c + nc))
+                        if part:
+                            place = {"y": y, "x": x, "h": height, "w": width, "r0": r, "c0": c, "nr": nr, "nc": nc, "halo": 0}
+                            out.append(place | part)
+        return {name: [part[name] for part in out] for name in out[0]} if out else None
+
+    parts = map_rows(tiles, "image_id", "y int, x int, " + PARTS, cut)
+    named = F.struct(F.col("image_id").alias("image"), "y", "x").alias("image_id")
+    return assemble_tiles(parts.select(named, *[c for c in parts.columns if c not in ("image_id", "y", "x")]))
+
+
+def tamura_features(
+    tiles: DataFrame,
+    k_max: int = K_MAX,
+    threshold: int = LARGE,
+    size: int = REGION,
+    overlap: int = OVERLAP,
+    smallest: int = SMALLEST,
+) -> DataFrame:
+    """tamura_*_mean and _std columns: of whole images, of those above ``threshold`` pixels over their regions."""
+    area = F.col("h") * F.col("w")
+    whole = measures(tiles.filter(area <= threshold), k_max).select(
         "image_id",
         *[
             c
@@ -279,6 +290,11 @@ def tamura_features(tiles: DataFrame, k_max: int = K_MAX) -> DataFrame:
             for c in (F.col(n).alias(f"tamura_{n}_mean"), F.lit(0.0).alias(f"tamura_{n}_std"))
         ],
     )
+    large = tiles.filter(area > threshold)
+    if large.isEmpty():
+        return whole
+    cut = with_halo(regions(large, size, overlap, smallest, threshold), HALO)
+    return whole.unionByName(regional_features(measures(stage(cut), k_max)))
 
 
 def regional_features(found: DataFrame) -> DataFrame:

@@ -16,13 +16,19 @@ from ..functions import entropy_term, lerp, safe_div
 from .blocks import map_rows
 from .recurrence import gray_counts, pixels
 
-# Co-occurrence angles in degrees and their (row, column) steps at distance 1.
-ANGLES = {0: (0, 1), 45: (1, 1), 90: (1, 0), 135: (1, -1)}
+# Co-occurrence angles in degrees.
+ANGLES = (0, 45, 90, 135)
 
 GLCM_PROPS = ("contrast", "dissimilarity", "homogeneity", "energy", "correlation", "ASM")
 
 
-def glcm_counts(tiles: DataFrame, levels: int = 256, distance: int = 1) -> DataFrame:
+def glcm_step(angle: int, distance: int) -> tuple[int, int]:
+    """(row, column) step of a pixel pair, each rounded to whole pixels."""
+    turn = math.radians(angle)
+    return round(distance * math.sin(turn)), round(distance * math.cos(turn))
+
+
+def glcm_counts(tiles: DataFrame, levels: int = 256, distance: int = 1, angles=ANGLES) -> DataFrame:
     """Directed co-occurrence counts: (image_id, angle, a, b, c). Tiles need ``distance`` of halo."""
 
     def kernel(row):
@@ -31,8 +37,8 @@ def glcm_counts(tiles: DataFrame, levels: int = 256, distance: int = 1) -> DataF
             px = px * (levels - 1) // 255
         out = {"angle": [], "a": [], "b": [], "c": []}
         r1, c1 = row.top + row.nr, row.left + row.nc
-        for angle, (dr, dc) in ANGLES.items():
-            dr, dc = dr * distance, dc * distance
+        for angle in angles:
+            dr, dc = glcm_step(angle, distance)
             top, bottom = row.top, min(r1, row.ph - dr)
             left, right = max(row.left, -dc), min(c1, row.pw - dc)
             if bottom <= top or right <= left:

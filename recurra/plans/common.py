@@ -14,9 +14,14 @@ M, TAU = 3, 2
 TAU_MAX, DIM_MAX = 20, 5
 
 
+def series(spark, folder, key="user_id"):
+    """The ordered series, for queries that read it along one branch."""
+    return signal_from_events(table(spark, folder, "events"), key=key)
+
+
 def signals(spark, folder, key="user_id"):
-    """The ordered series, written once: most queries read it along several branches."""
-    return stage(signal_from_events(table(spark, folder, "events"), key=key))
+    """The ordered series, written once for queries that read it along several branches."""
+    return stage(series(spark, folder, key))
 
 
 def images(spark, folder, halo=0, **options):

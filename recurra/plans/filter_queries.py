@@ -216,7 +216,7 @@ def gabor_features(spark, folder):
 
 @query("gabor_phase")
 def gabor_phase(spark, folder):
-    found = gabor.response_stats(images(spark, folder, halo=gabor.halo_for()), orientations=(45,))
+    found = gabor.response_stats(images(spark, folder, halo=gabor.halo_for()))
     return found.select("image_id", "filter", *[r6(k, 4).alias(k) for k in gabor.PHASE_KINDS])
 
 
@@ -349,9 +349,7 @@ def tamura_features(spark, folder):
 
 @query("tamura_regions")
 def tamura_regions(spark, folder):
-    """Every image cut into overlapping regions, measured one by one and averaged."""
-    plain = images(spark, folder, size=8)
-    cut = tamura.regions(plain, size=32, overlap=8, smallest=16, threshold=0)
-    tiles = stage(recurrence.with_halo(cut, tamura.HALO))
-    found = tamura.regional_features(tamura.measures(tiles))
+    """Every image counts as large: cut into overlapping regions, measured one by one and averaged."""
+    plain = stage(images(spark, folder))
+    found = tamura.tamura_features(plain, threshold=0, size=32, overlap=8, smallest=16)
     return report(found, ["image_id"], TAMURA_COLUMNS)

@@ -105,6 +105,14 @@ def anova_significant(spark, folder):
     return report(found, ["feature"], ["f_score"])
 
 
+@query("rejected_features", with_ctes(FEATURES, STATS, ANOVA, TAIL, tail=f"""
+SELECT feature, {rounded('p_value')}, CAST(row_number() OVER (ORDER BY p_value, feature) AS INTEGER) AS place
+FROM tail WHERE p_value >= 0.05""").replace("WITH ", "WITH RECURSIVE ", 1))
+def rejected_features(spark, folder):
+    found = selection.rejected(selection.anova(_stats(spark, folder)))
+    return report(found, ["feature", "place"], ["p_value"])
+
+
 @query("cohens_d", with_ctes(FEATURES, STATS, COHEN, tail=f"SELECT feature, {rounded('cohens_d')}, effect_size FROM cohen"))
 def cohens_d(spark, folder):
     found = selection.cohens_d(_stats(spark, folder))
@@ -214,14 +222,22 @@ def pca_variance(spark, folder):
     return report(found, ["component"], ["share", "total"])
 
 
+def _band_sql(score):
+    cases = " ".join(f"WHEN {score} > {floor} THEN '{text}'" for floor, text in selection.SILHOUETTE_BANDS)
+    return f"CASE {cases} ELSE '{selection.SILHOUETTE_POOR}' END"
+
+
 @query("silhouette", with_ctes("""dist AS (
   SELECT a.vec_id AS row_id, a.label < 5 AS la, b.label < 5 AS lb, sum(list_distance(a.x, b.x)) AS s, count(*) AS c
   FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings) a
   JOIN (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings) b ON a.vec_id <> b.vec_id GROUP BY ALL)""", tail="""
-SELECT round(avg((b - a) / greatest(a, b)), 6) + 0.0 AS silhouette_score FROM (
-  SELECT row_id, max(s / c) FILTER (la = lb) AS a, min(s / c) FILTER (la <> lb) AS b FROM dist GROUP BY 1)"""))
+SELECT round(s, 6) + 0.0 AS silhouette_score, """ + _band_sql("s") + """ AS silhouette_interpretation FROM (
+  SELECT avg((b - a) / greatest(a, b)) AS s FROM (
+    SELECT row_id, max(s / c) FILTER (la = lb) AS a, min(s / c) FILTER (la <> lb) AS b FROM dist GROUP BY 1))"""))
 def silhouette(spark, folder):
-    return report(selection.silhouette(_vectors(spark, folder), 128), [], ["silhouette_score"])
+    return report(
+        selection.silhouette(_vectors(spark, folder), 128), ["silhouette_interpretation"], ["silhouette_score"]
+    )
 
 
 @query("fisher_ratio", with_ctes(FEATURES, """cen AS (SELECT label, feature, avg(value) AS m FROM feat GROUP BY ALL),
@@ -408,10 +424,9 @@ def best_by_group(spark, folder):
 
 def _fit(name, **options):
     def build(spark, folder):
-        rows = stage(_split(spark, folder))
+        rows = stage(classify.stratified_split(stage(classify.standardized(stage(_vectors(spark, folder))))))
         train, test = rows.filter("NOT is_test").drop("is_test"), rows.filter("is_test").drop("is_test")
-        found, _ = classify.fit_predict(name, train, test, ("Normal", "Pathol"), 64, **options)
-        scored = stage(found)
+        scored, _ = classify.fit_predict(name, train, test, ("Normal", "Pathol"), **options)
         return evaluate.weighted_scores(evaluate.confusion(scored)).select(
             F.lit(name).alias("model_name"),
             *[r6(c).alias(c) for c in ("accuracy", "precision", "recall", "f1_score")],
@@ -422,7 +437,7 @@ def _fit(name, **options):
 
 for _name, _options in {
     "logistic_regression": {}, "naive_bayes": {}, "decision_tree": {}, "svm": {},
-    "random_forest": {"trees": 50}, "mlp": {}, "xgboost": {"rounds": 10},
+    "random_forest": {}, "mlp": {}, "xgboost": {},
 }.items():
     query(f"model_{_name}")(_fit(_name, **_options))
 
@@ -431,6 +446,6 @@ for _name, _options in {
 def cross_validation(spark, folder):
     """Ten-fold weighted F1 of the Gaussian model, fold statistics from one pass per fold."""
     mean, std = classify.cross_validate(
-        "naive_bayes", stage(_vectors(spark, folder)), ("Normal", "Pathol"), 64
+        "naive_bayes", stage(_vectors(spark, folder)), ("Normal", "Pathol")
     )
     return spark.range(1).select(F.lit(round(mean, 6)).alias("cv_f1_mean"), F.lit(round(std, 6)).alias("cv_f1_std"))

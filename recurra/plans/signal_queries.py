@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import params, recurrence
 from ..session import stage
-from .common import CELL, DIM_MAX, IMAGE, M, PTS, SIG, TAU, TAU_MAX, images, report, signals
+from .common import CELL, DIM_MAX, IMAGE, M, PTS, SIG, TAU, TAU_MAX, images, report, series, signals
 from .registry import query, rounded, with_ctes
 
 CODES = """span AS (SELECT signal_id, min(y) AS lo, max(y) AS hi, avg(y) AS mu FROM sig GROUP BY 1),
@@ -95,7 +95,7 @@ def _fnn(spark, folder):
 
 @query("signal_index", with_ctes(SIG, tail=f"SELECT signal_id, i, n, {rounded('y')} FROM sig"))
 def signal_index(spark, folder):
-    return report(signals(spark, folder), ["signal_id", "i", "n"], ["y"])
+    return report(series(spark, folder), ["signal_id", "i", "n"], ["y"])
 
 
 @query("bin_codes", with_ctes(SIG, CODES, tail="SELECT signal_id, i, code FROM codes"))
@@ -161,7 +161,7 @@ def choose_delay(spark, folder):
 @query("min_length_filter", with_ctes(SIG, tail=f"""
 SELECT signal_id, count(*) AS samples FROM sig WHERE n >= {LONG_ENOUGH} GROUP BY 1"""))
 def min_length_filter(spark, folder):
-    kept = params.min_length(signals(spark, folder), TAU_MAX, DIM_MAX)
+    kept = params.min_length(series(spark, folder), TAU_MAX, DIM_MAX)
     return kept.groupBy("signal_id").agg(F.count(F.lit(1)).alias("samples"))
 
 
@@ -171,7 +171,7 @@ def min_length_filter(spark, folder):
 )
 def takens_embedding(spark, folder):
     return report(
-        params.takens(signals(spark, folder), M, TAU), ["signal_id", "i"], ["x0", "x1", "x2"]
+        params.takens(series(spark, folder), M, TAU), ["signal_id", "i"], ["x0", "x1", "x2"]
     )
 
 
@@ -322,16 +322,13 @@ def rp_image_name(spark, folder):
     return labels.select("doc_id", recurrence.image_name(label, F.col("doc_id").cast("string")).alias("name"))
 
 
-@query(
-    "phase_space",
-    with_ctes(SIG, PTS, tail=f"SELECT signal_id, i, {rounded('x0', 'x1', 'x2')} FROM pts"),
-)
+@query("phase_space", with_ctes(SIG, tail=f"""
+SELECT signal_id, i, {rounded('x0', 'x1')} FROM (
+  SELECT signal_id, i, n, y AS x0, lead(y, {TAU}) OVER (PARTITION BY signal_id ORDER BY i) AS x1 FROM sig)
+WHERE i < n - {TAU}"""))
 def phase_space(spark, folder):
-    return report(
-        recurrence.phase_space(signals(spark, folder), M, TAU), ["signal_id", "i"], ["x0", "x1", "x2"]
-    )
-
-
+    """The phase portrait in two dimensions."""
+    return report(recurrence.phase_space(series(spark, folder), 2, TAU), ["signal_id", "i"], ["x0", "x1"])
 
 
 # --- long series: one per event type ------------------------------------------------------------

@@ -79,16 +79,22 @@ def tile_arrays(img: np.ndarray, size: int) -> dict[str, list]:
 
 
 def shrink_tiles(tiles: DataFrame, factor: int) -> DataFrame:
-    """Area-average down-scaling by a whole factor; the tile size must be a multiple of it."""
+    """Area-average down-scaling by a whole factor; tiles must start at its multiples.
+
+    The last row and column average what is left of the image, so no pixel is dropped.
+    """
 
     def kernel(row):
         px = core(row).astype(np.float64)
-        h, w = px.shape[0] // factor, px.shape[1] // factor
-        if not h or not w:
-            return None
-        small = px[: h * factor, : w * factor].reshape(h, factor, w, factor).mean(axis=(1, 3))
+        if row.r0 % factor or row.c0 % factor:
+            raise ValueError(f"a tile starts at ({row.r0}, {row.c0}), not at a multiple of {factor}")
+        rows, columns = np.arange(0, px.shape[0], factor), np.arange(0, px.shape[1], factor)
+        sums = np.add.reduceat(np.add.reduceat(px, rows, axis=0), columns, axis=1)
+        high, wide = np.minimum(factor, px.shape[0] - rows), np.minimum(factor, px.shape[1] - columns)
+        small = sums / (high[:, None] * wide)
+        h, w = small.shape
         values = {
-            "h": row.h // factor, "w": row.w // factor, "r0": row.r0 // factor, "c0": row.c0 // factor,
+            "h": -(-row.h // factor), "w": -(-row.w // factor), "r0": row.r0 // factor, "c0": row.c0 // factor,
             "nr": h, "nc": w, "top": 0, "left": 0, "ph": h, "pw": w,
             "px": np.rint(small).astype(np.uint8).tobytes(),
         }

@@ -19,11 +19,42 @@ def write_features(features: DataFrame, folder: str, descriptor: str, digest: st
 
 
 def read_features(spark: SparkSession, folder: str, descriptor: str, digest: str) -> DataFrame | None:
-    """Stored features of one descriptor and configuration, or None."""
+    """Stored features of one descriptor and configuration, or None if nothing is stored there.
+
+    Only a missing path counts as nothing; any other failure to read is raised.
+    """
     try:
         return spark.read.parquet(f"{folder}/descriptor={descriptor}/config_hash={digest}")
-    except AnalysisException:
-        return None
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def _files(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def stored_descriptors(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    """(descriptor, configuration hash) of everything stored in a folder."""
+    found = []
+    path, files = _files(spark, folder)
+    for outer in files.listStatus(path) if files.exists(path) else ():
+        kind = outer.getPath().getName()
+        if kind.startswith("descriptor="):
+            for inner in files.listStatus(outer.getPath()):
+                name = inner.getPath().getName()
+                if name.startswith("config_hash="):
+                    found.append((kind.removeprefix("descriptor="), name.removeprefix("config_hash=")))
+    return sorted(found)
+
+
+def drop_stored(spark: SparkSession, folder: str, descriptor: str, digest: str | None = None) -> bool:
+    """Remove the stored features of a descriptor, of one configuration or of all; False if there were none."""
+    name = f"{folder}/descriptor={descriptor}" + (f"/config_hash={digest}" if digest else "")
+    path, files = _files(spark, name)
+    return files.exists(path) and files.delete(path, True)
 
 
 def combine_stored(spark: SparkSession, folder: str, hashes: dict[str, str], key: str = "image_id") -> DataFrame:

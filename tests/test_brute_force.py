@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from recurra.operators import classify, gabor, params, recurrence, segment, selection, tamura, texture
 
@@ -137,11 +138,49 @@ def test_tamura_regions_are_images_of_their_own(picture):
 def test_resample_keeps_a_tone(spark):
     t = np.arange(800) / 8000
     df = spark.createDataFrame([("a", 8000, [float(v) for v in np.sin(2 * np.pi * 200 * t)])], "signal_id string, sr int, y array<double>")
-    y = np.array(segment.resample(df, 25000).first().y)
+    y = np.array([r.y for r in segment.resample_arrays(df, 25000).orderBy("i").collect()])
     want = np.sin(2 * np.pi * 200 * np.arange(len(y)) / 25000)
     assert len(y) == 2500 and np.abs(y - want)[200:-200].max() < 1e-3
 
 
+@pytest.mark.parametrize("rate", [8000, 44100])
+def test_resample_blocks_leave_no_trace(series, rate):
+    rng = np.random.default_rng(3)
+    sig = series({"a": rng.normal(size=500), "b": rng.normal(size=3)}).withColumn("sr", F.lit(rate))
+    whole = {(r.signal_id, r.i, r.n): r.y for r in segment.resample(sig, 25000).collect()}
+    assert {k[0]: k[2] for k in whole} == {"a": -(-500 * 25000 // rate), "b": -(-3 * 25000 // rate)}
+    assert len(whole) == sum({k[0]: k[2] for k in whole}.values())
+    for size in (16, 100):
+        cut = {(r.signal_id, r.i, r.n): r.y for r in segment.resample(sig, 25000, size=size).collect()}
+        assert cut.keys() == whole.keys()
+        assert all(cut[k] == pytest.approx(whole[k], abs=1e-12) for k in whole)
+
+
+@pytest.mark.parametrize("size", [8, 16, 128])
+def test_halo_over_many_tiles(picture, size):
+    img = np.random.default_rng(12).integers(0, 256, (128, 128))
+    row = tamura.tamura_features(recurrence.with_halo(picture({"a": img}, size), tamura.HALO)).first()
+    assert row.tamura_coarseness_mean == pytest.approx(tamura.tamura_features(picture({"a": img})).first().tamura_coarseness_mean)
+
+
+@pytest.mark.parametrize("tile", [8, 30, 1024])
+def test_large_images_are_measured_in_regions(picture, tile):
+    img = np.random.default_rng(4).integers(0, 256, (64, 60))
+    row = tamura.tamura_features(picture({"a": img}, tile), threshold=1000, size=32, overlap=7, smallest=8).first()
+    spans = [[(k, min(k + 32, n)) for k in (0, 25, 50)[: -(-(n - 32) // 25) + 1]] for n in (64, 60)]
+    alone = [
+        tamura.measures(picture({"r": img[a:b, c:d]})).first().coarseness
+        for a, b in spans[0] for c, d in spans[1] if min(b - a, d - c) >= 8
+    ]
+    assert row.tamura_coarseness_mean == pytest.approx(np.mean(alone))
+    assert row.tamura_coarseness_std == pytest.approx(np.std(alone))
+
+
+def test_cooccurrence_steps_are_rounded():
+    assert [texture.glcm_step(a, 3) for a in texture.ANGLES] == [(0, 3), (2, 2), (3, 0), (2, -2)]
+    assert [texture.glcm_step(a, 1) for a in texture.ANGLES] == [(0, 1), (1, 1), (1, 0), (1, -1)]
+
+
 def test_own_delay_per_signal(series):
     rng = np.random.default_rng(9)
     sig = series({"a": rng.normal(size=50), "b": rng.normal(size=50)})

@@ -51,6 +51,11 @@ def test_png_round_trip(spark, picture, tmp_path):
     assert images.list_images(spark, str(tmp_path / "png")).first().filename == "a.png"
     half = images.shrink_tiles(picture({"a": np.full((8, 8), 9)}, 4), 2)
     assert recurrence.gray_counts(half).first().c == 16
+    odd = np.arange(63).reshape(7, 9)
+    small = images.shrink_tiles(picture({"a": odd}, 4), 2)
+    assert recurrence.gray_counts(small).selectExpr("sum(c)").first()[0] == 20
+    last = [r for r in small.collect() if (r.r0, r.c0) == (2, 4)][0]
+    assert list(last.px)[-1] == odd[6, 8] and (last.h, last.w) == (4, 5)
 
 
 def test_tables_round_trip(spark, tmp_path):
