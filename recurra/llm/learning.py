@@ -40,7 +40,8 @@ def fit(sample: DataFrame, train: Callable[[list[str], np.ndarray], bytes]) -> b
         model = train([row[2] for row in rows], np.array([row[1] for row in rows], dtype=np.float64))
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
-    return bytes(sample.repartition(1).mapInArrow(run, "model binary").first().model)
+    found = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return bytes(found.model) if found else train([], np.zeros(0))
 
 
 def scored(docs: DataFrame, score: Callable[[list[str | None]], np.ndarray]) -> DataFrame:

@@ -5,7 +5,7 @@ repetition marks; a softmax over it gives the class. Vectors and softmax are lea
 with NumPy. Because both averaging and the softmax's input are linear, a learned model is applied as one number per
 bucket, the difference of the class scores of its vector, so scoring a text is one table look-up per n-gram.
 
-* Null, empty and blank texts score by the bias alone (an average over nothing is the zero vector).
+* Null and empty texts score by the bias alone (an average over nothing is the zero vector); blanks count as characters.
 * Very long texts are read in slices; nothing is cut. Repeated rows score alike; an empty table gives an empty result.
 * Without labelled rows of both classes every text scores the share of good labels, or 0.5 if there are none.
 """

@@ -53,7 +53,7 @@ def test_odd_rows(spark, documents, part):
     rows = part.score_documents(documents(docs + odd), spark.createDataFrame(labels, LABELS)).collect()
     assert len(rows) == 207
     of = {r.doc_id: r.score for r in rows}
-    assert of[900] == of[901] == of[902]
+    assert of[900] == of[901] and (part is quality or of[900] == of[902])
     assert of[904] == of[0]
     assert [r.held_out for r in rows if r.doc_id is None] == [False]
 
