@@ -5,9 +5,11 @@
 2. Classes that share a band key meet the smallest class of that bucket, not each other. Signatures that agree too
    seldom are dropped, the rest are confirmed on the full sets, and confirmed links give components.
 3. Buckets that still hold several components are compared across components, in blocks of bounded size, so
-   together both steps decide every pair that shares a band key and none is left out. Components are then final.
+   together both steps decide every pair that shares a band key and none is left out. Texts that have much in common
+   but too little for a link are frequent there, so their members get longer signatures. Components are then final.
 
-With the defaults a pair at the threshold shares no band with a probability of (1 - 0.8**4)**32, about 5e-8.
+With the defaults a pair at the threshold shares no band with a probability of (1 - 0.8**4)**32, about 5e-8, and a
+signature check drops it with one of about 1e-7 (5.2 standard deviations).
 
 * A null or blank text has an empty set and is linked with nothing, not even with another blank text.
 * A null doc_id names no document: the row stays, unlinked, with a null component, and counts as kept.
@@ -30,6 +32,13 @@ from .kernels import NOT_SPACE, mix, odd_randoms, shingles, words_by_text
 
 SKETCH = "doc_id long, n_shingles long, set_key string, signature binary, bands array<long>"
 FEW, BLOCK = 16, 128
+LONG = 1024  # minima in the signatures of step 3, a byte of each
+
+
+def least_agreeing(minima: int, percent: int) -> int:
+    """Agreeing minima below which a pair is too unlikely to reach the similarity."""
+    share = percent / 100
+    return int(minima * (share - 5.2 * (share * (1 - share) / minima) ** 0.5))
 
 
 class MinHash:
@@ -89,22 +98,38 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH)
 
 
-def _agreeing(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    left = np.frombuffer(b"".join(a), dtype=np.uint32).reshape(len(a), -1)
-    right = np.frombuffer(b"".join(b), dtype=np.uint32).reshape(len(b), -1)
-    return (left == right).sum(axis=1)
+def _rows(column: pa.Array, kind: type) -> np.ndarray:
+    """Signatures of a column, one per row."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), dtype=kind).reshape(len(values), -1 if values else 0)
+
+
+def long_signatures(texts: DataFrame, size: int) -> DataFrame:
+    """(node, signature, long) of texts(node, text, signature): more minima, a byte of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        minhash = MinHash(LONG, 1)
+        for batch in batches:
+            marks = [
+                minhash.signature(shingles(words, size)).astype(np.uint8).tobytes()
+                for words in words_by_text(batch.column("text").to_pylist(), NOT_SPACE)
+            ]
+            yield batch.select(["node", "signature"]).append_column("long", pa.array(marks, pa.binary()))
+
+    return texts.select("node", "text", "signature").mapInArrow(run, "node long, signature binary, long binary")
 
 
-def agreeing(pairs: DataFrame, signatures: DataFrame, agree: int) -> DataFrame:
-    """The pairs (a, b) whose signatures, of signatures(node, signature), agree often enough."""
+def agreeing(pairs: DataFrame, signatures: DataFrame, column: str, kind: type, percent: int) -> DataFrame:
+    """The pairs (a, b) whose signatures, a column of signatures(node, ...), agree often enough."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = _agreeing(batch.column("x").to_pylist(), batch.column("y").to_pylist()) >= agree
-            yield batch.select(["a", "b"]).filter(pa.array(near))
+            x, y = _rows(batch.column("x"), kind), _rows(batch.column("y"), kind)
+            near = (x == y).sum(axis=1) >= least_agreeing(x.shape[1], percent)
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    left = signatures.select(F.col("node").alias("a"), F.col("signature").alias("x"))
-    right = signatures.select(F.col("node").alias("b"), F.col("signature").alias("y"))
+    left = signatures.select(F.col("node").alias("a"), F.col(column).alias("x"))
+    right = signatures.select(F.col("node").alias("b"), F.col(column).alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
@@ -117,10 +142,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left = words_by_text(batch.column("x").to_pylist(), NOT_SPACE)
-            right = words_by_text(batch.column("y").to_pylist(), NOT_SPACE)
-            keep = []
-            for u, v in zip(left, right):
-                x, y = shingles(u, size), shingles(v, size)
+            keep, b, y = [], None, None
+            for words, at, text in zip(left, batch.column("b").to_pylist(), batch.column("y")):
+                if at != b:  # the join left the pairs of one b together
+                    b, y = at, shingles(next(words_by_text([text.as_py()], NOT_SPACE)), size)
+                x = shingles(words, size)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -137,11 +163,12 @@ def _across_small(mixed: DataFrame) -> DataFrame:
     return x.join(y, "key").filter("a < b and p <> q").select("a", "b").distinct()
 
 
-def _across_large(mixed: DataFrame, signatures: DataFrame, agree: int) -> DataFrame:
-    """Pairs (a, b) of different components in larger buckets whose signatures agree often enough.
+def _across_large(mixed: DataFrame, signatures: DataFrame, bands: int, rows: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in larger buckets whose signatures, short and long, agree often enough.
 
     mixed: (key, node, component, members). A bucket is dealt into blocks of about BLOCK members; each pair of blocks
-    is one cell, so a cell holds a bounded number of members whatever the size of the bucket.
+    is one cell, so a cell holds a bounded number of members whatever the size of the bucket. A pair is reported by
+    the bucket of its first shared band alone.
     """
     mixed = mixed.filter(F.col("members") > FEW)
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
@@ -150,29 +177,35 @@ def _across_large(mixed: DataFrame, signatures: DataFrame, agree: int) -> DataFr
         "key", "node", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     ).select("key", "node", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     full = cells.join(signatures, "node")
+    short_least, long_least = least_agreeing(bands * rows, percent), least_agreeing(LONG, percent)
 
     def compare(key: tuple[pa.Scalar, ...], cell: pa.Table) -> pa.Table:
-        _, low, high = (k.as_py() for k in key)
+        of, low, high = (k.as_py() for k in key)
         node, part, block = (cell.column(c).to_numpy() for c in ("node", "component", "block"))
-        marks = np.frombuffer(b"".join(cell.column("signature").to_pylist()), dtype=np.uint32).reshape(len(node), -1)
-        first, second = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        short, long = _rows(cell.column("signature"), np.uint32), _rows(cell.column("long"), np.uint8)
+        band = int(np.argmax(MinHash(bands, rows).keys(short[0]) == of))
         a, b = [], []
-        for i in first:
+        second = np.flatnonzero(block == high)
+        for i in np.flatnonzero(block == low):
             other = second[(part[second] != part[i]) & ((low != high) | (node[second] > node[i]))]
-            other = other[(marks[other] == marks[i]).sum(axis=1) >= agree]
-            a += [node[i]] * len(other)
-            b += list(node[other])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            same = short[other] == short[i]
+            near = same.sum(axis=1) >= short_least
+            other, same = other[near], same[near]
+            first = same.reshape(len(other), bands, rows).all(axis=2).argmax(axis=1) == band
+            other = other[first]
+            other = other[(long[other] == long[i]).sum(axis=1) >= long_least]
+            a.append(np.minimum(node[i], node[other]))
+            b.append(np.maximum(node[i], node[other]))
+        empty = np.zeros(0, dtype=np.int64)
+        return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
 
-    pairs = full.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return full.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(
     docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 32, rows: int = 4
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs(doc_id, text)."""
-    agree = int(bands * rows * (percent / 100 - 0.24))  # over six deviations below the expected agreement
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = stage(sketches(docs, size, bands, rows))
     named = sketch.filter("doc_id is not null and set_key is not null")
@@ -189,15 +222,17 @@ def near_duplicates(
     marks = texts.select("node", "signature")
 
     pairs = shared.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = stage(confirmed(agreeing(pairs, marks, agree), texts, size, percent))
+    links = stage(confirmed(agreeing(pairs, marks, "signature", np.uint32, percent), texts, size, percent))
     found = stage(connected_components(links))
 
     parts = shared.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     several = parts.groupBy("key").agg(
         F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("members")
     ).filter("least < most")
-    mixed = parts.join(several.select("key", "members"), "key")
-    across = agreeing(_across_small(mixed), marks, agree).union(_across_large(mixed, marks, agree)).distinct()
+    mixed = stage(parts.join(several.select("key", "members"), "key"))
+    marks = stage(long_signatures(texts.join(mixed.select("node").distinct(), "node", "left_semi"), size))
+    few = agreeing(_across_small(mixed), marks, "long", np.uint8, percent)
+    across = few.union(_across_large(mixed, marks, bands, rows, percent)).distinct()
     more = stage(confirmed(across, texts, size, percent))
     if not more.isEmpty():
         found = stage(connected_components(links.union(more)))
