@@ -216,6 +216,7 @@ def gabor_features(spark, folder):
 
 @query("gabor_phase")
 def gabor_phase(spark, folder):
+    """No SQL: where a response is real and negative, rounding alone decides between both ends of the phase's range."""
     found = gabor.response_stats(images(spark, folder, halo=gabor.halo_for()))
     return found.select("image_id", "filter", *[r6(k, 4).alias(k) for k in gabor.PHASE_KINDS])
 

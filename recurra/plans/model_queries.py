@@ -175,7 +175,16 @@ def correlation_spearman(spark, folder):
     return report(selection.correlation_matrix(stage(selection.as_vectors(ranks))), ["a", "b"], ["r"])
 
 
-@query("correlation_kendall")
+@query("correlation_kendall", """
+WITH v AS (SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+sg AS (
+  SELECT list_transform(list_zip(p.x, q.x), lambda z: sign(z[1] - z[2])) AS s
+  FROM v p JOIN v q ON p.row_id < q.row_id),
+k AS (SELECT unnest(range((SELECT max(len(x)) FROM v))) AS k),
+half AS (SELECT x.k AS a, y.k AS b, sum(s[x.k + 1] * s[y.k + 1]) AS c FROM sg, k x, k y WHERE x.k <= y.k GROUP BY ALL),
+mirror AS (SELECT a, b, c FROM half UNION SELECT b, a, c FROM half)
+SELECT CAST(m.a AS INTEGER) AS a, CAST(m.b AS INTEGER) AS b, round(m.c / sqrt(p.c * q.c), 6) + 0.0 AS r
+FROM mirror m JOIN half p ON p.a = m.a AND p.b = m.a JOIN half q ON q.a = m.b AND q.b = m.b""")
 def correlation_kendall(spark, folder):
     return report(selection.correlation_matrix(_vectors(spark, folder), "kendall"), ["a", "b"], ["r"])
 
