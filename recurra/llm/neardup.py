@@ -31,7 +31,7 @@ from .components import connected_components
 from .kernels import NOT_SPACE, mix, odd_randoms, shingles, words_by_text
 
 SKETCH = "doc_id long, n_shingles long, set_key string, signature binary, bands array<long>"
-FEW, BLOCK = 16, 128
+FEW, BLOCK = 16, 512
 LONG = 1024  # minima in the signatures of step 3, a byte of each
 
 
