@@ -121,13 +121,18 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def top(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """(query_id, vec_id, score) of the k best candidates of each query, its own row left out."""
+def top(
+    q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, floor: np.ndarray | float = -np.inf
+) -> tuple[np.ndarray, ...]:
+    """(query_id, vec_id, score) of the k best candidates of each query, its own row left out.
+
+    Candidates clearly below the floor, the query's k-th score so far, cannot be among its nearest and are left out.
+    """
     rough = q @ v.T
     rough[q_ids[:, None] == ids[None, :]] = -np.inf
-    least = np.full(len(q), -np.inf)
+    least = np.broadcast_to(np.asarray(floor, dtype=float), (len(q),))
     if len(v) > k:
-        least = np.partition(rough, len(v) - k, axis=1)[:, len(v) - k]
+        least = np.maximum(least, np.partition(rough, len(v) - k, axis=1)[:, len(v) - k])
     margin = 1e-9 * (1 + np.linalg.norm(q, axis=1) * np.linalg.norm(v, axis=1).max(initial=0))
     rows, columns = np.nonzero((rough >= (least - margin)[:, None]) & (rough > -np.inf))
     score = np.zeros(len(rows))
@@ -219,10 +224,11 @@ def neighbours(
             seen = [tree.visits(v, visits) for v in matrix(batch.column("v"))]
             at = pa.array(np.repeat(np.arange(batch.num_rows), [len(s) for s in seen]))
             leaf = pa.array([leaf for s in seen for leaf in s], pa.int32())
-            yield batch.select(["vec_id", "v"]).take(at).append_column("leaf", leaf)
+            visit = pa.array([k for s in seen for k in range(len(s))], pa.int32())
+            yield batch.select(["vec_id", "v"]).take(at).append_column("leaf", leaf).append_column("visit", visit)
 
     asked = filed.filter(is_query).select("vec_id", "v").distinct()
-    probes = asked.mapInArrow(probe, "vec_id long, v array<double>, leaf int")
+    probes = stage(asked.mapInArrow(probe, "vec_id long, v array<double>, leaf int, visit int"))
 
     # A leaf is dealt into blocks of rows and its probes into blocks of queries; every pair of blocks is one cell.
     sizes = {row.leaf: row.n for row in filed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # bounded
@@ -232,21 +238,30 @@ def neighbours(
         cut = F.array(*[F.lit(-(-counts.get(leaf, 1) // BLOCK)) for leaf in range(tree.leaves)])
         return F.get(cut, F.col("leaf"))
 
-    def blocks(rows: DataFrame, own: str, own_parts: Column, other: str, other_parts: Column) -> DataFrame:
+    def blocks(rows: DataFrame, own: str, own_parts: Column, other: str, other_parts: Column, *more: str) -> DataFrame:
         mine = F.pmod(F.xxhash64("vec_id"), own_parts.cast("long")).cast("int")
-        return rows.select("vec_id", "v", "leaf", mine.alias(own), F.explode(F.sequence(F.lit(0), other_parts - 1)).alias(other))
+        each = F.explode(F.sequence(F.lit(0), other_parts - 1)).alias(other)
+        return rows.select("vec_id", "v", "leaf", *more, mine.alias(own), each)
 
     rows_cut = blocks(filed, "row_block", parts(sizes), "query_block", parts(asks))
-    probes_cut = blocks(probes, "query_block", parts(asks), "row_block", parts(sizes))
 
     def search(asked: pa.Table, filed: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
         if not asked.num_rows or not filed.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names=names)
         q, v = (matrix(t.column("v").combine_chunks()) for t in (asked, filed))
-        found = top(asked.column("vec_id").to_numpy(), q, filed.column("vec_id").to_numpy(), v, k)
+        ids, floor = asked.column("vec_id").to_numpy(), asked.column("floor").to_numpy()
+        found = top(ids, q, filed.column("vec_id").to_numpy(), v, k, floor)
         return pa.table([pa.array(x) for x in found], names=names)
 
-    cell = ("leaf", "row_block", "query_block")
-    found = probes_cut.groupBy(*cell).cogroup(rows_cut.groupBy(*cell)).applyInArrow(search, FOUND)
-    return best(found, k)
+    def searched(asked: DataFrame) -> DataFrame:
+        cell = ("leaf", "row_block", "query_block")
+        cut = blocks(asked, "query_block", parts(asks), "row_block", parts(sizes), "floor")
+        return cut.groupBy(*cell).cogroup(rows_cut.groupBy(*cell)).applyInArrow(search, FOUND)
+
+    # The best leaf comes first: its k-th score is a floor for what the other leaves need to report.
+    none = F.lit(float("-inf"))
+    near = stage(best(searched(probes.filter("visit = 0").withColumn("floor", none)), k))
+    floors = near.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+    others = probes.filter("visit > 0").join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", none))
+    return best(near.drop("rank").unionByName(searched(others)), k)
