@@ -256,7 +256,16 @@ def reprocess_set(spark, folder):
 
 @query("parameter_records")
 def parameter_records(spark, folder):
-    """Per-signal delays feed the neighbour search; short limits so that every series qualifies."""
+    """Per-signal delays feed the neighbour search, within the operator's own limits of 100 lags and 10 dimensions.
+
+    Read from the long series; those of up to 900 samples have no record.
+    """
+    return params.parameter_records(long_signals(spark, folder))
+
+
+@query("short_parameter_records")
+def short_parameter_records(spark, folder):
+    """The same for the users' short series, with limits so low that every series qualifies."""
     return params.parameter_records(signals(spark, folder), 8, 5)
 
 
