@@ -3,7 +3,8 @@
 A candidate is a pattern's match, or another long string of key characters just after a sensitive word. Its novelty
 is the number of bytes it adds to the compressed text around it, with a compressor primed on the identifiers that
 stand around candidates all over the corpus. Words, paths and repeated names add little; keys add nearly their
-entropy. Matches are always reported, other candidates when they are hard to compress.
+entropy. Matches are always reported, other candidates when they are hard to compress, whatever characters they hold.
+The compressor also knows parts of ordinary words; a long word made of none and seen nowhere else is reported too.
 
 * A null text is an empty one. A null doc_id is carried through. Repeated rows are reported each; empty tables work.
 * Very long texts are searched whole, one at a time. Positions are code points, ends exclusive.
@@ -42,6 +43,24 @@ IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]{2,63}"
 LEVEL = 3
 LEAST_NOVELTY, LEAST_SHARE = 10, 0.6
 
+# Parts of ordinary long words, which a compressor knows before it has seen any text.
+WORD_PARTS = (
+    "ability able acter action administra advertise ance anti appropriate architect arrange ation ational atically author "
+    "authentic bility character circum clearly commun comprehens config configuration consider construct consult contra "
+    "counter cultural default department develop different director discrimin distin document documentation electro ently "
+    "environment establish estimate exception experience express extra general government hensive identifi identification "
+    "implement implementation independ indistinguish industrial infra inform information initial institution institutional "
+    "instrument intelligent inter international interpret interchange investig istic istically ization izational "
+    "knowledge library local logical management mathematic measure medical message micro misunderstand multi nation "
+    "neighbour notwithstand object operation organ organization other over parameter password permission philosoph photo "
+    "physic political private process product profession project proportion provider psycho public radio reason recogni "
+    "recommend register relation repository represent representation request resource respons responsibility response "
+    "revolution revolutionary secret semi service session share signature social special standard statistic straightforward "
+    "structure sub super system technical technolog telecommunication token trans transform ultra uncharacter understand "
+    "united university user usr value version view web window work able ably ence iness ingly ition itive less ment ness "
+    "ologi ological ously ship tional tionary tive tively ture"
+).encode()
+
 FOUND = "array<struct<kind:int,start:int,stop:int,value:string,before:string,after:string>>"
 SPANS = "array<struct<kind:int,start:int,stop:int,novelty:int>>"
 
@@ -72,8 +91,7 @@ def near_sensitive(text: str, known: list[tuple[int, int, int]]) -> list[tuple[i
             reached = at
             while k < len(known) and known[k][2] <= start:
                 k += 1
-            varied = any(c.isdigit() for c in whole[0]) and any(c.isalpha() for c in whole[0])
-            if varied and not any(s < at and start < e for _, s, e in known[k : k + 3]):
+            if not any(s < at and start < e for _, s, e in known[k : k + 3]):
                 out.append((3, start, at))
     return out
 
@@ -91,7 +109,7 @@ def around(text: str, start: int, stop: int) -> tuple[str, str]:
 def compressor(identifiers: bytes):
     import zstandard
 
-    primed = zstandard.ZstdCompressionDict(identifiers or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primed = zstandard.ZstdCompressionDict(WORD_PARTS + b" " + identifiers, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     primed.precompute_compress(level=LEVEL)
     return zstandard.ZstdCompressor(
         level=LEVEL, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False

@@ -74,3 +74,19 @@ def test_empty_and_long(documents):
     assert found(documents, []) == {}
     long = "token " * 20_000 + KEY + " word" * 20_000 + " token=" + "a1" * 50_000
     assert [s for s in found(documents, [long])[0] if s[0] < 3] == base_spans(long)
+
+
+def test_letters_only_and_digits_only_keys(documents):
+    """Novelty alone decides: a key without digits is found, a long ordinary word or path is not."""
+    key, number = "QwZrTyLmPbVcXkHd", "83650291746620913857"
+    texts = [
+        f"the auth key is {key} for now",
+        f"the secret number is {number} for now",
+        "the authentication key needs internationalization support",
+        "the secret is usr/local/share/documentation here",
+    ]
+    spans = found(documents, texts)
+    assert [texts[0][s:e] for kind, s, e in spans[0] if kind == 3] == [key]
+    assert number in texts[1] and [s[0] for s in spans[1]] == [2]  # a pattern of its own: digits are hexadecimal
+    assert spans[2] == spans[3] == []
+    assert secrets.candidates(texts[2])[0][0] == 3
