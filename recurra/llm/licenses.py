@@ -4,6 +4,9 @@ Texts are normalised (A-Z as a-z, "licence" as "license", words of letters a-z a
 word bigrams. 2|A and B| / (|A| + |B|) can reach t only if the smaller set has at least t / (2 - t) times the size
 of the larger one, so templates outside these bounds are not compared at all, nor are those that share no bigram.
 
+Lines and blocks split at two line feeds are what the SQL states. Passages are any runs of words, whatever line ends,
+comment marks or other words stand around them.
+
 * Null, empty and one-word segments match nothing. A null doc_id is carried through. Repeated rows and repeated lines
   are reported each. Equal coefficients go to the name that sorts first. An empty table gives an empty result.
 * Very long texts are handled whole; a segment that has more words than any bound allows may still match if they repeat.
@@ -11,6 +14,8 @@ of the larger one, so templates outside these bounds are not compared at all, no
 
 from __future__ import annotations
 
+import bisect
+import math
 import re
 from collections.abc import Iterator
 
@@ -45,9 +50,13 @@ WORD = re.compile("[a-z0-9]+")
 RESULT = "doc_id long, unit string, place long, license string, dice double"
 
 
-def bigrams(text: str) -> frozenset[str]:
+def bigram_list(text: str) -> list[str]:
     words = WORD.findall(text.translate(UPPER).replace("licence", "license"))
-    return frozenset(map(" ".join, zip(words, words[1:])))
+    return list(map(" ".join, zip(words, words[1:])))
+
+
+def bigrams(text: str) -> frozenset[str]:
+    return frozenset(bigram_list(text))
 
 
 class Matcher:
@@ -74,6 +83,46 @@ class Matcher:
                     best = (name, dice)
         return best
 
+    def passages(self, text: str) -> list[tuple[int, str, float]]:
+        """(first word, license, dice) of the runs of words that repeat a wording best, without overlap.
+
+        A best run begins and ends with a bigram of the template. One whose first bigram comes again within it is no
+        better than the run without that word, so longer ones need not be tried.
+        """
+        line = bigram_list(text)
+        present = self.known.intersection(line)
+        if not present:
+            return []
+        found = []
+        for (name, own), (least, most) in zip(self.sets, self.bounds):
+            if len(present & own) < math.ceil(least - 1e-9):
+                continue
+            for start in (k for k, g in enumerate(line) if g in own):
+                seen, shared, best = set(), 0, None
+                for stop in range(start, len(line)):
+                    g = line[stop]
+                    if stop > start and g == line[start]:
+                        break
+                    if g in seen:
+                        continue
+                    seen.add(g)
+                    if len(seen) > most + 1e-9:
+                        break
+                    if g in own:
+                        shared += 1
+                        dice = round(2 * shared / (len(seen) + len(own)), 6)
+                        if dice >= self.threshold and (best is None or dice > best[0]):
+                            best = (dice, stop)
+                if best:
+                    found.append((-best[0], name, start, best[1]))
+        kept: list[tuple[int, int, str, float]] = []
+        for negative, name, start, stop in sorted(found):
+            at = bisect.bisect(kept, (start,))
+            # words start..stop+1 are covered
+            if (at == len(kept) or kept[at][0] > stop + 1) and (at == 0 or kept[at - 1][1] < start):
+                kept.insert(at, (start, stop + 1, name, -negative))
+        return [(start, name, dice) for start, _, name, dice in kept]
+
 
 def segments(text: str) -> Iterator[tuple[str, int, str]]:
     """(unit, place, text): every line, and every block of several lines between empty ones."""
@@ -84,21 +133,38 @@ def segments(text: str) -> Iterator[tuple[str, int, str]]:
             yield "block", place, block
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, unit, place, license, dice) of every segment of docs(doc_id, text) that states a licence."""
-
+def _scan(docs: DataFrame, templates, threshold: float, search) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(templates, threshold)
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64())
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                for unit, place, segment in segments(text.as_py() or ""):
-                    if found := matcher.best(segment):
-                        rows.append((doc_id, unit, place, *found))
+                rows += [(doc_id, *row) for row in search(matcher, text.as_py() or "")]
             columns = zip(*rows) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v, k) for v, k in zip(columns, kinds)], ["doc_id", "unit", "place", "license", "dice"]
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RESULT)
+
+
+def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, unit, place, license, dice) of every line and block of docs(doc_id, text) that states a licence."""
+
+    def search(matcher: Matcher, text: str) -> Iterator[tuple]:
+        for unit, place, segment in segments(text):
+            if found := matcher.best(segment):
+                yield unit, place, *found
+
+    return _scan(docs, templates, threshold, search)
+
+
+def scan_passages(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, unit, place, license, dice) of every passage of docs(doc_id, text); place is its first word's index."""
+
+    def search(matcher: Matcher, text: str) -> Iterator[tuple]:
+        for place, name, dice in matcher.passages(text):
+            yield "passage", place, name, dice
+
+    return _scan(docs, templates, threshold, search)

@@ -200,3 +200,8 @@ WHERE k = 1"""
 @query("op3_license_scan", LICENSE_SQL)
 def license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents", "doc_id", "text"))
+
+
+@query("license_passages")
+def license_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_passages(table(spark, folder, "documents", "doc_id", "text"))

@@ -108,3 +108,44 @@ def test_pruning_loses_nothing(documents, sample):
     assert sorted(got, key=str) == sorted(want, key=str)
     assert (10_006, "block", 0) in {g[:3] for g in got}
     assert licenses.scan(documents([])).collect() == []
+
+
+def test_passages_need_no_borders(documents):
+    mit = [t for n, t in licenses.TEMPLATES if n == "MIT"][1]
+    words = mit.split()
+    lines = [" ".join(words[k : k + 9]) for k in range(0, len(words), 9)]
+    rest = (
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all "
+        "copies or substantial portions. IT IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT "
+        "NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT "
+        "SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+        "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH IT"
+    )
+    docs = [
+        (1, "\n".join(f"# {x}" for x in ["Copyright (c) 2020 A. Author", "", *lines, "", rest])),
+        (2, "Copyright A. Author\r\n\r\n" + "\r\n".join(lines) + "\r\n\r\n" + rest),
+        (3, "This project is released under the MIT License, see LICENSE for details of how we came to choose it."),
+        (4, "Nothing of the kind is said here: this is free."),
+        (5, "the MIT License " * 5000),
+        (None, None),
+    ]
+    got = [tuple(r) for r in licenses.scan_passages(documents(docs)).collect()]
+    assert {(g[0], g[3]) for g in got if g[4] == 1.0} == {(1, "MIT"), (2, "MIT"), (3, "MIT")}
+    assert not {g[0] for g in got} & {4, None} and {g[1] for g in got} == {"passage"}
+    assert not {r.doc_id for r in licenses.scan(documents(docs)).collect()} & {1, 2, 3}
+    assert licenses.scan_passages(documents([])).collect() == []
+
+
+def test_passages_are_the_best_runs():
+    matcher = licenses.Matcher()
+    for _, text in licenses.TEMPLATES:
+        words = text.split()
+        words.insert(len(words) // 2, "really")
+        changed = "so far so good " + " ".join(words) + " and then some more"
+        line = licenses.bigram_list(changed)
+        best = max(
+            round(2 * len(own & set(line[a:b])) / (len(own) + len(set(line[a:b]))), 6)
+            for _, own in matcher.sets for a in range(len(line)) for b in range(a + 1, len(line) + 1)
+        )
+        found = matcher.passages(changed)
+        assert (max(d for *_, d in found) if found else None) == (best if best >= licenses.THRESHOLD else None)
