@@ -36,6 +36,7 @@ def signal_blocks(
 
     Blocks cover the ``n - points_lost`` positions that start a delay vector. ``reverse`` reads
     the series backwards, which is what a vertically flipped recurrence image needs for its rows.
+    A series of at most ``points_lost`` samples has no delay vector and so gives no block and no row.
     """
     pos = F.col("n") - 1 - F.col("i") if reverse else F.col("i")
     rows = signal.select("signal_id", "n", pos.cast("long").alias("p"), "y").filter(

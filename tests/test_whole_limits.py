@@ -5,7 +5,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 import __spark_entry__ as entry
-from recurra.operators import classify
+from recurra.operators import classify, params
+from recurra.operators.blocks import signal_blocks
 
 
 def test_records_look_beyond_eight_lags(spark, tmp_path):
@@ -30,3 +31,10 @@ def test_cross_validation_covers_every_model(spark, monkeypatch):
     monkeypatch.setattr(classify, "cross_validate", lambda name, *a, **b: (len(name) / 100, 0.0))
     rows = entry.queries()["cross_validation"](spark, "/root/testdata/sf0.001").collect()
     assert [(r.model_name, r.cv_f1_mean) for r in rows] == [(name, len(name) / 100) for name in classify.MODELS]
+
+
+def test_series_without_a_delay_vector_give_no_row(series):
+    signal = series({"short": range(54), "just": range(55)})
+    assert [r.signal_id for r in params.takens(signal, 7, 9).collect()] == ["just"]
+    blocks = signal_blocks(signal, after=54, points_lost=54).collect()
+    assert [(r.signal_id, r.n) for r in blocks] == [("just", 55)]
