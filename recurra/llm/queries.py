@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage, work_folder
-from . import ann, chat, decontam, licenses, neardup, packing, quality, secrets, token_counts, toxicity
+from . import ann, chat, decontam, licenses, merkle, neardup, packing, quality, secrets, token_counts, toxicity
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -205,3 +205,72 @@ def license_scan(spark: SparkSession, folder: str) -> DataFrame:
 @query("license_passages")
 def license_passages(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_passages(table(spark, folder, "documents", "doc_id", "text"))
+
+
+def _merkle_sql(levels: int = 7, source_levels: int = 5) -> str:
+    def field(e: str) -> str:
+        return f"coalesce(CAST(strlen(CAST({e} AS VARCHAR)) AS VARCHAR) || ':' || CAST({e} AS VARCHAR), '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join([*map(field, ("doc_id", "source", "lang", "n_chars")), field(text)]) + ")"
+
+    def climb(p: str, depth: int) -> list[str]:
+        """From {p}0(k, pos, n, digest): levels {p}K, groups {p}gK; folding {p}fK of {p}f0(r, k, pos, n, cur, proof)."""
+        out = []
+        for i in range(depth):
+            out.append(f"""{p}g{i} AS MATERIALIZED (
+  SELECT k, pos // 16 AS pos, any_value(n) AS n, list(digest ORDER BY pos) AS kids FROM {p}{i} WHERE n > 1 GROUP BY k, pos // 16)""")
+            out.append(f"""{p}{i + 1} AS MATERIALIZED (
+  SELECT k, pos, (n + 15) // 16 AS n, sha256(array_to_string(kids, '')) AS digest FROM {p}g{i})""")
+        tops = " UNION ALL ".join(f"SELECT k, digest FROM {p}{i} WHERE n = 1" for i in range(depth + 1))
+        return [*out, f"{p}top AS MATERIALIZED ({tops})"]
+
+    def fold(p: str, depth: int) -> list[str]:
+        out = []
+        for i in range(depth):
+            left, right = f"array_to_string(kids[1:{p}f{i}.pos % 16], '')", f"array_to_string(kids[{p}f{i}.pos % 16 + 2:], '')"
+            out.append(f"""{p}f{i + 1} AS MATERIALIZED (
+  SELECT r, {p}f{i}.k, {p}f{i}.pos // 16 AS pos, CASE WHEN kids IS NULL THEN cur ELSE sha256({left} || cur || {right}) END AS cur,
+         CASE WHEN kids IS NULL THEN proof ELSE proof || {left} || {right} END AS proof
+  FROM {p}f{i} LEFT JOIN {p}g{i} ON {p}g{i}.k = {p}f{i}.k AND {p}g{i}.pos = {p}f{i}.pos // 16)""")
+        return out
+
+    parts = [
+        """crc AS MATERIALIZED (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(list_prepend(b, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                          lambda a, x: xor(a >> 1, 3988292384 * (a & 1))) AS c FROM (SELECT unnest(range(256)) AS b)))""",
+        f"""d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('g' || source, '') AS k, {leaf("text")} AS leaf,
+         CASE WHEN xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                                   lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 5 = 0
+              THEN {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed
+  FROM documents, crc)""",
+        """placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY k) AS n FROM d)""",
+        "l0 AS (SELECT k, pos, n, leaf AS digest FROM placed)",
+        *climb("l", levels),
+        "s0 AS MATERIALIZED (SELECT '' AS k, k AS name, row_number() OVER (ORDER BY k) - 1 AS pos, count(*) OVER () AS n, digest FROM ltop)",
+        *climb("s", source_levels),
+        "lf0 AS (SELECT r, k, pos, coalesce(changed, leaf) AS cur, '' AS proof FROM placed)",
+        *fold("l", levels),
+        f"sf0 AS (SELECT r, '' AS k, s0.pos, cur, proof FROM lf{levels} JOIN s0 ON s0.name = lf{levels}.k)",
+        *fold("s", source_levels),
+    ]
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, leaf, ltop.digest AS subroot, stop.digest AS root, sha256(proof) AS proof_sha256, cur AS folded_root,
+       cur = stop.digest AS verified
+FROM placed JOIN sf{source_levels} USING (r) JOIN ltop ON ltop.k = placed.k CROSS JOIN stop"""
+
+
+@query("op13_merkle_manifest", _merkle_sql())
+def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    found = merkle.manifest(table(spark, folder, "documents", "doc_id", "source", "lang", "n_chars", "text"))
+    return found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
+        merkle.folded(F.coalesce("changed", "leaf"), F.col("path")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
