@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage, work_folder
-from . import ann, chat, decontam, licenses, merkle, neardup, packing, quality, secrets, token_counts, toxicity
+from . import ann, chat, decontam, licenses, merkle, neardup, packing, quality, secrets, token_counts, toxicity, whitening
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -274,3 +274,8 @@ def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
         merkle.folded(F.coalesce("changed", "leaf"), F.col("path")).alias("folded_root"),
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op12_embedding_whitening")
+def embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings", "vec_id", "embedding"))
