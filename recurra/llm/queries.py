@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage, work_folder
-from . import ann, chat, decontam, licenses, merkle, neardup, packing, quality, secrets, token_counts, toxicity, whitening
+from . import ann, chat, decontam, licenses, merkle, neardup, packing, quality, secrets, token_counts, toxicity, warc, whitening
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -279,3 +279,25 @@ def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_embedding_whitening")
 def embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings", "vec_id", "embedding"))
+
+
+# A digest's 160 bits are eight groups of 20, each four letters of the alphabet.
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (
+  SELECT *, row_number() OVER (PARTITION BY payload ORDER BY page_id DESC NULLS LAST) AS k,
+         first_value(page_id) OVER (PARTITION BY payload ORDER BY page_id DESC NULLS LAST) AS top FROM p)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((CAST('0x' || substr(h, i // 4 * 5 + 1, 5) AS BIGINT) >> (15 - i % 4 * 5)) & 31) + 1, 1)), '') AS payload_digest,
+       CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN top END AS refers_to
+FROM m"""
+
+
+@query("op11_warc_archives", WARC_SQL)
+def warc_archives(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages", "page_id", "url", "html")
+    packages = warc.write_archives(pages, warc.archive_folder(pages))
+    found = warc.read_archives(packages, payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
