@@ -4,24 +4,16 @@ from __future__ import annotations
 
 import math
 import time
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassifier,
-    LinearSVC,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    NaiveBayes,
-    RandomForestClassifier,
-)
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stage
+from . import learners, trees
 from .chunks import ordered_index
 from .grid import ROWS, block_grid
 
@@ -137,11 +129,45 @@ def gaussian_nb(train: DataFrame, test: DataFrame, smoothing: float = 1e-9) -> D
     )
 
 
-def knn_neighbors(train: DataFrame, test: DataFrame, k: int = 5, size: int = ROWS) -> DataFrame:
+def gaussian_nb_folds(rows: DataFrame, folds: list[int], smoothing: float = 1e-9) -> DataFrame:
+    """Gaussian naive Bayes of every fold from rows(row_id, label, feature, value, fold): (row_id, label, fold, prediction, score).
+
+    Each fold's moments are taken once; a training part is the merger of the other folds' moments.
+    """
+    own = rows.groupBy("fold", "label", "feature").agg(
+        F.count("value").alias("n"), F.avg("value").alias("mu"), (F.var_pop("value") * F.count("value")).alias("m2")
+    )
+    each = stage(own).withColumn("job", F.explode(F.array(*[F.lit(f) for f in folds]))).filter("fold <> job")
+
+    def merged(*keys: str) -> DataFrame:
+        n, s = F.sum("n"), F.sum(F.col("n") * F.col("mu"))
+        square = F.sum(F.col("m2") + F.col("n") * F.col("mu") * F.col("mu"))
+        return each.groupBy(*keys).agg(n.alias("n"), (s / n).alias("mu"), F.greatest(square / n - (s / n) * (s / n), F.lit(0.0)).alias("var"))
+
+    floor = merged("job", "feature").groupBy("job").agg((F.max("var") * smoothing).alias("floor"))
+    counts = merged("job", "label", "feature").groupBy("job", "label").agg(F.max("n").alias("c"))
+    prior = counts.withColumn("prior", F.log(F.col("c") / F.sum("c").over(Window.partitionBy("job")))).drop("c")
+    model = merged("job", "label", "feature").join(floor, "job").join(prior, ["job", "label"])
+    model = model.select(F.col("job").alias("fold"), F.col("label").alias("cls"), "feature", "mu", (F.col("var") + F.col("floor")).alias("var"), "prior")
+    gap = F.col("value") - F.col("mu")
+    part = -0.5 * F.log(2 * math.pi * F.col("var")) - gap * gap / (2 * F.col("var"))
+    by_class = rows.join(stage(model), ["fold", "feature"]).groupBy("row_id", "label", "fold", "cls")
+    scores = by_class.agg((F.sum(part) + F.max("prior")).alias("ll"))
+    by_row = scores.groupBy("row_id", "label", "fold").agg(
+        F.max(F.struct("ll", "cls")).alias("best"), F.max(F.struct("cls", "ll")).alias("top"), F.collect_list("ll").alias("all")
+    )
+    evidence = F.aggregate("all", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("best.ll")))
+    score = F.exp(F.col("top.ll") - F.col("best.ll")) / evidence
+    return by_row.select("row_id", "label", "fold", F.col("best.cls").alias("prediction"), score.alias("score"))
+
+
+def knn_neighbors(train: DataFrame, test: DataFrame, k: int = 5, size: int = ROWS, apart: str | None = None) -> DataFrame:
     """The k nearest training rows of every test row: (row_id, label, d, n_label), exact.
 
-    Vectors meet tile by tile; each tile keeps k candidates per test row.
+    Vectors meet tile by tile; each tile keeps k candidates per test row. Rows with the same value in the integer
+    column ``apart`` are no neighbours of each other.
     """
+    more = () if apart is None else (apart,)
     kinds = test.schema
     out = T.StructType(
         [
@@ -161,11 +187,14 @@ def knn_neighbors(train: DataFrame, test: DataFrame, k: int = 5, size: int = ROW
                 for j in range(left.shape[1]):
                     square += (left[:, j][:, None] - right[:, j][None, :]) ** 2
                 dist = np.sqrt(square)
+                if apart is not None:
+                    same = np.asarray(getattr(row, f"l_{apart}"))[:, None] == np.asarray(getattr(row, f"r_{apart}"))[None, :]
+                    dist[same] = np.inf
                 keep = min(k, dist.shape[1])
                 ids, labels = np.asarray(row.r_ids), np.asarray(row.r_labels)
                 near = np.lexsort((np.broadcast_to(ids, dist.shape), dist), axis=1)[:, :keep]
                 at = np.repeat(np.arange(len(left)), keep)
-                yield pd.DataFrame(
+                found = pd.DataFrame(
                     {
                         "row_id": np.asarray(row.l_ids)[at],
                         "label": np.asarray(row.l_labels)[at],
@@ -174,14 +203,15 @@ def knn_neighbors(train: DataFrame, test: DataFrame, k: int = 5, size: int = ROW
                         "n_label": labels[near.ravel()],
                     }
                 )
+                yield found[np.isfinite(found["d"])] if apart is not None else found
 
-    found = block_grid(test, train, size=size).mapInPandas(run, out)
+    found = block_grid(test, train, size=size, more=more).mapInPandas(run, out)
     order = Window.partitionBy("row_id").orderBy("d", "n_id")
     return found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
 
 
-def knn_vote(neighbors: DataFrame) -> DataFrame:
-    """Inverse-distance vote: (row_id, label, prediction, score of the larger label).
+def knn_vote(neighbors: DataFrame, positive=None) -> DataFrame:
+    """Inverse-distance vote: (row_id, label, prediction, score of the positive or else the larger label).
 
     A zero distance outweighs everything else, as the limit of 1 / d demands.
     """
@@ -193,80 +223,59 @@ def knn_vote(neighbors: DataFrame) -> DataFrame:
         .groupBy("row_id", "label", "n_label")
         .agg(F.sum("w").alias("w"))
     )
-    largest = neighbors.agg(F.max("n_label")).scalar()
+    largest = neighbors.agg(F.max("n_label")).scalar() if positive is None else F.lit(positive)
     return votes.groupBy("row_id", "label").agg(
         F.max(F.struct(F.col("w"), F.col("n_label")))["n_label"].alias("prediction"),
         (F.sum(F.when(F.col("n_label") == largest, F.col("w")).otherwise(0.0)) / F.sum("w")).alias("score"),
     )
 
 
-# --- estimators of pyspark.ml ------------------------------------------------------------------
+# --- models ------------------------------------------------------------------------------------
 
 MODELS = (
     "logistic_regression", "naive_bayes", "knn", "decision_tree", "svm", "random_forest", "mlp", "xgboost",
 )
 
 
-def estimator(name: str, features: int, rows: int, seed: int = 42, trees: int = 500, rounds: int = 300):
-    """The configured estimator; columns ``features``, ``y`` and ``weight``.
+def fitted(
+    name: str, rows: DataFrame, labels: tuple, folds: list[int], width: int, trees_: int | None = None,
+    rounds: int | None = None, seed: int = 42,
+) -> Callable[[], DataFrame]:
+    """Train one model per fold from rows(row_id, label, x, fold); what is returned predicts every row of these folds.
 
-    A penalty of strength C on summed losses is one of 1 / (C * rows) on averaged ones: C is 1 for the logistic
-    regression and 10 for the machine.
+    A row trains the models of all folds but its own; rows of other folds train all of them. Predictions are
+    (row_id, label, fold, prediction, score), the score belongs to the second of the two labels.
     """
-    common = {"featuresCol": "features", "labelCol": "y"}
-    if name == "logistic_regression":
-        return LogisticRegression(**common, weightCol="weight", maxIter=1000, regParam=1 / rows)
-    if name == "naive_bayes":
-        return NaiveBayes(**common, modelType="gaussian")
-    if name == "decision_tree":
-        return DecisionTreeClassifier(
-            **common, weightCol="weight", maxDepth=10, minInstancesPerNode=5, seed=seed
-        )
-    if name == "svm":
-        return LinearSVC(**common, weightCol="weight", maxIter=1000, regParam=1 / (10 * rows))
-    if name == "random_forest":
-        return RandomForestClassifier(
-            **common, weightCol="weight", numTrees=trees, maxDepth=10, minInstancesPerNode=2, seed=seed
-        )
-    if name == "mlp":
-        return MultilayerPerceptronClassifier(**common, layers=[features, 100, 50, 2], maxIter=800, seed=seed)
-    if name == "xgboost":
-        return GBTClassifier(
-            **common, maxIter=rounds, maxDepth=6, stepSize=0.1, subsamplingRate=0.8,
-            featureSubsetStrategy="0.8", seed=seed,
-        )
-    raise ValueError(f"unknown model {name}; one of {', '.join(MODELS)}")
-
-
-def scaled_gamma(vectors: DataFrame, features: int) -> float:
-    """1 / (features * variance of all components), the usual scale of an RBF kernel."""
-    spread = vectors.select(F.explode("x").alias("v")).agg(F.var_pop("v")).first()[0]
-    return 1.0 / (features * spread) if spread else 1.0 / features
-
-
-def rbf_map(vectors: DataFrame, features: int, gamma: float, components: int = 256, seed: int = 42) -> DataFrame:
-    """Random Fourier features of the RBF kernel, so that a linear machine approximates it."""
-    rng = np.random.default_rng(seed)
-    weights = rng.normal(scale=math.sqrt(2 * gamma), size=(features, components))
-    shift = rng.uniform(0, 2 * math.pi, size=components)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def project(x: pd.Series) -> pd.Series:
-        z = np.cos(np.stack(x.to_numpy()) @ weights + shift) * math.sqrt(2.0 / components)
-        return pd.Series(list(z))
-
-    return vectors.withColumn("x", project("x"))
+    negative, positive = labels
+    if name not in MODELS:
+        raise ValueError(f"unknown model {name}; one of {', '.join(MODELS)}")
+    inside = rows.filter(F.col("fold").isin(folds))
 
+    def told(scored: DataFrame, cut: float = 0.5) -> DataFrame:
+        called = F.when(F.col("score") > cut, F.lit(positive)).otherwise(F.lit(negative))
+        return scored.select("row_id", "label", "fold", called.alias("prediction"), "score")
 
-def prepare(vectors: DataFrame, positive, weights: DataFrame | None = None) -> DataFrame:
-    """(row_id, label, y, weight, features) for the estimators."""
-    rows = vectors if weights is None else vectors.join(weights.select("label", "weight"), "label")
-    if weights is None:
-        rows = rows.withColumn("weight", F.lit(1.0))
-    return rows.select(
-        "row_id", "label", (F.col("label") == positive).cast("double").alias("y"), "weight",
-        array_to_vector("x").alias("features"),
-    )
+    if name == "naive_bayes":
+        long = rows.select("row_id", "label", "fold", F.posexplode("x").alias("feature", "value"))
+        flip = negative > positive
+        found = gaussian_nb_folds(long, folds).filter(F.col("fold").isin(folds))
+        return lambda: found.withColumn("score", 1 - F.col("score")) if flip else found
+    if name == "knn":
+        near = knn_neighbors(rows, inside, size=128 if rows.count() <= 4096 else ROWS, apart="fold")
+        voted = knn_vote(stage(near), positive).join(inside.select("row_id", "fold").distinct(), "row_id")
+        return lambda: voted.select("row_id", "label", "fold", "prediction", "score")
+    if name in ("decision_tree", "random_forest", "xgboost"):
+        rule = trees.rule_of(name, width, trees_, rounds, seed)
+        model = trees.train(rows, positive, folds, rule)
+        return lambda: told(trees.predict(model, rows, rule.boosted))
+    if name == "logistic_regression":
+        weights = learners.logistic(rows, positive, folds)
+        return lambda: told(learners.scored(inside, weights, learners.logistic_score))
+    if name == "svm":
+        machines = learners.machine(rows, positive, folds)
+        return lambda: told(learners.scored(inside, machines, learners.machine_score), 0.0)
+    networks = learners.perceptron(rows, positive, folds, learners.Network(seed=seed))
+    return lambda: told(learners.scored(inside, networks, learners.network_score))
 
 
 def standardized(vectors: DataFrame) -> DataFrame:
@@ -306,13 +315,7 @@ def classify(df: DataFrame, subsets: dict[str, list[str]], models=MODELS, positi
         train, test = rows.filter("NOT is_test").drop("is_test"), rows.filter("is_test").drop("is_test")
         for name in models:
             own = (options or {}).get(name, {})
-            if name == "naive_bayes":
-                started = time.perf_counter()
-                long = [part.select("row_id", "label", F.posexplode("x").alias("feature", "value")) for part in (train, test)]
-                found = stage(gaussian_nb(*long))
-                times = {"train_time": 0.0, "predict_time": time.perf_counter() - started}
-            else:
-                found, times = fit_predict(name, train, test, labels, len(features), **own)
+            found, times = fit_predict(name, train, test, labels, len(features), **own)
             scores = weighted_scores(confusion(found)).first().asDict()
             record = {"subset": subset, "model_name": name, "n_train": train.count(), "n_test": test.count(), **scores, **times}
             record["roc_auc"] = roc_auc(found, labels[1]).first()["roc_auc"]
@@ -346,44 +349,40 @@ def fit_predict(
 
     ``train`` and ``test`` are vectors; ``labels`` is (negative, positive). Scoring is timed as the action that it is.
     """
-    negative, positive = labels
     width = width if width is not None else width_of(train)
     started = time.perf_counter()
-    if name == "knn":
-        found = knn_vote(knn_neighbors(train, test))
-        fitted = time.perf_counter()
-    else:
-        if name == "svm":
-            gamma = scaled_gamma(train, width)
-            train, test = rbf_map(train, width, gamma), rbf_map(test, width, gamma)
-        ready = prepare(train, positive, class_weights(train)).persist()
-        model = estimator(name, width, ready.count(), **options).fit(ready)
-        ready.unpersist()
-        fitted = time.perf_counter()
-        scored = model.transform(prepare(test, positive))
-        raw = "probability" if "probability" in scored.columns else "rawPrediction"
-        found = scored.select(
-            "row_id",
-            "label",
-            F.when(F.col("prediction") == 1, F.lit(positive)).otherwise(F.lit(negative)).alias("prediction"),
-            vector_to_array(raw)[1].alias("score"),
-        )
-    found = stage(found)
-    return found, {"train_time": fitted - started, "predict_time": time.perf_counter() - fitted}
+    columns = ("row_id", "label", "x")
+    parts = [part.select(*columns, F.lit(fold).alias("fold")) for part, fold in ((train, -1), (test, 0))]
+    predictions = fitted(name, stage(parts[0].unionByName(parts[1])), labels, [0], width, **_named(options))
+    done = time.perf_counter()
+    found = stage(predictions().drop("fold"))
+    return found, {"train_time": done - started, "predict_time": time.perf_counter() - done}
+
+
+def _named(options: dict) -> dict:
+    return {"trees_" if k == "trees" else k: v for k, v in options.items()}
+
+
+def fold_predictions(
+    name: str, vectors: DataFrame, labels: tuple, width: int | None = None, folds: int = 10, **options
+) -> DataFrame:
+    """Every row predicted by the model trained on the other folds: (row_id, label, fold, prediction, score)."""
+    rows = vectors if "fold" in vectors.columns else stage(cv_folds(vectors, folds=folds))
+    width = width if width is not None else width_of(rows)
+    return fitted(name, rows, labels, list(range(folds)), width, **_named(options))()
+
+
+def fold_scores(predictions: DataFrame) -> DataFrame:
+    """Mean and population deviation of the folds' weighted F1: one row (cv_f1_mean, cv_f1_std)."""
+    from .evaluate import weighted_f1_by
+
+    by_fold = weighted_f1_by(predictions, "fold")
+    return by_fold.agg(F.avg("f1_score").alias("cv_f1_mean"), F.stddev_pop("f1_score").alias("cv_f1_std"))
 
 
 def cross_validate(
     name: str, vectors: DataFrame, labels: tuple, width: int | None = None, folds: int = 10, **options
 ) -> tuple[float, float]:
     """Mean and population deviation of the weighted F1 over stratified folds."""
-    from .evaluate import confusion, weighted_scores
-
-    folded = cv_folds(vectors, folds=folds).persist()
-    scores = []
-    for fold in range(folds):
-        train = folded.filter(F.col("fold") != fold).drop("fold")
-        test = folded.filter(F.col("fold") == fold).drop("fold")
-        found, _ = fit_predict(name, train, test, labels, width, **options)
-        scores.append(weighted_scores(confusion(found)).first()["f1_score"])
-    folded.unpersist()
-    return float(np.mean(scores)), float(np.std(scores))
+    row = fold_scores(fold_predictions(name, vectors, labels, width, folds, **options)).first()
+    return row.cv_f1_mean, row.cv_f1_std

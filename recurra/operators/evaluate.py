@@ -48,6 +48,20 @@ def weighted_scores(table: DataFrame) -> DataFrame:
     )
 
 
+def weighted_f1_by(predictions: DataFrame, group: str) -> DataFrame:
+    """Support-weighted F1 of every group of predictions (group, label, prediction): (group, f1_score)."""
+    counts = predictions.groupBy(group, "label", "prediction").agg(F.count(F.lit(1)).alias("c"))
+    sides = counts.select(
+        group,
+        F.explode(F.array(
+            F.struct(F.col("label").alias("kind"), F.col("c").alias("s"), F.when(F.col("label") == F.col("prediction"), F.col("c")).otherwise(0).alias("tp"), F.lit(0).cast("long").alias("called")),
+            F.struct(F.col("prediction").alias("kind"), F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("tp"), F.col("c").alias("called")),
+        )).alias("p"),
+    ).groupBy(group, "p.kind").agg(*[F.sum(f"p.{c}").alias(c) for c in ("s", "tp", "called")])
+    own = F.col("s") * 2 * F.col("tp") / (F.col("s") + F.col("called"))
+    return sides.groupBy(group).agg((F.sum(own) / F.sum("s")).alias("f1_score"))
+
+
 def _by_score(predictions: DataFrame, positive) -> DataFrame:
     """Distinct scores in descending order with running positives and negatives."""
     hit = F.col("label") == positive

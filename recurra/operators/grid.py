@@ -19,35 +19,40 @@ def block_count(df: DataFrame, size: int):
     return df.agg(F.greatest(F.ceil(F.count(F.lit(1)) / size), F.lit(1)).cast("long")).scalar()
 
 
-def row_blocks(df: DataFrame, key: str, size: int = ROWS) -> DataFrame:
-    """(b, blocks, ids, labels, x): blocks of rows from (key, label, x array)."""
-    rows = df.select(F.col(key).alias("id"), "label", "x").withColumn("blocks", block_count(df, size))
+def row_blocks(df: DataFrame, key: str, size: int = ROWS, more: tuple[str, ...] = ()) -> DataFrame:
+    """(b, blocks, ids, labels, x, more...): blocks of rows from (key, label, x array, more...)."""
+    rows = df.select(F.col(key).alias("id"), "label", "x", *more).withColumn("blocks", block_count(df, size))
     placed = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")))
     return (
         spread(placed, "b")
         .groupBy("b")
         .agg(
             F.first("blocks").alias("blocks"),
-            F.array_sort(F.collect_list(F.struct("id", "label", "x"))).alias("_r"),
+            F.array_sort(F.collect_list(F.struct("id", "label", "x", *more))).alias("_r"),
         )
-        .select("b", "blocks", F.col("_r.id").alias("ids"), F.col("_r.label").alias("labels"), F.col("_r.x").alias("x"))
+        .select(
+            "b", "blocks", F.col("_r.id").alias("ids"), F.col("_r.label").alias("labels"),
+            F.col("_r.x").alias("x"), *[F.col(f"_r.{c}").alias(c) for c in more],
+        )
     )
 
 
-def block_grid(left: DataFrame, right: DataFrame | None = None, key: str = "row_id", size: int = ROWS) -> DataFrame:
+def block_grid(
+    left: DataFrame, right: DataFrame | None = None, key: str = "row_id", size: int = ROWS, more: tuple[str, ...] = ()
+) -> DataFrame:
     """One row per tile (br, bc, l_*, r_*) of two tables, or of one table's tiles br <= bc.
 
     Each side's blocks are copied along the other side's and meet in an equi-join on the tile.
     """
     zero = F.lit(0).cast("long")
-    names = ("ids", "labels", "x")
+    names = ("ids", "labels", "x", *more)
     if right is None:
-        rows = cols = row_blocks(left, key, size)
+        rows = cols = row_blocks(left, key, size, more)
         along_row = F.sequence(F.col("b"), F.col("blocks") - 1)
         along_col = F.sequence(zero, F.col("b"))
     else:
-        rows = row_blocks(left, key, size).withColumn("others", block_count(right, size))
-        cols = row_blocks(right, key, size).withColumn("others", block_count(left, size))
+        rows = row_blocks(left, key, size, more).withColumn("others", block_count(right, size))
+        cols = row_blocks(right, key, size, more).withColumn("others", block_count(left, size))
         along_row = along_col = F.sequence(zero, F.col("others") - 1)
     rows = rows.select(
         F.col("b").alias("br"), F.explode(along_row).alias("bc"), *[F.col(c).alias(f"l_{c}") for c in names]

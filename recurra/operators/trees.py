@@ -547,7 +547,7 @@ def _distributed(blocks: DataFrame, folds: list[int], rule, edges: list[np.ndarr
                             yield record_batch([block.row()], PACKED_TYPES)
 
                 blocks = stage(blocks.mapInArrow(moved, PACKED))
-    return stage(spark.createDataFrame(pa.Table.from_batches(batches).to_pandas(), MODEL))
+    return stage(spark.createDataFrame(pa.Table.from_batches(batches), MODEL))
 
 
 def fold_counts(blocks: DataFrame) -> dict[int, tuple[int, float]]:

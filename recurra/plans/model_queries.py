@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import r6
-from ..operators import classify, evaluate, selection
+from ..operators import classify, evaluate, selection, trees
 from ..session import stage
 from .common import FEATURES, features, report
 from .registry import query, rounded, with_ctes
@@ -436,10 +436,12 @@ def _fit(name, **options):
         rows = stage(classify.stratified_split(stage(classify.standardized(stage(_vectors(spark, folder))))))
         train, test = rows.filter("NOT is_test").drop("is_test"), rows.filter("is_test").drop("is_test")
         scored, _ = classify.fit_predict(name, train, test, ("Normal", "Pathol"), **options)
-        return evaluate.weighted_scores(evaluate.confusion(scored)).select(
-            F.lit(name).alias("model_name"),
-            *[r6(c).alias(c) for c in ("accuracy", "precision", "recall", "f1_score")],
-        )
+        scores = evaluate.weighted_scores(evaluate.confusion(scored))
+        area = evaluate.roc_auc(scored, "Pathol")
+        metrics = ("accuracy", "precision", "recall", "f1_score", "roc_auc")
+        # two tables of one row each
+        both = scores.withColumn("one", F.lit(1)).join(area.withColumn("one", F.lit(1)), "one")
+        return both.select(F.lit(name).alias("model_name"), *[r6(c).alias(c) for c in metrics])
 
     return build
 
@@ -451,13 +453,96 @@ for _name, _options in {
     query(f"model_{_name}")(_fit(_name, **_options))
 
 
+COARSE = """coarse AS (
+  SELECT vec_id AS r, CASE WHEN label < 5 THEN 0 ELSE 1 END AS y, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS k,
+         floor(CAST(unnest(embedding) AS DOUBLE) * 8) AS v FROM embeddings)"""
+
+
+def _tree_sql(depth, sums, gain, fits, least, is_open, value):
+    """A tree level by level: sums of (s0, s1) per node, feature and value, the best split of each node, its children."""
+    parts = [COARSE, *sums, "node0 AS MATERIALIZED (SELECT DISTINCT r, a, b, 1 AS heap FROM given)"]
+    for d in range(depth + 1):
+        parts.append(f"""total{d} AS MATERIALIZED (SELECT heap, sum(a) AS t0, sum(b) AS t1, count(*) AS tn FROM node{d} GROUP BY heap)""")
+        if d == depth:
+            parts.append(f"best{d} AS (SELECT 1 AS heap, 0 AS k, CAST(0 AS DOUBLE) AS v WHERE false)")
+            break
+        parts.append(f"""run{d} AS (
+  SELECT heap, k, v, sum(s0) OVER w AS l0, sum(s1) OVER w AS l1, sum(sn) OVER w AS ln FROM (
+    SELECT heap, k, v, sum(a) AS s0, sum(b) AS s1, count(*) AS sn FROM node{d} JOIN coarse USING (r) GROUP BY ALL)
+  WINDOW w AS (PARTITION BY heap, k ORDER BY v))""")
+        parts.append(f"""best{d} AS MATERIALIZED (
+  SELECT heap, k, v FROM (
+    SELECT heap, k, v, gain, row_number() OVER (PARTITION BY heap ORDER BY round(gain, 9) DESC, k, v) AS rn FROM (
+      SELECT *, t0 - l0 AS r0, t1 - l1 AS r1, tn - ln AS rn, {gain} AS gain FROM run{d} JOIN total{d} USING (heap) WHERE {is_open})
+    WHERE {fits}) WHERE rn = 1 AND gain > {least})""")
+        parts.append(f"""node{d + 1} AS MATERIALIZED (
+  SELECT r, a, b, 2 * heap + CAST(c.v > best{d}.v AS INTEGER) AS heap FROM node{d} JOIN best{d} USING (heap) JOIN coarse c USING (r, k))""")
+    rows = " UNION ALL ".join(f"SELECT heap, coalesce(k, -1) AS feature, v AS threshold, t0, t1 FROM total{d} LEFT JOIN best{d} USING (heap)" for d in range(depth + 1))
+    return with_ctes(*parts, tail=f"SELECT heap, feature, threshold, round({value}, 6) + 0.0 AS value FROM ({rows})")
+
+
+def _soft(g):
+    return f"(sign({g}) * greatest(abs({g}) - 0.1, 0))"
+
+
+def _worth(g, h):
+    return f"(CASE WHEN {h} + 1 > 0 THEN {_soft(g)} * {_soft(g)} / ({h} + 1) ELSE 0 END)"
+
+
+def _loss(a, b):
+    return f"(2 * {a} * {b} / greatest({a} + {b}, 1e-300))"
+
+
+def _coarse_rows(spark, folder):
+    """Vectors with few distinct values a component, so that bins are exact; all rows train fold 0."""
+    rows = _vectors(spark, folder).withColumn("x", F.transform("x", lambda v: F.floor(v * 8).cast("double")))
+    return stage(rows.withColumn("fold", F.lit(-1)))
+
+
+def _nodes(model):
+    return report(model, ["heap", "feature", "threshold"], ["value"])
+
+
+@query("boosted_round", _tree_sql(
+    3, ["given AS (SELECT r, CAST(0.5 - y AS DOUBLE) AS a, CAST(0.25 AS DOUBLE) AS b FROM (SELECT DISTINCT r, y FROM coarse))"],
+    f"({_worth('l0', 'l1')} + {_worth('(t0 - l0)', '(t1 - l1)')} - {_worth('t0', 't1')}) / 2", "l1 >= 1 AND r1 >= 1 AND rn > 0", 1e-6,
+    "t1 >= 2", f"-0.1 * {_soft('t0')} / (t1 + 1)"))
+def boosted_round(spark, folder):
+    """The first tree of the second-order booster on all rows, grown by one aggregation per level."""
+    rule = trees.Boosting(trees=1, depth=3, rows=1.0, columns=1.0)
+    return _nodes(trees.train(_coarse_rows(spark, folder), "Pathol", [0], rule, local_bytes=0))
+
+
+@query("impurity_tree", _tree_sql(
+    3, ["""given AS (
+  SELECT r, CASE WHEN y = 0 THEN n / (2 * (n - p)) ELSE 0 END AS a, CASE WHEN y = 1 THEN n / (2 * p) ELSE 0 END AS b
+  FROM (SELECT r, y, CAST(count(*) OVER () AS DOUBLE) AS n, CAST(sum(y) OVER () AS DOUBLE) AS p FROM (SELECT DISTINCT r, y FROM coarse)))"""],
+    f"{_loss('t0', 't1')} - {_loss('l0', 'l1')} - {_loss('(t0 - l0)', '(t1 - l1)')}", "ln >= 5 AND rn >= 5", -1e-9,
+    "tn >= 10 AND least(t0, t1) > 1e-9", "t1 / (t0 + t1)"))
+def impurity_tree(spark, folder):
+    """A class-balanced decision tree of least impurity on all rows, grown by one aggregation per level."""
+    rule = trees.Impurity(depth=3, min_split=10, min_leaf=5)
+    return _nodes(trees.train(_coarse_rows(spark, folder), "Pathol", [0], rule, local_bytes=0))
+
+
+@query("out_of_bag")
+def out_of_bag(spark, folder):
+    """Accuracy of the full-size forest on the rows that each tree's bag leaves out: one row."""
+    rows = stage(stage(classify.standardized(stage(_vectors(spark, folder)))).withColumn("fold", F.lit(-1)))
+    rule = trees.rule_of("random_forest", classify.width_of(rows))
+    scored = trees.out_of_bag(trees.train(rows, "Pathol", [0], rule), rows, rule, 0)
+    right = ((F.col("score") > 0.5) == (F.col("label") == "Pathol")).cast("double")
+    return scored.agg(F.count("score").alias("n_scored"), F.avg("trees").alias("trees_a_row"), r6(F.avg(right)).alias("oob_score"))
+
+
 @query("cross_validation")
 def cross_validation(spark, folder):
-    """Ten-fold weighted F1 of every model on standardised vectors: one row per model."""
+    """Ten-fold weighted F1 of every model on standardised vectors, all folds of a model at once: one row per model."""
     vectors = stage(classify.standardized(stage(_vectors(spark, folder))))
-    width = classify.width_of(vectors)
-    found = []
+    width, rows = classify.width_of(vectors), stage(classify.cv_folds(vectors))
+    found = None
     for name in classify.MODELS:
-        mean, std = classify.cross_validate(name, vectors, ("Normal", "Pathol"), width)
-        found.append((name, round(mean, 6), round(std, 6)))
-    return spark.createDataFrame(found, "model_name string, cv_f1_mean double, cv_f1_std double")
+        scores = classify.fold_scores(stage(classify.fold_predictions(name, rows, ("Normal", "Pathol"), width)))
+        own = scores.select(F.lit(name).alias("model_name"), r6("cv_f1_mean").alias("cv_f1_mean"), r6("cv_f1_std").alias("cv_f1_std"))
+        found = own if found is None else found.unionByName(own)
+    return found

@@ -110,3 +110,34 @@ def test_perceptron_learns_and_stops_early(rows, data):
     assert all(m["losses"][-1] < 0.5 * m["losses"][0] for m in patient.values())
     found = learners.scored(rows, patient, learners.network_score).collect()
     assert np.mean([(r.score > 0.5) == (r.label == "P") for r in found]) > 0.8
+
+
+@pytest.mark.parametrize("name", ["naive_bayes", "knn", "decision_tree", "svm", "random_forest", "mlp", "xgboost", "logistic_regression"])
+def test_fold_scores_are_those_of_single_fits(rows, name):
+    from recurra.operators import classify
+
+    options = {"random_forest": {"trees": 20}, "xgboost": {"rounds": 10}}.get(name, {})
+    together = {r.row_id: r for r in classify.fold_predictions(name, rows, ("N", "P"), 6, 4, **options).collect()}
+    assert len(together) == 500
+    train, test = rows.filter("fold <> 2").drop("fold"), rows.filter("fold = 2").drop("fold")
+    alone, times = classify.fit_predict(name, train, test, ("N", "P"), 6, **options)
+    for r in alone.collect():
+        assert r.prediction == together[r.row_id].prediction and abs(r.score - together[r.row_id].score) < 1e-6
+    assert set(times) == {"train_time", "predict_time"}
+    assert np.mean([r.prediction == r.label for r in together.values()]) > 0.6
+
+
+def test_weighted_f1_by_fold(spark):
+    from recurra.operators import classify, evaluate
+
+    rng = np.random.default_rng(2)
+    table = [(int(f), "ab"[a], "ab"[b]) for f, a, b in zip(rng.integers(0, 3, 200), rng.integers(0, 2, 200), rng.integers(0, 2, 200))]
+    table += [(3, "a", "a"), (3, "a", "a"), (4, "a", "b")]
+    df = spark.createDataFrame(table, "fold int, label string, prediction string")
+    got = {r.fold: r.f1_score for r in evaluate.weighted_f1_by(df, "fold").collect()}
+    for f in range(5):
+        own = df.filter(F.col("fold") == f)
+        want = evaluate.weighted_scores(evaluate.confusion(own)).first().f1_score
+        assert abs(got[f] - want) < 1e-12
+    row = classify.fold_scores(df).first()
+    assert abs(row.cv_f1_mean - np.mean(list(got.values()))) < 1e-12 and abs(row.cv_f1_std - np.std(list(got.values()))) < 1e-12

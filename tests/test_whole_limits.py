@@ -27,10 +27,10 @@ def test_records_look_beyond_eight_lags(spark, tmp_path):
     assert 1 <= record.tau_mi <= 100 and 1 <= record.dim_fnn <= 10
 
 
-def test_cross_validation_covers_every_model(spark, monkeypatch):
-    monkeypatch.setattr(classify, "cross_validate", lambda name, *a, **b: (len(name) / 100, 0.0))
+def test_cross_validation_covers_every_model(spark):
     rows = entry.queries()["cross_validation"](spark, "/root/testdata/sf0.001").collect()
-    assert [(r.model_name, r.cv_f1_mean) for r in rows] == [(name, len(name) / 100) for name in classify.MODELS]
+    assert [r.model_name for r in rows] == list(classify.MODELS)
+    assert all(0.3 < r.cv_f1_mean < 0.7 and 0 < r.cv_f1_std < 0.2 for r in rows)  # labels of these vectors are random
 
 
 def test_series_without_a_delay_vector_give_no_row(series):
