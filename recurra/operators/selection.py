@@ -16,6 +16,7 @@ from ..session import stage
 from .blocks import map_rows
 from .chunks import chunk_with_halo, ordered_index, running_totals
 from .grid import ROWS, block_grid
+from .inversions import sign_products
 
 VALUE_CHUNKS = 4096
 
@@ -263,11 +264,11 @@ def average_ranks(long: DataFrame) -> DataFrame:
 def correlation_matrix(vectors: DataFrame, method: str = "pearson") -> DataFrame:
     """All feature pairs: (a, b, r), r NULL for a constant feature.
 
-    Pearson: every task adds up its centred cross products. Kendall: sign products over a grid of
-    row blocks. For Spearman pass vectors of ``average_ranks`` to Pearson.
+    Pearson: every task adds up its centred cross products. Kendall: inversions, counted by sorting
+    inside chunks and by numbers of rows between them. For Spearman pass vectors of ``average_ranks`` to Pearson.
     """
     if method == "kendall":
-        products = _sign_products(vectors)
+        products = sign_products(vectors)
     elif method == "pearson":
         products = _cross_products(vectors)
     else:
@@ -299,23 +300,6 @@ def _cross_products(vectors: DataFrame) -> DataFrame:
     return vectors.select("x", centre.alias("mu")).mapInPandas(run, "a int, b int, s double")
 
 
-def _sign_products(vectors: DataFrame, size: int = 128) -> DataFrame:
-    """Sum over row pairs of sign(difference) products, from tiles of row blocks."""
-
-    def kernel(row):
-        left, right = np.stack(row.l_x), np.stack(row.r_x)
-        signs = np.sign(left[:, None, :] - right[None, :, :])
-        if row.br == row.bc:
-            signs = signs[np.triu_indices(len(left), 1)]
-        signs = signs.reshape(-1, left.shape[1])
-        total = signs.T @ signs
-        a, b = np.indices(total.shape)
-        return {"a": a.ravel(), "b": b.ravel(), "s": total.ravel()}
-
-    tiles = block_grid(vectors, size=size)
-    return map_rows(tiles, "br", "a int, b int, s double", kernel)
-
-
 def drop_redundant(
     ranked: DataFrame, pairs: DataFrame, limit: int = 15, threshold: float = 0.85
 ) -> DataFrame:

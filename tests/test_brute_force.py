@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recurra.operators import classify, gabor, params, recurrence, segment, selection, tamura, texture
+from recurra.operators import inversions, classify, gabor, params, recurrence, segment, selection, tamura, texture
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +25,18 @@ def test_kendall(table):
         assert r.r == pytest.approx(a @ b / np.sqrt((a @ a) * (b @ b)))
 
 
+@pytest.mark.parametrize("n, size", [(700, 64), (700, 1 << 15), (1, 64), (2, 1)])
+def test_inversions_over_chunks_with_ties(spark, n, size):
+    rng = np.random.default_rng(n)
+    x = np.stack([rng.normal(size=n), rng.integers(0, 6, n), np.where(rng.random(n) < 0.5, 0.0, rng.normal(size=n)), np.ones(n)], axis=1)
+    x[:, 1] += np.round(x[:, 0])
+    df = spark.createDataFrame([([float(v) for v in row],) for row in x], "x array<double>").repartition(5)
+    found = {(r.a, r.b): r.s for r in inversions.sign_products(df, size).collect()}
+    pairs = np.triu_indices(n, 1)
+    signs = [np.sign(x[:, None, k] - x[None, :, k])[pairs] for k in range(4)]
+    assert found == {(a, b): float(signs[a] @ signs[b]) for a in range(4) for b in range(4)}
+
+
 def test_explained_variance(table):
     x, _, df = table
     z = (x - x.mean(axis=0)) / x.std(axis=0)
