@@ -2,14 +2,19 @@
 
 The tree is fitted on a bounded sample and is small; every row is then filed under a leaf. A query walks the tree
 with a priority queue of nodes, most promising centre first, and visits leaves in that order. How many is
-calibrated: visits are doubled until a set of queries finds enough of its true neighbours, which are known from a scan.
+calibrated: as many as a set of queries needs to find enough of its true neighbours, which are known from a scan.
 
-Leaves are dealt into blocks, so the rows of a leaf that holds a third of the table are searched by many tasks.
-Candidates are preselected by matrix products with a margin; scores are then summed in a fixed order, so equal
-vectors have equal scores wherever they stand and ties go to the smaller id.
+Leaves that stand together in the tree form zones of bounded size, a large leaf's rows are dealt into several. Visits
+are made in rounds, each to a few times as many leaves as all before. The k-th score so far is a floor: a leaf whose
+ball (centre, largest distance of its rows) cannot reach it is not visited, and rows below it are not reported. So a
+query reports a few times k rows a round, however many leaves there are, and zones that no query needs are not copied.
+Scores are summed in a fixed order, so equal vectors have equal scores wherever they stand and ties go to the smaller id.
 
+* At least k rows besides the own one are seen by every query, or all there are.
 * Rows whose id or vector is null, whose vector is zero, or holds a null or non-finite component, take no part; nor do
   vectors of another length than most. Repeated rows are candidates of their own. Empty tables give empty results.
+* Leaves are at most MOST_LEAVES; beyond LEAF_ROWS times as many rows they grow in proportion. Only the named columns
+  are read.
 """
 
 from __future__ import annotations
@@ -27,9 +32,10 @@ from ..session import stage
 
 SAMPLE = 20_000  # most rows that the tree is fitted on
 CALIBRATION = 200  # most queries whose true neighbours are looked up to choose the number of visits
-LEAF_ROWS, MOST_LEAVES, BRANCH = 512, 1024, 16
-BLOCK = 4096
-TARGET = 0.98
+LEAF_ROWS, MOST_LEAVES, BRANCH = 48, 1024, 16
+BLOCK = 4096  # most rows of a zone's part, most queries of a block
+FIRST, GROWTH = 8, 8  # leaves of the first round, and how much further each next one goes
+TARGET = 0.95
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -103,13 +109,22 @@ class Tree:
             open_nodes += [(child, rows[own == c]) for c, child in enumerate(self.children[node])]
         return out
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """The first leaves, at most `most`, in the order of a best-bin-first walk."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+    def leaf_centres(self, width: int) -> np.ndarray:
+        out = np.zeros((self.leaves, width))
+        for node, children in enumerate(self.children):
+            for centre, child in zip(self.centres[node], children):
+                if self.leaf[child] >= 0:
+                    out[self.leaf[child]] = centre
+        return out
+
+    def visits(self, query: np.ndarray, most: int, sizes: np.ndarray | None = None, rows: int = 0) -> list[int]:
+        """The first leaves in the order of a best-bin-first walk: `most`, or more until they hold `rows` rows."""
+        queue, out, held = [(0.0, 0)], [], 0
+        while queue and (len(out) < most or held < rows):
             _, node = heapq.heappop(queue)
             if self.leaf[node] >= 0:
                 out.append(self.leaf[node])
+                held += 0 if sizes is None else int(sizes[self.leaf[node]])
                 continue
             for worth, child in zip(self.centres[node] @ query, self.children[node]):
                 heapq.heappush(queue, (-float(worth), child))
@@ -179,7 +194,7 @@ def best(found: DataFrame, k: int) -> DataFrame:
 
 
 def calibrate(filed: DataFrame, tree: Tree, is_query: Column, k: int, target: float) -> int:
-    """The smallest number of leaf visits, doubled from one, at which the calibration queries reach the target."""
+    """The smallest number of leaf visits at which the calibration queries find the target share of their neighbours."""
     chosen = filed.filter(is_query).orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(CALIBRATION)
     queries = [(row.vec_id, list(row.v)) for row in chosen.select("vec_id", "v").collect()]
     if not queries:
@@ -188,10 +203,19 @@ def calibrate(filed: DataFrame, tree: Tree, is_query: Column, k: int, target: fl
     leaves = truth.join(filed.select("vec_id", "leaf").distinct(), "vec_id").select("query_id", "leaf").collect()
     order = {i: {leaf: at for at, leaf in enumerate(tree.visits(np.array(v), tree.leaves))} for i, v in queries}
     ranks = np.array([order[row.query_id][row.leaf] for row in leaves])
-    visits = 1
-    while visits < tree.leaves and (ranks < visits).mean() < target:
-        visits *= 2
-    return min(visits, tree.leaves)
+    if not len(ranks):
+        return 1
+    return int(np.sort(ranks)[max(0, int(np.ceil(target * len(ranks))) - 1)]) + 1
+
+
+def nearest_first(found: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    """(query_id, vec_id, score) of several searches, cut to the k best a query."""
+    q, ids, score = (np.concatenate(part) for part in zip(*found))
+    order = np.lexsort((ids, -score, q))
+    q, ids, score = q[order], ids[order], score[order]
+    starts = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.zeros(0, dtype=int)
+    keep = np.arange(len(q)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(q)])))) < k
+    return q[keep], ids[keep], score[keep]
 
 
 def neighbours(
@@ -205,63 +229,116 @@ def neighbours(
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.filter(F.size("v") == lengths[0].d)
     leaves = min(MOST_LEAVES, max(1, lengths[0].n // LEAF_ROWS))
-    tree = fit(rows, 1 / leaves, sample)
+    tree, width = fit(rows, 1 / leaves, sample), lengths[0].d
     parts_of_tree = spark.sparkContext.broadcast((tree.centres, tree.children, tree.leaf))  # bounded by the sample
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = Tree(*parts_of_tree.value)
+        centres = tree.leaf_centres(width)
         for batch in batches:
-            leaf = tree.file(matrix(batch.column("v"))) if batch.num_rows else np.zeros(0, dtype=np.int32)
-            yield batch.append_column("leaf", pa.array(leaf, pa.int32()))
+            if batch.num_rows:
+                v = matrix(batch.column("v"))
+                leaf = tree.file(v)
+                away = np.sqrt(((v - centres[leaf]) ** 2).sum(axis=1))
+                yield batch.append_column("leaf", pa.array(leaf, pa.int32())).append_column("away", pa.array(away))
 
     is_query = F.col("vec_id") % every == 0
-    filed = stage(rows.mapInArrow(file, "vec_id long, v array<double>, leaf int"))
+    filed = stage(rows.mapInArrow(file, "vec_id long, v array<double>, leaf int, away double"))
     visits = calibrate(filed, tree, is_query, k, target)
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = Tree(*parts_of_tree.value)
+    # Sizes and radii of the leaves, at most MOST_LEAVES rows, and the zones that neighbouring leaves form.
+    sizes, radii, asks = np.zeros(tree.leaves, dtype=np.int64), np.zeros(tree.leaves), np.zeros(tree.leaves, dtype=np.int64)
+    stats = filed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("r"), F.sum(is_query.cast("long")).alias("q"))
+    for row in stats.collect():
+        sizes[row.leaf], radii[row.leaf], asks[row.leaf] = row.n, row.r, row.q
+    zone = np.zeros(tree.leaves, dtype=np.int64)
+    for leaf in range(1, tree.leaves):
+        held = sizes[:leaf][zone[:leaf] == zone[leaf - 1]].sum()
+        zone[leaf] = zone[leaf - 1] + (held + sizes[leaf] > BLOCK)
+    row_parts = np.maximum(1, -(-np.bincount(zone, sizes) // BLOCK)).astype(np.int64)
+    ask_parts = np.maximum(1, -(-np.bincount(zone, asks) // BLOCK)).astype(np.int64)
+    layout = spark.sparkContext.broadcast((sizes, radii, zone, row_parts))  # a few numbers a leaf
+
+    def at(values: np.ndarray, position: Column) -> Column:
+        return F.get(F.array(*[F.lit(int(v)) for v in values]), position)
+
+    def dealt(parts: np.ndarray, position: Column) -> Column:
+        return F.pmod(F.xxhash64("vec_id"), at(parts, position).cast("long")).cast("int")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, (sizes, *_) = Tree(*parts_of_tree.value), layout.value
         for batch in batches:
-            seen = [tree.visits(v, visits) for v in matrix(batch.column("v"))]
-            at = pa.array(np.repeat(np.arange(batch.num_rows), [len(s) for s in seen]))
-            leaf = pa.array([leaf for s in seen for leaf in s], pa.int32())
-            visit = pa.array([k for s in seen for k in range(len(s))], pa.int32())
-            yield batch.select(["vec_id", "v"]).take(at).append_column("leaf", leaf).append_column("visit", visit)
-
-    asked = filed.filter(is_query).select("vec_id", "v").distinct()
-    probes = stage(asked.mapInArrow(probe, "vec_id long, v array<double>, leaf int, visit int"))
-
-    # A leaf is dealt into blocks of rows and its probes into blocks of queries; every pair of blocks is one cell.
-    sizes = {row.leaf: row.n for row in filed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # bounded
-    asks = {row.leaf: row.n for row in probes.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-
-    def parts(counts: dict[int, int]) -> Column:
-        cut = F.array(*[F.lit(-(-counts.get(leaf, 1) // BLOCK)) for leaf in range(tree.leaves)])
-        return F.get(cut, F.col("leaf"))
-
-    def blocks(rows: DataFrame, own: str, own_parts: Column, other: str, other_parts: Column, *more: str) -> DataFrame:
-        mine = F.pmod(F.xxhash64("vec_id"), own_parts.cast("long")).cast("int")
-        each = F.explode(F.sequence(F.lit(0), other_parts - 1)).alias(other)
-        return rows.select("vec_id", "v", "leaf", *more, mine.alias(own), each)
-
-    rows_cut = blocks(filed, "row_block", parts(sizes), "query_block", parts(asks))
-
-    def search(asked: pa.Table, filed: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
-        if not asked.num_rows or not filed.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names=names)
-        q, v = (matrix(t.column("v").combine_chunks()) for t in (asked, filed))
-        ids, floor = asked.column("vec_id").to_numpy(), asked.column("floor").to_numpy()
-        found = top(ids, q, filed.column("vec_id").to_numpy(), v, k, floor)
-        return pa.table([pa.array(x) for x in found], names=names)
-
-    def searched(asked: DataFrame) -> DataFrame:
-        cell = ("leaf", "row_block", "query_block")
-        cut = blocks(asked, "query_block", parts(asks), "row_block", parts(sizes), "floor")
-        return cut.groupBy(*cell).cogroup(rows_cut.groupBy(*cell)).applyInArrow(search, FOUND)
-
-    # The best leaf comes first: its k-th score is a floor for what the other leaves need to report.
+            if batch.num_rows:
+                seen = [tree.visits(v, visits, sizes, k + 1) for v in matrix(batch.column("v"))]
+                yield batch.append_column("leaves", pa.array(seen, pa.list_(pa.int32())))
+
+    filed = filed.drop("away").withColumn("zone", at(zone, F.col("leaf")))
+    asked = filed.filter(is_query).select("vec_id", "v", "zone").distinct()
+    block = F.col("zone").cast("long") * (1 << 20) + dealt(ask_parts, F.col("zone"))
+    asked = stage(asked.select("vec_id", "v", block.alias("query_block")).mapInArrow(walk, "vec_id long, v array<double>, query_block long, leaves array<int>"))
+    placed = filed.select("vec_id", "v", "leaf", "zone", dealt(row_parts, F.col("zone")).alias("part"))
+    longest = asked.agg(F.max(F.size("leaves"))).first()[0] or 0
+
+    def searched(asked: DataFrame, first: int, last: int) -> DataFrame:
+        """What the visits `first` to `last` find: each query's leaves of one zone are searched together."""
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tree, (_, radii, zone, row_parts) = Tree(*parts_of_tree.value), layout.value
+            centres = tree.leaf_centres(width)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                q, floor = matrix(batch.column("v")), batch.column("floor").to_numpy()
+                own, zones, parts, lists = [], [], [], []
+                for i, leaves in enumerate(batch.column("leaves").to_pylist()):
+                    leaves = np.array(leaves[first:last], dtype=np.int64)
+                    length = np.linalg.norm(q[i])
+                    reach = centres[leaves] @ q[i] + length * radii[leaves]
+                    leaves = leaves[reach * (1 + 1e-9) + 1e-9 * length >= floor[i]]
+                    for z in np.unique(zone[leaves]):
+                        inside = leaves[zone[leaves] == z].tolist()
+                        for part in range(row_parts[z]):
+                            own.append(i)
+                            zones.append(z)
+                            parts.append(part)
+                            lists.append(inside)
+                out = batch.select(["vec_id", "v", "floor", "query_block"]).take(pa.array(own, pa.int64()))
+                for name, values, kind in (("zone", zones, pa.int32()), ("part", parts, pa.int32()), ("leaves", lists, pa.list_(pa.int32()))):
+                    out = out.append_column(name, pa.array(values, kind))
+                yield out
+
+        def search(asked: pa.Table, rows: pa.Table) -> pa.Table:
+            found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+            if asked.num_rows and rows.num_rows:
+                q, v = (matrix(t.column("v").combine_chunks()) for t in (asked, rows))
+                q_ids, ids = asked.column("vec_id").to_numpy(), rows.column("vec_id").to_numpy()
+                floor, leaf = asked.column("floor").to_numpy().copy(), rows.column("leaf").to_numpy()
+                lists = asked.column("leaves").combine_chunks()
+                who = np.repeat(np.arange(asked.num_rows), np.diff(lists.offsets.to_numpy()))
+                wanted = lists.flatten().to_numpy()
+                for one in np.unique(leaf):
+                    mine, own = who[wanted == one], np.flatnonzero(leaf == one)
+                    if len(mine):
+                        found.append(top(q_ids[mine], q[mine], ids[own], v[own], k, floor[mine]))
+                        if len(found) > 32:
+                            found = [nearest_first(found, k)]
+            return pa.table([pa.array(x) for x in nearest_first(found, k)], names=["query_id", "vec_id", "score"])
+
+        sent = stage(asked.mapInArrow(send, "vec_id long, v array<double>, floor double, query_block long, zone int, part int, leaves array<int>"))
+        cells = stage(sent.select("zone", "query_block").distinct())
+        cell = ("zone", "part", "query_block")
+        return sent.groupBy(*cell).cogroup(placed.join(cells, "zone").groupBy(*cell)).applyInArrow(search, FOUND)
+
+    # Each round's k-th scores are the floors of the next.
     none = F.lit(float("-inf"))
-    near = stage(best(searched(probes.filter("visit = 0").withColumn("floor", none)), k))
-    floors = near.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
-    others = probes.filter("visit > 0").join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", none))
-    return best(near.drop("rank").unionByName(searched(others)), k)
+    near, first, last = None, 0, FIRST
+    while near is None or first < longest:
+        if near is None:
+            open_queries = asked.withColumn("floor", none)
+        else:
+            floors = near.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+            open_queries = asked.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", none))
+        found = searched(open_queries, first, last)
+        near = stage(best(found if near is None else near.drop("rank").unionByName(found), k))
+        first, last = last, last * GROWTH
+    return near

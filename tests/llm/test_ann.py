@@ -74,3 +74,32 @@ def test_walk_visits_every_leaf_once():
     seen = tree.visits(points[0], tree.leaves)
     assert sorted(seen) == list(range(tree.leaves)) and tree.leaves > 30
     assert tree.visits(points[0], 5) == seen[:5]
+
+
+def test_recall_on_the_tables_own_vectors(spark, monkeypatch):
+    used = []
+    calibrate = ann.calibrate
+    monkeypatch.setattr(ann, "calibrate", lambda filed, tree, *rest: used.append((calibrate(filed, tree, *rest), tree.leaves)) or used[-1][0])
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    table = df.collect()
+    ids, x = np.array([r.vec_id for r in table]), np.array([r.embedding for r in table], dtype=float)
+    found = {}
+    for r in ann.neighbours(df).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = []
+    for at in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[at]
+        score[at] = -np.inf
+        hits.append(len(found[ids[at]] & set(ids[np.argsort(-score)[:20]].tolist())))
+    assert np.mean(hits) >= 0.9 * 20 and {len(v) for v in found.values()} == {20}
+    assert used[0][0] < used[0][1]  # not every leaf is visited
+
+
+def test_every_query_finds_k_among_tiny_leaves(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [1.0, 0.5, 2.0]) for i in range(600)] + [(1000 + i, [float(c) for c in 9 * rng.normal(size=3)]) for i in range(300)]
+    found = ann.neighbours(table(spark, rows), every=20, k=20).collect()
+    counts = {}
+    for r in found:
+        counts[r.query_id] = counts.get(r.query_id, 0) + 1
+    assert set(counts.values()) == {20} and len(counts) == 45
