@@ -218,6 +218,16 @@ def nearest_first(found: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarr
     return q[keep], ids[keep], score[keep]
 
 
+def packed_zones(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The zone of each leaf, neighbours together up to BLOCK rows, and the parts that each zone's rows are dealt into."""
+    zone, held = np.zeros(len(sizes), dtype=np.int64), 0
+    for leaf, size in enumerate(sizes):
+        new = leaf > 0 and held + size > BLOCK
+        held = size if new else held + size
+        zone[leaf] = zone[leaf - 1] + new if leaf else 0
+    return zone, np.maximum(1, np.ceil(np.bincount(zone, sizes) / BLOCK)).astype(np.int64)
+
+
 def neighbours(
     vectors: DataFrame, every: int = 20, k: int = 20, sample: int = SAMPLE, target: float = TARGET
 ) -> DataFrame:
@@ -251,12 +261,8 @@ def neighbours(
     stats = filed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("r"), F.sum(is_query.cast("long")).alias("q"))
     for row in stats.collect():
         sizes[row.leaf], radii[row.leaf], asks[row.leaf] = row.n, row.r, row.q
-    zone = np.zeros(tree.leaves, dtype=np.int64)
-    for leaf in range(1, tree.leaves):
-        held = sizes[:leaf][zone[:leaf] == zone[leaf - 1]].sum()
-        zone[leaf] = zone[leaf - 1] + (held + sizes[leaf] > BLOCK)
-    row_parts = np.maximum(1, -(-np.bincount(zone, sizes) // BLOCK)).astype(np.int64)
-    ask_parts = np.maximum(1, -(-np.bincount(zone, asks) // BLOCK)).astype(np.int64)
+    zone, row_parts = packed_zones(sizes)
+    ask_zone, ask_parts = packed_zones(asks)
     layout = spark.sparkContext.broadcast((sizes, radii, zone, row_parts))  # a few numbers a leaf
 
     def at(values: np.ndarray, position: Column) -> Column:
@@ -272,9 +278,9 @@ def neighbours(
                 seen = [tree.visits(v, visits, sizes, k + 1) for v in matrix(batch.column("v"))]
                 yield batch.append_column("leaves", pa.array(seen, pa.list_(pa.int32())))
 
-    filed = filed.drop("away").withColumn("zone", at(zone, F.col("leaf")))
-    asked = filed.filter(is_query).select("vec_id", "v", "zone").distinct()
-    block = F.col("zone").cast("long") * (1 << 20) + dealt(ask_parts, F.col("zone"))
+    filed = filed.drop("away").withColumn("zone", at(zone, F.col("leaf"))).withColumn("ask_zone", at(ask_zone, F.col("leaf")))
+    asked = filed.filter(is_query).select("vec_id", "v", "ask_zone").distinct()
+    block = F.col("ask_zone").cast("long") * (1 << 20) + dealt(ask_parts, F.col("ask_zone"))
     asked = stage(asked.select("vec_id", "v", block.alias("query_block")).mapInArrow(walk, "vec_id long, v array<double>, query_block long, leaves array<int>"))
     placed = filed.select("vec_id", "v", "leaf", "zone", dealt(row_parts, F.col("zone")).alias("part"))
     longest = asked.agg(F.max(F.size("leaves"))).first()[0] or 0
