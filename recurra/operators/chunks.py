@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lerp
+from ..session import stage
 
 QUANTILE_BINS = 4096
 
@@ -19,6 +20,15 @@ def hour_chunk(ts: str, hours: int = 1) -> Column:
     return F.floor((F.unix_date(F.to_date(ts)) * 24 + F.hour(ts)) / F.lit(hours))
 
 
+def range_chunks(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """Add ``_range``, a chunk number that never falls in the order of each key's rows.
+
+    Chunks are the ranges of a range partitioning, whose borders Spark takes from a sample of the rows: they hold about
+    equally many rows however far apart the values lie. The result is written, so the numbers stay when tasks repeat.
+    """
+    return stage(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+
+
 def ordered_index(df: DataFrame, key: str, order_by: list[str], chunk: Column) -> DataFrame:
     """Add ``i`` (0-based position in the key's order) and ``n`` (length of the key).
 
@@ -166,9 +176,19 @@ def exact_quantiles(df: DataFrame, group: str, value: str, probs: dict[str, floa
     counts = binned.groupBy(group, "_bin").agg(
         F.count(F.lit(1)).alias("_c"), F.first("n").alias("n")
     )
-    wanted = wanted_bins(counts, group, probs)
+    # The bins that hold a wanted rank are cut once more, so that one far value does not leave all others in one bin.
+    first = wanted_bins(counts, group, probs).withColumnRenamed("_before", "_base")
+    share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * QUANTILE_BINS - F.col("_bin")
+    within = F.greatest(F.lit(0), F.least(F.floor(share * QUANTILE_BINS), F.lit(QUANTILE_BINS - 1)))
+    split = (
+        binned.select(group, "_bin", "_v", F.when(F.col("_hi") > F.col("_lo"), within).otherwise(0).alias("_sub"))
+        .join(first, [group, "_bin"])
+        .withColumn("_bin", F.col("_bin") * QUANTILE_BINS + F.col("_sub"))
+    )
+    parts = split.groupBy(group, "_bin").agg(F.count(F.lit(1)).alias("_c"), F.first("n").alias("n"), F.first("_base").alias("_base"))
+    wanted = wanted_bins(parts, group, probs, base="_base")
     inside = (
-        binned.select(group, "_bin", "_v")
+        split.select(group, "_bin", "_v")
         .join(wanted, [group, "_bin"])
         .groupBy(group, "_bin", "_v", "_before", "n")
         .agg(F.count(F.lit(1)).alias("_c"))
@@ -184,12 +204,15 @@ def _ranks(probs: dict[str, float]) -> dict[str, tuple[Column, Column, Column]]:
     return out
 
 
-def wanted_bins(counts: DataFrame, group: str | list[str], probs: dict[str, float]) -> DataFrame:
-    """Bins that hold a wanted rank: (group, _bin, _before, n) from (group, _bin, _c, n)."""
-    w = Window.partitionBy(*_names(group)).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    cum = counts.withColumn("_cum", F.sum("_c").over(w)).withColumn(
-        "_before", F.col("_cum") - F.col("_c")
-    )
+def wanted_bins(counts: DataFrame, group: str | list[str], probs: dict[str, float], base: str | None = None) -> DataFrame:
+    """Bins that hold a wanted rank: (group, _bin, _before, n) from (group, _bin, _c, n).
+
+    Bins of equal ``base`` are parts of one larger bin, before which as many rows stand.
+    """
+    more = [] if base is None else [base]
+    w = Window.partitionBy(*_names(group), *more).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.lit(0) if base is None else F.col(base)
+    cum = counts.withColumn("_cum", start + F.sum("_c").over(w)).withColumn("_before", F.col("_cum") - F.col("_c"))
     hit = F.lit(False)
     for low, high, _ in _ranks(probs).values():
         for rank in (low, high):

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import safe_div
 from ..session import stage
-from .chunks import running_totals
-
-SCORE_CHUNKS = 4096
+from .chunks import range_chunks, running_totals
 
 
 def confusion(predictions: DataFrame) -> DataFrame:
@@ -65,21 +63,14 @@ def weighted_f1_by(predictions: DataFrame, group: str) -> DataFrame:
 def _by_score(predictions: DataFrame, positive) -> DataFrame:
     """Distinct scores in descending order with running positives and negatives."""
     hit = F.col("label") == positive
-    counts = stage(
+    counts = (
         predictions.filter(F.col("score").isNotNull())
         .groupBy("score")
         .agg(F.sum(hit.cast("long")).alias("pos"), F.sum((~hit).cast("long")).alias("neg"))
     )
-    low, high = counts.agg(F.min("score")).scalar(), counts.agg(F.max("score")).scalar()
-    slot = F.floor((F.col("score") - low) / (high - low) * SCORE_CHUNKS)
-    chunk = F.when(high > low, -F.least(slot, F.lit(SCORE_CHUNKS))).otherwise(F.lit(0)).cast("long")
-    return running_totals(
-        counts.withColumn("all", F.lit(1)),
-        ["all"],
-        [F.desc("score")],
-        {"tp": F.col("pos"), "fp": F.col("neg")},
-        chunk,
-    ).drop("all")
+    ranged = range_chunks(counts.withColumn("all", F.lit(1)), ["all"], [F.desc("score")])
+    swept = running_totals(ranged, ["all"], [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("neg")}, F.col("_range"))
+    return swept.drop("all", "_range")
 
 
 def roc_points(predictions: DataFrame, positive) -> DataFrame:

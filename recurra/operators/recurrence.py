@@ -16,7 +16,8 @@ from ..session import stage
 from .blocks import BLOCK, block_pairs, delay_vectors, map_rows, pair_distance, signal_blocks
 from .chunks import quantiles_inside, wanted_bins
 
-EPSILON_BINS = 4096
+EPSILON_BINS, EPSILON_LEVELS = 4096, 5
+EPSILON_LISTED = 1 << 16  # most distances of a bin whose values are listed
 TILE_SCHEMA = (
     "h long, w long, r0 long, c0 long, nr int, nc int, top int, left int, ph int, pw int, px binary"
 )
@@ -59,60 +60,88 @@ def distance_summary(signal: DataFrame, m: int, tau: int, size: int = BLOCK) ->
     )
 
 
+def _bins_along(d: np.ndarray, d_max: float, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distances that lie in the bin a path names, and their bins inside it.
+
+    A path is one five-digit bin number per level. Every step is monotone in the distance, so paths sort like distances.
+    """
+    x = d / d_max * EPSILON_BINS if d_max > 0 else np.zeros(d.size)
+    own = np.minimum(x.astype(np.int64), EPSILON_BINS - 1)
+    for k in range(0, len(path), 5):
+        keep = np.flatnonzero(own == int(path[k : k + 5]))
+        d, x = d[keep], (x[keep] - own[keep]) * EPSILON_BINS
+        own = np.minimum(x.astype(np.int64), EPSILON_BINS - 1)
+    return d, own
+
+
 def epsilon_percentile(
-    signal: DataFrame, m: int, tau: int, percent: float = 10.0, size: int = BLOCK
+    signal: DataFrame, m: int, tau: int, percent: float = 10.0, size: int = BLOCK, listed: int | None = None
 ) -> DataFrame:
     """Exact percentile of the pair distances: (signal_id, n, eps), n the number of pairs.
 
-    One pass builds a histogram per signal; a second one returns only the distances that fall in
-    the bins holding the two neighbouring ranks. The small tables between passes are staged.
+    One pass builds a histogram per signal. While a bin that holds a wanted rank has more than ``listed`` distances and
+    they differ, a further pass cuts it into as many bins again, down to the last digit of a distance. Only then are
+    the distinct distances of these bins returned. The small tables between passes are staged.
     """
+    listed = EPSILON_LISTED if listed is None else listed
     probs = {"eps": percent / 100.0}
     top = stage(distance_summary(signal, m, tau, size).select("signal_id", "d_max", "pairs"))
+    zero = F.lit(0).cast("long")
+    wanted = top.select(
+        "signal_id", F.lit("").alias("_bin"), zero.alias("_before"), F.col("pairs").alias("n"), F.col("pairs").alias("_c"), F.lit(True).alias("_wide")
+    )
 
-    def bins_of(d, d_max):
-        if d_max <= 0:
-            return np.zeros(d.size, dtype=np.int64)
-        return np.minimum((d / d_max * EPSILON_BINS).astype(np.int64), EPSILON_BINS - 1)
+    def per_signal(bins: DataFrame) -> DataFrame:
+        return bins.groupBy("signal_id").agg(F.array_sort(F.collect_list("_bin")).alias("bins")).join(top, "signal_id")
 
     def histogram(row):
-        d = _above_diagonal(row, _tile_distance(row, m, tau))
-        counts = np.bincount(bins_of(d, row.d_max), minlength=EPSILON_BINS)
-        used = np.flatnonzero(counts)
-        return {"_bin": used, "_c": counts[used], "n": np.full(len(used), row.pairs)}
-
-    counts = (
-        map_rows(
-            _pairs(signal, m, tau, size, per_signal=top, carry=["d_max", "pairs"]),
-            "signal_id",
-            "_bin long, _c long, n long",
-            histogram,
+        d, out = _above_diagonal(row, _tile_distance(row, m, tau)), []
+        for path in row.bins:
+            inside, own = _bins_along(d, row.d_max, path)
+            order = np.argsort(own, kind="stable")
+            used, first, counts = np.unique(own[order], return_index=True, return_counts=True)
+            if len(used):
+                values = inside[order]
+                low, high = np.minimum.reduceat(values, first), np.maximum.reduceat(values, first)
+                out.append((np.full(len(used), path, dtype=object), used, counts, low, high))
+        if not out:
+            return None
+        return dict(zip(("_of", "_sub", "_c", "_low", "_high"), map(np.concatenate, zip(*out))))
+
+    for level in range(EPSILON_LEVELS):
+        wide = wanted.filter("_wide")
+        if level and wide.isEmpty():
+            break
+        tiles = _pairs(signal, m, tau, size, per_signal=per_signal(wide), carry=["d_max", "bins"])
+        counts = (
+            map_rows(tiles, "signal_id", "_of string, _sub long, _c long, _low double, _high double", histogram)
+            .groupBy("signal_id", "_of", "_sub")
+            .agg(F.sum("_c").alias("_c"), F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+            .join(wide.select("signal_id", F.col("_bin").alias("_of"), F.col("_before").alias("_base"), "n"), ["signal_id", "_of"])
+            .withColumn("_bin", F.concat("_of", F.lpad(F.col("_sub").cast("string"), 5, "0")))
         )
-        .groupBy("signal_id", "_bin")
-        .agg(F.sum("_c").alias("_c"), F.first("n").alias("n"))
-    )
-    wanted = stage(wanted_bins(counts, "signal_id", probs))
-    lists = wanted.groupBy("signal_id").agg(
-        F.array_sort(F.collect_list("_bin")).alias("bins")
-    ).join(top, "signal_id")
+        hit = wanted_bins(counts, "signal_id", probs, base="_base")
+        sizes = counts.select("signal_id", "_bin", "_c", ((F.col("_c") > listed) & (F.col("_high") > F.col("_low"))).alias("_wide"))
+        finer = hit.join(sizes, ["signal_id", "_bin"])
+        wanted = stage(finer if level == 0 else wanted.filter("NOT _wide").unionByName(finer))
 
     def members(row):
-        d = _above_diagonal(row, _tile_distance(row, m, tau))
-        where = bins_of(d, row.d_max)
-        keep = np.isin(where, np.asarray(row.bins))
-        values, counts = np.unique(d[keep], return_counts=True)
-        return {"_bin": bins_of(values, row.d_max), "_v": values, "_c": counts}
+        d, out = _above_diagonal(row, _tile_distance(row, m, tau)), []
+        for path in row.bins:
+            values, counts = np.unique(_bins_along(d, row.d_max, path)[0], return_counts=True)
+            out.append((np.full(len(values), path, dtype=object), values, counts))
+        return dict(zip(("_bin", "_v", "_c"), map(np.concatenate, zip(*out))))
 
     inside = (
         map_rows(
-            _pairs(signal, m, tau, size, per_signal=lists, carry=["d_max", "bins"]),
+            _pairs(signal, m, tau, size, per_signal=per_signal(wanted), carry=["d_max", "bins"]),
             "signal_id",
-            "_bin long, _v double, _c long",
+            "_bin string, _v double, _c long",
             members,
         )
         .groupBy("signal_id", "_bin", "_v")
         .agg(F.sum("_c").alias("_c"))
-        .join(wanted, ["signal_id", "_bin"])
+        .join(wanted.select("signal_id", "_bin", "_before", "n"), ["signal_id", "_bin"])
     )
     return quantiles_inside(inside, "signal_id", probs)
 

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions import digamma, f_survival, safe_div
 from ..session import stage
 from .blocks import map_rows
-from .chunks import chunk_with_halo, ordered_index, running_totals
+from .chunks import chunk_with_halo, ordered_index, range_chunks, running_totals
 from .grid import ROWS, block_grid
 from .inversions import sign_products
 
@@ -112,17 +112,6 @@ def effect_distribution(effects: DataFrame) -> DataFrame:
     return effects.groupBy("effect_size").agg(F.count(F.lit(1)).alias("c"))
 
 
-def _spans(long: DataFrame) -> DataFrame:
-    return long.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-
-
-def _value_chunk(value) -> F.Column:
-    """Monotone chunk number of a value inside [lo, hi]; outside values fall into the end chunks."""
-    raw = F.floor((value - F.col("lo")) / (F.col("hi") - F.col("lo")) * VALUE_CHUNKS)
-    inside = F.greatest(F.least(raw, F.lit(VALUE_CHUNKS)), F.lit(-1))
-    return F.when(F.col("hi") > F.col("lo"), inside).otherwise(F.lit(0)).cast("long")
-
-
 def knn_information(long: DataFrame, k: int = 3) -> DataFrame:
     """Nearest-neighbour mutual information of each feature with the class: (feature, mi_score).
 
@@ -133,9 +122,9 @@ def knn_information(long: DataFrame, k: int = 3) -> DataFrame:
     """
     counts = long.groupBy("feature", "label", "value").agg(F.count(F.lit(1)).alias("c"))
     classes = counts.groupBy("feature", "label").agg(F.sum("c").alias("nc")).filter("nc > 1")
-    points = stage(counts.join(classes, ["feature", "label"]).join(_spans(counts), "feature"))
+    points = range_chunks(counts.join(classes, ["feature", "label"]), ["feature", "label"], ["value"])
     keyed = points.withColumn("g", F.struct("feature", "label"))
-    ranked = ordered_index(keyed, "g", ["value"], _value_chunk(F.col("value"))).drop("n")
+    ranked = ordered_index(keyed, "g", ["value"], F.col("_range")).drop("n")
     near = chunk_with_halo(ranked, "i", VALUE_CHUNKS, k, k)
     w = Window.partitionBy("g", "b").orderBy("i")
     sides = [
@@ -155,7 +144,7 @@ def knn_information(long: DataFrame, k: int = 3) -> DataFrame:
         .filter("own")
         .withColumn("reach", reach)
         .withColumn("r", radius)
-        .select("feature", "label", "value", "c", "nc", "reach", "r", "lo", "hi")
+        .select("feature", "label", "value", "c", "nc", "reach", "r")
     )
     measured = stage(measured)
     # Queries: points strictly below value + r, minus points at or below value - r (r = 0: equal values).
@@ -164,25 +153,19 @@ def knn_information(long: DataFrame, k: int = 3) -> DataFrame:
         F.struct((F.col("value") - F.col("r")).alias("at"), F.when(F.col("r") > 0, 2).otherwise(0).alias("turn"), F.lit(-1).alias("sign")),
     )
     queries = measured.withColumn("q", F.explode(marks)).select(
-        "feature", "label", "value", "lo", "hi", "q.at", "q.turn", "q.sign", F.lit(0).cast("long").alias("add")
+        "feature", "label", "value", "q.at", "q.turn", "q.sign", F.lit(0).cast("long").alias("add")
     )
-    sites = points.groupBy("feature", "value", "lo", "hi").agg(F.sum("c").alias("add")).select(
+    sites = points.groupBy("feature", "value").agg(F.sum("c").alias("add")).select(
         "feature",
         F.lit(None).cast(long.schema["label"].dataType).alias("label"),
         F.lit(None).cast("double").alias("value"),
-        "lo", "hi",
         F.col("value").alias("at"),
         F.lit(1).alias("turn"),
         F.lit(0).alias("sign"),
         "add",
     )
-    swept = running_totals(
-        queries.unionByName(sites),
-        ["feature"],
-        ["at", "turn"],
-        {"seen": F.col("add")},
-        _value_chunk(F.col("at")),
-    )
+    marked = range_chunks(queries.unionByName(sites), ["feature"], ["at", "turn"])
+    swept = running_totals(marked, ["feature"], ["at", "turn"], {"seen": F.col("add")}, F.col("_range"))
     inside = (
         swept.filter("sign <> 0")
         .groupBy("feature", "label", "value")
@@ -250,12 +233,8 @@ def combined_ranking(scores: DataFrame, f_weight: float = 0.7, mi_weight: float
 
 def average_ranks(long: DataFrame) -> DataFrame:
     """Replace values by their average rank within the feature (ties share it)."""
-    counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c")).join(
-        _spans(long), "feature"
-    )
-    ranked = running_totals(
-        counts, ["feature"], ["value"], {"upto": F.col("c")}, _value_chunk(F.col("value"))
-    ).select("feature", "value", (F.col("upto") - (F.col("c") - 1) / 2).alias("rank"))
+    counts = range_chunks(long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c")), ["feature"], ["value"])
+    ranked = running_totals(counts, ["feature"], ["value"], {"upto": F.col("c")}, F.col("_range")).select("feature", "value", (F.col("upto") - (F.col("c") - 1) / 2).alias("rank"))
     return long.join(ranked, ["feature", "value"]).select(
         "row_id", "label", "feature", F.col("rank").alias("value")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.chunks import hour_chunk, ordered_index
+from ..operators.chunks import hour_chunk, ordered_index, range_chunks
 
 
 def table(spark, folder: str, name: str) -> DataFrame:
@@ -18,13 +18,21 @@ def signal_from_events(
     ts: str = "ts",
     tiebreak: str = "event_id",
     value: str = "value",
-    hours: int = 1,
+    hours: int | None = 1,
 ) -> DataFrame:
-    """Time series in long form: (signal_id, i, n, y)."""
+    """Time series in long form: (signal_id, i, n, y).
+
+    Positions are counted per chunk of ``hours`` hours; without a number, per range of about equally many rows, for
+    series that put most of their samples into a few hours.
+    """
     rows = events.select(
         F.col(key).alias("signal_id"), ts, tiebreak, F.col(value).cast("double").alias("y")
     ).filter("y is not null")
-    return ordered_index(rows, "signal_id", [ts, tiebreak], hour_chunk(ts, hours)).select(
+    if hours is None:
+        rows, chunk = range_chunks(rows, ["signal_id"], [ts, tiebreak]), F.col("_range")
+    else:
+        chunk = hour_chunk(ts, hours)
+    return ordered_index(rows, "signal_id", [ts, tiebreak], chunk).select(
         "signal_id", "i", "n", "y"
     )
 
