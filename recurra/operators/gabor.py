@@ -199,6 +199,16 @@ GABOR_KINDS = (
 PHASE_KINDS = ("phase_mean", "phase_std", "phase_coherence")
 
 
+def check_bank(frequencies, orientations, sigma: float) -> None:
+    """Raise for a bank that has no filter or a filter without a meaning; orientations are in degrees."""
+    if not frequencies or not orientations:
+        raise ValueError("a bank needs at least one frequency and one orientation")
+    if min(frequencies) <= 0 or sigma <= 0:
+        raise ValueError("frequencies and sigma are positive")
+    if any(not 0 <= o <= 360 for o in orientations):
+        raise ValueError("orientations are degrees from 0 to 360")
+
+
 def gabor_features(
     tiles: DataFrame,
     frequencies=FREQUENCIES,
@@ -207,6 +217,7 @@ def gabor_features(
     phase: bool = False,
 ) -> DataFrame:
     """The gabor_* columns: 15 per filter (18 with phase)."""
+    check_bank(frequencies, orientations, sigma)
     stats = stage(response_stats(tiles, frequencies, orientations, sigma))
     quartiles = magnitude_quartiles(tiles, stats, frequencies, orientations, sigma).select(
         "image_id", "filter", *[F.col(q).alias(f"mag_{q}") for q in QUARTILES]

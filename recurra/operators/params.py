@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import entropy_term
+from ..functions import entropy_term, lerp
 from ..session import stage
 from .blocks import BLOCK, STRIP, block_pairs, map_rows, signal_blocks
 from .chunks import chunk_with_halo
@@ -349,6 +349,26 @@ def modes(df: DataFrame, group: str, value: str) -> DataFrame:
     )
 
 
+def parameter_spread(records: DataFrame, columns=("tau_mi", "tau_acf", "dim_fnn")) -> DataFrame:
+    """Five-number summary of every parameter: (parameter, n, least, q1, median, q3, most), missing values left out.
+
+    Values are counted first, so what is ordered are the distinct values of a parameter, not its records.
+    """
+    long = records.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "parameter", "value")
+    counts = long.filter(F.col("value").isNotNull()).groupBy("parameter", "value").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("parameter")
+    upto = counts.withColumn("u", F.sum("c").over(w.orderBy("value"))).withColumn("n", F.sum("c").over(w))
+    shares = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    at = {name: (F.col("n") - 1) * p for name, p in shares.items()}
+    picks = [
+        F.min(F.when(F.col("u") > rank(at[name]), F.col("value"))).alias(f"{name}_{tag}")
+        for name in shares for tag, rank in (("lo", F.floor), ("hi", F.ceil))
+    ]
+    found = upto.groupBy("parameter").agg(F.first("n").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), *picks)
+    quartiles = [lerp(F.col(f"{name}_lo"), F.col(f"{name}_hi"), at[name] - F.floor(at[name])).alias(name) for name in shares]
+    return found.select("parameter", "n", "least", *quartiles, "most")
+
+
 def cumulative_coverage(df: DataFrame, group: str, value: str) -> DataFrame:
     """Count, share and running share of every value per class."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(

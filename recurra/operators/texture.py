@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,51 +29,71 @@ def glcm_step(angle: int, distance: int) -> tuple[int, int]:
     return round(distance * math.sin(turn)), round(distance * math.cos(turn))
 
 
-def glcm_counts(tiles: DataFrame, levels: int = 256, distance: int = 1, angles=ANGLES) -> DataFrame:
-    """Directed co-occurrence counts: (image_id, angle, a, b, c). Tiles need ``distance`` of halo."""
+CELLS_HELD = 256  # dense count arrays that a task keeps before it emits them
 
-    def kernel(row):
-        px = pixels(row).astype(np.int64)
-        if levels < 256:
-            px = px * (levels - 1) // 255
-        out = {"angle": [], "a": [], "b": [], "c": []}
-        r1, c1 = row.top + row.nr, row.left + row.nc
-        for angle in angles:
-            dr, dc = glcm_step(angle, distance)
-            top, bottom = row.top, min(r1, row.ph - dr)
-            left, right = max(row.left, -dc), min(c1, row.pw - dc)
-            if bottom <= top or right <= left:
-                continue
-            here = px[top:bottom, left:right]
-            there = px[top + dr : bottom + dr, left + dc : right + dc]
-            counts = np.bincount((here * levels + there).ravel(), minlength=levels * levels)
-            used = np.flatnonzero(counts)
-            out["angle"].append(np.full(len(used), angle))
-            out["a"].append(used // levels)
-            out["b"].append(used % levels)
-            out["c"].append(counts[used])
-        return {k: np.concatenate(v) for k, v in out.items()} if out["c"] else None
 
-    return (
-        map_rows(tiles, "image_id", "angle int, a int, b int, c long", kernel)
-        .groupBy("image_id", "angle", "a", "b")
-        .agg(F.sum("c").alias("c"))
-    )
+def glcm_cells(tiles: DataFrame, levels: int = 256, distances=(1,), angles=ANGLES) -> DataFrame:
+    """Directed co-occurrence counts: (image_id, distance, angle, a, b, c). Tiles need the largest distance of halo.
+
+    A task adds up the tiles of an image in one dense array per distance and angle and emits the used cells once.
+    """
+    if not distances or not angles or min(distances) < 1:
+        raise ValueError("co-occurrence needs at least one angle and distances of 1 or more")
+    key = tiles.schema["image_id"].dataType.simpleString()
+    combos = [(d, a, *glcm_step(a, d)) for d in distances for a in angles]
+
+    def run(batches):
+        held: dict = {}
+
+        def emit():
+            for (image, distance, angle), counts in held.items():
+                used = np.flatnonzero(counts)
+                yield pd.DataFrame({
+                    "image_id": image, "distance": distance, "angle": angle, "a": used // levels, "b": used % levels, "c": counts[used],
+                })
+
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                px = pixels(row).astype(np.int64)
+                if levels < 256:
+                    px = px * (levels - 1) // 255
+                r1, c1 = row.top + row.nr, row.left + row.nc
+                for distance, angle, dr, dc in combos:
+                    top, bottom = row.top, min(r1, row.ph - dr)
+                    left, right = max(row.left, -dc), min(c1, row.pw - dc)
+                    if bottom <= top or right <= left:
+                        continue
+                    here = px[top:bottom, left:right]
+                    there = px[top + dr : bottom + dr, left + dc : right + dc]
+                    counts = np.bincount((here * levels + there).ravel(), minlength=levels * levels)
+                    known = held.get((row.image_id, distance, angle))
+                    held[row.image_id, distance, angle] = counts if known is None else known + counts
+                if len(held) > CELLS_HELD:
+                    yield from emit()
+                    held.clear()
+        yield from emit()
+
+    schema = f"image_id {key}, distance int, angle int, a int, b int, c long"
+    keys = ("image_id", "distance", "angle", "a", "b")
+    return tiles.mapInPandas(run, schema).groupBy(*keys).agg(F.sum("c").alias("c"))
 
 
-def glcm_angle_props(counts: DataFrame) -> DataFrame:
-    """The six properties of the symmetric, normalised matrix of each angle.
+def glcm_counts(tiles: DataFrame, levels: int = 256, distance: int = 1, angles=ANGLES) -> DataFrame:
+    """Directed co-occurrence counts at one distance: (image_id, angle, a, b, c)."""
+    return glcm_cells(tiles, levels, (distance,), angles).drop("distance")
+
+
+def glcm_angle_props(counts: DataFrame, keys: tuple[str, ...] = ("image_id", "angle")) -> DataFrame:
+    """The six properties of the symmetric, normalised matrix of each of the keys.
 
     Symmetry is folded into the sums: the mean and deviation of rows and columns coincide, and the
     squared mass needs the transposed cell only once, met by grouping on the unordered pair.
     """
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    pair = counts.groupBy(
-        "image_id", "angle", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    ).agg(F.sum("c").alias("c"))
+    pair = counts.groupBy(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("c").alias("c"))
     c = F.col("c").cast("double")
     diff = a - b
-    sums = pair.groupBy("image_id", "angle").agg(
+    sums = pair.groupBy(*keys).agg(
         F.sum(c).alias("n"),
         F.sum(c * diff * diff).alias("s_con"),
         F.sum(c * F.abs(diff)).alias("s_dis"),
@@ -87,8 +108,7 @@ def glcm_angle_props(counts: DataFrame) -> DataFrame:
     var = F.col("s_2") / (2 * n) - mean * mean
     asm = F.col("s_sq") / (n * n)
     return sums.select(
-        "image_id",
-        "angle",
+        *keys,
         (F.col("s_con") / n).alias("contrast"),
         (F.col("s_dis") / n).alias("dissimilarity"),
         (F.col("s_hom") / n).alias("homogeneity"),
@@ -100,9 +120,9 @@ def glcm_angle_props(counts: DataFrame) -> DataFrame:
     )
 
 
-def glcm_features(tiles: DataFrame, levels: int = 256) -> DataFrame:
-    """glcm_* columns: the properties averaged over the angles."""
-    props = glcm_angle_props(glcm_counts(tiles, levels))
+def glcm_features(tiles: DataFrame, levels: int = 256, distances=(1,), angles=ANGLES) -> DataFrame:
+    """glcm_* columns: the properties averaged over all distances and angles."""
+    props = glcm_angle_props(glcm_cells(tiles, levels, distances, angles), ("image_id", "distance", "angle"))
     return props.groupBy("image_id").agg(*[F.avg(p).alias(f"glcm_{p}") for p in GLCM_PROPS])
 
 
@@ -128,12 +148,20 @@ def lbp_code_array(px: np.ndarray, radius: int, points: int, method: str) -> np.
         samples.append(value)
     ring = np.stack(samples)
     if method == "var":
-        return ring.var(axis=0)
+        return np.floor(ring.var(axis=0))  # unit bins: at most 16 257 of them, however many values there are
     bits = (ring >= centre).astype(np.int64)
     ones = bits.sum(axis=0)
     if method == "uniform":
         turns = (bits[1:] != bits[:-1]).sum(axis=0)
         return np.where(turns <= 2, ones, points + 1)
+    if method == "nri_uniform":
+        # A uniform pattern is told by its number of ones and by its turn; all others share the last code.
+        turns = (bits[1:] != bits[:-1]).sum(axis=0)
+        turn = np.where(bits[0] == 1, ones - bits.argmin(axis=0), points - bits.argmax(axis=0))
+        inner = 1 + (ones - 1) * points + turn
+        whole = np.where(ones == 0, 0, points * (points - 1) + 1)
+        known = np.where((ones == 0) | (ones == points), whole, inner)
+        return np.where(turns <= 2, known, points * (points - 1) + 2)
     weights = 1 << np.arange(points)
     plain = np.tensordot(weights, bits, axes=1)
     if method == "ror":
@@ -212,6 +240,29 @@ def lbp_features(tiles: DataFrame, radius: int = 1, points: int = 4) -> DataFram
     )
 
 
+def lbp_product(tiles: DataFrame, radii=(1, 2, 3), points=(8, 16, 24)) -> DataFrame:
+    """lbp_* columns of every radius with every number of points. Tiles need the largest radius of halo."""
+    if not radii or not points or min(*radii, *points) < 1:
+        raise ValueError("patterns need radii and numbers of points of 1 or more")
+    found = None
+    for radius in radii:
+        for n in points:
+            own = lbp_features(tiles, radius, n)
+            found = own if found is None else found.join(own, "image_id")
+    return found
+
+
+def lbp_histogram_of(codes: DataFrame, method: str, points: int) -> DataFrame:
+    """Shares of all codes of an image's method: (image_id, code, share); codes without a pixel have none.
+
+    'var' has unit bins of the variance, so its rows are bounded by the gray range, not by the number of pixels.
+    """
+    if method not in ("uniform", "nri_uniform", "ror", "default", "var"):
+        raise ValueError(f"unknown pattern method {method}")
+    area = F.col("h").cast("double") * F.col("w")
+    return codes.select("image_id", F.col("code").cast("int").alias("code"), (F.col("c") / area).alias("share"))
+
+
 STAT_PERCENTILES = (10, 25, 50, 75, 90)
 
 
@@ -319,8 +370,44 @@ def intensity_centroid(counts: DataFrame) -> DataFrame:
     )
 
 
-def stat_features(tiles: DataFrame, bins: int = 64) -> DataFrame:
-    """The 86 stat_* columns from one shuffle of gray counts and one pass over them."""
+def gray_percentiles(tiles: DataFrame, percentiles) -> DataFrame:
+    """(image_id, stat_pN...) by linear interpolation between ranks of the gray counts, at most 256 rows an image."""
+    counts = gray_counts(tiles).groupBy("image_id", "v").agg(F.sum("c").alias("c"))
+    w = Window.partitionBy("image_id")
+    upto = counts.withColumn("_u", F.sum("c").over(w.orderBy("v"))).withColumn("_n", F.sum("c").over(w))
+    picks = []
+    for p in percentiles:
+        h = (F.col("_n") - 1) * (p / 100.0)
+        for tag, rank in (("l", F.floor(h)), ("h", F.ceil(h))):
+            picks.append(F.min(F.when(F.col("_u") > rank, F.col("v"))).cast("double").alias(f"_{tag}{p}"))
+    found = upto.groupBy("image_id").agg(F.first("_n").alias("_n"), *picks)
+    share = {p: (F.col("_n") - 1) * (p / 100.0) for p in percentiles}
+    return found.select(
+        "image_id", *[lerp(F.col(f"_l{p}"), F.col(f"_h{p}"), share[p] - F.floor(share[p])).alias(f"stat_p{p}") for p in percentiles]
+    )
+
+
+MOMENTS = ("mean", "std", "skewness", "kurtosis")
+
+
+def stat_features(tiles: DataFrame, bins: int = 64, moments=MOMENTS, percentiles=None) -> DataFrame:
+    """The stat_* columns, 86 with the usual settings, from one shuffle of gray counts and one pass over them.
+
+    ``moments`` are any of mean, std, var, skewness and kurtosis. Percentiles other than the usual come from the same
+    counts, interpolated between neighbouring ranks.
+    """
+    unknown = set(moments) - {*MOMENTS, "var"}
+    wanted = STAT_PERCENTILES if percentiles is None else tuple(percentiles)
+    if unknown or bins < 2 or any(not 0 <= p <= 100 for p in wanted):
+        raise ValueError(f"no such moments, percentiles or bins: {', '.join(sorted(unknown)) or (wanted, bins)}")
+    if tuple(moments) != MOMENTS or wanted != STAT_PERCENTILES:
+        usual = stat_features(tiles, bins)
+        dropped = [f"stat_{m}" for m in MOMENTS if m not in moments] + [f"stat_p{p}" for p in STAT_PERCENTILES if p not in wanted]
+        out = usual.withColumn("stat_var", F.col("stat_std") * F.col("stat_std")) if "var" in moments else usual
+        more = [p for p in wanted if p not in STAT_PERCENTILES]
+        if more:
+            out = out.join(gray_percentiles(tiles, more), "image_id")
+        return out.drop(*dropped)
     slot = f"least(v * {bins} div 255, {bins - 1})"
     sums = ", ".join(f"sum(if({slot} = {k}, c, 0L))" for k in range(bins))
     centroid = "if(sum(v * c) = 0, 0.5D, sum({0}) / sum(v * c) / first({1})) AS centroid_{2}"

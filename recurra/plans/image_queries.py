@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions import r6
 from ..operators import recurrence, rqa, texture
+from ..operators.blocks import map_rows
 from ..session import stage
+from ..sources import images as image_files
 from .common import IMAGE, images, report
 from .registry import query, rounded, with_ctes
 
@@ -150,6 +154,18 @@ def glcm_reduced_levels(spark, folder):
     return report(found, ["image_id"], GLCM_COLUMNS)
 
 
+_STEPS = [(d * 1000 + a, *texture.glcm_step(a, d)) for d in (1, 2, 3) for a in texture.ANGLES]
+FAR = FULL.replace("(0, 0, 1), (45, 1, 1), (90, 1, 0), (135, 1, -1)", ", ".join(str(s) for s in _STEPS))
+
+
+@query("glcm_distances", with_ctes(*IMAGE, FAR, PROPS, tail=f"""
+SELECT image_id, {rounded(*GLCM_COLUMNS)} FROM (SELECT image_id, {GLCM_AVG} FROM prop GROUP BY 1)"""))
+def glcm_distances(spark, folder):
+    """Properties averaged over three distances and four angles."""
+    found = texture.glcm_features(images(spark, folder, halo=3), distances=(1, 2, 3))
+    return report(found, ["image_id"], GLCM_COLUMNS)
+
+
 LBP = """nb AS (
   SELECT image_id, side, v,
          CAST(coalesce(lead(v) OVER h, 0) >= v AS INTEGER) AS b0, CAST(coalesce(lag(v) OVER g, 0) >= v AS INTEGER) AS b1,
@@ -199,6 +215,89 @@ def lbp_rotation_invariant(spark, folder):
     return codes.select("image_id", F.col("code").cast("int").alias("code"), "c")
 
 
+def _lbp_at_two(sql):
+    """The same statement for neighbours two pixels away, under names of its own."""
+    for old, new in (
+        ("lead(v)", "lead(v, 2)"), ("lag(v)", "lag(v, 2)"), ("nb AS (", "nb2 AS ("), ("FROM nb)", "FROM nb2)"), ("lbp AS (", "lbp2 AS ("),
+        ("lbph AS (", "lbph2 AS ("), ("lbpe AS (", "lbpe2 AS ("), ("FROM lbp ", "FROM lbp2 "), ("_r1_", "_r2_"),
+    ):
+        sql = sql.replace(old, new)
+    return sql
+
+
+@query("lbp_radii", with_ctes(*IMAGE, LBP, LBP_FEATURES, _lbp_at_two(LBP), _lbp_at_two(LBP_FEATURES), tail=f"""
+SELECT image_id, {rounded(*LBP_COLUMNS, *[c.replace("_r1_", "_r2_") for c in LBP_COLUMNS])}
+FROM lbph JOIN lbpe USING (image_id) JOIN lbph2 USING (image_id) JOIN lbpe2 USING (image_id)"""))
+def lbp_radii(spark, folder):
+    """Patterns of two radii with four points each."""
+    found = texture.lbp_product(stage(images(spark, folder, halo=2)), (1, 2), (4,))
+    return report(found, ["image_id"], [*LBP_COLUMNS, *[c.replace("_r1_", "_r2_") for c in LBP_COLUMNS]])
+
+
+@query("lbp_by_turn", with_ctes(*IMAGE, LBP, tail="""
+SELECT image_id, CAST(code AS INTEGER) AS code, round(CAST(count(*) AS DOUBLE) / any_value(side * side), 6) AS share FROM (
+  SELECT image_id, side, CASE WHEN CAST(b0 <> b1 AS INTEGER) + CAST(b1 <> b2 AS INTEGER) + CAST(b2 <> b3 AS INTEGER) > 2 THEN 14
+    WHEN n = 0 THEN 0 WHEN n = 4 THEN 13
+    WHEN b0 = 1 THEN 1 + (n - 1) * 4 + n - (CASE WHEN b1 = 0 THEN 1 WHEN b2 = 0 THEN 2 ELSE 3 END)
+    ELSE 1 + (n - 1) * 4 + 4 - (CASE WHEN b1 = 1 THEN 1 WHEN b2 = 1 THEN 2 ELSE 3 END) END AS code
+  FROM (SELECT *, b0 + b1 + b2 + b3 AS n FROM nb)) GROUP BY ALL"""))
+def lbp_by_turn(spark, folder):
+    """Shares of uniform patterns told apart by their turn."""
+    codes = texture.lbp_codes(images(spark, folder, halo=1), method="nri_uniform")
+    return report(texture.lbp_histogram_of(codes, "nri_uniform", 4), ["image_id", "code"], ["share"])
+
+
+@query("lbp_variance", with_ctes(*IMAGE, """ring AS (
+  SELECT image_id, side, coalesce(lead(v) OVER h, 0) AS x0, coalesce(lag(v) OVER g, 0) AS x1, coalesce(lag(v) OVER h, 0) AS x2, coalesce(lead(v) OVER g, 0) AS x3
+  FROM img WINDOW h AS (PARTITION BY image_id, r ORDER BY c), g AS (PARTITION BY image_id, c ORDER BY r))""", tail="""
+SELECT image_id, CAST(floor(var) AS INTEGER) AS code, round(CAST(count(*) AS DOUBLE) / any_value(side * side), 6) AS share FROM (
+  SELECT image_id, side, (4 * (x0 * x0 + x1 * x1 + x2 * x2 + x3 * x3) - (x0 + x1 + x2 + x3) * (x0 + x1 + x2 + x3)) / 16.0 AS var FROM ring) GROUP BY ALL"""))
+def lbp_variance(spark, folder):
+    """Shares of the ring's variance in unit bins."""
+    codes = texture.lbp_codes(images(spark, folder, halo=1), method="var")
+    return report(texture.lbp_histogram_of(codes, "var", 4), ["image_id", "code"], ["share"])
+
+
+@query("validate_tiles", with_ctes(*IMAGE, tail="""
+SELECT image_id, CAST(count(*) AS BIGINT) AS pixels, count(*) = any_value(side * side) AS valid FROM img GROUP BY 1"""))
+def validate_tiles(spark, folder):
+    """Every recurrence image is covered by its tiles, halo and all."""
+    return image_files.validate_tiles(images(spark, folder, halo=2, size=32)).select("image_id", "pixels", "valid")
+
+
+@query("validate_arrays", """
+SELECT row_id, least(count(*) FILTER (problem), 1) = 0 AS valid FROM (
+  SELECT user_id AS row_id, value IS NULL OR NOT isfinite(value) AS problem FROM events) GROUP BY 1""")
+def validate_arrays(spark, folder):
+    """Each user's values as an image of one row: two-dimensional, not empty and finite."""
+    rows = spark.read.parquet(f"{folder}/events.parquet").groupBy(F.col("user_id").alias("row_id"))
+    packed = rows.agg(F.array_agg(F.coalesce(F.col("value").cast("double"), F.lit(float("nan")))).alias("px"))
+    shaped = packed.withColumn("shape", F.array(F.lit(1), F.size("px")))
+    return image_files.validate_arrays(shaped).select("row_id", F.col("problem").isNull().alias("valid"))
+
+
+@query("area_means", with_ctes(*IMAGE, """goal AS (SELECT image_id, side, greatest(1, CAST(floor(side / 1.7) AS INTEGER)) AS n FROM (SELECT DISTINCT image_id, side FROM img)),
+lay AS (
+  SELECT image_id, j, p, (least((j + 1) * step, p + 1) - greatest(j * step, p)) / step AS w FROM (
+    SELECT image_id, CAST(side AS DOUBLE) / n AS step, j, unnest(range(side)) AS p FROM (SELECT *, unnest(range(n)) AS j FROM goal))
+  WHERE least((j + 1) * step, p + 1) > greatest(j * step, p)),
+down AS (SELECT i.image_id, l.j AS r, i.c, sum(l.w * i.v) AS v FROM img i JOIN lay l ON l.image_id = i.image_id AND l.p = i.r GROUP BY ALL),
+small AS (SELECT d.image_id, d.r, l.j AS c, sum(l.w * d.v) AS v FROM down d JOIN lay l ON l.image_id = d.image_id AND l.p = d.c GROUP BY ALL)""", tail="""
+SELECT image_id, r, CAST(count(*) AS INTEGER) AS n, round(sum(v), 6) + 0.0 AS s, round(sum(v * (c + 1)), 4) + 0.0 AS t FROM small GROUP BY ALL"""))
+def area_means(spark, folder):
+    """Recurrence images averaged down by 1.7, shown as two sums per row."""
+    found = image_files.area_means(images(spark, folder, size=32), factor=1.7, size=16)
+
+    def kernel(row):
+        v = np.frombuffer(row.v).reshape(row.nr, row.nc)
+        r = np.arange(row.nr) + row.r0
+        return {"r": r, "n": np.full(row.nr, row.nc), "s": v.sum(axis=1), "t": (v * (np.arange(row.nc) + row.c0 + 1)).sum(axis=1)}
+
+    rows = map_rows(found, "image_id", "r long, n int, s double, t double", kernel).groupBy("image_id", "r")
+    both = rows.agg(F.sum("n").cast("int").alias("n"), F.sum("s").alias("s"), F.sum("t").alias("t"))
+    return both.select("image_id", "r", "n", r6("s").alias("s"), r6("t", 4).alias("t"))
+
+
 @query("lbp_radius2")
 def lbp_radius2(spark, folder):
     """Interpolated ring of eight samples at radius 2."""

@@ -272,17 +272,16 @@ def separability_check(spark, folder):
     )
 
 
-@query("justification", with_ctes(FEATURES, STATS, ANOVA, COHEN, tail="""
-SELECT feature, CASE WHEN f_score > 10 THEN 'alto poder discriminativo' WHEN f_score > 5 THEN 'buen poder discriminativo' ELSE 'poder discriminativo moderado' END AS strength,
-       printf('efecto %s (|d|=%.2f)', effect_size, abs(cohens_d)) AS effect
-FROM anova JOIN cohen USING (feature)"""))
+@query("justification", with_ctes(FEATURES, STATS, ANOVA, TAIL, COHEN, tail="""
+SELECT feature,
+       CASE WHEN p_value < 0.001 THEN 'altamente significativa (p<0.001)' WHEN p_value < 0.01 THEN 'muy significativa (p<0.01)' ELSE printf('significativa (p=%.3f)', p_value) END
+       || printf(', efecto %s (|d|=%.2f), ', effect_size, abs(cohens_d))
+       || CASE WHEN f_score > 10 THEN 'alto poder discriminativo' WHEN f_score > 5 THEN 'buen poder discriminativo' ELSE 'poder discriminativo moderado' END AS justification
+FROM tail JOIN cohen USING (feature)""").replace("WITH ", "WITH RECURSIVE ", 1))
 def justification(spark, folder):
     stats = _stats(spark, folder)
     both = selection.anova(stats).join(selection.cohens_d(stats), "feature")
-    text = F.split(
-        selection.justification(F.col("p_value"), F.col("cohens_d"), F.col("f_score")), ", "
-    )
-    return both.select("feature", text[2].alias("strength"), text[1].alias("effect"))
+    return both.select("feature", selection.justification(F.col("p_value"), F.col("cohens_d"), F.col("f_score")).alias("justification"))
 
 
 @query("dataset_summary", """

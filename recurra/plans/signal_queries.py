@@ -222,6 +222,17 @@ def parameter_summary(spark, folder):
     )
 
 
+@query("parameter_spread", with_ctes(*RECORDS, tail=f"""
+SELECT parameter, count(*) AS n, {rounded("least", "q1", "median", "q3", "most")} FROM (
+  SELECT parameter, value, min(value) OVER w AS least, max(value) OVER w AS most, quantile_cont(value, 0.25) OVER w AS q1,
+         quantile_cont(value, 0.5) OVER w AS median, quantile_cont(value, 0.75) OVER w AS q3
+  FROM (SELECT 'tau_mi' AS parameter, CAST(tau_mi AS DOUBLE) AS value FROM records UNION ALL
+        SELECT 'tau_acf', tau_acf FROM records UNION ALL SELECT 'dim_fnn', dim_fnn FROM records)
+  WHERE value IS NOT NULL WINDOW w AS (PARTITION BY parameter)) GROUP BY ALL"""))
+def parameter_spread(spark, folder):
+    return report(params.parameter_spread(_records(spark, folder)), ["parameter", "n"], ["least", "q1", "median", "q3", "most"])
+
+
 @query("parameter_modes", with_ctes(*RECORDS, tail="""
 SELECT CAST(bucket AS BIGINT) AS bucket, tau AS mode, c FROM (
   SELECT *, max(c) OVER (PARTITION BY bucket) AS best FROM (

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import os
 import struct
 import wave
 from collections.abc import Iterator
@@ -13,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .files import whole_file
+
 SAMPLES_PER_BLOCK = 65536
 
 
@@ -143,22 +144,18 @@ def wav_bytes(y: np.ndarray, rate: int) -> bytes:
 
 
 def write_audio(segments: DataFrame, folder: str, rate: int = 25000) -> DataFrame:
-    """Write fixed-length segments (signal_id, label, y array) as files on a shared folder.
+    """Write fixed-length segments (signal_id, label, y array) as files of a shared folder, which may be a URI.
 
-    Tasks write to a temporary name and rename, so a retried task leaves one whole file. Returns
-    the (signal_id, path) written; the files appear when an action runs.
+    A retried task leaves one whole file. Returns the (signal_id, path) written; the files appear when an action runs.
     """
 
     def run(batches):
         for pdf in batches:
             paths = []
             for row in pdf.itertuples(index=False):
-                target = os.path.join(folder, str(row.label), f"{row.signal_id}.wav")
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                part = f"{target}.{os.getpid()}.part"
-                with open(part, "wb") as out:
+                target = f"{folder.rstrip('/')}/{row.label}/{row.signal_id}.wav"
+                with whole_file(target) as out:
                     out.write(wav_bytes(row.y, rate))
-                os.replace(part, target)
                 paths.append(target)
             yield pd.DataFrame({"signal_id": pdf["signal_id"].astype(str), "path": paths})
 

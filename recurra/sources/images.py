@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.blocks import BLOCK, map_rows
 from ..operators.recurrence import TILE_SCHEMA, core
+from .files import whole_file
 
 # Luma weights of red, green and blue.
 LUMA = (0.299, 0.587, 0.114)
@@ -103,43 +104,189 @@ def shrink_tiles(tiles: DataFrame, factor: int) -> DataFrame:
     return map_rows(tiles, "image_id", TILE_SCHEMA, kernel)
 
 
-def png_bytes(px: np.ndarray) -> bytes:
-    """8-bit grayscale PNG."""
+def area_means(tiles: DataFrame, height: int | None = None, width: int | None = None, factor: float | None = None, size: int = BLOCK) -> DataFrame:
+    """Images averaged down to height x width, or by any factor: (image_id, h, w, r0, c0, nr, nc, v), v as doubles.
 
-    def chunk(tag, body):
-        return struct.pack(">I", len(body)) + tag + body + struct.pack(">I", zlib.crc32(tag + body))
+    A target pixel is the mean of the source area it covers, edge pixels counted by the part that lies inside. Both
+    directions are separable, so a tile adds its share to every target block it touches and needs no halo.
+    """
+
+    def shares(start: int, n: int, source: int, target: int) -> tuple[int, np.ndarray]:
+        """First target position and the overlap of each target with each of the tile's pixels."""
+        step = source / target
+        first, last = int(start * target // source), min(target, -(-(start + n) * target // source))
+        edges = np.arange(first, last + 1) * step
+        at = np.arange(start, start + n)
+        inside = np.minimum(edges[1:, None], at + 1) - np.maximum(edges[:-1, None], at)
+        return first, np.maximum(inside, 0) / step
+
+    def kernel(row):
+        goal_h = height if factor is None else max(1, int(row.h / factor))
+        goal_w = width if factor is None else max(1, int(row.w / factor))
+        if goal_h > row.h or goal_w > row.w:
+            raise ValueError(f"{row.image_id} is smaller than {goal_h} x {goal_w}")
+        top, down = shares(row.r0, row.nr, row.h, goal_h)
+        left, across = shares(row.c0, row.nc, row.w, goal_w)
+        part = down @ core(row).astype(np.float64) @ across.T
+        out = {name: [] for name in ("h", "w", "r0", "c0", "nr", "nc", "top", "left", "ph", "pw", "v")}
+        for r in range(top // size, (top + len(part) - 1) // size + 1):
+            for c in range(left // size, (left + part.shape[1] - 1) // size + 1):
+                rows = slice(max(r * size, top), min((r + 1) * size, top + len(part)))
+                columns = slice(max(c * size, left), min((c + 1) * size, left + part.shape[1]))
+                piece = part[rows.start - top : rows.stop - top, columns.start - left : columns.stop - left]
+                extent = (min(size, goal_h - r * size), min(size, goal_w - c * size))
+                values = (goal_h, goal_w, r * size, c * size, *extent, rows.start - r * size, columns.start - c * size, *piece.shape, np.ascontiguousarray(piece).tobytes())
+                for name, value in zip(out, values):
+                    out[name].append(value)
+        return out
+
+    schema = "h long, w long, r0 long, c0 long, nr int, nc int, top int, left int, ph int, pw int, v binary"
+    parts = map_rows(tiles, "image_id", schema, kernel)
+    kind = tiles.schema["image_id"].dataType.simpleString()
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        total = np.zeros((first.nr, first.nc))
+        for row in pdf.sort_values(["top", "left", "ph", "pw"]).itertuples(index=False):
+            total[row.top : row.top + row.ph, row.left : row.left + row.pw] += np.frombuffer(row.v).reshape(row.ph, row.pw)
+        head = {c: [first[c]] for c in ("image_id", "h", "w", "r0", "c0", "nr", "nc")}
+        return pd.DataFrame({**head, "v": [total.tobytes()]})
+
+    return parts.groupBy("image_id", "r0", "c0").applyInPandas(
+        added, f"image_id {kind}, h long, w long, r0 long, c0 long, nr int, nc int, v binary"
+    )
+
+
+def resize_tiles(tiles: DataFrame, height: int | None = None, width: int | None = None, factor: float | None = None, size: int = BLOCK) -> DataFrame:
+    """The tile table of images averaged down to a size or by any factor; means are rounded to whole gray levels."""
+
+    def kernel(row):
+        px = np.clip(np.rint(np.frombuffer(row.v)), 0, 255).astype(np.uint8)
+        values = {c: getattr(row, c) for c in ("h", "w", "r0", "c0", "nr", "nc")}
+        values |= {"top": 0, "left": 0, "ph": row.nr, "pw": row.nc, "px": px.tobytes()}
+        return {k: [v] for k, v in values.items()}
+
+    return map_rows(area_means(tiles, height, width, factor, size), "image_id", TILE_SCHEMA, kernel)
+
+
+def fit_tiles(tiles: DataFrame, largest: int = 25000, size: int = BLOCK) -> DataFrame:
+    """Images with a side beyond the limit are averaged down until both fit, proportions kept; others pass as they are."""
+    shape = F.greatest(F.col("h"), F.col("w"))
+    big = tiles.filter(shape > largest)
+    small = tiles.filter(shape <= largest)
+    sizes = big.select("h", "w").distinct().collect()  # image sizes, not images
+    for row in sizes:
+        scale = min(largest / row.h, largest / row.w)
+        own = big.filter((F.col("h") == row.h) & (F.col("w") == row.w))
+        small = small.unionByName(resize_tiles(own, max(1, int(row.h * scale)), max(1, int(row.w * scale)), size=size))
+    return small
+
+
+def validate_tiles(tiles: DataFrame) -> DataFrame:
+    """(image_id, pixels, valid, problem) of every image: its tiles cover each of its pixels once and hold their bytes.
 
-    h, w = px.shape
-    lines = np.zeros((h, w + 1), dtype=np.uint8)
-    lines[:, 1:] = px
-    header = struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)
-    return (
-        b"\x89PNG\r\n\x1a\n"
-        + chunk(b"IHDR", header)
-        + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6))
-        + chunk(b"IEND", b"")
+    An image without height or width is empty; a null or short byte array, tiles that overlap, lie outside or leave
+    gaps are the other problems.
+    """
+    area = F.col("nr").cast("long") * F.col("nc")
+    inside = (F.col("r0") >= 0) & (F.col("c0") >= 0) & (F.col("r0") + F.col("nr") <= F.col("h")) & (F.col("c0") + F.col("nc") <= F.col("w"))
+    held = F.coalesce(F.octet_length("px") == F.col("ph") * F.col("pw"), F.lit(False))
+    core_held = (F.col("top") >= 0) & (F.col("left") >= 0) & (F.col("top") + F.col("nr") <= F.col("ph")) & (F.col("left") + F.col("nc") <= F.col("pw"))
+    by_image = tiles.groupBy("image_id").agg(
+        F.max("h").alias("h"), F.max("w").alias("w"), F.coalesce(F.sum(area), F.lit(0)).alias("pixels"),
+        F.bool_and((F.col("nr") > 0) & (F.col("nc") > 0)).alias("_some"), F.bool_and(inside).alias("_inside"), F.bool_and(held & core_held).alias("_held"),
+        (F.count_distinct("h", "w") == 1).alias("_one"), (F.count_distinct("r0", "c0") == F.count(F.lit(1))).alias("_once"),
+    )
+    problem = (
+        F.when(F.coalesce((F.col("h") <= 0) | (F.col("w") <= 0), F.lit(True)), "empty")
+        .when(~F.col("_one"), "several sizes")
+        .when(~F.col("_held") | ~F.col("_some"), "pixels missing")
+        .when(~F.col("_inside"), "outside the image")
+        .when(~F.col("_once") | (F.col("pixels") > F.col("h") * F.col("w")), "pixels twice")
+        .when(F.col("pixels") < F.col("h") * F.col("w"), "gaps")
     )
+    return by_image.select("image_id", "pixels", problem.isNull().alias("valid"), problem.alias("problem"))
+
+
+def validate_arrays(images: DataFrame) -> DataFrame:
+    """Add ``problem`` to images(shape array, px array of doubles): null if two-dimensional, not empty and finite."""
+    finite = F.forall("px", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return images.withColumn(
+        "problem",
+        F.when(F.col("px").isNull() | F.col("shape").isNull(), "missing")
+        .when(F.size("shape") != 2, "not two-dimensional")
+        .when((F.size("px") == 0) | F.exists("shape", lambda n: n <= 0), "empty")
+        .when(F.size("px") != F.get("shape", F.lit(0)) * F.get("shape", F.lit(1)), "pixels missing")
+        .when(~finite, "not finite"),
+    )
+
+
+# --- PNG files -----------------------------------------------------------------------------------
+
+
+def _chunk(tag: bytes, body: bytes) -> bytes:
+    return struct.pack(">I", len(body)) + tag + body + struct.pack(">I", zlib.crc32(tag + body))
+
+
+def joined_adler(first: int, second: int, length: int) -> int:
+    """Adler-32 of two byte strings one after the other, from both checksums and the length of the second."""
+    base = 65521
+    low = ((first & 0xFFFF) + (second & 0xFFFF) - 1) % base
+    high = ((first >> 16) + (second >> 16) + length * ((first & 0xFFFF) - 1)) % base
+    return high << 16 | low
+
+
+def strips(tiles: DataFrame) -> DataFrame:
+    """(image_id, h, w, r0, adler, length, body): each row of tiles deflated on its own, ended by a flush.
+
+    Tiles that start at the same row form a strip as wide as the image; strips are independent and can be appended.
+    """
+    kind = tiles.schema["image_id"].dataType.simpleString()
+
+    def deflate(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        lines = np.zeros((first.nr, first.w + 1), dtype=np.uint8)  # a filter byte of 0 leads each line
+        for row in pdf.itertuples(index=False):
+            lines[:, 1 + row.c0 : 1 + row.c0 + row.nc] = core(row)
+        data = lines.tobytes()
+        packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+        last = first.r0 + first.nr == first.h
+        body = packer.compress(data) + packer.flush(zlib.Z_FINISH if last else zlib.Z_FULL_FLUSH)
+        head = {c: [first[c]] for c in ("image_id", "h", "w", "r0")}
+        return pd.DataFrame({**head, "adler": [zlib.adler32(data)], "length": [len(data)], "body": [body]})
+
+    return tiles.groupBy("image_id", "r0").applyInPandas(deflate, f"image_id {kind}, h long, w long, r0 long, adler long, length long, body binary")
 
 
 def write_png(tiles: DataFrame, folder: str) -> DataFrame:
-    """One PNG per tile, named image_r0_c0.png (an image of one tile is simply image.png).
+    """One 8-bit grayscale PNG per image, named image.png: (image_id, path).
 
-    The tile table is the canonical form; files are for viewing. Returns (image_id, path).
+    Strips are compressed in parallel; a task then appends an image's strips in order, one at a time, so an image need
+    not fit in memory. ``folder`` may be a URI; a file appears when it is complete.
     """
+    ready = strips(tiles).repartition("image_id").sortWithinPartitions("image_id", "r0")
 
     def run(batches):
-        for pdf in batches:
-            paths = []
-            for row in pdf.itertuples(index=False):
-                whole = row.nr == row.h and row.nc == row.w
-                name = f"{row.image_id}.png" if whole else f"{row.image_id}_{row.r0}_{row.c0}.png"
-                os.makedirs(folder, exist_ok=True)
-                target = os.path.join(folder, name)
-                part = f"{target}.{os.getpid()}.part"
-                with open(part, "wb") as out:
-                    out.write(png_bytes(core(row)))
-                os.replace(part, target)
-                paths.append(target)
-            yield pd.DataFrame({"image_id": pdf["image_id"].astype(str), "path": paths})
-
-    return tiles.mapInPandas(run, "image_id string, path string")
+        def rows():
+            for pdf in batches:
+                yield from pdf.itertuples(index=False)
+
+        for image_id, own in groupby(rows(), key=lambda row: row.image_id):
+            target = f"{folder.rstrip('/')}/{image_id}.png"
+            with whole_file(target) as out:
+                adler, at = 1, 0
+                for row in own:
+                    if row.r0 != at:
+                        raise ValueError(f"image {image_id} has no rows from {at} to {row.r0}")
+                    if at == 0:
+                        header = struct.pack(">IIBBBBB", row.w, row.h, 8, 0, 0, 0, 0)
+                        out.write(b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", header) + _chunk(b"IDAT", b"\x78\x9c"))
+                    out.write(_chunk(b"IDAT", row.body))
+                    adler = joined_adler(adler, row.adler, row.length)
+                    at += row.length // (row.w + 1)
+                if at != row.h:
+                    raise ValueError(f"image {image_id} ends at row {at} of {row.h}")
+                out.write(_chunk(b"IDAT", struct.pack(">I", adler)) + _chunk(b"IEND", b""))
+            yield pd.DataFrame({"image_id": [str(image_id)], "path": [target]})
+
+    return ready.mapInPandas(run, "image_id string, path string")

@@ -97,11 +97,61 @@ def selection_document(ranked: DataFrame, summary: DataFrame) -> DataFrame:
     )
 
 
-def selection_report(ranked: DataFrame) -> str:
-    """Markdown table of the selected features (a handful of rows)."""
-    columns = ranked.columns
-    lines = ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
-    lines += ["| " + " | ".join(str(v) for v in row) + " |" for row in ranked.orderBy("rank").collect()]
-    return "\n".join(lines)
+def _markdown(df: DataFrame, order: str | None = None, most: int = 2000) -> list[str]:
+    """Lines of a table; more rows than a reader could want are an error, not a cut."""
+    rows = (df.orderBy(order) if order else df).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report shows at most {most} rows")
+    lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
+    return lines + ["| " + " | ".join(str(v) for v in row) + " |" for row in rows]
 
 
+def selection_report(ranked: DataFrame, summary: DataFrame | None = None, settings: dict | None = None, **sections: DataFrame) -> str:
+    """Markdown: settings, data summary, selected features in rank order and any further titled tables.
+
+    Without further arguments it is the table of the selected features alone.
+    """
+    table = _markdown(ranked, "rank")
+    if summary is None and settings is None and not sections:
+        return "\n".join(table)
+    lines = ["# Feature selection"]
+    if settings:
+        lines += ["", "## Settings", "", *[f"* {name}: {value}" for name, value in sorted(settings.items())]]
+    if summary is not None:
+        lines += ["", "## Data", "", *_markdown(summary)]
+    lines += ["", "## Selected features", "", *table]
+    for title, df in sections.items():
+        lines += ["", f"## {title.replace('_', ' ').capitalize()}", "", *_markdown(df)]
+    return "\n".join(lines) + "\n"
+
+
+RECORD = (
+    "subset string, model_name string, n_train long, n_test long, accuracy double, precision double, recall double, "
+    "f1_score double, roc_auc double, cv_f1_mean double, cv_f1_std double, train_time double, predict_time double"
+)
+
+
+def classification_document(spark: SparkSession, records: list[dict]) -> DataFrame:
+    """One row per subset: its models with all their scores, and the best of them. ``records`` is what classify returns."""
+    names = [c.split()[0] for c in RECORD.split(", ")]
+    rows = spark.createDataFrame([tuple(r.get(n) for n in names) for r in records], RECORD)
+    models = F.struct(*[n for n in names if n != "subset"])
+    # of equal scores the name that sorts first wins, as in best_results
+    best = F.min(F.struct(-F.col("f1_score"), "model_name"))["model_name"]
+    return rows.groupBy("subset").agg(
+        F.array_sort(F.collect_list(models), lambda a, b: F.when(a["model_name"] < b["model_name"], -1).when(a["model_name"] > b["model_name"], 1).otherwise(0)).alias("models"),
+        best.alias("best_model"),
+    )
+
+
+def write_classification(spark: SparkSession, records: list[dict], path: str) -> None:
+    """The document as JSON lines."""
+    write_json(classification_document(spark, records), path)
+
+
+def read_classification(spark: SparkSession, path: str) -> DataFrame:
+    """Records of a written document again, one row per subset and model, with ``is_best``."""
+    fields = ", ".join(f"{c.split()[0]}: {c.split()[1].replace('long', 'bigint')}" for c in RECORD.split(", ")[1:])
+    document = spark.read.schema(f"subset string, models array<struct<{fields}>>, best_model string").json(path)
+    each = document.select("subset", "best_model", F.explode("models").alias("m"))
+    return each.select("subset", "m.*", (F.col("m.model_name") == F.col("best_model")).alias("is_best"))
