@@ -1,12 +1,15 @@
 """Secret scan: fixed patterns, and novelty measured by a dictionary-primed compressor.
 
 A candidate is a pattern's match, or another long string of key characters just after a sensitive word. Its novelty
-is the number of bytes it adds to the compressed text around it, with a compressor primed on the identifiers that
-stand around candidates all over the corpus. Words, paths and repeated names add little; keys add nearly their
-entropy. Matches are always reported, other candidates when they are hard to compress, whatever characters they hold.
-The compressor also knows parts of ordinary words; a long word made of none and seen nowhere else is reported too.
+is the number of bytes it adds to the compressed text around it. The compressor is primed on the parts of the corpus's
+own words and identifiers, split at case changes and at everything that is no letter, and counted over all texts but
+for what stands in candidates: a key cannot vouch for itself, however often it is copied. Names made of known parts add
+little; keys add nearly their entropy. Matches are always reported, other candidates when they are hard to compress.
 
+* A candidate that reaches beyond a match is measured and reported beside it; one inside a match is not.
+* A name whose parts appear nowhere else in the corpus is as novel as a key and is reported.
 * A null text is an empty one. A null doc_id is carried through. Repeated rows are reported each; empty tables work.
+  Only doc_id and text are read, other columns of whatever names are carried by ``redact``.
 * Very long texts are searched whole, one at a time. Positions are code points, ends exclusive.
 """
 
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,27 +43,12 @@ SENSITIVE_HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "credential"
 REACH = 48
 
 BEFORE, AFTER = 96, 32
-IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]{2,63}"
-LEVEL = 3
-LEAST_NOVELTY, LEAST_SHARE = 10, 0.6
-
-# Parts of ordinary long words, which a compressor knows before it has seen any text.
-WORD_PARTS = (
-    "ability able acter action administra advertise ance anti appropriate architect arrange ation ational atically author "
-    "authentic bility character circum clearly commun comprehens config configuration consider construct consult contra "
-    "counter cultural default department develop different director discrimin distin document documentation electro ently "
-    "environment establish estimate exception experience express extra general government hensive identifi identification "
-    "implement implementation independ indistinguish industrial infra inform information initial institution institutional "
-    "instrument intelligent inter international interpret interchange investig istic istically ization izational "
-    "knowledge library local logical management mathematic measure medical message micro misunderstand multi nation "
-    "neighbour notwithstand object operation organ organization other over parameter password permission philosoph photo "
-    "physic political private process product profession project proportion provider psycho public radio reason recogni "
-    "recommend register relation repository represent representation request resource respons responsibility response "
-    "revolution revolutionary secret semi service session share signature social special standard statistic straightforward "
-    "structure sub super system technical technolog telecommunication token trans transform ultra uncharacter understand "
-    "united university user usr value version view web window work able ably ence iness ingly ition itive less ment ness "
-    "ologi ological ously ship tional tionary tive tively ture"
-).encode()
+PART = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}")  # a word, or the piece of an identifier between changes of case
+LONGEST_PART = 24
+DICTIONARY = 16_384  # parts that the compressor knows, the most frequent ones
+BORDER = re.compile(r"(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[A-Z][a-z]|[0-9])|(?<=[0-9])(?=[A-Za-z])|[_/=+-]+")
+PADDING = 128  # bytes of the dictionary that stand before the surroundings, so that these are never too short to compress
+LEAST_NOVELTY, LEAST_SHARE = 10, 0.67
 
 FOUND = "array<struct<kind:int,start:int,stop:int,value:string,before:string,after:string>>"
 SPANS = "array<struct<kind:int,start:int,stop:int,novelty:int>>"
@@ -78,7 +67,7 @@ def matches(text: str) -> list[tuple[int, int, int]]:
 
 
 def near_sensitive(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Other strings of key characters that follow a sensitive word within REACH and overlap no match."""
+    """Other strings of key characters that follow a sensitive word within REACH and do not lie inside a match."""
     lower = text.lower()
     if not any(hint in lower for hint in SENSITIVE_HINTS):
         return []
@@ -91,7 +80,11 @@ def near_sensitive(text: str, known: list[tuple[int, int, int]]) -> list[tuple[i
             reached = at
             while k < len(known) and known[k][2] <= start:
                 k += 1
-            if not any(s < at and start < e for _, s, e in known[k : k + 3]):
+            inside, n = False, k
+            while n < len(known) and known[n][1] <= start and not inside:
+                inside = at <= known[n][2]
+                n += 1
+            if not inside:
                 out.append((3, start, at))
     return out
 
@@ -106,63 +99,89 @@ def around(text: str, start: int, stop: int) -> tuple[str, str]:
 
 
 @functools.lru_cache(maxsize=2)
-def compressor(identifiers: bytes):
+def compressor(parts: bytes):
     import zstandard
 
-    primed = zstandard.ZstdCompressionDict(WORD_PARTS + b" " + identifiers, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    primed.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(
-        level=LEVEL, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False
-    )
+    # Fixed settings: those that a level stands for change with the length of the text, and marginal bytes with them.
+    settings = zstandard.ZstdCompressionParameters(
+        window_log=18, hash_log=16, chain_log=16, search_log=7, min_match=4, target_length=24,
+        strategy=zstandard.STRATEGY_BTLAZY2, write_checksum=False, write_content_size=False, write_dict_id=False,
+    )
+    primed = zstandard.ZstdCompressionDict(parts or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primed.precompute_compress(compression_params=settings)
+    return zstandard.ZstdCompressor(compression_params=settings, dict_data=primed)
 
 
-def novelty(value: str, before: str, after: str, identifiers: bytes) -> int:
-    """Bytes that the value adds to its compressed surroundings."""
-    packer = compressor(identifiers)
-    with_value = packer.compress((before + value + after).encode("utf-8", "replace"))
-    without = packer.compress((before + after).encode("utf-8", "replace"))
-    return len(with_value) - len(without)
+def novelty(value: str, before: str, after: str, parts: bytes) -> int:
+    """Bytes that the value adds to its compressed surroundings: as written, or as the dictionary writes names, in lower
+    case with or without gaps between the parts, whichever adds least."""
+    packer, added, low = compressor(parts), [], (before.lower(), after.lower())
+    lead = parts[-PADDING:]
+    for v, b, a in {(value, before, after), (value.lower(), *low), (BORDER.sub(" ", value).lower(), *low)}:
+        with_value = packer.compress(lead + (b + v + a).encode("utf-8", "replace"))
+        added.append(len(with_value) - len(packer.compress(lead + (b + a).encode("utf-8", "replace"))))
+    return min(added)
 
 
 def is_secret(kind: int, length: int, added: int) -> bool:
     return kind < 3 or added >= max(LEAST_NOVELTY, LEAST_SHARE * length)
 
 
+def parts_outside(text: str, places: list[tuple[int, int, int]]) -> list[str]:
+    """The parts of a text's words and identifiers, without what stands in candidates."""
+    if places:
+        pieces, at = [], 0
+        for _, start, stop in places:
+            if start > at:
+                pieces.append(text[at:start])
+            at = max(at, stop)
+        text = "\n".join([*pieces, text[at:]])
+    return PART.findall(text)
+
+
 def found_in(docs: DataFrame) -> DataFrame:
-    """(doc_id, found): the candidates of every row of docs(doc_id, text), with what stands around them."""
+    """(doc_id, found, parts): the candidates of every row of docs(doc_id, text), with what stands around them.
+
+    Each batch of rows is followed by one row without candidates that counts its parts; its ``parts`` is not null.
+    """
     fields = [("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())]
     fields += [("value", pa.string()), ("before", pa.string()), ("after", pa.string())]
-    kind = pa.list_(pa.struct(fields))
+    kind, counted = pa.list_(pa.struct(fields)), pa.map_(pa.string(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [name for name, _ in fields]
         for batch in batches:
-            rows = []
+            rows, counts = [], Counter()
             for text in batch.column("text"):
                 text = text.as_py() or ""
-                rows.append(
-                    [dict(zip(names, (k, s, e, text[s:e], *around(text, s, e)))) for k, s, e in candidates(text)]
-                )
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, kind)], ["doc_id", "found"])
+                places = candidates(text)
+                counts.update(parts_outside(text, places))
+                rows.append([dict(zip(names, (k, s, e, text[s:e], *around(text, s, e)))) for k, s, e in places])
+            lower = Counter()
+            for part, n in counts.items():
+                lower[part.lower()[:LONGEST_PART]] += n
+            ids = pa.concat_arrays([batch.column("doc_id"), pa.nulls(1, pa.int64())])
+            parts = pa.array([None] * len(rows) + [list(lower.items())], counted)
+            yield pa.RecordBatch.from_arrays([ids, pa.array([*rows, []], kind), parts], ["doc_id", "found", "parts"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, found {FOUND}")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, f"doc_id long, found {FOUND}, parts map<string,bigint>")
 
 
-def identifier_dictionary(found: DataFrame, size: int = 4096) -> bytes:
-    """The most frequent identifiers around candidates, the most frequent last, where a compressor finds them cheapest.
+def part_dictionary(found: DataFrame, size: int = DICTIONARY) -> bytes:
+    """The most frequent parts, the most frequent last, where a compressor finds them cheapest.
 
-    At most `size` of at most 64 characters reach the driver.
+    At most `size` of at most LONGEST_PART letters reach the driver; a part must be seen twice.
     """
-    places = found.select(F.explode("found").alias("c")).select(F.concat_ws(" ", "c.before", "c.after").alias("t"))
-    words = places.select(F.explode(F.regexp_extract_all("t", F.lit(IDENTIFIER), F.lit(0))).alias("w"))
-    top = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(size).collect()
+    each = found.filter(F.col("parts").isNotNull()).select(F.explode("parts").alias("w", "n"))
+    top = each.groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "w").limit(size).collect()
     return " ".join(row.w for row in reversed(top)).encode()
 
 
-def scan(docs: DataFrame, dictionary: int = 4096) -> DataFrame:
+def scan(docs: DataFrame, dictionary: int = DICTIONARY) -> DataFrame:
     """(doc_id, spans) of every row of docs(doc_id, text): secrets by start, then kind, with their novelty."""
     found = stage(found_in(docs))
-    identifiers = identifier_dictionary(found, dictionary)
+    parts = part_dictionary(found, dictionary)
     kind = pa.list_(pa.struct([(name, pa.int32()) for name in ("kind", "start", "stop", "novelty")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,20 +190,20 @@ def scan(docs: DataFrame, dictionary: int = 4096) -> DataFrame:
             for places in batch.column("found").to_pylist():
                 kept = []
                 for c in places:
-                    added = novelty(c["value"], c["before"], c["after"], identifiers)
+                    added = novelty(c["value"], c["before"], c["after"], parts)
                     if is_secret(c["kind"], c["stop"] - c["start"], added):
                         kept.append({"kind": c["kind"], "start": c["start"], "stop": c["stop"], "novelty": added})
                 rows.append(kept)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, kind)], ["doc_id", "spans"])
 
-    return found.mapInArrow(run, f"doc_id long, spans {SPANS}")
+    return found.filter(F.col("parts").isNull()).drop("parts").mapInArrow(run, f"doc_id long, spans {SPANS}")
 
 
-def hide(text: str, identifiers: bytes, mark: str = "[SECRET]") -> str:
+def hide(text: str, parts: bytes, mark: str = "[SECRET]") -> str:
     """The text with every secret, overlapping ones together, replaced by a mark."""
     out, at = [], 0
     for kind, start, stop in candidates(text):
-        if kind == 3 and not is_secret(kind, stop - start, novelty(text[start:stop], *around(text, start, stop), identifiers)):
+        if kind == 3 and not is_secret(kind, stop - start, novelty(text[start:stop], *around(text, start, stop), parts)):
             continue
         if start >= at:
             out += [text[at:start], mark]
@@ -192,14 +211,14 @@ def hide(text: str, identifiers: bytes, mark: str = "[SECRET]") -> str:
     return "".join(out) + text[at:]
 
 
-def redact(docs: DataFrame, dictionary: int = 4096) -> DataFrame:
+def redact(docs: DataFrame, dictionary: int = DICTIONARY) -> DataFrame:
     """All rows and columns of docs, secrets hidden; n_chars, if there, is the length of the new text. Null stays null."""
-    identifiers = identifier_dictionary(found_in(docs), dictionary)
+    parts = part_dictionary(found_in(docs), dictionary)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if t is None else hide(t, identifiers) for t in batch.column("text").to_pylist()]
+            texts = [None if t is None else hide(t, parts) for t in batch.column("text").to_pylist()]
             columns = dict(zip(names, batch.columns))
             columns["text"] = pa.array(texts, batch.column("text").type)
             if "n_chars" in columns:

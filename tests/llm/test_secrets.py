@@ -1,4 +1,8 @@
+import os
+import pathlib
+import random
 import re
+import string
 
 from recurra.llm import secrets
 
@@ -45,17 +49,75 @@ def test_whole_table_has_the_base_spans(documents, sample):
     assert got == {i: base_spans(t or "") for i, t in sample}
 
 
-def test_novelty_adds_keys_not_paths(documents):
-    spans = found(documents, TEXTS)[6]
-    text = TEXTS[6]
-    assert [text[s:e] for kind, s, e in spans if kind == 3] == [KEY]
+def library(*names):
+    """Sources of standard modules: code with identifiers of other people's choice."""
+    out = []
+    for name in names:
+        place = pathlib.Path(os.__file__).parent / name
+        found = sorted(place.glob("*.py")) if place.is_dir() else [place.with_suffix(".py")]
+        out += [p.read_text(errors="replace") for p in found]
+    return out
 
 
-def test_known_names_are_not_novel():
-    name = "PaymentGatewayClient2FactoryBean"
-    plain = secrets.novelty(name, "auth ", " end", b"")
-    primed = secrets.novelty(name, "auth ", " end", f"x {name} y".encode())
-    assert primed < secrets.LEAST_NOVELTY < plain
+CORPUS = ("http", "email", "json", "logging", "asyncio", "unittest", "ssl", "socket", "tarfile", "argparse", "inspect", "typing", "ast")
+
+
+def novel(spans, text):
+    return [text[s:e] for kind, s, e in spans if kind == 3]
+
+
+def test_keys_are_found_in_code_and_its_names_are_not(documents):
+    """Keys planted in code against long names of modules that the dictionary has not seen."""
+    rng = random.Random(3)
+    names = sorted({w for t in library("xml", "urllib", "multiprocessing", "importlib", "smtplib", "ftplib", "traceback", "threading")
+                    for w in re.findall(r"[A-Za-z_][A-Za-z0-9_]{15,}", t)})
+    keys = ["".join(rng.choice(chars) for _ in range(n))
+            for chars in (string.ascii_letters + string.digits, string.ascii_letters, string.ascii_letters + string.digits + "+/")
+            for n in (16, 20, 24, 32) for _ in range(20)]
+    code = library(*CORPUS)
+    probes = [f"x = auth {name} end" for name in names] + [f"x = auth {key} end" for key in keys]
+    spans = found(documents, code + probes)
+    got = [novel(spans[len(code) + k], text) for k, text in enumerate(probes)]
+    reported = sum(bool(g) for g in got[: len(names)])
+    assert len(names) > 250 and reported <= 0.08 * len(names)
+    assert sum(g == [key] for g, key in zip(got[len(names) :], keys)) >= 0.95 * len(keys)
+
+
+SIXTEEN = [
+    "AbstractSingletonProxyFactoryBean", "getElementsByClassNameAndTag", "OAuth2AuthorizedClientRepository", "GOOGLE_APPLICATION_CREDENTIALS",
+    "/usr/share/zoneinfo/Europe", "internationalization", "usr/local/share/documentation", "AuthenticationManagerBuilder",
+    "createContextualFragment", "UserDetailsServiceImpl", "spring_security_check", "DEFAULT_PRIVATE_KEY_LENGTH",
+    "password_reset_confirmation", "certificateTransparencyLog", "SignatureAlgorithmIdentifier", "application-development-settings",
+]
+
+
+def test_ordinary_names_whose_parts_the_corpus_holds(documents):
+    parts = sorted({p for name in SIXTEEN for p in secrets.PART.findall(name)})
+    prose = [" ".join(parts), " ".join(p.lower() for p in reversed(parts)), "an internationalization note"]
+    texts = [f"the private {name} end" for name in SIXTEEN]
+    spans = found(documents, prose + texts)
+    assert sum(bool(novel(spans[len(prose) + k], text)) for k, text in enumerate(texts)) <= 1
+    assert all(secrets.candidates(text) for text in texts)
+
+
+def test_copies_of_a_key_do_not_vouch_for_it(documents):
+    for key in (KEY, "qwzrtylmpbvcxkhdjgfnsw"):
+        text = f"the auth header is {key} for now"
+        spans = found(documents, [text] * 50)
+        assert all(novel(spans[k], text) == [key] for k in range(50))
+
+
+WIDER = ["auth key: AbQZ0123456789abcdef01Xyz+QwErTy/ZxCv99==", "Bearer Zk9_0a1b2c3d4e5f60718293_QmVx77tRpLwz rest", "token: abcdefghijkl012345/XyZ"]
+
+
+def test_a_candidate_around_a_match_is_reported_beside_it(documents):
+    spans = found(documents, WIDER)
+    for k, text in enumerate(WIDER):
+        assert [s for s in spans[k] if s[0] < 3] == base_spans(text)
+    assert novel(spans[0], WIDER[0]) == [WIDER[0][10:]] and novel(spans[1], WIDER[1]) == [WIDER[1][7:44]]
+    assert novel(spans[2], WIDER[2]) == []  # inside the match
+    hidden = {r.doc_id: r.text for r in secrets.redact(documents(list(enumerate(WIDER)))).collect()}
+    assert [hidden[k] for k in range(3)] == ["auth key: [SECRET]", "Bearer [SECRET] rest", "[SECRET]"]
 
 
 def test_redaction_keeps_rows_and_columns(documents):
@@ -77,7 +139,7 @@ def test_empty_and_long(documents):
 
 
 def test_letters_only_and_digits_only_keys(documents):
-    """Novelty alone decides: a key without digits is found, a long ordinary word or path is not."""
+    """Novelty alone decides: a key without digits is found, a long word or path of known parts is not."""
     key, number = "QwZrTyLmPbVcXkHd", "83650291746620913857"
     texts = [
         f"the auth key is {key} for now",
@@ -85,8 +147,8 @@ def test_letters_only_and_digits_only_keys(documents):
         "the authentication key needs internationalization support",
         "the secret is usr/local/share/documentation here",
     ]
-    spans = found(documents, texts)
-    assert [texts[0][s:e] for kind, s, e in spans[0] if kind == 3] == [key]
+    spans = found(documents, texts + ["international ization local share documentation usr"] * 2)
+    assert novel(spans[0], texts[0]) == [key]
     assert number in texts[1] and [s[0] for s in spans[1]] == [2]  # a pattern of its own: digits are hexadecimal
     assert spans[2] == spans[3] == []
     assert secrets.candidates(texts[2])[0][0] == 3
