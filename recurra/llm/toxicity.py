@@ -2,8 +2,10 @@
 
 score = bias + sum of term weights + sum over pairs of terms of the inner product of their vectors. The pair part
 catches what is harmless word by word, such as an insult next to a named group. Terms are the distinct words of a
-text and the beginnings of its longer words, as 64-bit hashes. Terms whose share differs clearly between toxic and
-other training texts take part; the rest would only add noise.
+text and the beginnings of its longer words, as 64-bit hashes. A term takes part if its share differs clearly between
+toxic and other training texts, or if it does so together with another term: if the texts that hold both are clearly
+more often (or less often) toxic than those that hold either. Words that say nothing alone are found that way. Pairs
+are looked for among the PAIR_TERMS most frequent terms that at most half of the texts hold; the rest adds only noise.
 
 * Null, empty and blank texts score by the bias alone. Repeated rows score alike; an empty table gives no rows.
 * Very long texts are hashed in pieces and scored on all their distinct terms.
@@ -26,6 +28,7 @@ FACTORS = 4
 SAMPLE = 24_000  # most labelled rows that a model is fitted on
 PREFIXES = (4, 5, 6, 7)
 LEAST_TEXTS, LEAST_Z = 4, 4.5
+PAIR_TERMS, PAIR_TEXTS, PAIR_Z = 2048, 8, 6.0
 THRESHOLD = 0.3
 
 
@@ -44,6 +47,40 @@ def _differs(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) -
     return (seen >= LEAST_TEXTS) & (np.abs(toxic / n_toxic - other / n_other) > LEAST_Z * spread)
 
 
+def _tells(both: np.ndarray, n: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Whether `both` toxic ones of n texts with two terms are clearly more, or fewer, than either term's share says."""
+    out = np.zeros(n.shape, dtype=bool)
+    for share, sign in ((high, 1), (low, -1)):
+        edge = np.clip(share, 0.5 / np.maximum(n, 1), 1 - 0.5 / np.maximum(n, 1))
+        out |= sign * (both - edge * n) > PAIR_Z * np.sqrt(np.maximum(n * edge * (1 - edge), 1e-12))
+    return out & (n >= PAIR_TEXTS)
+
+
+def paired_buckets(texts: list[str], labels: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Buckets of frequent terms that tell together with another one, from counts of all pairs of them."""
+    seen = counts.sum(axis=0)
+    often = np.flatnonzero((seen >= PAIR_TEXTS) & (seen <= max(PAIR_TEXTS, len(texts) // 2)))
+    often = np.sort(often[np.lexsort((often, -seen[often]))][:PAIR_TERMS])
+    if len(often) < 2:
+        return often[:0]
+    place = np.full(1 << COUNT_BITS, -1, dtype=np.int16)
+    place[often] = np.arange(len(often))
+    shift, together, toxic = np.uint64(64 - COUNT_BITS), *np.zeros((2, len(often), len(often)), dtype=np.float32)
+    for first in range(0, len(texts), 512):
+        part, own = texts[first : first + 512], labels[first : first + 512] == 1
+        held = np.zeros((len(part), len(often)), dtype=np.float32)
+        for k, found in enumerate(terms(part)):
+            at = place[found >> shift]
+            held[k, at[at >= 0]] = 1
+        together += held.T @ held
+        toxic += held[own].T @ held[own]
+    alone = np.diag(toxic) / np.maximum(np.diag(together), 1)
+    tells = _tells(toxic, together, np.maximum.outer(alone, alone), np.minimum.outer(alone, alone))
+    # Two terms that stand in the same texts, as a word and its beginning do, are one.
+    same = together >= 0.9 * np.minimum.outer(np.diag(together), np.diag(together))
+    return often[(tells & ~same).any(axis=1)]
+
+
 def select(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Sorted hashes of the terms that take part, and each text's places among them.
 
@@ -55,6 +92,8 @@ def select(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, list[np.nd
     for label, found in zip(labels, terms(texts)):
         counts[int(label), np.unique(found >> shift)] += 1
     open_buckets = _differs(counts[1], counts[0], n_toxic, n_other)
+    pairs = paired_buckets(texts, labels, counts)
+    open_buckets[pairs] = True
     rows = []
     for found in terms(texts):
         rows.append(np.unique(found[open_buckets[found >> shift]]))
@@ -62,7 +101,8 @@ def select(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, list[np.nd
     known, place = np.unique(every, return_inverse=True)
     of = np.repeat(labels, [len(row) for row in rows])
     toxic = np.bincount(place, weights=of, minlength=len(known))
-    known = known[_differs(toxic, np.bincount(place, minlength=len(known)) - toxic, n_toxic, n_other)]
+    clear = _differs(toxic, np.bincount(place, minlength=len(known)) - toxic, n_toxic, n_other)
+    known = known[clear | np.isin(known >> shift, pairs.astype(np.uint64))]
     return known, [np.flatnonzero(np.isin(known, row, assume_unique=True)) for row in rows]
 
 

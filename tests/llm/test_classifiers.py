@@ -117,3 +117,32 @@ def test_kept_rows_keep_their_columns(spark, documents):
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
     assert len(ids & good) >= 0.95 * len(good) and len(ids - good) <= 0.1 * (300 - len(good))
     assert kept.select(F.count("*")).first()[0] == len(ids)
+
+
+def test_words_that_say_nothing_alone_are_found_in_pairs():
+    """Both words of a pair are equally frequent in both classes; only which stand together decides."""
+    rng = random.Random(5)
+
+    def texts_of(n):
+        out, labels = [], []
+        for _ in range(n):
+            words, i, j = [rng.choice(WORDS) for _ in range(20)], rng.randrange(2), rng.randrange(2)
+            words += [("dunceword", "fooltalk")[i], ("outgroup", "ingroupe")[j]]
+            rng.shuffle(words)
+            out.append(" ".join(words))
+            labels.append(float(i == j))
+        return out, np.array(labels)
+
+    model = toxicity.Model(toxicity.train(*texts_of(3000)))
+    texts, labels = texts_of(1000)
+    scores = model.scores(texts)
+    assert ((scores > 0.5) == labels).mean() >= 0.9
+    model.vectors = np.zeros_like(model.vectors)  # without its pair part the machine knows nothing
+    assert ((model.scores(texts) > 0.5) == labels).mean() < 0.6
+
+
+def test_no_pair_is_found_in_noise():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(25)) for _ in range(2000)]
+    known, _ = toxicity.select(texts, np.array([float(rng.random() < 0.3) for _ in texts]))
+    assert len(known) == 0
