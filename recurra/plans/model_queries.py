@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import r6
 from ..operators import classify, evaluate, selection, trees
 from ..session import stage
+from ..sources.results import classification_document
 from .common import FEATURES, features, report
 from .registry import query, rounded, with_ctes
 
@@ -534,6 +535,32 @@ def out_of_bag(spark, folder):
     return scored.agg(F.count("score").alias("n_scored"), F.avg("trees").alias("trees_a_row"), r6(F.avg(right)).alias("oob_score"))
 
 
+def _wide(spark, folder):
+    """Vector components as feature columns under family names, and their names ranked by F."""
+    k = F.col("feature")
+    prefix = F.when(k % 3 == 0, "glcm_").when(k % 3 == 1, "lbp_").otherwise("stat_")
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("f_score"), "feature")
+    scores = selection.anova(_stats(spark, folder))
+    ranked = stage(scores.select(F.row_number().over(order).alias("rank"), F.concat(prefix, k).alias("feature")))
+    names = {int(r.feature.split("_")[1]): r.feature for r in ranked.collect()}  # one row per feature
+    vectors = _vectors(spark, folder)
+    return stage(vectors.select("row_id", "label", *[F.get("x", F.lit(i)).alias(name) for i, name in sorted(names.items())])), ranked
+
+
+@query("model_comparison")
+def model_comparison(spark, folder):
+    """Two models on every feature subset, with the best of each subset and of all: one row per subset and model."""
+    wide, ranked = _wide(spark, folder)
+    subsets = {r.subset: list(r.features) for r in classify.subsets(ranked).collect()}
+    records = classify.classify(wide, subsets, ("logistic_regression", "naive_bayes"))
+    _, top = classify.best_results(records)
+    each = stage(classification_document(spark, records)).select("subset", "best_model", F.explode("models").alias("m"))
+    best = F.col("m.model_name") == F.col("best_model")
+    first = (F.col("subset") == top["subset"]) & (F.col("m.model_name") == top["model_name"])
+    metrics = ("accuracy", "precision", "recall", "f1_score", "roc_auc")
+    return each.select("subset", "m.model_name", *[r6(F.col(f"m.{c}")).alias(c) for c in metrics], best.alias("is_best"), first.alias("is_top"))
+
+
 @query("cross_validation")
 def cross_validation(spark, folder):
     """Ten-fold weighted F1 of every model on standardised vectors, all folds of a model at once: one row per model."""

@@ -33,6 +33,15 @@ def test_cross_validation_covers_every_model(spark):
     assert all(0.3 < r.cv_f1_mean < 0.7 and 0 < r.cv_f1_std < 0.2 for r in rows)  # labels of these vectors are random
 
 
+def test_model_comparison_names_one_best_of_all(spark):
+    rows = entry.queries()["model_comparison"](spark, "/root/testdata/sf0.001").collect()
+    subsets = {r.subset for r in rows}
+    assert len(rows) == 2 * len(subsets) and {"top_5", "top_10", "all_selected"} <= subsets
+    (top,) = [r for r in rows if r.is_top]
+    assert top.is_best and top.f1_score == max(r.f1_score for r in rows)
+    assert sorted(r.subset for r in rows if r.is_best) == sorted(subsets)
+
+
 def test_series_without_a_delay_vector_give_no_row(series):
     signal = series({"short": range(54), "just": range(55)})
     assert [r.signal_id for r in params.takens(signal, 7, 9).collect()] == ["just"]
