@@ -47,6 +47,44 @@ def test_interrupted_batch_is_invisible_and_can_be_sent_again(spark, tmp_path):
     assert totals(rollup) == {("a", "en", "v"): (1, 12)}
 
 
+def test_a_batch_reads_the_buckets_of_its_documents_only(spark, tmp_path):
+    rollup = token_counts.TokenRollup(spark, f"{tmp_path}/r", buckets=8)
+    rollup.commit("one", changes(spark, [(i, "insert", "a", "en", "v", i) for i in range(200)]))
+    rollup.commit("two", changes(spark, [(i, "revise", "a", "en", "v", i + 1) for i in range(100)]))
+    assert len(rollup.ledger().inputFiles()) == 16
+    read, asked = rollup.ledger, []
+    rollup.ledger = lambda buckets: asked.append(buckets) or read(buckets)
+    again = token_counts.TokenRollup(spark, f"{tmp_path}/r", buckets=3)
+    again.ledger = rollup.ledger
+    assert again.commit("three", changes(spark, [(7, "delete", None, None, "v", None)]))
+    (only,) = asked
+    assert len(only) == 1 and len(read(only).inputFiles()) == 3  # the own file and one of each earlier batch
+    assert {r.doc_id % 1000 for r in read(only).collect()} >= {7} and read(only).count() < 60
+    want = {("a", "en", "v"): (199, sum(range(200)) + 100 - 8)}
+    assert totals(rollup) == want
+
+
+def test_compaction_keeps_totals_and_later_batches(spark, tmp_path):
+    rollup = token_counts.TokenRollup(spark, f"{tmp_path}/r", buckets=4)
+    rollup.compact()
+    rollup.commit("one", changes(spark, [(i, "insert", "a", "en", "v", 2) for i in range(40)] + [(None, "insert", "c", "en", "v", 5)]))
+    rollup.commit("two", changes(spark, [(i, "delete", None, None, "v", None) for i in range(30)] + [(35, "insert", "b", None, None, 9)]))
+    want = totals(rollup)
+    rollup.compact()
+    rollup.compact()
+    assert totals(rollup) == want == {("a", "en", "v"): (10, 20), ("c", "en", "v"): (1, 5), ("b", None, None): (1, 9)}
+    assert rollup.ledger().count() == 11 and len(rollup.ledger().inputFiles()) <= 4
+    assert not rollup.commit("one", changes(spark, [(1, "insert", "a", "en", "v", 2)]))
+    rollup.commit("three", changes(spark, [(31, "revise", "b", "en", "v", 3), (1, "insert", "a", "en", "v", 4), (35, "delete", None, None, None, None)]))
+    want = {("a", "en", "v"): (10, 22), ("c", "en", "v"): (1, 5), ("b", "en", "v"): (1, 3)}
+    assert totals(rollup) == want
+    half = spark.createDataFrame([("z", "en", "v", 5, 500, 3)], token_counts.DELTAS)
+    half.write.parquet(f"{tmp_path}/r/base/deltas/3")  # a compaction that did not get to its marker
+    assert totals(rollup) == want
+    rollup.compact()
+    assert totals(rollup) == want
+
+
 def test_counts_are_those_of_the_vocabulary(documents, sample):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     docs = sample[:60] + [(9000, None), (9001, "<|endoftext|>x <|endoftext|>"), (9002, "")]
