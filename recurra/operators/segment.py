@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -179,8 +180,10 @@ def resample(
     """Windowed-sinc resampling of (signal_id, i, n, y, sr) to (signal_id, i, n, y) at the target rate.
 
     Works on blocks with as much halo as the filter reaches, output positions counted from the start of the series,
-    so no block shows in the result. Signals at the target rate pass through. The filter is a Hann-windowed sinc, so
-    results agree with other band-limited resamplers only approximately.
+    so no block shows in the result. With rates in the ratio down : up, outputs have at most ``up`` distances to the
+    sample before them; the filter of each is computed once a task and applied to all its outputs in one product.
+    Signals at the target rate pass through. The filter is a Hann-windowed sinc, so results agree with other
+    band-limited resamplers only approximately.
     """
     found = signal.filter(F.col("sr") == target_rate).select("signal_id", "i", "n", "y")
     rates = [row.sr for row in signal.select("sr").distinct().collect() if row.sr != target_rate]  # a handful
@@ -192,25 +195,37 @@ def resample(
 def _resample_from(signal: DataFrame, rate: int, target_rate: int, zero_crossings: int, size: int) -> DataFrame:
     cutoff = min(1.0, target_rate / rate)
     reach = math.ceil(zero_crossings / cutoff)
+    common = math.gcd(rate, target_rate)
+    up, down = target_rate // common, rate // common
 
     def kernel(row):
-        y, low, high = np.asarray(row.y, dtype=float), row.b * size, min((row.b + 1) * size, row.n)
-        out = np.arange(-(-low * target_rate // rate), -(-high * target_rate // rate))
-        base = out * rate // target_rate
-        at = out * rate / target_rate
-        total = np.zeros(len(out))
-        for k in range(-reach + 1, reach + 1):
-            index = base + k
-            gap = at - index
-            weight = cutoff * np.sinc(cutoff * gap) * (0.5 + 0.5 * np.cos(np.pi * gap / reach))
-            inside = (index >= 0) & (index < row.n)
-            total += np.where(inside, y[np.clip(index - row.start, 0, len(y) - 1)] * weight, 0.0)
-        return {"i": out, "n": np.full(len(out), -(-row.n * target_rate // rate)), "y": total}
+        low, high = row.b * size, min((row.b + 1) * size, row.n)
+        first, last = -(-low * target_rate // rate), -(-high * target_rate // rate)
+        # From y[low - reach + 1] on, zeros where the series has no samples; an output's taps are one run of them.
+        padded = np.zeros(high - low + 2 * reach)
+        begin = row.start - (low - reach + 1)
+        padded[begin : begin + len(row.y)] = row.y
+        taps = np.lib.stride_tricks.sliding_window_view(padded, 2 * reach)
+        total = np.zeros(last - first)
+        for k in range(min(up, last - first)):
+            at = (first + k) * down
+            own = total[k::up]
+            start = at // up - low
+            runs = taps[start : start + (len(own) - 1) * down + 1 : down]
+            own[:] = runs @ _phase_filter(at % up, up, cutoff, reach)
+        return {"i": np.arange(first, last), "n": np.full(last - first, -(-row.n * target_rate // rate)), "y": total}
 
     blocks = signal_blocks(signal, size, reach - 1, reach)
     return map_rows(blocks, "signal_id", "i long, n long, y double", kernel)
 
 
+@lru_cache(maxsize=8192)
+def _phase_filter(phase: int, up: int, cutoff: float, reach: int) -> np.ndarray:
+    """Weights of the samples -reach + 1 .. reach for an output that lies phase / up behind sample 0."""
+    gap = phase / up - np.arange(-reach + 1, reach + 1)
+    return cutoff * np.sinc(cutoff * gap) * (0.5 + 0.5 * np.cos(np.pi * gap / reach))
+
+
 def resample_arrays(arrays: DataFrame, target_rate: int = 25000, zero_crossings: int = 32) -> DataFrame:
     """Resample files given as rows (signal_id, sr, y array), as audio decoding returns them."""
     long = arrays.select(

@@ -168,6 +168,20 @@ def test_resample_blocks_leave_no_trace(series, rate):
         assert all(cut[k] == pytest.approx(whole[k], abs=1e-12) for k in whole)
 
 
+@pytest.mark.parametrize("rate", [8000, 24999, 44100, 96000])
+def test_resample_equals_the_sum_over_all_samples(series, rate):
+    y = np.random.default_rng(4).normal(size=300)
+    cutoff = min(1.0, 25000 / rate)
+    reach = int(np.ceil(32 / cutoff))
+    at = np.arange(-(-300 * 25000 // rate)) * rate / 25000
+    gap = at[:, None] - np.arange(300)
+    weight = cutoff * np.sinc(cutoff * gap) * (0.5 + 0.5 * np.cos(np.pi * gap / reach))
+    want = np.where(np.abs(gap) < reach, weight, 0.0) @ y
+    rows = segment.resample(series({"a": y}).withColumn("sr", F.lit(rate)), 25000, size=64).orderBy("i").collect()
+    assert [r.i for r in rows] == list(range(len(want)))
+    assert np.abs(np.array([r.y for r in rows]) - want).max() < 1e-10
+
+
 @pytest.mark.parametrize("size", [8, 16, 128])
 def test_halo_over_many_tiles(picture, size):
     img = np.random.default_rng(12).integers(0, 256, (128, 128))
