@@ -161,15 +161,10 @@ def gaussian_nb_folds(rows: DataFrame, folds: list[int], smoothing: float = 1e-9
     return by_row.select("row_id", "label", "fold", F.col("best.cls").alias("prediction"), score.alias("score"))
 
 
-def knn_neighbors(train: DataFrame, test: DataFrame, k: int = 5, size: int = ROWS, apart: str | None = None) -> DataFrame:
-    """The k nearest training rows of every test row: (row_id, label, d, n_label), exact.
-
-    Vectors meet tile by tile; each tile keeps k candidates per test row. Rows with the same value in the integer
-    column ``apart`` are no neighbours of each other.
-    """
-    more = () if apart is None else (apart,)
+def neighbor_schema(test: DataFrame) -> T.StructType:
+    """(row_id, label, d, n_id, n_label) with the types of the table."""
     kinds = test.schema
-    out = T.StructType(
+    return T.StructType(
         [
             T.StructField("row_id", kinds["row_id"].dataType),
             T.StructField("label", kinds["label"].dataType),
@@ -179,6 +174,10 @@ def knn_neighbors(train: DataFrame, test: DataFrame, k: int = 5, size: int = ROW
         ]
     )
 
+
+def neighbor_kernel(k: int, apart: str | None = None):
+    """The k nearest right rows of every left row of each tile, as a function for mapInPandas."""
+
     def run(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
@@ -205,7 +204,17 @@ def knn_neighbors(train: DataFrame, test: DataFrame, k: int = 5, size: int = ROW
                 )
                 yield found[np.isfinite(found["d"])] if apart is not None else found
 
-    found = block_grid(test, train, size=size, more=more).mapInPandas(run, out)
+    return run
+
+
+def knn_neighbors(train: DataFrame, test: DataFrame, k: int = 5, size: int = ROWS, apart: str | None = None) -> DataFrame:
+    """The k nearest training rows of every test row: (row_id, label, d, n_label), exact.
+
+    Vectors meet tile by tile; each tile keeps k candidates per test row. Rows with the same value in the integer
+    column ``apart`` are no neighbours of each other.
+    """
+    more = () if apart is None else (apart,)
+    found = block_grid(test, train, size=size, more=more).mapInPandas(neighbor_kernel(k, apart), neighbor_schema(test))
     order = Window.partitionBy("row_id").orderBy("d", "n_id")
     return found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
 

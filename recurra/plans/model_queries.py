@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import r6
-from ..operators import classify, evaluate, selection, trees
+from ..operators import classify, evaluate, pivots, selection, trees
 from ..session import stage
 from ..sources.results import classification_document
+from ..sources.tables import table
 from .common import FEATURES, features, report
 from .registry import query, rounded, with_ctes
 
@@ -381,6 +382,23 @@ def knn_classifier(spark, folder):
     return report(classify.knn_vote(stage(near)), ["row_id", "label", "prediction"], ["score"])
 
 
+@query("pivot_neighbors", """
+WITH p AS (SELECT p_partkey AS id, p_brand AS brand, p_size * CAST(10 AS DOUBLE) AS x, round(p_retailprice * 10) AS y FROM part)
+SELECT row_id, n_id, n_label, d FROM (
+  SELECT a.id AS row_id, b.id AS n_id, b.brand AS n_label, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d,
+         row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.id) AS r
+  FROM p a JOIN p b ON a.id <> b.id)
+WHERE r <= 5""")
+def pivot_neighbors(spark, folder):
+    """The five nearest other parts by size and price."""
+    size, price = F.col("p_size") * F.lit(10.0), F.round(F.col("p_retailprice") * 10)
+    rows = table(spark, folder, "part").select(
+        F.col("p_partkey").alias("row_id"), F.col("p_brand").alias("label"), F.array(size, price).alias("x"), F.col("p_partkey").alias("own")
+    )
+    found = pivots.pivot_neighbors(rows, rows, 5, size=128, apart="own")
+    return found.select("row_id", "n_id", "n_label", "d")
+
+
 @query("gaussian_nb", with_ctes(*GROUPED, tail=f"SELECT row_id, label, prediction, {rounded('score')} FROM pred"))
 def gaussian_nb(spark, folder):
     return report(_nb(spark, folder), ["row_id", "label", "prediction"], ["score"])
