@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 import time
 from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -381,6 +383,24 @@ def fold_predictions(
     return fitted(name, rows, labels, list(range(folds)), width, **_named(options))()
 
 
+def predict_folds(
+    names, vectors: DataFrame, labels: tuple, width: int | None = None, folds: int = 10, parallelism: int = 4
+) -> dict[str, DataFrame]:
+    """Written ``fold_predictions`` of several models, ``parallelism`` of them trained side by side.
+
+    A model leaves cores idle between its passes and in its last tasks; jobs of other models fill them.
+    """
+    rows = vectors if "fold" in vectors.columns else stage(cv_folds(vectors, folds=folds))
+    width = width if width is not None else width_of(rows)
+
+    @inheritable_thread_target(vectors.sparkSession)
+    def one(name: str) -> DataFrame:
+        return stage(fold_predictions(name, rows, labels, width, folds))
+
+    with ThreadPool(parallelism) as pool:
+        return dict(zip(names, pool.map(one, names, chunksize=1)))
+
+
 def fold_scores(predictions: DataFrame) -> DataFrame:
     """Mean and population deviation of the folds' weighted F1: one row (cv_f1_mean, cv_f1_std)."""
     from .evaluate import weighted_f1_by

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import r6
@@ -584,9 +586,11 @@ def cross_validation(spark, folder):
     """Ten-fold weighted F1 of every model on standardised vectors, all folds of a model at once: one row per model."""
     vectors = stage(classify.standardized(stage(_vectors(spark, folder))))
     width, rows = classify.width_of(vectors), stage(classify.cv_folds(vectors))
-    found = None
-    for name in classify.MODELS:
-        scores = classify.fold_scores(stage(classify.fold_predictions(name, rows, ("Normal", "Pathol"), width)))
-        own = scores.select(F.lit(name).alias("model_name"), r6("cv_f1_mean").alias("cv_f1_mean"), r6("cv_f1_std").alias("cv_f1_std"))
-        found = own if found is None else found.unionByName(own)
-    return found
+    predicted = classify.predict_folds(classify.MODELS, rows, ("Normal", "Pathol"), width)
+    each = [
+        classify.fold_scores(predicted[name]).select(
+            F.lit(name).alias("model_name"), r6("cv_f1_mean").alias("cv_f1_mean"), r6("cv_f1_std").alias("cv_f1_std")
+        )
+        for name in classify.MODELS
+    ]
+    return reduce(DataFrame.unionByName, each)
