@@ -4,8 +4,8 @@ Texts are normalised (A-Z as a-z, "licence" as "license", words of letters a-z a
 word bigrams. 2|A and B| / (|A| + |B|) can reach t only if the smaller set has at least t / (2 - t) times the size
 of the larger one, so templates outside these bounds are not compared at all, nor are those that share no bigram.
 
-Lines and blocks split at two line feeds are what the SQL states. Passages are any runs of words, whatever line ends,
-comment marks or other words stand around them.
+Searched are lines, blocks split at two line feeds, and passages: any runs of words, whatever line ends, comment marks
+or other words stand around them.
 
 * Null, empty and one-word segments match nothing. A null doc_id is carried through. Repeated rows and repeated lines
   are reported each. Equal coefficients go to the name that sorts first. An empty table gives an empty result.
@@ -149,22 +149,26 @@ def _scan(docs: DataFrame, templates, threshold: float, search) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RESULT)
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, unit, place, license, dice) of every line and block of docs(doc_id, text) that states a licence."""
+UNITS = ("line", "block", "passage")
+
+
+def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, units: tuple[str, ...] = UNITS[:2]) -> DataFrame:
+    """(doc_id, unit, place, license, dice) of every line and block of docs(doc_id, text) that states a licence.
+
+    ``units`` names what is searched: lines and blocks, placed by their number, or passages, by their first word's index.
+    """
 
     def search(matcher: Matcher, text: str) -> Iterator[tuple]:
         for unit, place, segment in segments(text):
-            if found := matcher.best(segment):
+            if unit in units and (found := matcher.best(segment)):
                 yield unit, place, *found
+        if "passage" in units:
+            for place, name, dice in matcher.passages(text):
+                yield "passage", place, name, dice
 
     return _scan(docs, templates, threshold, search)
 
 
 def scan_passages(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, unit, place, license, dice) of every passage of docs(doc_id, text); place is its first word's index."""
-
-    def search(matcher: Matcher, text: str) -> Iterator[tuple]:
-        for place, name, dice in matcher.passages(text):
-            yield "passage", place, name, dice
-
-    return _scan(docs, templates, threshold, search)
+    """The passages of ``scan`` alone."""
+    return scan(docs, templates, threshold, ("passage",))

@@ -163,16 +163,20 @@ def token_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 TEMPLATE_VALUES = ",\n".join("('%s', '%s')" % (name, text.replace("'", "''")) for name, text in licenses.TEMPLATES)
 
-LICENSE_SQL = rf"""
-WITH t AS (
-  SELECT row_number() OVER () AS tid, name,
-         regexp_extract_all(replace(translate(txt, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                    'licence', 'license'), '[a-z0-9]+') AS w
-  FROM (VALUES {TEMPLATE_VALUES}) v(name, txt)),
+def _words_sql(text: str) -> str:
+    return (
+        f"regexp_extract_all(replace(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+        " 'licence', 'license'), '[a-z0-9]+')"
+    )
+
+
+LICENSE_TABLES = rf"""t AS (SELECT row_number() OVER () AS tid, name, {_words_sql("txt")} AS w FROM (VALUES {TEMPLATE_VALUES}) v(name, txt)),
 tb AS (SELECT DISTINCT tid, name, w[i] || ' ' || w[i + 1] AS g FROM (SELECT tid, name, w, unnest(range(1, len(w))) AS i FROM t)),
-ts AS (SELECT tid, count(*) AS n FROM tb GROUP BY tid),
-d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-seg AS (
+ts AS (SELECT tid, name, count(*) AS n, count(*) * ratio AS least, count(*) / ratio AS most
+       FROM tb, (SELECT CAST({licenses.THRESHOLD / (2 - licenses.THRESHOLD)!r} AS DOUBLE) AS ratio) GROUP BY tid, name, ratio),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents)"""
+
+SEGMENT_TABLES = rf"""seg AS (
   SELECT r, doc_id, 'line' AS unit, i - 1 AS place, l[i] AS s
   FROM (SELECT r, doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT r, doc_id, string_split(text, chr(10)) AS l FROM d))
   UNION ALL
@@ -180,10 +184,7 @@ seg AS (
   FROM (SELECT r, doc_id, l, unnest(range(1, len(l) + 1)) AS i
         FROM (SELECT r, doc_id, string_split(text, chr(10) || chr(10)) AS l FROM d))
   WHERE contains(l[i], chr(10))),
-sw AS (
-  SELECT r, doc_id, unit, place,
-         regexp_extract_all(replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                    'licence', 'license'), '[a-z0-9]+') AS w FROM seg),
+sw AS (SELECT r, doc_id, unit, place, {_words_sql("s")} AS w FROM seg),
 sb AS (
   SELECT DISTINCT r, doc_id, unit, place, w[i] || ' ' || w[i + 1] AS g
   FROM (SELECT r, doc_id, unit, place, w, unnest(range(1, len(w))) AS i FROM sw WHERE len(w) > 1)),
@@ -191,18 +192,59 @@ ss AS (SELECT r, unit, place, count(*) AS n FROM sb GROUP BY ALL),
 hit AS (SELECT r, doc_id, unit, place, tid, name, count(*) AS c FROM sb JOIN tb USING (g) GROUP BY ALL),
 sc AS (
   SELECT hit.*, round(2.0 * c / (ss.n + ts.n), 6) AS dice
-  FROM hit JOIN ss USING (r, unit, place) JOIN ts USING (tid))
-SELECT doc_id, unit, place, name AS license, dice
+  FROM hit JOIN ss USING (r, unit, place) JOIN ts USING (tid))"""
+
+SEGMENT_ROWS = """SELECT doc_id, unit, place, name AS license, dice
 FROM (SELECT *, row_number() OVER (PARTITION BY r, unit, place ORDER BY dice DESC, name) AS k FROM sc WHERE dice >= 0.7)
 WHERE k = 1"""
 
+# Runs grow word by word from every bigram of a template; then the best of each text is taken, then the best beside it.
+PASSAGE_TABLES = rf"""pw AS (SELECT r, {_words_sql("text")} AS w FROM d),
+pos AS MATERIALIZED (
+  SELECT r, p, g, coalesce(lag(p) OVER same, -1) AS before, coalesce(lead(p) OVER same, 1000000000) AS again
+  FROM (SELECT r, i - 1 AS p, w[i] || ' ' || w[i + 1] AS g FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM pw WHERE len(w) > 1))
+  WINDOW same AS (PARTITION BY r, g ORDER BY p)),
+cand AS MATERIALIZED (
+  SELECT r, tid, least, most, n FROM pos JOIN tb USING (g) JOIN ts USING (tid)
+  GROUP BY ALL HAVING count(DISTINCT g) >= ceil(least - 1e-9)),
+near AS MATERIALIZED (SELECT pos.*, tid FROM pos JOIN (SELECT r, tid FROM cand) USING (r)),
+grow AS MATERIALIZED (SELECT near.r, near.p, near.before, near.again, near.tid, tb.g IS NOT NULL AS own FROM near LEFT JOIN tb ON tb.tid = near.tid AND tb.g = near.g),
+run AS (
+  SELECT r, tid, p AS first, p AS last, again AS stop, 1 AS seen, 1 AS shared, true AS own FROM grow WHERE grow.own
+  UNION ALL
+  SELECT run.r, run.tid, first, grow.p, stop, seen + CAST(before < first AS INTEGER), shared + CAST(before < first AND grow.own AS INTEGER), before < first AND grow.own
+  FROM run JOIN grow ON grow.r = run.r AND grow.tid = run.tid AND grow.p = last + 1 JOIN cand ON cand.r = run.r AND cand.tid = run.tid
+  WHERE grow.p < stop AND seen + CAST(before < first AS INTEGER) <= most + 1e-9),
+fit AS (
+  SELECT r, name, first, last, dice FROM (
+    SELECT r, tid, first, last, dice, row_number() OVER (PARTITION BY r, tid, first ORDER BY dice DESC, last) AS k
+    FROM (SELECT r, tid, first, last, round(2.0 * shared / (seen + n), 6) AS dice FROM run JOIN cand USING (r, tid) WHERE own)
+    WHERE dice >= {licenses.THRESHOLD}) JOIN ts USING (tid) WHERE k = 1),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY r ORDER BY dice DESC, name, first, last) AS k FROM fit),
+taken AS (
+  SELECT r, k, true AS ok, [{{'a': first, 'b': last + 1}}] AS kept FROM ranked WHERE k = 1
+  UNION ALL
+  SELECT r, k, ok, CASE WHEN ok THEN list_append(kept, {{'a': first, 'b': last + 1}}) ELSE kept END
+  FROM (SELECT x.r, x.k, x.first, x.last, kept, len(list_filter(kept, lambda o: o.a <= x.last + 1 AND o.b >= x.first)) = 0 AS ok
+        FROM taken JOIN ranked x ON x.r = taken.r AND x.k = taken.k + 1))"""
+
+PASSAGE_ROWS = """SELECT doc_id, 'passage' AS unit, first AS place, name AS license, dice
+FROM (SELECT r, k FROM taken WHERE ok) JOIN ranked USING (r, k) JOIN d USING (r)"""
+
 
-@query("op3_license_scan", LICENSE_SQL)
+@query("op3_license_scan", f"""
+WITH RECURSIVE {LICENSE_TABLES},
+{SEGMENT_TABLES},
+{PASSAGE_TABLES}
+{SEGMENT_ROWS} UNION ALL {PASSAGE_ROWS}""")
 def license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return licenses.scan(table(spark, folder, "documents", "doc_id", "text"))
+    return licenses.scan(table(spark, folder, "documents", "doc_id", "text"), units=licenses.UNITS)
 
 
-@query("license_passages")
+@query("license_passages", f"""
+WITH RECURSIVE {LICENSE_TABLES},
+{PASSAGE_TABLES}
+{PASSAGE_ROWS}""")
 def license_passages(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_passages(table(spark, folder, "documents", "doc_id", "text"))
 

@@ -1,7 +1,12 @@
+import random
+
+import duckdb
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from recurra.llm import licenses, token_counts
+from recurra.llm.queries import ORACLES
 
 CHANGES = "doc_id long, change string, source string, lang string, tokenizer string, n_tokens long, n_docs long, sign int"
 
@@ -187,3 +192,28 @@ def test_passages_are_the_best_runs():
         )
         found = matcher.passages(changed)
         assert (max(d for *_, d in found) if found else None) == (best if best >= licenses.THRESHOLD else None)
+
+
+def test_sql_states_all_three_units(documents):
+    """Overlapping, repeated, broken and mixed wordings: the operator gives what the SQL over the same table gives."""
+    rng = random.Random(5)
+    wordings = [t for _, t in licenses.TEMPLATES]
+    filler = "the license of this work and version 2 under terms software is to any file".split()
+    docs = [(1, None), (2, ""), (3, "the MIT License " * 300), (4, wordings[0] * 3), (None, wordings[3]), (4, "\n\n".join(wordings[:5]))]
+    for k in range(60):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            own = rng.choice(wordings).split()
+            own = [rng.choice(filler) if rng.random() < 0.06 else w for w in own if rng.random() > 0.05]
+            words += rng.choices(filler, k=rng.randint(0, 8)) + own[rng.randint(0, 3) :]
+        docs.append((10 + k, "".join(w + rng.choice([" ", " ", " ", " ", "\n", "\n# ", "\n\n"]) for w in words)))
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([i for i, _ in docs], pa.int64()), "text": [t for _, t in docs]}))
+    got = licenses.scan(documents(docs), units=licenses.UNITS)
+    want = con.execute(ORACLES["op3_license_scan"])
+    assert got.columns == [c[0] for c in want.description]
+    want = want.fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert {r[1] for r in want} == {"line", "block", "passage"}
+    assert max(sum(r[:2] == (i, "passage") for r in want) for i in range(10, 70)) > 1
+    assert licenses.scan(documents([]), units=licenses.UNITS).collect() == []
