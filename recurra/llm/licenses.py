@@ -50,12 +50,12 @@ WORD = re.compile("[a-z0-9]+")
 RESULT = "doc_id long, unit string, place long, license string, dice double"
 
 
-def bigram_list(text: str) -> list[str]:
+def bigram_list(text: str) -> list[tuple[str, str]]:
     words = WORD.findall(text.translate(UPPER).replace("licence", "license"))
-    return list(map(" ".join, zip(words, words[1:])))
+    return list(zip(words, words[1:]))
 
 
-def bigrams(text: str) -> frozenset[str]:
+def bigrams(text: str) -> frozenset[tuple[str, str]]:
     return frozenset(bigram_list(text))
 
 
@@ -83,6 +83,15 @@ class Matcher:
                     best = (name, dice)
         return best
 
+    def possible(self, line: list[tuple[str, str]]) -> list[tuple[str, frozenset, float]]:
+        """Templates of which a text with these bigrams has enough for a line, block or passage, and the largest size."""
+        present = self.known.intersection(line)
+        return [
+            (name, own, most)
+            for (name, own), (least, most) in zip(self.sets, self.bounds)
+            if present and len(present & own) >= math.ceil(least - 1e-9)
+        ]
+
     def passages(self, text: str) -> list[tuple[int, str, float]]:
         """(first word, license, dice) of the runs of words that repeat a wording best, without overlap.
 
@@ -90,13 +99,8 @@ class Matcher:
         better than the run without that word, so longer ones need not be tried.
         """
         line = bigram_list(text)
-        present = self.known.intersection(line)
-        if not present:
-            return []
         found = []
-        for (name, own), (least, most) in zip(self.sets, self.bounds):
-            if len(present & own) < math.ceil(least - 1e-9):
-                continue
+        for name, own, most in self.possible(line):
             for start in (k for k, g in enumerate(line) if g in own):
                 seen, shared, best = set(), 0, None
                 for stop in range(start, len(line)):
@@ -159,6 +163,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, uni
     """
 
     def search(matcher: Matcher, text: str) -> Iterator[tuple]:
+        if not matcher.possible(bigram_list(text)):
+            return
         for unit, place, segment in segments(text):
             if unit in units and (found := matcher.best(segment)):
                 yield unit, place, *found
