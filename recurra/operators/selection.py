@@ -191,8 +191,9 @@ def binned_information(long: DataFrame, bins: int = 10) -> DataFrame:
     slot = F.least(
         F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)
     )
+    spans = long.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     cells = (
-        long.join(_spans(long), "feature")
+        long.join(spans, "feature")
         .withColumn("bin", F.when(F.col("hi") > F.col("lo"), slot).otherwise(0))
         .groupBy("feature", "bin", "label")
         .agg(F.count(F.lit(1)).cast("double").alias("c"))

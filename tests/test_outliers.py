@@ -71,3 +71,18 @@ def test_a_dense_hour_is_cut(spark, many_ranges):
     events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, value double").withColumn("ts", F.to_timestamp("ts"))
     hourly, ranged = (sorted(map(tuple, signal_from_events(events, hours=h).collect())) for h in (1, None))
     assert hourly == ranged and len(hourly) == 4001
+
+
+def test_binned_information_by_hand(spark):
+    rng = np.random.default_rng(9)
+    value, label = np.round(rng.normal(size=200), 1), rng.choice(["N", "P"], 200)
+    rows = [(i, str(a), name, float(x)) for i, (a, v) in enumerate(zip(label, value)) for name, x in (("f", v), ("flat", 3.0))]
+    found = selection.binned_information(spark.createDataFrame(rows, "row_id long, label string, feature string, value double"))
+    slot = np.minimum(np.floor((value - value.min()) / (value.max() - value.min()) * 10), 9)
+    want = 0.0
+    for b in np.unique(slot):
+        for a in ("N", "P"):
+            c = ((slot == b) & (label == a)).sum()
+            want += c / 200 * np.log(c * 200 / ((slot == b).sum() * (label == a).sum())) if c else 0.0
+    got = {r.feature: r.mi_score for r in found.collect()}
+    assert abs(got["f"] - want) < 1e-12 and got["flat"] == 0.0
