@@ -57,15 +57,29 @@ def _bank(frequencies, orientations):
     return [(f"f{f}_o{int(o)}", f, o) for f in frequencies for o in orientations]
 
 
+def _quantiles(values: np.ndarray, shares) -> list[float]:
+    """Quantiles by linear interpolation between the two nearest ranks."""
+    order, out = np.sort(values, axis=None), []
+    for share in shares:
+        h = (order.size - 1) * share
+        low, high = order[math.floor(h)], order[math.ceil(h)]
+        out.append(float(low + (high - low) * (h - math.floor(h))))
+    return out
+
+
 def response_stats(
     tiles: DataFrame, frequencies=FREQUENCIES, orientations=ORIENTATIONS, sigma: float = 1.0
 ) -> DataFrame:
-    """Everything but the quartiles, per filter: (image_id, filter, n, mag_*, energy_*, phase_*...)."""
+    """Statistics per filter: (image_id, filter, n, mag_*, energy_*, phase_*...).
+
+    The magnitudes' quartiles are known here for images that lie in one tile, and NULL for others.
+    """
     bank = _bank(frequencies, orientations)
     names = ("mag", "mag2", "re", "im", "re2", "im2", "phase", "phase2", "cos", "sin")
 
     def kernel(row):
-        out = {k: [] for k in ("filter", "n", "lo", "hi", *names)}
+        out = {k: [] for k in ("filter", "n", "lo", "hi", *names, *QUARTILES)}
+        whole = row.nr == row.h and row.nc == row.w
         for name, f, o in bank:
             z = _response(row, f, o, sigma)
             mag, phase = np.abs(z), np.angle(z)
@@ -79,9 +93,11 @@ def response_stats(
             out["hi"].append(float(mag.max()))
             for key, value in zip(names, values):
                 out[key].append(float(value.sum()))
+            for key, value in zip(QUARTILES, _quantiles(mag, QUARTILES.values()) if whole else [None] * len(QUARTILES)):
+                out[key].append(value)
         return out
 
-    schema = "filter string, n long, lo double, hi double, " + ", ".join(f"{k} double" for k in names)
+    schema = "filter string, n long, lo double, hi double, " + ", ".join(f"{k} double" for k in (*names, *QUARTILES))
     n = F.sum("n")
 
     def mean(col):
@@ -111,6 +127,7 @@ def response_stats(
             mean("phase").alias("phase_mean"),
             std("phase", "phase2").alias("phase_std"),
             F.sqrt(mean("cos") * mean("cos") + mean("sin") * mean("sin")).alias("phase_coherence"),
+            *[F.max(q).alias(q) for q in QUARTILES],
         )
     )
 
@@ -122,9 +139,16 @@ def magnitude_quartiles(
     orientations=ORIENTATIONS,
     sigma: float = 1.0,
 ) -> DataFrame:
-    """Exact quartiles of the magnitudes per filter, by histogram and refinement of two bins each."""
+    """Exact quartiles of the magnitudes per filter: (image_id, filter, n, q25, median, q75).
+
+    Those of images in one tile come with ``stats``; for others a histogram and a refinement of two bins each.
+    """
     bank = _bank(frequencies, orientations)
     keys = ["image_id", "filter"]
+    known = stats.filter(F.col("median").isNotNull()).select(*keys, "n", *QUARTILES)
+    stats = stats.filter(F.col("median").isNull())
+    if stats.isEmpty():
+        return known
     spans = stage(
         stats.groupBy("image_id").agg(
             F.map_from_entries(
@@ -188,7 +212,7 @@ def magnitude_quartiles(
         .agg(F.sum("_c").alias("_c"))
         .join(wanted, [*keys, "_bin"])
     )
-    return quantiles_inside(inside, keys, QUARTILES)
+    return known.unionByName(quantiles_inside(inside, keys, QUARTILES))
 
 
 GABOR_KINDS = (
@@ -222,7 +246,7 @@ def gabor_features(
     quartiles = magnitude_quartiles(tiles, stats, frequencies, orientations, sigma).select(
         "image_id", "filter", *[F.col(q).alias(f"mag_{q}") for q in QUARTILES]
     )
-    table = stats.join(quartiles, ["image_id", "filter"])
+    table = stats.drop(*QUARTILES).join(quartiles, ["image_id", "filter"])
     kinds = GABOR_KINDS + (PHASE_KINDS if phase else ())
     return table.groupBy("image_id").agg(
         *[
