@@ -52,53 +52,90 @@ def series_entropy(codes: DataFrame, bins: int = BINS) -> DataFrame:
     )
 
 
+def _lag_tables(row, tau_max: int, size: int, width: int):
+    """(lag, counts of code pairs) of the samples that a block owns; codes are below ``width``."""
+    code = np.asarray(row.y, dtype=np.int64)
+    own = min(size, row.n - row.b * size)
+    for lag in range(0, tau_max + 1):
+        later = code[lag : lag + own]
+        if not len(later):
+            break
+        yield lag, np.bincount(code[: len(later)] * width + later, minlength=width * width)
+
+
+def _code_blocks(codes: DataFrame, tau_max: int, size: int) -> DataFrame:
+    return signal_blocks(codes.select("signal_id", "i", "n", F.col("code").alias("y")), size, after=tau_max)
+
+
 def lagged_counts(codes: DataFrame, tau_max: int, bins: int = BINS, size: int = 16 * BLOCK) -> DataFrame:
     """Joint code counts of (series, series shifted by lag), lag 0 included: (signal_id, lag, x, y, c).
 
     Each block counts its own pairs with ``tau_max`` samples of halo; only the small tables of
     counts are shuffled.
     """
-    width = bins + 1
-
-    def kernel(row):
-        code = np.asarray(row.y, dtype=np.int64)
-        own = min(size, row.n - row.b * size)
-        lags, xs, ys, counts = [], [], [], []
-        for lag in range(0, tau_max + 1):
-            later = code[lag : lag + own]
-            if not len(later):
-                break
-            table = np.bincount(code[: len(later)] * width + later, minlength=width * width)
-            used = np.flatnonzero(table)
-            lags.append(np.full(len(used), lag))
-            xs.append(used // width)
-            ys.append(used % width)
-            counts.append(table[used])
-        if not lags:
-            return None
-        return {
-            "lag": np.concatenate(lags),
-            "x": np.concatenate(xs),
-            "y": np.concatenate(ys),
-            "c": np.concatenate(counts),
-        }
-
-    blocks = signal_blocks(
-        codes.select("signal_id", "i", "n", F.col("code").alias("y")), size, after=tau_max
-    )
     return (
-        map_rows(blocks, "signal_id", "lag int, x int, y int, c long", kernel)
+        map_rows(_code_blocks(codes, tau_max, size), "signal_id", CELLS, lambda row: _cells(row, tau_max, size, bins + 1))
         .groupBy("signal_id", "lag", "x", "y")
         .agg(F.sum("c").alias("c"))
     )
 
 
-def mutual_information(signal: DataFrame, tau_max: int = 100, bins: int = BINS) -> DataFrame:
+CELLS = "lag int, x int, y int, c long"
+
+
+def _cells(row, tau_max: int, size: int, width: int) -> dict | None:
+    lags, xs, ys, counts = [], [], [], []
+    for lag, table in _lag_tables(row, tau_max, size, width):
+        used = np.flatnonzero(table)
+        lags.append(np.full(len(used), lag))
+        xs.append(used // width)
+        ys.append(used % width)
+        counts.append(table[used])
+    if not lags:
+        return None
+    return {
+        "lag": np.concatenate(lags),
+        "x": np.concatenate(xs),
+        "y": np.concatenate(ys),
+        "c": np.concatenate(counts),
+    }
+
+
+def mutual_information(signal: DataFrame, tau_max: int = 100, bins: int = BINS, size: int = 16 * BLOCK) -> DataFrame:
     """MI(lag) = H(X) + H(Y) - H(X,Y) in nats: (signal_id, lag, value).
 
-    H(X) is that of the full series: the joint entropy at lag 0.
+    H(X) is that of the full series: the joint entropy at lag 0. A series of one block has all its counts in one place
+    and gives a row per lag; the counts of longer ones meet cell by cell.
     """
-    joint = lagged_counts(bin_codes(signal, bins), tau_max, bins)
+    width = bins + 1
+
+    def kernel(row):
+        if row.n > size:
+            found = _cells(row, tau_max, size, width)
+            return found and found | {name: [None] * len(found["c"]) for name in ("cells", "margin")}
+        out = {name: [] for name in ("lag", "x", "y", "c", "cells", "margin")}
+        for lag, table in _lag_tables(row, tau_max, size, width):
+            table = table.reshape(width, width)
+            for turned in (table, table.T):  # the same rule as merged()
+                if turned[0].any() and turned[bins].any():
+                    turned[bins - 1] += turned[bins]
+                    turned[bins] = 0
+            margin = table.sum(axis=0)
+            for name, value in zip(out, (lag, None, None, None, table[table > 0], margin[margin > 0])):
+                out[name].append(value)
+        return out
+
+    parts = map_rows(
+        _code_blocks(bin_codes(signal, bins), tau_max, size), "signal_id", CELLS + ", cells array<long>, margin array<long>", kernel
+    )
+    logs = "aggregate({}, 0D, (a, c) -> a + CAST(c AS DOUBLE) * ln(CAST(c AS DOUBLE)))"
+    whole = {"_t": "aggregate(margin, 0D, (a, c) -> a + c)", "_xy": logs.format("cells"), "_y": logs.format("margin")}
+    given = [F.max(name).alias(name) for name in whole]
+    joint = (
+        parts.select("signal_id", "lag", "x", "y", "c", *[F.expr(e).alias(name) for name, e in whole.items()])
+        .groupBy("signal_id", "lag", "x", "y")
+        .agg(F.sum("c").alias("c"), *given)
+    )
     w = Window.partitionBy("signal_id", "lag")
 
     def merged(col):
@@ -107,19 +144,19 @@ def mutual_information(signal: DataFrame, tau_max: int = 100, bins: int = BINS)
         return F.when(full, F.least(F.col(col), F.lit(bins - 1))).otherwise(F.col(col))
 
     cells = joint.select(
-        "signal_id", "lag", merged("x").alias("x"), merged("y").alias("y"), "c"
+        "signal_id", "lag", merged("x").alias("x"), merged("y").alias("y"), "c", *whole
     )
-    both = cells.groupBy("signal_id", "lag", "y", "x").agg(F.sum("c").alias("c"))
+    both = cells.groupBy("signal_id", "lag", "y", "x").agg(F.sum("c").alias("c"), *given)
     # sum -(c/t) log(c/t) = log t - (1/t) sum c log c, for the cells and for the y marginal alike
     c = F.col("c").cast("double")
     curves = (
         both.groupBy("signal_id", "lag", "y")
-        .agg(F.sum(c).alias("cy"), F.sum(c * F.log(c)).alias("s_xy"))
+        .agg(F.sum(c).alias("cy"), F.sum(c * F.log(c)).alias("s_xy"), *given)
         .groupBy("signal_id", "lag")
         .agg(
-            F.sum("cy").alias("t"),
-            F.sum("s_xy").alias("s_xy"),
-            F.sum(F.col("cy") * F.log("cy")).alias("s_y"),
+            F.coalesce(F.max("_t"), F.sum("cy")).alias("t"),
+            F.coalesce(F.max("_xy"), F.sum("s_xy")).alias("s_xy"),
+            F.coalesce(F.max("_y"), F.sum(F.col("cy") * F.log("cy"))).alias("s_y"),
         )
         .select(
             "signal_id",
@@ -128,9 +165,9 @@ def mutual_information(signal: DataFrame, tau_max: int = 100, bins: int = BINS)
             (F.log("t") - F.col("s_xy") / F.col("t")).alias("hxy"),
         )
     )
-    whole = F.max(F.when(F.col("lag") == 0, F.col("hxy"))).over(Window.partitionBy("signal_id"))
+    entropy = F.max(F.when(F.col("lag") == 0, F.col("hxy"))).over(Window.partitionBy("signal_id"))
     return (
-        curves.withColumn("h", whole)
+        curves.withColumn("h", entropy)
         .filter("lag > 0")
         .select("signal_id", "lag", (F.col("h") + F.col("hy") - F.col("hxy")).alias("value"))
     )
