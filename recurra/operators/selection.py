@@ -15,7 +15,7 @@ from ..functions import digamma, f_survival, safe_div
 from ..session import stage
 from .blocks import map_rows
 from .chunks import chunk_with_halo, ordered_index, range_chunks, running_totals
-from .grid import ROWS, block_grid
+from .grid import ROWS, block_grid, strips
 from .inversions import sign_products
 
 VALUE_CHUNKS = 4096
@@ -352,15 +352,17 @@ def silhouette_rows(vectors: DataFrame, size: int = ROWS) -> DataFrame:
         ]
     )
 
-    def side(ids, labels, others, dist):
-        for other in dict.fromkeys(others):
-            mask = np.array([o == other for o in others])
+    def masks(labels):
+        return [(label, np.array([o == label for o in labels])) for label in dict.fromkeys(labels)]
+
+    def side(ids, labels, others, totals):
+        for (other, mask), total in zip(others, totals):
             yield pd.DataFrame(
                 {
                     "row_id": list(ids),
                     "label": list(labels),
                     "other": [other] * len(ids),
-                    "total": dist[:, mask].sum(axis=1),
+                    "total": total,
                     "c": int(mask.sum()),
                 }
             )
@@ -369,13 +371,21 @@ def silhouette_rows(vectors: DataFrame, size: int = ROWS) -> DataFrame:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 left, right = np.stack(row.l_x), np.stack(row.r_x)
-                square = np.zeros((len(left), len(right)))
-                for k in range(left.shape[1]):
-                    square += (left[:, k][:, None] - right[:, k][None, :]) ** 2
-                dist = np.sqrt(square)
-                yield from side(row.l_ids, row.l_labels, row.r_labels, dist)
+                of_left, of_right = masks(row.l_labels), masks(row.r_labels)
+                to_right, to_left = np.zeros((len(of_right), len(left))), np.zeros((len(of_left), len(right)))
+                for part in strips(len(left)):
+                    dist = np.zeros((len(left[part]), len(right)))
+                    for k in range(left.shape[1]):
+                        dist += (left[part, k][:, None] - right[:, k][None, :]) ** 2
+                    np.sqrt(dist, out=dist)
+                    for m, (_, mask) in enumerate(of_right):
+                        to_right[m, part] = dist[:, mask].sum(axis=1)
+                    if row.br != row.bc:
+                        for m, (_, mask) in enumerate(of_left):
+                            to_left[m] += dist[mask[part]].sum(axis=0)
+                yield from side(row.l_ids, row.l_labels, of_right, to_right)
                 if row.br != row.bc:
-                    yield from side(row.r_ids, row.r_labels, row.l_labels, dist.T)
+                    yield from side(row.r_ids, row.r_labels, of_left, to_left)
 
     sums = (
         block_grid(vectors, size=size)

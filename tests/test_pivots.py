@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from recurra.operators import classify, grid, selection
 from recurra.operators.pivots import pivot_search
 
 SCHEMA = "row_id long, label string, x array<double>, own long, spare int"
@@ -50,3 +52,21 @@ def test_odd_rows(spark):
     assert none.count() == 0 and tiles.count() == 0
     none, _ = pivot_search(rows, rows.filter("row_id < 0"), 5)
     assert none.count() == 0
+
+
+def test_blocks_of_rows_grow_before_their_number(spark):
+    """A block is copied along the other side's blocks, so copies per row stay bounded."""
+    rows = spark.range(900).selectExpr("id AS row_id", "id % 2 AS label", "array(double(id % 31), double(id % 7)) AS x")
+    assert grid.block_grid(rows, size=4).agg(F.max("br") + 1).first()[0] <= grid.SIDE
+    x = np.array([[i % 31, i % 7] for i in range(900)], dtype=float)
+    dist = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+    for r in selection.silhouette_rows(rows, 4).filter("row_id % 90 = 0").collect():
+        own = np.arange(900) % 2 == r.row_id % 2
+        a, b = dist[r.row_id, own].sum() / (own.sum() - 1), dist[r.row_id, ~own].mean()
+        assert abs(r.a - a) < 1e-9 and abs(r.b - b) < 1e-9
+    train, test = rows.filter("row_id % 3 > 0"), rows.filter("row_id % 3 = 0")
+    near = classify.knn_neighbors(train, test, k=2, size=4).filter("row_id % 90 = 0").collect()
+    pool = np.array([i for i in range(900) if i % 3])
+    for i in range(0, 900, 90):
+        want = sorted((dist[i, j], j) for j in pool)[:2]
+        assert sorted((r.d, r.n_id) for r in near if r.row_id == i) == want
