@@ -125,6 +125,35 @@ def test_levels_over_blocks_choose_the_same_splits(rows, monkeypatch, rule):
         assert np.allclose(gathered[c].fillna(0), level_wise[c].fillna(0), atol=1e-9)
 
 
+@pytest.mark.parametrize("rule", [
+    trees.Impurity(trees=5, depth=6, min_split=5, min_leaf=2, features=2, bagged=True),
+    trees.Boosting(trees=4, depth=4),
+])
+@pytest.mark.parametrize("alone", [0, 60, 1000])
+def test_subtrees_of_few_rows_are_grown_in_one_task(rows, monkeypatch, rule, alone):
+    monkeypatch.setattr(trees, "BLOCK_ROWS", 32)
+    monkeypatch.setattr(trees, "RESTAGE", 2)
+    passes, plain = [], trees.level_cells
+    monkeypatch.setattr(trees, "level_cells", lambda *a, **k: passes.append(1) or plain(*a, **k))
+    gathered, found = model_of(rows, rule, [0, 1, 2]), model_of(rows, rule, [0, 1, 2], local_bytes=0, subtree_rows=alone)
+    assert gathered[["fold", "tree", "heap", "feature"]].equals(found[["fold", "tree", "heap", "feature"]])
+    for c in ("threshold", "value"):
+        assert np.allclose(gathered[c].fillna(0), found[c].fillna(0), atol=1e-9)
+    assert (not passes) if alone == 1000 else passes and len(passes) <= (rule.depth + 1) * (rule.trees if rule.boosted else 1)
+
+
+def test_models_are_not_collected_as_rows(rows, monkeypatch):
+    """The driver takes a forest in packed arrays, one row for 64 trees."""
+    model = trees.train(rows, "P", [0, 1, 2], trees.Impurity(trees=100, depth=3, features=2, bagged=True))
+    monkeypatch.setattr(type(model), "toPandas", None)
+    shared = trees.shared_forest(model, 1)
+    assert len(shared.value) == 2
+    forest, want = trees.unpacked(shared.value), model.filter("fold = 1").orderBy("tree", "heap").collect()
+    assert forest.trees.tolist() == list(range(100)) and forest.value.tolist() == [r.value for r in want]
+    assert trees.predict(model, rows).count() == 240 and trees.predict(model.filter("fold = 1"), rows).count() == 80
+    assert trees.predict(model.limit(0), rows).count() == 0
+
+
 def test_a_fold_alone_has_the_same_trees(rows):
     rule = trees.Impurity(trees=8, depth=5, features=2, bagged=True)
     together, alone = model_of(rows, rule, [0, 1, 2]), model_of(rows.repartition(7), rule, [2])
