@@ -142,19 +142,17 @@ def area_means(tiles: DataFrame, height: int | None = None, width: int | None =
 
     schema = "h long, w long, r0 long, c0 long, nr int, nc int, top int, left int, ph int, pw int, v binary"
     parts = map_rows(tiles, "image_id", schema, kernel)
-    kind = tiles.schema["image_id"].dataType.simpleString()
 
-    def added(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        total = np.zeros((first.nr, first.nc))
-        for row in pdf.sort_values(["top", "left", "ph", "pw"]).itertuples(index=False):
-            total[row.top : row.top + row.ph, row.left : row.left + row.pw] += np.frombuffer(row.v).reshape(row.ph, row.pw)
-        head = {c: [first[c]] for c in ("image_id", "h", "w", "r0", "c0", "nr", "nc")}
-        return pd.DataFrame({**head, "v": [total.tobytes()]})
-
-    return parts.groupBy("image_id", "r0", "c0").applyInPandas(
-        added, f"image_id {kind}, h long, w long, r0 long, c0 long, nr int, nc int, v binary"
-    )
+    def added(row):
+        total = np.zeros((row.nr, row.nc))
+        for p in row.parts:
+            total[p["top"] : p["top"] + p["ph"], p["left"] : p["left"] + p["pw"]] += np.frombuffer(p["v"]).reshape(p["ph"], p["pw"])
+        return {**{c: [getattr(row, c)] for c in ("h", "w", "r0", "c0", "nr", "nc")}, "v": [total.tobytes()]}
+
+    piece = F.array_sort(F.collect_list(F.struct("top", "left", "ph", "pw", "v"))).alias("parts")
+    heads = [F.first(c).alias(c) for c in ("h", "w", "nr", "nc")]
+    gathered = parts.groupBy("image_id", "r0", "c0").agg(*heads, piece)
+    return map_rows(gathered, "image_id", "h long, w long, r0 long, c0 long, nr int, nc int, v binary", added)
 
 
 def resize_tiles(tiles: DataFrame, height: int | None = None, width: int | None = None, factor: float | None = None, size: int = BLOCK) -> DataFrame:

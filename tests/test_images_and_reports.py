@@ -187,3 +187,11 @@ def test_report_sections(spark):
     heads = [line for line in text.splitlines() if line.startswith("#")]
     assert heads == ["# Feature selection", "## Settings", "## Data", "## Selected features", "## Redundant pairs"]
     assert text.index("| 1 | x | 0.5 |") < text.index("| 2 | y | 0.1 |") and "* alpha: 0.05" in text
+
+
+def test_area_means_merge_blocks_without_a_data_frame_each(picture):
+    img = np.arange(40 * 40).reshape(40, 40) % 251
+    found = images.area_means(picture({"a": img, "b": img.T}, 16), factor=1.7, size=8)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.groupBy("image_id").count().filter("count = 9").count() == 2
+    assert sum(np.frombuffer(r.v).sum() for r in found.filter("image_id = 'a'").collect()) == pytest.approx(img.mean() * 23 * 23)
