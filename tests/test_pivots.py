@@ -70,3 +70,16 @@ def test_blocks_of_rows_grow_before_their_number(spark):
     for i in range(0, 900, 90):
         want = sorted((dist[i, j], j) for j in pool)[:2]
         assert sorted((r.d, r.n_id) for r in near if r.row_id == i) == want
+
+
+def test_rings_of_a_cell_are_skipped(spark):
+    """With one pivot all rows share a cell, and still most of its blocks are not compared."""
+    x = np.random.default_rng(9).uniform(0, 100, (600, 2))
+    rows = table(spark, x)
+    found, tiles = pivot_search(rows, rows, 3, size=16, apart="own", pivots=1)
+    want = brute(x, 3)
+    assert {(r.row_id, r.n_id) for r in found.collect()} == set(want)
+    assert tiles.count() == tiles.distinct().count() < 0.7 * 38 * 38
+    few, _ = pivot_search(rows.filter("row_id < 590"), rows.filter("row_id >= 590"), 3, size=16, pivots=4)
+    far = np.sqrt(((x[590:, None] - x[None, :590]) ** 2).sum(axis=2))
+    assert {(r.row_id, r.n_id) for r in few.collect()} == {(590 + i, int(j)) for i in range(10) for j in np.argsort(far[i])[:3]}
