@@ -5,7 +5,7 @@ from types import SimpleNamespace
 import numpy as np
 import pytest
 
-from recurra.operators import leaves, params
+from recurra.operators import leaves, params, recurrence
 
 
 def blocks_met(y, way, dims=4, tau=2, size=100):
@@ -49,3 +49,17 @@ def test_farthest_of_two_sets():
     rng = np.random.default_rng(9)
     p, q = rng.exponential(20, (3000, 3)), rng.exponential(20, (2000, 3))
     assert leaves.farthest(p, q) == max(leaves.squares(p[k : k + 500], q).max() for k in range(0, 3000, 500))
+
+
+@pytest.mark.parametrize("size", [None, 64])
+def test_gray_levels_of_the_image_without_the_image(series, size):
+    rng = np.random.default_rng(10)
+    signal = series({"a": np.repeat(np.round(rng.exponential(9, 40), 1), 7), "b": rng.normal(size=150), "flat": np.ones(20), "short": [1.0, 2.0, 3.0, 4.0]})
+    image = recurrence.gray_counts(recurrence.recurrence_tiles(signal, 3, 2)).select("image_id", "v", "c")
+    found = recurrence.gray_levels(signal, 3, 2, size)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, image.collect()))
+
+
+def test_gray_levels_take_equal_vectors_once():
+    vectors, times = leaves.repeats(np.tile([1.0, 2.0, 3.0, 5.0], 1000), 3, 2, 3000)
+    assert len(vectors) == 4 and times.tolist() == [750] * 4
