@@ -6,6 +6,8 @@ depend on how an image was cut.
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,6 +89,23 @@ def _gradient(row):
     return smooth_r[:, 2:] - smooth_r[:, :-2], smooth_c[2:] - smooth_c[:-2]
 
 
+def _shifted(row):
+    """(direction, distance, (n, a, b, ab, aa, bb)): sums over a tile's pixels and those next to them."""
+    px = pixels(row).astype(np.int64)
+    square = px * px
+    for number, (dr, dc) in enumerate(DIRECTIONS):
+        for d in range(1, MAX_DISTANCE + 1):
+            bottom = min(row.top + row.nr, row.ph - d * dr)
+            left = max(row.left, -d * dc)
+            right = min(row.left + row.nc, row.pw - d * dc)
+            if bottom <= row.top or right <= left:
+                continue
+            here = slice(row.top, bottom), slice(left, right)
+            there = slice(row.top + d * dr, bottom + d * dr), slice(left + d * dc, right + d * dc)
+            a, b = px[here], px[there]
+            yield number, d, (a.size, a.sum(), b.sum(), (a * b).sum(), square[here].sum(), square[there].sum())
+
+
 def tile_sums(tiles: DataFrame, k_max: int = K_MAX) -> DataFrame:
     """One pass for the additive parts: (image_id, what, k, total, top).
 
@@ -99,21 +118,11 @@ def tile_sums(tiles: DataFrame, k_max: int = K_MAX) -> DataFrame:
         values.append(int((1 << best_scales(row, k_max)).sum()))
         gx, gy = _gradient(row)
         values.append(int((gx * gx + gy * gy).max()))
-        px = pixels(row).astype(np.int64)
-        for number, (dr, dc) in enumerate(DIRECTIONS):
-            for d in range(1, MAX_DISTANCE + 1):
-                bottom = min(row.top + row.nr, row.ph - d * dr)
-                left = max(row.left, -d * dc)
-                right = min(row.left + row.nc, row.pw - d * dc)
-                if bottom <= row.top or right <= left:
-                    continue
-                a = px[row.top : bottom, left:right]
-                b = px[row.top + d * dr : bottom + d * dr, left + d * dc : right + d * dc]
-                moments = (a.size, a.sum(), b.sum(), (a * b).sum(), (a * a).sum(), (b * b).sum())
-                for m, value in enumerate(moments):
-                    what.append("corr")
-                    keys.append(number * 100 + d * 10 + m)
-                    values.append(int(value))
+        for number, d, moments in _shifted(row):
+            for m, value in enumerate(moments):
+                what.append("corr")
+                keys.append(number * 100 + d * 10 + m)
+                values.append(int(value))
         return {"what": what, "k": keys, "v": values}
 
     return (
@@ -123,6 +132,14 @@ def tile_sums(tiles: DataFrame, k_max: int = K_MAX) -> DataFrame:
     )
 
 
+def _directions(gx: np.ndarray, gy: np.ndarray, top: int, threshold: float = 0.1, bins: int = DIRECTION_BINS) -> np.ndarray:
+    size = np.sqrt((gx * gx + gy * gy).astype(np.float64))
+    keep = size > threshold * np.sqrt(float(top))
+    angle = np.degrees(np.arctan2(gy[keep], gx[keep])) % 180
+    slot = np.minimum((angle / 180.0 * bins).astype(np.int64), bins - 1)
+    return np.bincount(slot, weights=size[keep], minlength=bins)
+
+
 def direction_histogram(
     tiles: DataFrame, peaks: DataFrame, threshold: float = 0.1, bins: int = DIRECTION_BINS
 ) -> DataFrame:
@@ -132,12 +149,7 @@ def direction_histogram(
     """
 
     def kernel(row):
-        gx, gy = _gradient(row)
-        size = np.sqrt((gx * gx + gy * gy).astype(np.float64))
-        keep = size > threshold * np.sqrt(float(row.top2))
-        angle = np.degrees(np.arctan2(gy[keep], gx[keep])) % 180
-        slot = np.minimum((angle / 180.0 * bins).astype(np.int64), bins - 1)
-        weight = np.bincount(slot, weights=size[keep], minlength=bins)
+        weight = _directions(*_gradient(row), row.top2, threshold, bins)
         used = np.flatnonzero(weight)
         return {"bin": used, "weight": weight[used]}
 
@@ -221,10 +233,41 @@ def measures(tiles: DataFrame, k_max: int = K_MAX) -> DataFrame:
     )
 
 
+def whole_measures(row, k_max: int = K_MAX) -> dict[str, float]:
+    """The five measures of an image that is one tile, by the same formulas as ``measures``."""
+    coarse = int((1 << best_scales(row, k_max)).sum()) / (row.h * row.w)
+    gx, gy = _gradient(row)
+    weight = _directions(gx, gy, int((gx * gx + gy * gy).max()))
+    used = weight[weight > 0]
+    lines: dict[int, list[float]] = {}
+    for number, _, (n, a, b, ab, aa, bb) in _shifted(row):
+        a, b = a / n, b / n
+        var_a, var_b = aa / n - a**2, bb / n - b**2
+        found = lines.setdefault(number, [])
+        if var_a > 0 and var_b > 0:
+            found.append((ab / n - a * b) / np.sqrt(var_a * var_b))
+    means = [sum(found) / len(found) if found else 0.0 for found in lines.values()]
+    c = np.bincount(core(row).ravel(), minlength=256)
+    v, n = np.arange(256.0), row.h * row.w
+    dev = v - (v * c).sum() / n
+    m2, m4 = (c * dev**2).sum() / n, (c * dev**4).sum() / n
+    alpha = m4 / (m2 * m2) if m2 * m2 > 0 else 0.0
+    shade = np.sqrt(m2) / 255.0 / (alpha if alpha > 0 else 0.0001) ** 0.25
+    direction = 1 - (np.log2(used.sum()) - (used * np.log2(used)).sum() / used.sum()) / np.log2(DIRECTION_BINS) if len(used) else 0.0
+    return dict(zip(NAMES, (coarse, shade, direction, max(means) - min(means) if means else 0.0, coarse + shade)))
+
+
 LARGE = 100_000_000  # pixels above which an image is measured in regions
 REGION, OVERLAP, SMALLEST = 8192, 512, 64
 
 
+def _spans(extent: int, size: int, overlap: int) -> list[tuple[int, int]]:
+    """(start, length) of the regions along one side of a large image."""
+    step = size - overlap
+    count = -(-(extent - size) // step) + 1 if extent > size else 1
+    return [(k * step, min(size, extent - k * step)) for k in range(count)]
+
+
 def regions(
     tiles: DataFrame,
     size: int = REGION,
@@ -238,12 +281,9 @@ def regions(
     Tiles may have any size and grid: they are cut at the borders of the regions and put together again as tiles
     of side ``tile``, counted from the region's corner. ``image_id`` becomes (image, row, column of the region).
     """
-    step = size - overlap
 
     def spans(extent, large):
-        """(start, length) of the regions along one side."""
-        count = -(-(extent - size) // step) + 1 if large and extent > size else 1
-        return [(k * step, min(size, extent - k * step) if large else extent) for k in range(count)]
+        return _spans(extent, size, overlap) if large else [(0, extent)]
 
     def cut(row):
         img, out = core(row), []
@@ -272,6 +312,25 @@ def regions(
     return assemble_tiles(parts.select(named, *[c for c in parts.columns if c not in ("image_id", "y", "x")]))
 
 
+def region_measures(tiles: DataFrame, k_max: int, size: int, overlap: int, smallest: int) -> DataFrame:
+    """``measures`` of the regions of large images that are one tile each, cut and measured where the tile is."""
+
+    def kernel(row):
+        img, out = core(row), {name: [] for name in ("y", "x", *NAMES)}
+        for y, (top, height) in enumerate(_spans(row.h, size, overlap)):
+            for x, (left, width) in enumerate(_spans(row.w, size, overlap)):
+                if min(height, width) < smallest:
+                    continue
+                px = np.ascontiguousarray(img[top : top + height, left : left + width]).tobytes()
+                part = SimpleNamespace(h=height, w=width, r0=0, c0=0, nr=height, nc=width, top=0, left=0, ph=height, pw=width, px=px)
+                for name, value in {"y": y, "x": x, **whole_measures(part, k_max)}.items():
+                    out[name].append(value)
+        return out if out["y"] else None
+
+    found = map_rows(tiles, "image_id", "y int, x int, " + ", ".join(f"{n} double" for n in NAMES), kernel)
+    return found.select(F.struct(F.col("image_id").alias("image"), "y", "x").alias("image_id"), *NAMES)
+
+
 def tamura_features(
     tiles: DataFrame,
     k_max: int = K_MAX,
@@ -290,11 +349,15 @@ def tamura_features(
             for c in (F.col(n).alias(f"tamura_{n}_mean"), F.lit(0.0).alias(f"tamura_{n}_std"))
         ],
     )
-    large = tiles.filter(area > threshold)
+    alone = (F.col("nr") == F.col("h")) & (F.col("nc") == F.col("w"))
+    found = whole.unionByName(
+        regional_features(region_measures(tiles.filter((area > threshold) & alone), k_max, size, overlap, smallest))
+    )
+    large = tiles.filter((area > threshold) & ~alone)
     if large.isEmpty():
-        return whole
+        return found
     cut = with_halo(regions(large, size, overlap, smallest, threshold), HALO)
-    return whole.unionByName(regional_features(measures(stage(cut), k_max)))
+    return found.unionByName(regional_features(measures(stage(cut), k_max)))
 
 
 def regional_features(found: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recurra.operators import gabor, params, recurrence, texture
+from recurra.operators import gabor, params, recurrence, tamura, texture
 from recurra.operators.blocks import map_rows
 
 
@@ -55,6 +55,18 @@ def test_gabor_quartiles_of_one_tile_and_of_many(pair):
     assert gabor.response_stats(pair[0]).filter("median is null").count() == 0
 
 
+def test_tamura_regions_of_one_tile_and_of_many(picture, monkeypatch):
+    rng = np.random.default_rng(11)
+    images = {"a": rng.integers(0, 256, (40, 56)), "flat": np.full((33, 20), 7), "low": np.arange(24 * 50).reshape(24, 50) % 5, "tiny": np.ones((9, 9))}
+    settings = {"threshold": 0, "size": 32, "overlap": 8, "smallest": 16}
+    cut = rows_of(tamura.tamura_features(picture(images, 8), **settings), "image_id")
+    monkeypatch.setattr(tamura, "regions", lambda *a: pytest.fail("tiles of an image in one tile are cut and sent"))
+    alone = rows_of(tamura.tamura_features(picture(images), **settings), "image_id")
+    assert alone.keys() == cut.keys() == {("a",), ("flat",), ("low",)}
+    for key, values in alone.items():
+        assert values == pytest.approx(cut[key], rel=1e-9, abs=1e-9)
+
+
 def test_information_of_one_block_and_of_many(series):
     rng = np.random.default_rng(8)
     signal = series({"a": rng.normal(size=90), "b": np.round(rng.normal(size=40)), "same": np.ones(30), "two": [1.0, 2.0]})
