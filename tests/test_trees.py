@@ -142,6 +142,28 @@ def test_subtrees_of_few_rows_are_grown_in_one_task(rows, monkeypatch, rule, alo
     assert (not passes) if alone == 1000 else passes and len(passes) <= (rule.depth + 1) * (rule.trees if rule.boosted else 1)
 
 
+@pytest.mark.parametrize("few", [240, 239])
+def test_boosted_trees_of_few_rows_stay_in_their_task(rows, monkeypatch, few):
+    """Rows of which one task grows a whole tree pass to it once, not once a tree."""
+    monkeypatch.setattr(trees, "LOCAL_BYTES", 0)
+    passes, plain = [], trees.subtrees
+    monkeypatch.setattr(trees, "subtrees", lambda *a, **k: passes.append(1) or plain(*a, **k))
+    found = model_of(rows, trees.Boosting(trees=3, depth=3), [0, 1, 2], subtree_rows=few)
+    want = model_of(rows, trees.Boosting(trees=3, depth=3), [0, 1, 2], local_bytes=1 << 23)
+    assert len(passes) == (0 if few == 240 else 3)
+    assert found[["fold", "tree", "heap", "feature"]].equals(want[["fold", "tree", "heap", "feature"]])
+    assert np.allclose(found.value, want.value, atol=1e-9)
+
+
+def test_cells_of_shared_features():
+    rng = np.random.default_rng(5)
+    codes, rows, sums = rng.integers(0, 256, (900, 7), dtype=np.uint8), rng.permutation(900)[:800], rng.normal(size=(800, 3))
+    at, features, sums[:, 2] = rng.integers(0, 3, 800), np.array([0, 2, 3, 6]), 1
+    keys = (at[:, None] * 4 + np.arange(4)) * trees.BINS + codes[rows[:, None], features]
+    for a, b in zip(trees.shared_cells(codes, rows, at, sums, features, 3), trees.cells(keys.ravel(), sums, 4)):
+        assert np.array_equal(a, b)
+
+
 def test_models_are_not_collected_as_rows(rows, monkeypatch):
     """The driver takes a forest in packed arrays, one row for 64 trees."""
     model = trees.train(rows, "P", [0, 1, 2], trees.Impurity(trees=100, depth=3, features=2, bagged=True))
