@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recurra.operators import gabor, params, recurrence, tamura, texture
+from recurra.operators import chunks, gabor, params, recurrence, tamura, texture
 from recurra.operators.blocks import map_rows
+from recurra.sources.tables import signal_from_events
 
 
 @pytest.fixture
@@ -93,3 +94,39 @@ def test_results_leave_the_task_before_the_batch_ends(spark):
         assert count == 64 << 18 and most <= 20
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+@pytest.fixture
+def crowded(spark):
+    """Events of many short series and a long one, with 64 rows for a task."""
+    rows = [(k, k * 7 % 4000, k % 25 if k % 3 else 99, float(k * k % 17)) for k in range(1500)]
+    events = spark.createDataFrame(rows, "event_id long, minute long, user_id long, value double")
+    return events.withColumn("ts", F.timestamp_seconds(F.col("minute") * 60))
+
+
+def test_tasks_grow_with_the_rows_of_the_series(spark, crowded, monkeypatch):
+    def found():
+        signal = signal_from_events(crowded)
+        many = signal.rdd.getNumPartitions()
+        signal = signal.localCheckpoint()
+        mi, acf = params.mutual_information(signal, 6, size=128), params.autocorrelation(signal, 6, size=128)
+        return [many, mi.rdd.getNumPartitions(), acf.rdd.getNumPartitions()], [
+            rows_of(signal, "signal_id", "i"), rows_of(mi, "signal_id", "lag"), rows_of(acf, "signal_id", "lag")
+        ]
+
+    _, plain = found()
+    monkeypatch.setattr(chunks, "TASK_ROWS", 64)
+    tasks, dealt = found()
+    assert min(tasks) == 24  # 1500 rows, 64 for a task
+    for one, other in zip(plain, dealt):
+        assert one.keys() == other.keys() and len(one) > 100
+        for key, values in one.items():
+            assert values == pytest.approx(other[key], abs=1e-12)
+
+
+def test_extent_of_one_block_and_of_many(series):
+    signal = series({"a": np.arange(50) % 7, "same": np.ones(30), "nan": [1.0, np.nan, 2.0], "one": [-3.0]})
+    rows = {r.signal_id: (r.lo, r.hi, r.mu) for r in params.extent(signal).collect()}
+    for size in (16, 64):
+        for r in params.spanned_blocks(signal, size, 4, None).collect():
+            assert (r.lo, r.hi, r.mu) == pytest.approx(rows[r.signal_id], nan_ok=True)
