@@ -103,6 +103,18 @@ def test_gradients_over_tasks_follow_the_single_process(rows, data):
             assert np.allclose(a, b, atol=1e-9)
 
 
+def test_sets_of_medium_size_take_the_same_steps_in_one_task(rows, monkeypatch):
+    net = learners.Network(hidden=(8, 4), epochs=4, batch=150, most_steps=2)
+    spread = learners.perceptron(rows, "P", [0, 1], net, local_bytes=0)
+    monkeypatch.setattr(learners, "LOCAL_BYTES", 0)
+    monkeypatch.setattr(learners, "networks_over_tasks", lambda *a: pytest.fail("a job for every batch of a set that a task holds"))
+    alone = learners.perceptron(rows, "P", [0, 1], net)
+    for f in (0, 1):
+        assert np.allclose(alone[f]["losses"], spread[f]["losses"], atol=1e-9)
+        for a, b in zip(alone[f]["weights"], spread[f]["weights"]):
+            assert np.allclose(a, b, atol=1e-9)
+
+
 def test_perceptron_learns_and_stops_early(rows, data):
     models = learners.perceptron(rows, "P", [0, 1, 2, 3])
     assert all(15 < len(m["losses"]) < 800 and m["losses"][-1] < m["losses"][0] for m in models.values())
