@@ -115,6 +115,27 @@ def test_sets_of_medium_size_take_the_same_steps_in_one_task(rows, monkeypatch):
             assert np.allclose(a, b, atol=1e-9)
 
 
+def test_batches_of_an_epoch_follow_from_the_rows_alone(rows, monkeypatch):
+    net = learners.Network(hidden=(8, 4), epochs=3, batch=10)  # 34 batches
+    whole = learners.perceptron(rows, "P", [0, 1], net)
+    monkeypatch.setattr(learners, "LOCAL_BYTES", 0)
+    again = learners.perceptron(rows, "P", [0, 1], net)
+    for f in (0, 1):
+        assert whole[f]["losses"] == again[f]["losses"]
+        for a, b in zip(whole[f]["weights"], again[f]["weights"]):
+            assert np.array_equal(a, b)
+
+
+def test_rows_of_a_file_are_those_of_memory(rows):
+    net = learners.Network(hidden=(8, 4), epochs=3, batch=50)
+    batches = learners.coded_rows(rows, "P").toArrow().to_batches(max_chunksize=60)
+    short, long = learners.rows_of(batches), learners.held_rows(iter(batches), 0)
+    for name in ("x", "y", "fold", "key"):
+        assert np.array_equal(getattr(short, name), getattr(long, name))
+    assert learners.network_of(short, net)["losses"] == learners.network_of(long, net)["losses"]
+    assert len(learners.held_rows(iter([]), 0).y) == 0
+
+
 def test_perceptron_learns_and_stops_early(rows, data):
     models = learners.perceptron(rows, "P", [0, 1, 2, 3])
     assert all(15 < len(m["losses"]) < 800 and m["losses"][-1] < m["losses"][0] for m in models.values())
