@@ -62,6 +62,22 @@ def test_exact_machine_meets_the_dual_conditions(rows, data):
         assert 0 < len(model["support"]) < n
 
 
+def test_machine_is_exact_beyond_the_kernel_that_a_task_holds(rows, data, monkeypatch):
+    x, y, fold = data
+    monkeypatch.setattr(learners, "EXACT_ROWS", 100)
+    models = learners.machine(rows, "P", [0])
+    inside = fold != 0
+    n, p = inside.sum(), y[inside].sum()
+    bound = 10 * np.where(y[inside] == 1, n / (2 * p), n / (2 * (n - p)))
+    assert conditions(models[0], x[inside], y[inside], bound) < 2e-4
+    sign, gamma = np.where(y[inside] == 1, 1.0, -1.0), models[0]["gamma"]
+    alpha, constant = learners.dual_blocks(x[inside], gamma, sign, bound, working=40)
+    used = alpha > 0
+    model = {"support": x[inside][used], "coefficient": (alpha * sign)[used], "constant": constant, "gamma": gamma}
+    assert conditions(model, x[inside], y[inside], bound) < 2e-4
+    assert np.allclose(learners.machine_score(model, x), learners.machine_score(models[0], x), atol=1e-3)
+
+
 def test_landmarks_come_close_to_the_exact_machine(rows, data):
     x, y, _ = data
     train = rows.withColumn("fold", F.lit(-1))
