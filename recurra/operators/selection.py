@@ -18,6 +18,7 @@ from .chunks import chunk_with_halo, ordered_index, range_chunks, running_totals
 from .grid import ROWS, block_grid, strips
 from .inversions import sign_products
 
+NEAR = 1e-6  # share of the largest squares up to which the square of a distance is not left to a matrix product
 VALUE_CHUNKS = 4096
 
 
@@ -339,6 +340,39 @@ def explained_variance(pairs: DataFrame, components: int = 10) -> DataFrame:
     return matrix.mapInPandas(run, "component int, share double, total double")
 
 
+def pair_by_pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    square = np.zeros((len(left), len(right)))
+    for k in range(left.shape[1]):
+        square += (left[:, k][:, None] - right[:, k][None, :]) ** 2
+    return square
+
+
+def distances(left: np.ndarray, right: np.ndarray):
+    """(slice, distances) of strips of the left rows to all right rows.
+
+    Squares come from one matrix product of centred rows; pairs so near that it would round them away are taken again.
+    """
+    centre = right.mean(axis=0)
+    p, q = left - centre, right - centre
+    p_square, q_square = (p * p).sum(axis=1), (q * q).sum(axis=1)
+    sound = np.isfinite(p_square).all() and np.isfinite(q_square).all()
+    turned = -2 * q.T
+    for part in strips(len(left)):
+        near = None
+        if sound:
+            square = p[part] @ turned
+            square += p_square[part, None]
+            square += q_square
+            near = np.flatnonzero(square <= NEAR * (p_square[part, None].max(initial=0) + q_square.max(initial=0)))
+        if near is None or len(near) > square.size // 16:
+            square = pair_by_pair(left[part], right)
+        else:
+            i, j = np.divmod(near, len(right))
+            apart = left[part][i] - right[j]
+            square[i, j] = (apart * apart).sum(axis=1)
+        yield part, np.sqrt(square, out=square)
+
+
 def silhouette_rows(vectors: DataFrame, size: int = ROWS) -> DataFrame:
     """Exact Euclidean silhouette per row: (row_id, label, a, b, s)."""
     label_type = vectors.schema["label"].dataType
@@ -373,11 +407,7 @@ def silhouette_rows(vectors: DataFrame, size: int = ROWS) -> DataFrame:
                 left, right = np.stack(row.l_x), np.stack(row.r_x)
                 of_left, of_right = masks(row.l_labels), masks(row.r_labels)
                 to_right, to_left = np.zeros((len(of_right), len(left))), np.zeros((len(of_left), len(right)))
-                for part in strips(len(left)):
-                    dist = np.zeros((len(left[part]), len(right)))
-                    for k in range(left.shape[1]):
-                        dist += (left[part, k][:, None] - right[:, k][None, :]) ** 2
-                    np.sqrt(dist, out=dist)
+                for part, dist in distances(left, right):
                     for m, (_, mask) in enumerate(of_right):
                         to_right[m, part] = dist[:, mask].sum(axis=1)
                     if row.br != row.bc:

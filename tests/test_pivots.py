@@ -83,3 +83,20 @@ def test_rings_of_a_cell_are_skipped(spark):
     few, _ = pivot_search(rows.filter("row_id < 590"), rows.filter("row_id >= 590"), 3, size=16, pivots=4)
     far = np.sqrt(((x[590:, None] - x[None, :590]) ** 2).sum(axis=2))
     assert {(r.row_id, r.n_id) for r in few.collect()} == {(590 + i, int(j)) for i in range(10) for j in np.argsort(far[i])[:3]}
+
+
+def test_silhouette_distances_by_product_are_those_of_pairs(monkeypatch):
+    rng = np.random.default_rng(12)
+    left, right = 1e4 + rng.normal(size=(300, 16)), 1e4 + rng.normal(size=(200, 16))
+    right[:20], right[20:40] = left[:20], left[:20] + 1e-9  # equal and all but equal rows
+    want = np.sqrt(((left[:, None] - right) ** 2).sum(axis=2))
+    plain = selection.pair_by_pair
+    monkeypatch.setattr(selection, "pair_by_pair", lambda *a: pytest.fail("every component of every pair"))
+    got = np.concatenate([dist.copy() for _, dist in selection.distances(left, right)])
+    assert np.allclose(got, want, rtol=1e-9, atol=0) and (got[np.arange(20), np.arange(20)] == 0).all()
+    monkeypatch.setattr(selection, "pair_by_pair", plain)
+    left[3, 2], left[200, 1], right[7, 0] = np.nan, np.inf, 1e9
+    got = np.concatenate([dist.copy() for _, dist in selection.distances(left, right)])
+    want = np.sqrt(((left[:, None] - right) ** 2).sum(axis=2))
+    assert np.allclose(got, want, rtol=1e-9, atol=0, equal_nan=True)
+    assert all((dist == 0).all() for _, dist in selection.distances(np.ones((9, 3)), np.ones((5, 3))))
