@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recurra.operators import classify, grid, selection
+from recurra.operators import classify, grid, pivots, selection
 from recurra.operators.pivots import pivot_search
 
 SCHEMA = "row_id long, label string, x array<double>, own long, spare int"
@@ -85,6 +85,26 @@ def test_rings_of_a_cell_are_skipped(spark):
     assert {(r.row_id, r.n_id) for r in few.collect()} == {(590 + i, int(j)) for i in range(10) for j in np.argsort(far[i])[:3]}
 
 
+def test_tables_that_grow_with_the_rows_are_not_sent_through_the_driver(spark, monkeypatch):
+    """What may be broadcast is one row a pivot, or the chunks of an order."""
+    plans, plain = [], pivots.stage
+
+    def noted(df):
+        plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return plain(df)
+
+    monkeypatch.setattr(pivots, "stage", noted)
+    rows = table(spark, np.random.default_rng(13).uniform(0, 100, (300, 2)))
+    found, _ = pivot_search(rows, rows, 3, size=16, apart="own")
+    assert found.count() == 900
+    plans.append((found.columns, found._jdf.queryExecution().executedPlan().toString()))
+    searches = [plan for columns, plan in plans if "n_id" in columns]
+    tiles = [plan for columns, plan in plans if "q_part" in columns]
+    assert len(searches) == len(tiles) == 2
+    assert not any("Broadcast" in plan for plan in searches)
+    assert tiles[0].count("BroadcastExchange") <= 2 and "Broadcast" not in tiles[1]
+
+
 def test_silhouette_distances_by_product_are_those_of_pairs(monkeypatch):
     rng = np.random.default_rng(12)
     left, right = 1e4 + rng.normal(size=(300, 16)), 1e4 + rng.normal(size=(200, 16))
