@@ -31,7 +31,7 @@ def test_search_finds_the_neighbours_of_all_pairs(seed, digits, copies):
 def test_screened_neighbours_are_exact(scale, digits, far):
     rng = np.random.default_rng(8)
     y = np.round(rng.exponential(20, 900), digits) * scale + far * (np.arange(900) > 500)  # one jump: two far clusters
-    for d in (4, 7):
+    for d in (2, 4, 7):
         q = np.unique(np.lib.stride_tricks.sliding_window_view(y, d), axis=0)
         p, own, number = q[:300], np.where(np.arange(300) % 3, np.arange(300), -1), rng.permutation(len(q))
         dist, best = np.full(300, np.inf), np.full(300, -1, dtype=np.int64)
@@ -42,10 +42,11 @@ def test_screened_neighbours_are_exact(scale, digits, far):
         assert np.array_equal(best, np.where(root == dist[:, None], number, len(q)).min(axis=1))
 
 
-def test_most_distances_of_many_dimensions_are_not_taken_exactly(monkeypatch):
+@pytest.mark.parametrize("d", [2, 5, 10])
+def test_most_distances_are_not_taken_exactly(monkeypatch, d):
     taken, plain = [], leaves.squares
     monkeypatch.setattr(leaves, "squares", lambda p, q: taken.append(len(p) * len(q)) or plain(p, q))
-    q = np.random.default_rng(9).exponential(20, (4000, 10))
+    q = np.random.default_rng(9).exponential(20, (4000, d))
     dist, best = np.full(4000, np.inf), np.full(4000, -1, dtype=np.int64)
     leaves.nearest(q, q, np.arange(4000), np.arange(4000), dist, best)
     assert (best >= 0).all() and sum(taken) < 4000 * 4000 / 100
